@@ -1,7 +1,7 @@
 """All queries of this subpackage and the SQL of those that SQL can express."""
 
-from heatfield.llm import exact_dedup, html_text, langid, licenses, media, mixing, pii, tokens
+from heatfield.llm import exact_dedup, html_text, jaccard_join, langid, licenses, media, mixing, pii, tokens
 
-MODULES = (exact_dedup, media, mixing, tokens, licenses, langid, html_text, pii)
+MODULES = (exact_dedup, media, mixing, tokens, licenses, langid, html_text, jaccard_join, pii)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
