@@ -1,0 +1,246 @@
+"""Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, against brute force."""
+
+import collections
+import hashlib
+import itertools
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+from heatfield.llm import exact_dedup, html_text, jaccard_join, langid, licenses, media, mixing, pii
+from heatfield.llm import sentencepiece_lattice as lattice
+
+TEXTS = [(1, "The Cat"), (2, "the cat"), (3, None), (4, ""), (5, "ÉTÉ"), (6, "été"), (7, "x " * 30_000), (8, "X " * 30_000), (9, "the cat"), (9, "the cat"), (None, "lone"), (None, "the cat")]
+
+
+def docs(spark, rows, **more):
+    """doc_id, text, lang and source, and columns whose names operators use inside."""
+    full = [(i, t, more.get("lang", "en"), "s", 1, "k", "w") for i, t in rows]
+    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, digest int, norm string, node string")
+
+
+@pytest.mark.parametrize("bytes_", [32, 1])
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_exact_dedup(spark, bytes_, keep):
+    rows = TEXTS + [(100 + i, f"t{i % 40}") for i in range(120)]
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[low(t)].append(i)
+    pick = max if keep == "largest" else min
+    want = []
+    for i, t in rows:
+        g = groups[low(t)]
+        k = pick([x for x in g if x is not None], default=None)
+        want.append((i, k, len(g), i == k, hashlib.sha256(low(t).encode()).hexdigest()))
+    got = [tuple(r) for r in exact_dedup.exact_dedup(docs(spark, rows), keep, bytes_).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
+
+
+def test_digest_index_finds_what_was_flushed(spark):
+    index = exact_dedup.DigestIndex(spark)
+    index.flush(docs(spark, [(1, "a"), (2, "b")]))
+    index.flush(docs(spark, [(3, "A"), (4, "c")]))
+    got = {r.keep_id: r.group_size for r in index.compact().collect()}
+    assert got == {1: 2, 2: 1, 4: 1}
+    one = index.digests(docs(spark, [(0, "a")]))
+    assert {r.doc_id for r in index.lookup(one).collect()} == {1, 3}
+
+
+def test_media_payloads(spark):
+    rows = [*TEXTS, (20, "y" * 64), (21, "y" * 65), (22, "a\0")]
+    made = docs(spark, rows).select("doc_id", "text", media.media_bytes(F.col("text")).alias("media")).withColumn("media_sha256", F.sha2("media", 256))
+    for r in made.join(media.image_features(made), "media_sha256").collect():
+        raw = (r.text or "").encode()
+        pad = raw + b"\0" * (64 if not raw else -len(raw) % 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
+        assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
+
+
+def test_interleaved_sequences(spark):
+    html = '<p>One &amp; two</p><figure><img src="sha256:aa" alt="alt"><figcaption>cap <b>x</b></figcaption></figure><p>three</p><img src="sha256:zz" alt="only"><script>no</script>tail'
+    items = media.parse_html(html)
+    assert [(i["position"], i["kind"], i["text"] or i["ref"], i["caption"]) for i in items] == [(0, "text", "One & two", None), (1, "image", "sha256:aa", "cap x"), (2, "text", "three", None), (3, "image", "sha256:zz", "only"), (4, "text", "tail", None)]
+    pages = spark.createDataFrame([(1, html), (2, None), (3, html)], "page_id long, html string")
+    catalog = spark.createDataFrame([("aa", 7)], "media_sha256 string, size int")
+    got = media.resolve(media.sequences(pages, "page_id"), catalog, "page_id").orderBy("page_id", "position").collect()
+    assert [(r.page_id, r.position, r.size) for r in got if r.ref] == [(p, k, s) for p in (1, 3) for k, s in ((1, 7), (3, None))]
+
+
+def test_language_identification(spark):
+    en, de = "the quick brown fox and the lazy dog over there ", "der schnelle braune fuchs und der faule hund über dort "
+    rows = [(i, (en, de)[i % 2] * (1 + i % 5) + str(i), ("en", "de")[i % 2]) for i in range(300)]
+    rows += [(1000, None, "en"), (1001, "123 ###", "de"), (1002, "", None), (1003, en * 20_000, None), (None, de, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, score string")
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    assert all(got[i].lang_pred == ("en", "de")[i % 2] for i in range(300)) and got[1003].lang_pred == "en" and got[None].lang_pred == "de"
+    assert [got[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and all(0 <= r.score <= 1 for r in got.values())
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in range(300))
+    assert {r.doc_id for r in langid.keep_identified(df).collect()} == {r[0] for r in rows} - {1000, 1001, 1002}
+    blank = spark.createDataFrame([(1, "words", None)], "doc_id long, text string, lang string")
+    assert langid.identify(blank).first().lang_pred == "und" and langid.identify(blank.limit(0)).count() == 0
+
+
+def test_pieces_of_a_long_text_are_its_ngrams(monkeypatch):
+    whole = np.bincount(next(langid.buckets("abcdefghij" * 9)), minlength=1 << langid.BITS)
+    monkeypatch.setattr(langid, "PIECE", 7)
+    assert (sum(np.bincount(b, minlength=1 << langid.BITS) for b in langid.buckets("abcdefghij" * 9)) == whole).all()
+
+
+def test_mixing_meets_the_targets(spark):
+    rows = [(i, "w " * (1 + i % 300), ("en", "de", None)[i % 3], f"s{i % 4 if i % 2 else 0}") for i in range(600)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cells = mixing.described(df).groupBy(*[F.col(f"mix_{d}").alias(d) for d in mixing.DIMS]).agg(F.sum("mix_tokens").alias("tokens"))
+    mix = mixing.rake(cells).collect()
+    for d in mixing.DIMS:
+        raw, raked = collections.Counter(), collections.Counter()
+        for r in mix:
+            raw[r[d]] += r.tokens
+            raked[r[d]] += r.tokens * r.p
+        want = {k: v**mixing.TEMPERATURE for k, v in raw.items()}
+        for k in raw:
+            assert raked[k] / sum(raked.values()) == pytest.approx(want[k] / sum(want.values()), rel=0.05, abs=1e-9)
+    assert mixing.sample(df).columns == df.columns and mixing.sample(df.limit(0)).count() == 0
+    assert mixing.sample(df).filter("doc_id is null").count() == 1
+
+
+def test_license_scan(spark):
+    rows = [(1, "a\nLicensed under CC BY-NC 4.0.\nb"), (2, "Licensed under CC BY 4.0."), (3, None), (4, "no notice; a driver's license is a card"), (5, "prose before. This work is licensed under the GNU General Public License, version 2. And after."), (6, "z " * 50_000 + "\nReleased under the MIT License.")]
+    got = {(r.doc_id, r.line_no, r.license) for r in licenses.scan_licenses(docs(spark, rows + rows[:1])).collect()}
+    assert got == {(1, 1, "CC-BY-NC-4.0"), (2, 0, "CC-BY-4.0"), (5, 0, "GPL-2.0"), (6, 1, "MIT")}
+    assert licenses.differences(["a", "b", "c"], ["x", "a", "q", "c"]) == (["b"], ["q"])
+
+
+def test_main_text(spark):
+    menu = "<nav><a>Home</a></nav><div class='ad-box'>Buy</div>"
+    page = "<html><head><title>T</title><script>var a='</p>';</script></head><body>" + menu + "<article><h1>A &amp; B</h1><p>one\n  two<p>three<br>four<div class='comments'>bad</div></article><footer>&copy;</footer>"
+    shared = "<div>Accept all of our lovely site terms right now please</div>"
+    rows = [(1, "http://h/1", page), (2, "http://h/2", None), (3, None, "<p>only &#233;</p>")]
+    rows += [(10 + i, "http://Q/x", f"<body>{shared}<div>unique words of page number {i} stay</div></body>") for i in range(4)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, host string")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(df).collect()}
+    assert got[1][0] == "A & B\none two\nthree four" and got[2] == ("", 0) and got[3] == ("only é", 6)
+    assert all(got[10 + i][0] == f"unique words of page number {i} stay" for i in range(4))
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_repeats_equal_brute_force():
+    rng = np.random.default_rng(1)
+    streams = [[str(x) for x in rng.integers(0, 3, rng.integers(0, 60))] for _ in range(12)]
+    where = collections.defaultdict(set)
+    for k, s in enumerate(streams):
+        for i in range(len(s) - 3):
+            where[tuple(s[i : i + 4])].add(k)
+    for s, hit in zip(streams, html_text.repeated(streams, 4, 3), strict=True):
+        want = np.zeros(len(s), bool)
+        for i in range(len(s) - 3):
+            if len(where[tuple(s[i : i + 4])]) >= 3:
+                want[i : i + 4] = True
+        assert (hit == want).all()
+
+
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
+def test_jaccard_components_equal_brute_force(spark, k, percent):
+    rng = np.random.default_rng(7)
+    rows = [*TEXTS[:9], (9, "the cat"), (None, "lone"), (50, "a b"), (51, "A  b"), (52, "a b c")]
+    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    for i in range(60):  # a chain and a star of near copies, with a passage that other texts share
+        own = list(base)
+        for j in rng.integers(0, 300, i % 9):
+            own[j] = f"v{rng.integers(0, 9999)}"
+        rows.append((100 + i, " ".join(own)))
+        rows.append((200 + i, " ".join([*base[:40], *[f"u{x}" for x in rng.integers(0, 9999, 60)]])))
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    up = {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in itertools.combinations([i for i in sets if i is not None], 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+    got = jaccard_join.jaccard_components(docs(spark, rows), k, percent).collect()
+    assert len(got) == len(rows)
+    assert all((r.n_shingles, r.component_id) == (len(sets[r.doc_id]), None if r.doc_id is None else top(r.doc_id)) for r in got)
+    assert jaccard_join.jaccard_components(docs(spark, []), k, percent).count() == 0
+
+
+def test_tree_walk_equals_plain_overlap():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        probe = np.unique(rng.integers(0, 400, 120).astype(np.uint64))
+        sets = {i: np.unique(np.r_[probe[rng.random(len(probe)) < 0.93], rng.integers(0, 400, rng.integers(0, 12)).astype(np.uint64)]) for i in range(20)}
+        want = {i for i, s in sets.items() if 100 * len(np.intersect1d(s, probe)) >= 80 * len(np.union1d(s, probe))}
+        assert set(jaccard_join.walk(probe, sets, 80)) == want
+
+
+def test_surrogates(spark):
+    text = "Mail jo.doe@corp.com or jo.doe@corp.com, call +1 (555) 123-4567, from 10.1.2.3, card 4111 1111 1111 1111, Frau Müller said, password=hunter2x"
+    rows = [(1, text), (2, "clean text 12, v1.2"), (3, None), (4, ""), (5, "jo.doe@corp.com"), (5, "jo.doe@corp.com"), (None, "x" * 100_000 + " 192.168.0.77")]
+    done, table = pii.replace_entities(docs(spark, rows))
+    got = collections.defaultdict(list)
+    for r in done.collect():
+        got[r.doc_id].append(r)
+    out = got[1][0].text
+    for secret in ("jo.doe@corp.com", "123-4567", "10.1.2.3", "4111 1111", "Müller", "hunter2x"):
+        assert secret not in out
+    mails = re.findall(r"\S+@\S+\.example\.org", out)
+    assert len(mails) == 2 and mails[0] == mails[1].rstrip(",") and got[5][0].text == got[5][1].text == mails[0]
+    assert re.search(r"\+\d \(\d{3}\) \d{3}-\d{4}", out) and re.search(r"card \d{4} \d{4} \d{4} \d{4}", out) and re.search(r"Frau [A-ZÄÖÜ]\w+ said", out)
+    assert got[2][0].text == rows[1][1] and got[3][0].text is None and got[4][0].text == "" and "192.168.0.77" not in got[None][0].text
+    t = table.collect()
+    assert len({r.surrogate for r in t}) == len(t) and not {r.surrogate for r in t} & {r.entity for r in t}
+
+
+def test_surrogates_that_collide_are_derived_anew(spark):
+    entities = spark.createDataFrame([(f"555-{i:03d}-{j:04d}"[:11], 1) for i in range(1) for j in range(1)] + [(f"{i:04d} 00 000", 1) for i in range(3)] + [(f"1.1.1.{i}", 1) for i in range(1, 200)], "entity string, uses long")
+    t = pii.surrogate_table(entities).collect()
+    assert len({r.surrogate for r in t}) == entities.count()
+
+
+def test_pieces_equal_the_library(spark):
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [*TEXTS[:6], (7, "x " * 3000), (9, "the cat"), (None, "  naïve 你好 <s> 𝔘\n\n\ttab!! e.g. http://x.y/z?a=b"), (11, "a" * 300 + " " + "xy" * 200), (12, " " * 40 + "x ")]
+    got = lattice.encode(docs(spark, rows), path).collect()
+    want = {i: (t or "") for i, t in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.ids == library.encode(want[r.doc_id]) and r.n_ids == len(r.ids) and r.round_trip
+        assert lattice.decode(lattice.model(path), np.array(r.ids, int)) == want[r.doc_id]
+    assert lattice.encode(docs(spark, []), path).count() == 0
+
+
+def test_viterbi_fold_is_the_best_path(spark):
+    rng = np.random.default_rng(5)
+    words = sorted({"".join(rng.choice(list("abc"), rng.integers(1, 8))) for _ in range(40)})
+    scores = {"".join(p): -float(rng.integers(1, 1000)) / 8 for n in (1, 2, 3) for p in itertools.product("abc", repeat=n)}
+
+    def best(w):
+        return max(((sum(scores[p] for p in c), c) for c in cuts(w)), key=lambda x: x[0])[0]
+
+    def cuts(w):
+        return [[]] if not w else [[w[:i], *rest] for i in range(1, min(3, len(w)) + 1) for rest in cuts(w[i:])]
+
+    at = F.map_from_arrays(F.col("k"), F.col("v"))
+    rows = []
+    for w in words:
+        edges = [(s * 1024 + e, (1, scores[w[s:e]])) for s in range(len(w)) for e in range(s + 1, min(len(w), s + 3) + 1)]
+        rows.append((w, len(w), [k for k, _ in edges], [v for _, v in edges]))
+    df = spark.createDataFrame(rows, "word string, n int, k array<int>, v array<struct<id:int,score:double>>").withColumn("at", at)
+    for r in df.select("word", F.expr(lattice._viterbi(3)).alias("b")).collect():
+        got = sum(scores[r.word[a:b]] for a, b in zip(r.b, r.b[1:]))
+        assert got == pytest.approx(best(r.word)) and r.b[0] == 0 and r.b[-1] == len(r.word)
