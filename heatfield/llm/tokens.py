@@ -46,27 +46,45 @@ class Encoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        #: Bytes of each id's token: byte-level tokens have one character a byte.
+        self.length = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words as they stand behind a space, all in one text that is divided at the words' bytes again."""
+        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        odd = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
+        self.young.update(zip(odd, self._bytes([f" {w}" for w in odd]), strict=True))
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.cumsum([len(w.encode()) + 1 for w in plain])
+            cut = (np.searchsorted(np.cumsum(self.length[ids]), ends) + 1) * ids.itemsize
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(plain, cut.tolist(), strict=True):
+                self.young[w], at = raw[at:end], end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plan, new, whole = [], {}, []
-        if len(self.later) > CACHED:
-            self.later.clear()
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
+        plan, whole, words = [], [], set()
         for text in texts:
             if _WHOLE.search(text) or self.special and self.special.search(text):
                 whole.append(text)
                 plan.append(None)
             else:
-                words = text.split(" ")
-                plan.append(words)
-                new.update(dict.fromkeys(w for w in words[1:] if w not in self.later))
-        self.later.update(zip(new, self._bytes([f" {w}" for w in new]), strict=True))
+                own = text.split(" ")
+                plan.append(own)
+                words.update(own[1:])
+        words -= self.young.keys()
+        for w in words & self.old.keys():
+            self.young[w] = self.old[w]
+        self._learn(list(words - self.old.keys()))
         heads = iter(self._bytes([w[0] for w in plan if w is not None]))
-        wholes, get = iter(self._bytes(whole)), self.later.__getitem__
+        wholes, get = iter(self._bytes(whole)), self.young.__getitem__
         return [np.frombuffer(next(wholes) if w is None else next(heads) + b"".join(map(get, w[1:])), self.dtype) for w in plan]
 
 
