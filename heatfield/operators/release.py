@@ -34,7 +34,7 @@ def latest_names(players: DataFrame) -> DataFrame:
 
 def denormalised(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame) -> DataFrame:
     """Facts with match, patch and player keys; as many rows as before, or an error."""
-    match, patch, player = dense_keys(dim_match, "match_id", "match", 1 << 31), dense_keys(dim_match, "patch_id", "patch", 254), dense_keys(dim_player, "puuid", "player")
+    match, patch, player = dense_keys(dim_match, "match_id", "match", (1 << 31) - 2), dense_keys(dim_match, "patch_id", "patch", 254), dense_keys(dim_player, "puuid", "player")
     out = fact.join(match, "match_id").join(dim_match.select("match_id", "patch_id"), "match_id").join(patch, "patch_id")
     for who in ("victim", "killer"):
         out = out.join(player.select(F.col("puuid").alias(f"{who}_player_id"), F.col("player").alias(f"{who}_player")), f"{who}_player_id", "inner" if who == "victim" else "left")

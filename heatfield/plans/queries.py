@@ -142,10 +142,10 @@ def grid_auto_size(spark, d):
 _KERNEL = ", ".join(f"({i - 4}, {w}e0)" for i, w in enumerate(H.KERNEL))
 
 
-@query(f"{seen_sql()}, kern(o, w) AS (VALUES {_KERNEL}), g AS (SELECT {cell_sql(64)} AS cell, count(*) FILTER (WHERE dv) AS deaths, count(*) FILTER (WHERE dk) AS kills FROM s GROUP BY 1), a AS (SELECT cell % 64 + o AS bx, cell // 64 AS b_y, sum(deaths * w) AS deaths, sum(kills * w) AS kills FROM g, kern WHERE cell % 64 + o BETWEEN 0 AND 63 GROUP BY 1, 2), b AS (SELECT bx, b_y + o AS b_y, sum(deaths * w) AS deaths, sum(kills * w) AS kills FROM a, kern WHERE b_y + o BETWEEN 0 AND 63 GROUP BY 1, 2) SELECT CAST(b_y * 64 + bx AS INTEGER) AS cell, round(deaths, 6) AS deaths, round(kills, 6) AS kills, round((deaths * {H.evidence()!r}e0 + 5) / ((deaths + kills) * {H.evidence()!r}e0 + 10), 6) AS danger FROM b WHERE (deaths + kills) * {H.evidence()!r}e0 >= 5")
+@query(f"{seen_sql()}, kern(o, w) AS (VALUES {_KERNEL}), g AS (SELECT {cell_sql(64)} AS cell, count(*) FILTER (WHERE dv) AS deaths, count(*) FILTER (WHERE dk) AS kills FROM s GROUP BY 1), a AS (SELECT cell % 64 + o AS bx, cell // 64 AS b_y, sum(deaths * w) AS deaths, sum(kills * w) AS kills FROM g, kern WHERE cell % 64 + o BETWEEN 0 AND 63 GROUP BY 1, 2), b AS (SELECT bx, b_y + o AS b_y, sum(deaths * w) AS deaths, sum(kills * w) AS kills FROM a, kern WHERE b_y + o BETWEEN 0 AND 63 GROUP BY 1, 2) SELECT CAST(b_y * 64 + bx AS INTEGER) AS cell, CAST(round(deaths * 1e8) AS BIGINT) AS deaths_e8, CAST(round(kills * 1e8) AS BIGINT) AS kills_e8, round((deaths * {H.evidence()!r}e0 + 5) / ((deaths + kills) * {H.evidence()!r}e0 + 10), 6) AS danger FROM b WHERE (deaths + kills) * {H.evidence()!r}e0 >= 5")
 def gaussian_blur(spark, d):
     out = H.layer(H.blurred(H.grid(seen(spark, d), 64), 64), "danger", H.evidence())
-    return out.filter("value is not null").select(F.col("cell").cast("int").alias("cell"), F.round("deaths", 6).alias("deaths"), F.round("kills", 6).alias("kills"), F.round("value", 6).alias("danger"))
+    return out.filter("value is not null").select(F.col("cell").cast("int").alias("cell"), F.round(F.col("deaths") * 1e8).cast("long").alias("deaths_e8"), F.round(F.col("kills") * 1e8).cast("long").alias("kills_e8"), F.round("value", 6).alias("danger"))
 
 
 @query(f"{seen_sql()}, w AS (SELECT unnest(range(greatest(0, CAST(ceil((second - 239) / 20e0) AS BIGINT)), second // 20 + 1)) * 20 AS start, dv, dk FROM s) SELECT CAST(start AS BIGINT) AS start, count(*) FILTER (WHERE dv) AS deaths, count(*) FILTER (WHERE dk) AS kills FROM w GROUP BY 1")
@@ -315,7 +315,7 @@ def signed_quantise(spark, d):
     return read(spark, d, "events").select("event_id", S.u8(F.col("value"), 4).alias("q"), F.bround("value").cast("int").alias("half_even"), F.round(S.respawn_seconds(F.col("event_id") % 20 + 1, F.col("event_id") % 50), 6).alias("respawn"))
 
 
-@query("SELECT c_custkey, c_name AS shown, CASE WHEN c_acctbal >= 0 THEN '+' ELSE '-' END || printf('%.1fk', abs(round(c_acctbal)) / 1000) AS gold, printf('%d:%02d', c_custkey // 60, c_custkey % 60) AS clock FROM customer")
+@query("SELECT c_custkey, c_name AS shown, CASE WHEN c_acctbal >= 0 THEN '+' ELSE '-' END || printf('%.1fk', round(abs(round(c_acctbal)) / 1000, 1)) AS gold, printf('%d:%02d', c_custkey // 60, c_custkey % 60) AS clock FROM customer")
 def text_formats(spark, d):
     return read(spark, d, "customer").select("c_custkey", S.player_name(F.concat("c_name", F.lit("#x"))).alias("shown"), S.kilo_gold(F.round("c_acctbal")).alias("gold"), S.minutes_seconds(F.col("c_custkey")).alias("clock"))
 
