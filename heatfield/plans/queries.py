@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heatfield.functions import geometry as G
 from heatfield.functions import scalars as S
+from heatfield.operators import collection as C
 from heatfield.operators import facets as H
 from heatfield.operators import release as R
 from heatfield.operators.asof import asof, others_within, prior
@@ -324,3 +325,35 @@ def text_formats(spark, d):
 def history_depth(spark, d):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
     return read(spark, d, "orders").withColumn("n", F.row_number().over(w)).filter("n <= 5").select("o_custkey", "o_orderkey", "n")
+
+
+@query("WITH i AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), j AS (SELECT n, o_orderkey IS NOT NULL AS done FROM i LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') ON l_orderkey = o_orderkey) SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_distinct, CAST(sum(n) - count(*) AS BIGINT) AS duplicates, count(*) FILTER (WHERE done) AS settled, count(*) FILTER (WHERE NOT done) AS backlog FROM j")
+def dedupe_report(spark, d):
+    done = read(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("match_id"))
+    return C.dedupe_report(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("match_id")), done)
+
+
+@query("SELECT o_custkey AS puuid, arg_min(o_orderpriority, CASE left(o_orderpriority, 1) WHEN '2' THEN 1 WHEN '1' THEN 2 ELSE 3 END) AS tier FROM orders WHERE left(o_orderpriority, 1) IN ('1', '2') GROUP BY 1")
+def ladder_first_tier(spark, d):
+    o = read(spark, d, "orders").filter("left(o_orderpriority, 1) in ('1', '2')")
+    tiers = ["2", "1"]
+    rows = o.select(F.col("o_custkey").alias("puuid"), F.left("o_orderpriority", F.lit(1)).alias("t"), F.col("o_orderpriority").alias("tier"))
+    return C.first_tier(rows, tiers, tier="t").select("puuid", "tier")
+
+
+@query("SELECT o_orderkey, sha256('run-2' || CAST(o_orderkey AS VARCHAR)) AS place FROM orders WHERE o_orderstatus <> 'P' ORDER BY 2 LIMIT 50")
+def quota_sample(spark, d):
+    got = C.quota(read(spark, d, "orders"), 50, "o_orderkey", "run-2", F.col("o_orderstatus") != "P")
+    return got.select("o_orderkey", F.col("order").alias("place"))
+
+
+@query("WITH h AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS match_id FROM h WHERE n <= 3 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def history_candidates(spark, d):
+    h = read(spark, d, "orders").select(F.col("o_custkey").alias("puuid"), F.col("o_orderkey").alias("match_id"), F.col("o_orderdate").alias("created"))
+    done = read(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("match_id"))
+    return C.candidates(h, done, 3).select(F.col("match_id").cast("string").alias("match_id"))
+
+
+@query("WITH k AS (SELECT event_id, event_id * 7919 % 14990 - 120 AS x, event_id // 28 AS m FROM events) SELECT CAST(greatest(600, max(second)) AS BIGINT) AS longest, count(DISTINCT m) AS games FROM (SELECT m, event_id * 37 % 2400 AS second FROM k)")
+def dataset_limits(spark, d):
+    return facts(spark, d, False).agg(F.greatest(F.lit(600), F.max("second")).cast("long").alias("longest"), F.count_distinct("match").alias("games"))
