@@ -8,8 +8,10 @@ sorted by the global order, each continues from the depth it shares with the one
 there, and a subtree goes as soon as the overlap so far and what is left of the probe cannot reach the threshold.
 
 First a few rounds link each node with one leader of each shared entry and size class, which joins large groups of near
-copies in time linear in their number; then every remaining candidate pair whose nodes are not yet connected is checked.
-Pairs within one component add nothing to it and are left out; none between components is.
+copies in time linear in their number. Nodes that share a leader's entries but are not connected yet meet again in their
+group, cut into blocks of about BLOCK nodes: every pair of blocks is one task's trees, so such pairs never become rows.
+Last, every remaining candidate pair of different groups whose nodes are not connected is checked. Pairs within one
+component add nothing to it and are left out; none between components is.
 
 Defined results: null and empty texts have no shingle and stand alone; rows that repeat a doc_id are equal members of
 its group; a null doc_id takes its group's component, or null; an empty table gives an empty result; other columns are
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from heatfield.llm.common import checked_broadcast, join_hot, small_batches, stored
 
-SKETCH_BITS, SKETCH_BLOCK, EXTRA, ROUNDS, PROBES = 21, 1024, 6, 3, 256
+SKETCH_BITS, SKETCH_BLOCK, EXTRA, ROUNDS, PROBES, BLOCK = 21, 1024, 6, 3, 256, 256
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -93,9 +95,14 @@ def ordered(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.sort(h | (levels[_slot(h)].astype(np.uint64) << np.uint64(60)))
 
 
-def walk(probe: np.ndarray, sets: dict[int, np.ndarray], percent: int) -> list[int]:
+def tree(sets: dict[int, np.ndarray]) -> list[int]:
+    """Keys in the order in which a walk through the sets' prefix tree meets them."""
+    return sorted(sets, key=lambda k: sets[k].astype(">u8").tobytes())
+
+
+def walk(probe: np.ndarray, sets: dict[int, np.ndarray], percent: int, order: list[int] | None = None) -> list[int]:
     """Keys of the sets that link with the probe, by a walk through their prefix tree."""
-    order = sorted(sets, key=lambda k: sets[k].astype(">u8").tobytes())
+    order = tree(sets) if order is None else order
     found, path, cum, dead = [], np.zeros(0, np.uint64), np.zeros(1, np.int64), None
     for key in order:
         s = sets[key]
@@ -198,30 +205,79 @@ class Join:
         size_class = F.floor(F.log("n") / float(-np.log(self.percent / 100)))
         posts = stored(entries.join(common, "entry", "left_semi").withColumn("size_class", size_class), "posts")
         # Pairs that share one entry by chance fall out here, on narrow rows.
-        links, label = None, stored(groups.filter("node is not null").select("node", F.col("node").alias("label")).limit(0), "labels")
+        links, near_groups, label = None, None, stored(groups.filter("node is not null").select("node", F.col("node").alias("label")).limit(0), "labels")
         for turn in range(ROUNDS):
             here = posts.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
             rank = F.xxhash64(F.lit(turn), "node")
             lead = here.groupBy("entry", "size_class").agg(F.min(F.struct(rank.alias("r"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))).alias("lead"))
             near = here.join(lead, ["entry", "size_class"]).filter("label <> lead.la").select("lead.a", F.col("node").alias("b"), "lead.na", F.col("n").alias("nb"))
-            links, label = self._grow(links, label, near)
-        here = stored(posts.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "open")
+            pairs = stored(self._counted(near), "candidates")
+            near_groups = connected(pairs.select("a", "b")).withColumnRenamed("label", "group") if turn == 0 else near_groups
+            links, label = self._grow(links, pairs)
+        links, label = self._blocks(links, label, near_groups)
+        here = posts.join(label, "node", "left").join(near_groups, "node", "left")
+        here = stored(here.withColumns({"label": F.coalesce("label", "node"), "group": F.coalesce("group", "node")}), "open")
         mixed = here.groupBy("entry").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("entry")
-        left = here.join(mixed, "entry", "left_semi").select("entry", "node", "n", "label")
-        right = left.select("entry", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        rest = left.withColumnsRenamed({"node": "a", "n": "na"}).join(right, "entry").filter("a < b and label <> lb").select("a", "b", "na", "nb")
-        links, label = self._grow(links, label, rest)
+        left = here.join(mixed, "entry", "left_semi").select("entry", "node", "n", "label", "group")
+        right = left.select("entry", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("group").alias("gb"))
+        rest = left.withColumnsRenamed({"node": "a", "n": "na"}).join(right, "entry").filter("a < b and label <> lb and group <> gb").select("a", "b", "na", "nb")
+        links, label = self._grow(links, self._counted(rest))
         found = groups.join(label, "node", "left").select("sid", "node", "copies", F.coalesce("label", "node").alias("component"))
         return signed.select("doc_id", "n", "sid"), stored(found, "classes"), links
 
-    def _grow(self, links: DataFrame | None, label: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _counted(self, near: DataFrame) -> DataFrame:
+        """The pairs of near(a, b, na, nb) that share enough entries to link."""
         t = self.percent
         near = near.filter(100 * F.least("na", "nb") >= t * F.greatest("na", "nb"))
         pairs = near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest("na", "nb")).alias("n"))
-        new = self.verified(pairs.filter(F.col("c") >= F.least(F.lit(EXTRA), F.ceil(F.col("n") * t / 100))))
+        return pairs.filter(F.col("c") >= F.least(F.lit(EXTRA), F.ceil(F.col("n") * t / 100)))
+
+    def _grow(self, links: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        new = self.verified(pairs)
         links = new if links is None else links.unionByName(new)
         return links, connected(links)
 
+    def _blocks(self, links: DataFrame, label: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links between the components of each group, from all pairs of the group's blocks."""
+        percent = self.percent
+        nodes = groups.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = nodes.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).filter("x < y")
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        nodes = stored(nodes.join(mixed, "group").select("group", "node", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")), "blocks")
+        if nodes.isEmpty():
+            return links, label
+        # A node goes to every pair of blocks with its own; a lone block is a pair with itself.
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        dealt = nodes.join(self.sets(nodes.select("node")), "node").select("group", "node", "label", "block", "entries", other)
+        dealt = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+
+        def check(g: pd.DataFrame) -> pd.DataFrame:
+            up: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while up.setdefault(x, x) != x:
+                    x = up[x] = up[up[x]]
+                return x
+
+            lo, hi = int(g["lo"].iloc[0]), int(g["hi"].iloc[0])
+            label_of = dict(zip(g["node"].tolist(), g["label"].tolist(), strict=True))
+            sets = {n: np.frombuffer(e, np.uint64) for n, e in zip(g["node"].tolist(), g["entries"], strict=True)}
+            side = dict(zip(g["node"].tolist(), g["block"].tolist(), strict=True))
+            whole, out = tree({n: s for n, s in sets.items() if side[n] == hi}), []
+            for a in (n for n in sets if side[n] == lo):
+                mine = top(label_of[a])
+                order = [b for b in whole if b != a and top(label_of[b]) != mine]
+                for b in walk(sets[a], sets, percent, order):
+                    x, y = top(label_of[a]), top(label_of[b])
+                    if x != y:  # a link inside what this task has joined adds nothing
+                        up[max(x, y)] = min(x, y)
+                        out.append((a, b))
+            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+        new = stored(dealt.groupBy("group", "lo", "hi").applyInPandas(check, "a long, b long"), "links")
+        links = links.unionByName(new)
+        return links, connected(links)
+
 
 def connected(links: DataFrame) -> DataFrame:
     """node, label (the least node that links reach) of every node with a link: least neighbour, then label of the label, until nothing changes."""

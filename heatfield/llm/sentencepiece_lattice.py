@@ -25,12 +25,13 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatfield.llm.common import small_batches, stored
 
-FREQUENT, LONG, MARK = 1 << 18, 100, "▁"
+FREQUENT, LONG, MARK = 1 << 20, 100, "▁"
 NO_DOC = -(1 << 63)
 
 
@@ -68,21 +69,22 @@ def model(path: str) -> Model:
 
 
 def lattice(words: DataFrame, path: str) -> DataFrame:
-    """word, ids for words(word), each at most LONG characters."""
+    """words with ids, for distinct words of at most LONG characters. Where words is dealt by word already, nothing below is shuffled."""
     spark, m = words.sparkSession, model(path)
     table = F.broadcast(spark.createDataFrame(m.pieces, "piece string, id int, score double"))  # the model's size
     n = F.char_length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + m.longest))).alias("e"))
+    own = words.columns
+    starts = words.select(*own, F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = starts.select(*own, "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + m.longest))).alias("e"))
     spans = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")))
     edges = spans.join(table, "piece", "left").filter("id is not null or e = s + 1")  # a character without a piece keeps its edge
-    grouped = edges.groupBy("word").agg(F.collect_list(F.struct((F.col("s") * 1024 + F.col("e")).alias("k"), "id", "score")).alias("edges"))
-    grouped = grouped.select("word", F.map_from_arrays(F.expr("transform(edges, x -> x.k)"), F.expr("transform(edges, x -> struct(x.id, x.score))")).alias("at"), F.char_length("word").alias("n"))
+    grouped = edges.groupBy(*own).agg(F.collect_list(F.struct((F.col("s") * 1024 + F.col("e")).alias("k"), "id", "score")).alias("edges"))
+    grouped = grouped.select(*own, F.map_from_arrays(F.expr("transform(edges, x -> x.k)"), F.expr("transform(edges, x -> struct(x.id, x.score))")).alias("at"), F.char_length("word").alias("n"))
     cuts = _merges() if m.bpe else _viterbi(m.longest)
     ends = F.expr(cuts)
     ids = f"""flatten(transform(sequence(0, size(b) - 2), i -> if(at[b[i] * 1024 + b[i + 1]].id is not null, array(at[b[i] * 1024 + b[i + 1]].id),
         transform(sequence(0, octet_length(substring(word, b[i] + 1, 1)) - 1), j -> {m.first_byte} + cast(conv(substring(hex(encode(substring(word, b[i] + 1, 1), 'UTF-8')), 2 * j + 1, 2), 16, 10) as int)))))"""
-    return grouped.withColumn("b", ends).select("word", F.expr(ids).alias("ids"))
+    return grouped.withColumn("b", ends).select(*own, F.expr(ids).alias("ids"))
 
 
 def _merges() -> str:
@@ -108,8 +110,8 @@ def words_of(text: Column, path: str) -> Column:
 def dictionary(docs: DataFrame, path: str) -> DataFrame:
     """word, uses, ids of every distinct word of at most LONG characters."""
     words = docs.filter(F.length("text") > 0).select(F.explode(words_of(F.col("text"), path)).alias("word"))
-    uses = stored(words.filter(F.char_length("word") <= LONG).groupBy("word").agg(F.count(F.lit(1)).alias("uses")), "words", compression="zstd")
-    return stored(lattice(uses.select("word"), path).join(uses, "word"), "dictionary", compression="zstd")
+    uses = words.filter(F.char_length("word") <= LONG).groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+    return stored(lattice(uses, path), "dictionary", compression="zstd")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -124,6 +126,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def split(m: Model, text: str) -> list[str]:
         return re.findall(m.word, MARK + text.replace(" ", MARK)) if text else []
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "text"])
+
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, have = model(path), shared.value
         for batch in batches:
@@ -135,10 +142,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], ["doc_id", "word"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, have = model(path), shared.value
+        m, have, z = model(path), shared.value, zstandard.ZstdDecompressor()
         for batch in batches:
             out, good = [], []
-            for text, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            texts = [z.decompress(t).decode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            for text, more in zip(texts, batch.column(2).to_pylist(), strict=True):
                 own = {x["word"]: np.array(x["ids"], np.int32).tobytes() for x in more or ()}
                 parts = [have.get(w) or own.get(w) or _long(m, w) for w in split(m, text)]
                 ids = np.frombuffer(b"".join(parts), np.int32)
@@ -147,9 +155,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, out)]).astype(np.int32), np.concatenate(out) if out else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([len(x) for x in out], pa.int64()), pa.array(good, pa.bool_())], ["doc_id", "ids", "n_ids", "round_trip"])
 
-    rare = rows.mapInArrow(others, "doc_id long, word string").distinct().join(known.select("word", "ids"), "word")
+    rare = rows.mapInArrow(others, "doc_id long, word string").join(known.select("word", "ids"), "word")
     rare = rare.groupBy("doc_id").agg(F.collect_list(F.struct("word", "ids")).alias("more"))
-    done = rows.join(rare, "doc_id", "left").mapInArrow(assemble, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
+    packed = rows.mapInArrow(pack, "doc_id long, text binary")  # what the join moves
+    done = packed.join(rare, "doc_id", "left").mapInArrow(assemble, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
     return done.withColumn("doc_id", F.when(F.col("doc_id") != NO_DOC, F.col("doc_id")))
 
 

@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from heatfield.llm.common import scratch, small_batches, stored
 
-SEQ, ROWS, END, CACHED = 2048, 64, 0, 400_000
+SEQ, ROWS, END, CACHED = 2048, 64, 0, 900_000
+_EDGE = re.compile(r"\s\s|\s$")
 _WHOLE = re.compile(r"\s\s|[^\x00-ɏ]")
 
 
@@ -56,16 +57,19 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encodes words as they stand behind a space, all in one text that is divided at the words' bytes again."""
-        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        odd = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
+        text = " ".join(["", *words])
+        plain, odd = words, []
+        if _EDGE.search(text):  # a word begins or ends with a white space, or is empty
+            odd = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
+            plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+            text = " ".join(["", *plain])
         self.young.update(zip(odd, self._bytes([f" {w}" for w in odd]), strict=True))
         if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.cumsum([len(w.encode()) + 1 for w in plain])
-            cut = (np.searchsorted(np.cumsum(self.length[ids]), ends) + 1) * ids.itemsize
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(plain, cut.tolist(), strict=True):
-                self.young[w], at = raw[at:end], end
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            sizes = list(map(len, plain if text.isascii() else [w.encode() for w in plain]))
+            cut = (np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(np.array(sizes) + 1)) + 1) * ids.itemsize
+            raw, ends = ids.tobytes(), cut.tolist()
+            self.young.update(zip(plain, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.young) > CACHED:
@@ -80,9 +84,11 @@ class Encoder:
                 plan.append(own)
                 words.update(own[1:])
         words -= self.young.keys()
-        for w in words & self.old.keys():
-            self.young[w] = self.old[w]
-        self._learn(list(words - self.old.keys()))
+        if self.old:
+            again = words & self.old.keys()
+            self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            words -= again
+        self._learn(list(words))
         heads = iter(self._bytes([w[0] for w in plan if w is not None]))
         wholes, get = iter(self._bytes(whole)), self.young.__getitem__
         return [np.frombuffer(next(wholes) if w is None else next(heads) + b"".join(map(get, w[1:])), self.dtype) for w in plan]
