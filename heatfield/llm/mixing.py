@@ -58,8 +58,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
             w = stored(w, "cells")
     ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens"))
     w = stored(w.withColumn("ratio", ratio), "cells")
-    most = w.agg(F.max("ratio").alias("most"))
-    return stored(w.crossJoin(F.broadcast(most)).select(*DIMS, "tokens", F.coalesce(F.col("ratio") / F.col("most"), F.lit(1.0)).alias("p")), "mix")
+    return stored(w.select(*DIMS, "tokens", F.coalesce(F.col("ratio") / F.max("ratio").over(all_rows), F.lit(1.0)).alias("p")), "mix")
 
 
 def draw() -> Column:
