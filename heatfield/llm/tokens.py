@@ -7,7 +7,7 @@ document's place, so a file left by a lost attempt is never read. Sequence k of
 ROWS: a reader maps the file and gets it as a view.
 
 encode() gives exactly what Tokenizer.encode gives: a text whose splits at single spaces provably are splits of the
-tokenizer is encoded word by word through a bounded cache, any other text (two white spaces in a row, letters beyond
+tokenizer is encoded word by word through a bounded store of words, any other text (two white spaces in a row, letters beyond
 U+024F, special tokens) as a whole.
 
 Defined results: a null text is empty and has the end id only; null doc_ids sort first; repeated rows are written again,
@@ -21,10 +21,12 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,28 +34,56 @@ from pyspark.sql import functions as F
 
 from heatfield.llm.common import scratch, small_batches, stored
 
-SEQ, ROWS, END, CACHED = 2048, 64, 0, 900_000
+SEQ, ROWS, END, CACHED = 2048, 64, 0, 800_000
 _EDGE = re.compile(r"\s\s|\s$")
-_WHOLE = re.compile(r"\s\s|[^\x00-ɏ]")
+#: Two white spaces in a row, or a letter beyond U+024F.
+_WHOLE = r"[\t-\r\x1c-\x20\x{85}\x{a0}]{2}|[^\x{0}-\x{24f}]"
+
+
+class _Pool:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.held, self.n = np.zeros(1 << 16, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.zeros(self.n + len(values), self.held.dtype)])
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of `size` values from `start` on, one behind another."""
+    end = np.cumsum(size)
+    return values[np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + size, size)]
 
 
 class Encoder:
-    """Encodes texts; one for each worker process."""
+    """Encodes texts; one for each worker process. Known words have a number, and their ids are the pool from ends[number] to ends[number + 1]."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         #: Bytes of each id's token: byte-level tokens have one character a byte.
         self.length = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.pool, self.ends = _Pool(self.dtype), _Pool(np.int64)
+        self.ends.add(np.zeros(1, np.int64))
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.ends.add(ends + self.pool.n)
+        self.pool.add(ids)
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
 
     def _learn(self, words: list[str]) -> None:
         """Encodes words as they stand behind a space, all in one text that is divided at the words' bytes again."""
@@ -63,35 +93,57 @@ class Encoder:
             odd = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
             plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
             text = " ".join(["", *plain])
-        self.young.update(zip(odd, self._bytes([f" {w}" for w in odd]), strict=True))
+        if odd:
+            ids = self._ids([f" {w}" for w in odd])
+            self._add(odd, np.concatenate(ids), np.cumsum([len(x) for x in ids]))
         if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            ids = self._ids([text])[0]
             sizes = list(map(len, plain if text.isascii() else [w.encode() for w in plain]))
-            cut = (np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(np.array(sizes) + 1)) + 1) * ids.itemsize
-            raw, ends = ids.tobytes(), cut.tolist()
-            self.young.update(zip(plain, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.young) > CACHED:
-            self.old, self.young = self.young, {}
-        plan, whole, words = [], [], set()
-        for text in texts:
-            if _WHOLE.search(text) or self.special and self.special.search(text):
-                whole.append(text)
-                plan.append(None)
-            else:
-                own = text.split(" ")
-                plan.append(own)
-                words.update(own[1:])
-        words -= self.young.keys()
-        if self.old:
-            again = words & self.old.keys()
-            self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
-            words -= again
-        self._learn(list(words))
-        heads = iter(self._bytes([w[0] for w in plan if w is not None]))
-        wholes, get = iter(self._bytes(whole)), self.young.__getitem__
-        return [np.frombuffer(next(wholes) if w is None else next(heads) + b"".join(map(get, w[1:])), self.dtype) for w in plan]
+            self._add(plain, ids, np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(np.array(sizes) + 1)) + 1)
+
+    def encode(self, texts: pa.StringArray | list[str | None]) -> list[np.ndarray]:
+        """Ids of every text; nulls are empty."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if len(self.number) > CACHED:
+            self.forget()
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _WHOLE)
+        for token in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        wholes = iter(self._ids(texts.filter(odd).to_pylist()))
+        split = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        words, at = split.flatten(), pc.list_value_length(split).to_numpy().cumsum()
+        first = np.zeros(len(words), bool)
+        first[np.r_[0, at[:-1]] if len(at) else []] = True  # a text's first word has no space before it
+        coded = words.filter(pa.array(~first)).dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        number = np.fromiter(map(self.number.get, known, repeat(-1)), np.int64, len(known))
+        if len(new := np.flatnonzero(number < 0)):
+            self._learn(unknown := [known[i] for i in new.tolist()])
+            number[new] = [self.number[w] for w in unknown]
+        number = number[coded.indices.to_numpy()]
+        heads = self._ids(words.filter(pa.array(first)).to_pylist())
+        start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        start[~first], size[~first] = self.ends.held[number], self.ends.held[number + 1] - self.ends.held[number]
+        size[first] = [len(x) for x in heads]
+        ends = np.cumsum(size)
+        ids = _gather(self.pool.held, start, np.where(first, 0, size))
+        cut = ends[at - 1] if len(at) else at
+        rest = iter(np.split(ids, np.cumsum(np.diff(cut, prepend=0) - size[first])[:-1])) if len(at) else iter(())
+        plain = iter([np.concatenate([h, r]) for h, r in zip(heads, rest, strict=True)])
+        return [next(wholes) if x else next(plain) for x in odd.to_pylist()]
+
+
+def _joined(batches: Iterator[pa.RecordBatch], least: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have `least` bytes: a word is looked up once in each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= least:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 @lru_cache(maxsize=2)
@@ -162,10 +214,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
         out, at, uri = None, 0, f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.arrow"
         done = []
-        for batch in batches:
+        for batch in _joined(batches):
             out = out or _Writer(uri, enc.dtype)
             sizes = []
-            for ids in enc.encode([x or "" for x in batch.column(1).to_pylist()]):
+            for ids in enc.encode(batch.column(1)):
                 out.add(np.append(ids, enc.dtype(END)))
                 sizes.append(len(ids) + 1)
             starts = np.cumsum([at, *sizes], dtype=np.int64)
