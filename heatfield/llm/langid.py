@@ -67,30 +67,30 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     return langs, np.log(grams / grams.sum(axis=0)).astype(np.float32), np.log(docs / docs.sum())
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, lang_pred, score for every row of docs(doc_id, text). The score is the winner's share after the log-odds are divided by the root of the number of n-grams, so that it stays a grade and does not saturate."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+Model = tuple[list[str], np.ndarray, np.ndarray]
+
+
+def _best(text: str | None, model: Model) -> tuple[str, float]:
+    """Language and score of one text. The score is the winner's share after the log-odds are divided by the root of the number of n-grams, so that it stays a grade and does not saturate."""
+    langs, logp, prior = model
+    if not langs or text is None or not _LETTER.search(text):
+        return "und", 0.0
+    total, n = prior.astype(np.float64), 0
+    for b in buckets(text):
+        total = total + logp[b].sum(axis=0, dtype=np.float64)
+        n += len(b)
+    return langs[int(total.argmax())], float(1 / np.exp((total - total.max()) / np.sqrt(n)).sum())
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score for every row of docs(doc_id, text)."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, logp, prior = shared.value
         for batch in batches:
-            names, scores = [], []
-            for text in batch.column(1).to_pylist():
-                if not langs or text is None or not _LETTER.search(text):
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                total, n = np.zeros(len(langs)), 0
-                for b in buckets(text):
-                    total += logp[b].sum(axis=0, dtype=np.float64)
-                    n += len(b)
-                total += prior
-                odds = np.exp((total - total.max()) / np.sqrt(n))
-                names.append(langs[int(total.argmax())])
-                scores.append(float(1 / odds.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            found = [_best(text, shared.value) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
 
@@ -116,27 +116,13 @@ def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
     Predictions are made beside the row's own columns, so no join and no shuffle of texts is needed.
     """
     small_batches(docs.sparkSession)
-    model = train(docs.filter(~held_out()).select("text", "lang"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs.filter(~held_out()).select("text", "lang")))
+    at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, logp, prior = shared.value
         for batch in batches:
-            good = []
-            for text in batch.column(names.index("text")).to_pylist():
-                if not langs or text is None or not _LETTER.search(text):
-                    good.append(False)
-                    continue
-                if least <= 0:
-                    good.append(True)
-                    continue
-                total, n = prior.copy(), 0
-                for b in buckets(text):
-                    total += logp[b].sum(axis=0, dtype=np.float64)
-                    n += len(b)
-                good.append(bool(1 / np.exp((total - total.max()) / np.sqrt(n)).sum() >= least))
-            yield batch.filter(pa.array(good, pa.bool_()))
+            found = [_best(text, shared.value) for text in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
