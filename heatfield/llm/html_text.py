@@ -1,14 +1,14 @@
 """Main text of pages: page structure first, then repeats across the pages of a host.
 
 A page is parsed into blocks. Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles
-(by element, role or class) are boilerplate; what an article or main element holds is text. Blocks that structure leaves
-open are judged by a suffix array: the token streams outside the articles of a host's pages are concatenated, sorted by
-suffix, and runs of RUN tokens or more that occur on PAGES distinct pages are marked; an open block that such runs cover
-to COVER goes, the others stay. Hosts of more than BLOCK pages are judged in blocks of about that many pages, dealt by a
-hash of page_id, so no task gets a large host. Pages without open blocks give only their short streams to the shuffle.
-
-Defined results: null html gives an empty text; a null url is a host of its own kind; repeated pages repeat their
-result and count as one page in the search for repeats; other columns are not read.
+(by element, role or class) are boilerplate. All other blocks, in an article or not, are judged by a suffix array: the
+token streams of a host's pages are concatenated, sorted by suffix, and runs of RUN tokens or more that occur on PAGES
+distinct pages are marked; a block that such runs cover to COVER goes, the others stay. Hosts of more than BLOCK pages
+are judged in blocks of about that many pages, dealt by a hash of page_id, so no task gets a large host.
+
+Defined results: null html gives an empty text; a null url is a host of its own kind; pages of a host with the same
+blocks count as one page in the search for repeats, so copies of an article do not drop it; a repeated block of fewer
+tokens than RUN goes only with its neighbours; repeated pages repeat their result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -85,13 +85,11 @@ class _Blocks(HTMLParser):
 
 
 def blocks(html: str | None) -> list[tuple[str, int]]:
-    """Blocks of a page in order, each with KEEP, GONE or OPEN. Where there is an article, nothing outside it is open."""
+    """Blocks of a page in order, each with KEEP (in an article), GONE or OPEN."""
     p = _Blocks()
     p.feed(html or "")
     p.close()
     p.flush()
-    if any(k == KEEP for _, k in p.blocks):
-        return [(t, GONE if k == OPEN else k) for t, k in p.blocks]
     return p.blocks
 
 
@@ -135,30 +133,24 @@ def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> li
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, kinds, stream = [], [], []
-        for html in batch.column(2).to_pylist():
-            found = blocks(html)
-            is_open = any(k == OPEN for _, k in found)
-            texts.append(None if is_open else "\n".join(t for t, k in found if k == KEEP))
-            mine = [x for x in found if x[1] != KEEP] if not is_open else found
-            stream.append([t for t, _ in mine])
-            kinds.append([k for _, k in mine] if is_open else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(stream, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32()))], ["page_id", "url", "text", "stream", "kinds"])
+        found = [blocks(html) for html in batch.column(2).to_pylist()]
+        stream = pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string()))
+        kinds = pa.array([[k for _, k in x] for x in found], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), stream, kinds], ["page_id", "url", "stream", "kinds"])
 
 
 def _judge(pages: pd.DataFrame) -> pd.DataFrame:
-    once = ~pages.duplicated("page_id")
-    tokens = [[w for t in s for w in [*t.split(" "), "\n"]] for s in pages["stream"]]
-    hits = iter(repeated([t for t, o in zip(tokens, once, strict=True) if o]))
-    by_page = dict(zip(pages["page_id"][once], hits, strict=True))
+    body = [tuple(t for t, k in zip(s, ks, strict=True) if k != GONE) for s, ks in zip(pages["stream"], pages["kinds"], strict=True)]
+    first: dict[tuple, int] = {}
+    copy = [first.setdefault(b, i) for i, b in enumerate(body)]
+    tokens = [[w for t in s for w in [*t.split(" "), "\n"]] for s in body]
+    hits = dict(zip(first.values(), repeated([tokens[i] for i in first.values()]), strict=True))
     out = []
-    for page_id, url, stream, kinds in zip(pages["page_id"], pages["url"], pages["stream"], pages["kinds"], strict=True):
-        if len(kinds) == 0:
-            continue
-        hit, at, kept = by_page[page_id], 0, []
-        for t, k in zip(stream, kinds, strict=True):
+    for page_id, url, stream, i in zip(pages["page_id"], pages["url"], body, copy, strict=True):
+        hit, at, kept = hits[i], 0, []
+        for t in stream:
             n = len(t.split(" "))
-            if k == OPEN and hit[at : at + n].mean() < COVER:
+            if hit[at : at + n].mean() < COVER:
                 kept.append(t)
             at += n + 1
         out.append((page_id, url, "\n".join(kept)))
@@ -169,14 +161,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html)."""
     small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    parsed = stored(rows.mapInArrow(_parse, "page_id long, url string, text string, stream array<string>, kinds array<int>"), "pages", compression="zstd")
-    done = parsed.filter("text is not null").select("page_id", "url", "text")
-    hosts = parsed.select("page_id", "url", "stream", "kinds", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)), F.lit("")).alias("host"))
-    sizes = stored(hosts.groupBy("host").agg(F.count(F.lit(1)).alias("size"), F.max(F.size("kinds")).alias("any_open")), "hosts")
-    dealt = join_hot(hosts, sizes.filter("any_open > 0"), "host", "size", rows.count(), "inner")
+    parsed = stored(rows.mapInArrow(_parse, "page_id long, url string, stream array<string>, kinds array<int>"), "pages", compression="zstd")
+    hosts = parsed.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)), F.lit("")))
+    sizes = stored(hosts.groupBy("host").agg(F.count(F.lit(1)).alias("size")), "hosts")
+    dealt = join_hot(hosts, sizes, "host", "size", rows.count(), "inner")
     part = F.pmod(F.xxhash64("page_id"), F.ceil(F.col("size") / BLOCK).cast("long"))
     judged = dealt.select("page_id", "url", "stream", "kinds", "host", part.alias("part")).groupBy("host", "part").applyInPandas(lambda g: _judge(g), "page_id long, url string, text string")
-    return done.unionByName(judged).withColumn("n_chars", F.char_length("text").cast("long"))
+    return judged.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

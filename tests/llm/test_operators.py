@@ -130,6 +130,16 @@ def test_main_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_repeats_decide_inside_and_outside_articles(spark):
+    notice = "<p>Please subscribe to our weekly letter and never miss a story</p>"
+    rows = [(i, "http://h/x", f"<article>{notice}<p>unique words of page number {i} stay</p></article>") for i in range(4)]
+    rows += [(9, "http://q/1", "<div>the main text of this page is in a div</div><article>a teaser</article>")]
+    rows += [(20 + i, f"http://c/{i}", "<article>one article that was copied word for word to three addresses</article>") for i in range(3)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"unique words of page number {i} stay" for i in range(4))
+    assert got[9] == "the main text of this page is in a div\na teaser" and got[22].startswith("one article")
+
+
 def test_repeats_equal_brute_force():
     rng = np.random.default_rng(1)
     streams = [[str(x) for x in rng.integers(0, 3, rng.integers(0, 60))] for _ in range(12)]
