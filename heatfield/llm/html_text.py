@@ -1,10 +1,14 @@
 """Main text of pages: page structure first, then repeats across the pages of a host.
 
 A page is parsed into blocks. Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles
-(by element, role or class) are boilerplate. All other blocks, in an article or not, are judged by a suffix array: the
-token streams of a host's pages are concatenated, sorted by suffix, and runs of RUN tokens or more that occur on PAGES
-distinct pages are marked; a block that such runs cover to COVER goes, the others stay. Hosts of more than BLOCK pages
-are judged in blocks of about that many pages, dealt by a hash of page_id, so no task gets a large host.
+(by element, role or class) are boilerplate. All other blocks, in an article or not, are judged by repeats: a run of RUN
+tokens that occurs on PAGES distinct pages of the host is marked; a block that such runs cover to COVER goes.
+
+The runs are found as in a suffix array of depth RUN that is dealt over tasks by the hash of host and prefix, so no task
+needs a whole host: suffixes with one prefix of RUN tokens meet in a groupBy that combines before the shuffle. Not all
+suffixes are sent. A run can be frequent only if its grams of GRAM tokens are, so the least gram (by hash) of each run
+is counted first, about a third as many rows, and only runs whose least gram may be frequent by a sketch of fixed size
+are counted themselves, exactly up to equal 64-bit hashes. repeated() is the same search by one suffix array in memory.
 
 Defined results: null html gives an empty text; a null url is a host of its own kind; pages of a host with the same
 blocks count as one page in the search for repeats, so copies of an article do not drop it; a repeated block of fewer
@@ -13,6 +17,7 @@ tokens than RUN goes only with its neighbours; repeated pages repeat their resul
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -23,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatfield.llm.common import join_hot, small_batches, stored
+from heatfield.llm.common import checked_broadcast, join_hot, small_batches, stored
 
-RUN, PAGES, COVER, BLOCK = 8, 3, 0.8, 256
+RUN, PAGES, COVER = 8, 3, 0.8
+#: Tokens of a gram; bits of the sketch of frequent grams, as a power of 2.
+GRAM, SKETCH = 4, 24
 #: Elements and class words.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
@@ -133,40 +140,104 @@ def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> li
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [blocks(html) for html in batch.column(2).to_pylist()]
-        stream = pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string()))
-        kinds = pa.array([[k for _, k in x] for x in found], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), stream, kinds], ["page_id", "url", "stream", "kinds"])
-
-
-def _judge(pages: pd.DataFrame) -> pd.DataFrame:
-    body = [tuple(t for t, k in zip(s, ks, strict=True) if k != GONE) for s, ks in zip(pages["stream"], pages["kinds"], strict=True)]
-    first: dict[tuple, int] = {}
-    copy = [first.setdefault(b, i) for i, b in enumerate(body)]
-    tokens = [[w for t in s for w in [*t.split(" "), "\n"]] for s in body]
-    hits = dict(zip(first.values(), repeated([tokens[i] for i in first.values()]), strict=True))
-    out = []
-    for page_id, url, stream, i in zip(pages["page_id"], pages["url"], body, copy, strict=True):
-        hit, at, kept = hits[i], 0, []
-        for t in stream:
-            n = len(t.split(" "))
-            if hit[at : at + n].mean() < COVER:
-                kept.append(t)
-            at += n + 1
-        out.append((page_id, url, "\n".join(kept)))
-    return pd.DataFrame(out, columns=["page_id", "url", "text"])
+        found = [[t for t, k in blocks(html) if k != GONE] for html in batch.column(3).to_pylist()]
+        lens = pa.array([[len(t.split(" ")) for t in x] for x in found], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.string())), lens], ["row", "page_id", "url", "blocks", "lens"])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _grams(tokens: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n tokens from each place on; empty where there are fewer."""
+    m = max(len(tokens) - n + 1, 0)
+    out = np.zeros(m, np.uint64)
+    for j in range(n):
+        out = _mixed(out + tokens[j : j + m])
+    return out
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """For each page of (row, host, blocks) with a run: row, run hashes by place, the least gram of each run, hash of the blocks."""
+    pages = batch.column(2).to_pylist()
+    words = [[w for t in p for w in [*t.split(" "), "\n"]] for p in pages]
+    flat = np.array([w for p in words for w in p] or [""], object)
+    token = pd.util.hash_array(flat, categorize=True)
+    hosts = pd.util.hash_array(np.array(batch.column(1).to_pylist(), object))
+    ends = np.cumsum([len(p) for p in words])
+    for row, host, p, w, end in zip(batch.column(0).to_pylist(), hosts, pages, words, ends, strict=True):
+        if len(w) >= RUN:
+            mine = token[end - len(w) : end]
+            least = np.lib.stride_tricks.sliding_window_view(_grams(mine, GRAM), RUN - GRAM + 1).min(axis=1)
+            copy = int.from_bytes(hashlib.blake2b("\n".join(p).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            yield row, _mixed(_grams(mine, RUN) + host), _mixed(least + host), copy
+
+
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [np.unique(least.astype(np.uint32)).view(np.int32) for _, _, least, _ in _runs(batch)]
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], ["gram"])
+
+
+def _sketch(pages: DataFrame) -> np.ndarray:
+    """2^SKETCH bits: those of the grams that stand for runs on PAGES rows or more. False hits only cost work."""
+    grams = pages.select("row", "host", "blocks").mapInArrow(_least, "gram int").groupBy("gram").count().filter(F.col("count") >= PAGES)
+    bit = F.col("gram").bitwiseAND((1 << SKETCH) - 1).cast("long") + 1
+    parts = grams.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    out = np.zeros(((1 << SKETCH) // 32768, 4096), np.uint8)
+    for r in parts.collect():
+        out[r.part - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row and the places of the blocks that runs at `at` cover to COVER, for (row, lens, at)."""
+    for batch in batches:
+        rows, gone = [], []
+        for row, lens, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ends, at = np.cumsum(np.array(lens) + 1), np.array(at)
+            marks = np.zeros(ends[-1] + 1, np.int64)
+            np.add.at(marks, at, 1)
+            np.add.at(marks, at + RUN, -1)
+            hit = np.cumsum(marks) > 0
+            if found := [i for i, (n, e) in enumerate(zip(lens, ends, strict=True)) if hit[e - 1 - n : e - 1].mean() >= COVER]:
+                rows.append(row)
+                gone.append(found)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["row", "gone"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html)."""
-    small_batches(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    parsed = stored(rows.mapInArrow(_parse, "page_id long, url string, stream array<string>, kinds array<int>"), "pages", compression="zstd")
-    hosts = parsed.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)), F.lit("")))
-    sizes = stored(hosts.groupBy("host").agg(F.count(F.lit(1)).alias("size")), "hosts")
-    dealt = join_hot(hosts, sizes, "host", "size", rows.count(), "inner")
-    part = F.pmod(F.xxhash64("page_id"), F.ceil(F.col("size") / BLOCK).cast("long"))
-    judged = dealt.select("page_id", "url", "stream", "kinds", "host", part.alias("part")).groupBy("host", "part").applyInPandas(lambda g: _judge(g), "page_id long, url string, text string")
+    spark = pages.sparkSession
+    small_batches(spark)
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
+    parsed = stored(rows.mapInArrow(_parse, "row long, page_id long, url string, blocks array<string>, lens array<int>"), "pages", compression="zstd")
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)), F.lit(""))
+    hosts = parsed.withColumn("host", host)
+    sketch = spark.sparkContext.broadcast(_sketch(hosts))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, low = sketch.value, np.uint64((1 << SKETCH) - 1)
+        for batch in batches:
+            found = []
+            for row, run, least, copy in _runs(batch):
+                bit = least & low
+                at = np.flatnonzero(bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                if len(at):
+                    found.append((np.full(len(at), row, np.int64), at.astype(np.int32), run[at].view(np.int64), np.full(len(at), copy, np.int64)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["row", "at", "run", "copy"])
+
+    runs = stored(hosts.select("row", "host", "blocks").mapInArrow(likely, "row long, at int, run long, copy long"), "runs", compression="zstd")
+    often = runs.groupBy("run", "copy").agg(F.count(F.lit(1)).alias("n")).groupBy("run").agg(F.count(F.lit(1)).alias("copies"), F.sum("n").alias("uses"))
+    often = stored(often.filter(F.col("copies") >= PAGES).select("run", "uses"), "repeats")
+    hits = join_hot(runs.select("row", "at", "run"), often, "run", "uses", runs.count(), "inner").groupBy("row").agg(F.collect_list("at").alias("at"))
+    gone = stored(parsed.select("row", "lens").join(hits, "row").mapInArrow(_gone, "row long, gone array<int>"), "gone")
+    left = F.filter("blocks", lambda t, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
+    judged = parsed.join(checked_broadcast(gone), "row", "left").select("page_id", "url", F.array_join(left, "\n").alias("text"))
     return judged.withColumn("n_chars", F.char_length("text").cast("long"))
 
 

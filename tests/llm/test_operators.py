@@ -140,6 +140,28 @@ def test_repeats_decide_inside_and_outside_articles(spark):
     assert got[9] == "the main text of this page is in a div\na teaser" and got[22].startswith("one article")
 
 
+def test_repeats_of_a_large_host_are_found_on_every_page(spark):
+    notice = "<div>this notice stands on only four of the very many pages here</div>"
+    rows = [(i, "http://big/x", f"<div>unique words of page number {i} stay</div>{notice if i % 500 == 0 else ''}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert all(r.text == f"unique words of page number {r.page_id} stay" for r in html_text.extract(df).collect())
+
+
+def test_marked_runs_equal_the_suffix_array(spark):
+    rng = np.random.default_rng(2)
+    texts = [[" ".join(str(x) for x in rng.integers(0, 2, rng.integers(1, 20))) for _ in range(8)] for _ in range(30)]
+    hits = html_text.repeated([[w for t in p for w in [*t.split(" "), "\n"]] for p in texts])
+    df = spark.createDataFrame([(i, "http://h/", "".join(f"<div>{t}</div>" for t in p)) for i, p in enumerate(texts)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    dropped = 0
+    for i, (p, hit) in enumerate(zip(texts, hits, strict=True)):
+        ends = np.cumsum([len(t.split(" ")) + 1 for t in p])
+        left = [t for t, e in zip(p, ends, strict=True) if hit[e - 1 - len(t.split(" ")) : e - 1].mean() < html_text.COVER]
+        assert got[i] == "\n".join(left)
+        dropped += len(p) - len(left)
+    assert 0 < dropped < 240
+
+
 def test_repeats_equal_brute_force():
     rng = np.random.default_rng(1)
     streams = [[str(x) for x in rng.integers(0, 3, rng.integers(0, 60))] for _ in range(12)]
