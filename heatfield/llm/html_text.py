@@ -1,7 +1,8 @@
 """Main text of pages: page structure first, then repeats across the pages of a host.
 
 A page is parsed into blocks. Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles
-(by element, role or class) are boilerplate. All other blocks, in an article or not, are judged by repeats: a run of RUN
+(by element, role or class) are boilerplate; inside an article class words only lower the cover that a block needs to go,
+save whole names of adverts and comments. All other blocks, in an article or not, are judged by repeats: a run of RUN
 tokens that occurs on PAGES distinct pages of the host is marked; a block that such runs cover to COVER goes.
 
 The runs are found as in a suffix array of depth RUN that is dealt over tasks by the hash of host and prefix, so no task
@@ -36,30 +37,48 @@ GRAM, SKETCH = 4, 24
 #: Elements and class words.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-DROP = {"script", "style", "noscript", "template", "title", "head", "svg", "math", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "label", "iframe", "object", "dialog", "menu", "canvas"}
+DROP = {"script", "style", "noscript", "template", "title", "head", "svg", "nav", "header", "footer", "aside", "button", "select", "textarea", "iframe", "object", "dialog", "menu", "canvas"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 WORDS = re.compile(r"(?:^|[\s_-])(ad|ads|advert|adverts|advertisement|sponsored|promo|sidebar|side|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|footer|cookie|cookies|consent|notice|banner|popup|modal|newsletter|subscribe|signup|login|comment|comments|replies|disqus|share|sharing|social|related|recommended|widget|pagination|pager)(?=$|[\s_-]|\d)", re.I)
-KEEP, GONE, OPEN = 0, 1, 2
+#: Whole class names and ids that mark adverts and comments anywhere; the other words only count outside articles.
+STRONG = re.compile(r"(?:^|\s)(ad|ads|advert|adverts|advertisement|sponsored|comment|comments|disqus)(?=$|\s)", re.I)
+#: A block with a class word inside an article goes if repeats cover this much of it.
+KEEP, GONE, OPEN, HINT = 0, 1, 2, 3
+HINT_COVER = 0.5
 
 
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # element, inside boilerplate, inside an article
-        self.blocks: list[tuple[str, int]] = []
+        self.stack: list[tuple[str, bool, bool, bool, tuple[int, ...], list[str]]] = []  # element, boilerplate, in an article, class word there, forms, skip outside
+        self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
         self.words: list[str] = []
+        self.skip: list[str] = []  # open inline elements from an advert or comment on
+        self.forms = 0
+        self.holders: set[int] = set()  # forms with an article
+
+    def top(self):
+        return self.stack[-1] if self.stack else ("", False, False, False, (), [])
 
     def flush(self):
         text = " ".join("".join(self.words).split())
         self.words = []
         if text:
-            _, gone, article = self.stack[-1] if self.stack else ("", False, False)
-            self.blocks.append((text, GONE if gone else KEEP if article else OPEN))
+            _, gone, article, hint, forms, _ = self.top()
+            self.blocks.append((text, GONE if gone else HINT if hint else KEEP if article else OPEN, forms))
+
+    def close_to(self, i):
+        self.skip = self.stack[i][5]
+        del self.stack[i:]
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
             self.words.append(" ")
+        a = {k: v or "" for k, v in attrs}
+        names = f"{a.get('class', '')} {a.get('id', '')}"
         if tag in INLINE or tag == "br":
+            if tag not in VOID and (self.skip or STRONG.search(names)):
+                self.skip.append(tag)
             return
         self.flush()
         if tag in VOID:
@@ -67,37 +86,51 @@ class _Blocks(HTMLParser):
         if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
             for i in range(len(self.stack) - 1, -1, -1):  # these close one another
                 if self.stack[i][0] == tag:
-                    del self.stack[i:]
+                    self.close_to(i)
                     break
                 if self.stack[i][0] not in ("p", "td", "th"):
                     break
-        _, gone, article = self.stack[-1] if self.stack else ("", False, False)
-        a = {k: v or "" for k, v in attrs}
+        _, gone, article, hint, forms, _ = self.top()
         is_main = tag in ("article", "main") or a.get("role") == "main" or a.get("itemprop") == "articleBody"
-        drop = tag in DROP and not (tag == "header" and article) or a.get("role") in ROLES or "hidden" in a
-        drop = drop or tag not in ("html", "body", "article", "main") and bool(WORDS.search(f"{a.get('class', '')} {a.get('id', '')}"))
-        self.stack.append((tag, gone or drop, article or is_main))
+        drop = tag in DROP and not (tag == "header" and article) or a.get("role") in ROLES - {"form"} or "hidden" in a
+        word = tag not in ("html", "body", "article", "main") and bool(WORDS.search(names))
+        drop = drop or word and not article and not is_main or tag not in ("html", "body", "main") and bool(STRONG.search(names))
+        if tag == "form" or a.get("role") == "form":
+            self.forms += 1
+            forms = (*forms, self.forms)
+        if is_main and not (gone or drop or self.skip):
+            self.holders.update(forms)
+        self.stack.append((tag, gone or drop or bool(self.skip), article or is_main, hint or word and article, forms, self.skip))
+        self.skip = []
 
     def handle_endtag(self, tag):
         if tag in INLINE or tag in VOID:
+            if tag in self.skip:
+                while self.skip.pop() != tag:
+                    pass
             return
         self.flush()
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                del self.stack[i:]
+                self.close_to(i)
                 return
 
     def handle_data(self, data):
-        self.words.append(data)
+        if not self.skip:
+            self.words.append(data)
 
 
 def blocks(html: str | None) -> list[tuple[str, int]]:
-    """Blocks of a page in order, each with KEEP (in an article), GONE or OPEN."""
+    """Blocks of a page in order, each with KEEP (in an article), GONE, OPEN or HINT (in an article, with a class word).
+
+    A form is boilerplate unless it holds an article or nothing is left without it.
+    """
     p = _Blocks()
     p.feed(html or "")
     p.close()
     p.flush()
-    return p.blocks
+    free = [(t, GONE if set(forms) - p.holders else k) for t, k, forms in p.blocks]
+    return free if any(k != GONE for _, k in free) else [(t, k) for t, k, _ in p.blocks]
 
 
 def suffix_ranks(a: np.ndarray, run: int) -> np.ndarray:
@@ -140,9 +173,11 @@ def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> li
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [[t for t, k in blocks(html) if k != GONE] for html in batch.column(3).to_pylist()]
-        lens = pa.array([[len(t.split(" ")) for t in x] for x in found], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.string())), lens], ["row", "page_id", "url", "blocks", "lens"])
+        found = [[x for x in blocks(html) if x[1] != GONE] for html in batch.column(3).to_pylist()]
+        texts = pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string()))
+        lens = pa.array([[len(t.split(" ")) for t, _ in x] for x in found], pa.list_(pa.int32()))
+        kinds = pa.array([[k for _, k in x] for x in found], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts, lens, kinds], ["row", "page_id", "url", "blocks", "lens", "kinds"])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -194,16 +229,16 @@ def _sketch(pages: DataFrame) -> np.ndarray:
 
 
 def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row and the places of the blocks that runs at `at` cover to COVER, for (row, lens, at)."""
+    """row and the places of the blocks that runs at `at` cover enough, for (row, lens, kinds, at)."""
     for batch in batches:
         rows, gone = [], []
-        for row, lens, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for row, lens, kinds, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             ends, at = np.cumsum(np.array(lens) + 1), np.array(at)
             marks = np.zeros(ends[-1] + 1, np.int64)
             np.add.at(marks, at, 1)
             np.add.at(marks, at + RUN, -1)
             hit = np.cumsum(marks) > 0
-            if found := [i for i, (n, e) in enumerate(zip(lens, ends, strict=True)) if hit[e - 1 - n : e - 1].mean() >= COVER]:
+            if found := [i for i, (n, e, k) in enumerate(zip(lens, ends, kinds, strict=True)) if hit[e - 1 - n : e - 1].mean() >= (HINT_COVER if k == HINT else COVER)]:
                 rows.append(row)
                 gone.append(found)
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["row", "gone"])
@@ -214,7 +249,7 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     small_batches(spark)
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    parsed = stored(rows.mapInArrow(_parse, "row long, page_id long, url string, blocks array<string>, lens array<int>"), "pages", compression="zstd")
+    parsed = stored(rows.mapInArrow(_parse, "row long, page_id long, url string, blocks array<string>, lens array<int>, kinds array<int>"), "pages", compression="zstd")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)), F.lit(""))
     hosts = parsed.withColumn("host", host)
     sketch = spark.sparkContext.broadcast(_sketch(hosts))
@@ -235,7 +270,7 @@ def extract(pages: DataFrame) -> DataFrame:
     often = runs.groupBy("run", "copy").agg(F.count(F.lit(1)).alias("n")).groupBy("run").agg(F.count(F.lit(1)).alias("copies"), F.sum("n").alias("uses"))
     often = stored(often.filter(F.col("copies") >= PAGES).select("run", "uses"), "repeats")
     hits = join_hot(runs.select("row", "at", "run"), often, "run", "uses", runs.count(), "inner").groupBy("row").agg(F.collect_list("at").alias("at"))
-    gone = stored(parsed.select("row", "lens").join(hits, "row").mapInArrow(_gone, "row long, gone array<int>"), "gone")
+    gone = stored(parsed.select("row", "lens", "kinds").join(hits, "row").mapInArrow(_gone, "row long, gone array<int>"), "gone")
     left = F.filter("blocks", lambda t, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
     judged = parsed.join(checked_broadcast(gone), "row", "left").select("page_id", "url", F.array_join(left, "\n").alias("text"))
     return judged.withColumn("n_chars", F.char_length("text").cast("long"))

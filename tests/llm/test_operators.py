@@ -162,6 +162,15 @@ def test_marked_runs_equal_the_suffix_array(spark):
     assert 0 < dropped < 240
 
 
+def test_structure_keeps_what_an_article_holds():
+    kept = lambda html: [t for t, k in html_text.blocks(html) if k != html_text.GONE]
+    assert kept('<article><header class="entry-header"><h1>Head</h1></header><div class="side-effects">rash</div><p><label>a</label> <math>x</math></article>') == ["Head", "rash", "a", "x"]
+    assert kept('<form><nav>menu</nav><article>text</article></form><form>search</form>') == ["text"]
+    assert kept('<form><div>the page</div></form>') == ["the page"] and kept('<div>text</div><form>name</form>') == ["text"]
+    assert kept('<article>text <span class="ad">buy <b>now</b></span>goes on<article class="comment">reader</article><div class="ads">x</div></article><article class="advert">y</article>') == ["text goes on"]
+    assert kept('<div class="side-bar">x</div><div>a<span class="comment"><div>b</div>d</span></div><p>c') == ["a", "c"]
+
+
 def test_repeats_equal_brute_force():
     rng = np.random.default_rng(1)
     streams = [[str(x) for x in rng.integers(0, 3, rng.integers(0, 60))] for _ in range(12)]
