@@ -1,12 +1,13 @@
 """License scans by conditional compression.
 
-Lines that mention a licence are candidates. Each is compressed alone and with every template as a raw zstandard
-dictionary; templates are ranked by how much smaller the line gets. The best TOP of a line are then aligned with it word
-by word, and the one with the fewest differences wins if at most MAX_DIFF of its words are missing. Fixed work a line:
-one compression a template, whatever the corpus.
+Lines that mention a licence are candidates. In a candidate's words every template is tried at every place of its
+rarest identifying word: a window of about the template's length is aligned with it word by word, and counts if at most
+MAX_DIFF of the template's words are missing and as many are extra, none of them identifying. Windows that overlap are
+ranked by conditional compression: the one that gets smaller by most bytes with its template as a raw zstandard
+dictionary wins. So a notice is found on a line of any length, and each of several notices gives a row.
 
 Defined results: null and empty texts have no candidates; equal lines repeat their result at each place; ties go to the
-greater gain, then to the name that sorts first; other columns are not read.
+fewest differences, then to the name that sorts first; gain is the share of the window's bytes; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +40,24 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
 }
 MENTION = r"(?i)\b(licen[sc]ed?|copyright|public domain|redistribution)\b"
-TOP, MAX_DIFF = 4, 0.2
+MAX_DIFF, SLACK = 0.2, 2
+#: Words that must be there, the rarest first, and words that name another licence.
+NEED = {
+    "AGPL-3.0": "affero gnu general public 3",
+    "Apache-2.0": "apache 2.0",
+    "BSD-2-Clause": "2-clause bsd",
+    "BSD-3-Clause": "3-clause bsd",
+    "CC-BY-4.0": "cc by 4.0",
+    "CC-BY-NC-4.0": "cc by-nc 4.0",
+    "CC-BY-SA-4.0": "cc by-sa 4.0",
+    "CC0-1.0": "cc0 1.0",
+    "GPL-2.0": "gnu general public 2",
+    "GPL-3.0": "gnu general public 3",
+    "LGPL-3.0": "lesser gnu general public 3",
+    "MIT": "mit license",
+    "MPL-2.0": "mozilla 2.0",
+}
+OTHER = {w for v in NEED.values() for w in v.split()} | {"library", "not", "no", "except", "by-nd", "by-nc-nd", "by-nc-sa"}
 _WORD = re.compile(r"[\w.\-]*\w")
 SCHEMA = "doc_id long, line_no int, license string, gain double, missing array<string>, extra array<string>, line string"
 
@@ -48,9 +66,19 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def differences(template: list[str], line: list[str]) -> tuple[list[str], list[str]]:
-    """Words of the template that the line lacks, and words that the line has between matching ones."""
+def _aligned(template: list[str], line: list[str]) -> list:
+    """Matching blocks; those at the ends that lie further off than they are long are left out."""
     blocks = [b for b in SequenceMatcher(None, template, line, autojunk=False).get_matching_blocks() if b.size]
+    while len(blocks) > 1 and blocks[1].b - blocks[0].b - blocks[0].size > blocks[0].size:
+        blocks.pop(0)
+    while len(blocks) > 1 and blocks[-1].b - blocks[-2].b - blocks[-2].size > blocks[-1].size:
+        blocks.pop()
+    return blocks
+
+
+def differences(template: list[str], line: list[str], blocks: list | None = None) -> tuple[list[str], list[str]]:
+    """Words of the template that the line lacks, and words that the line has between matching ones."""
+    blocks = _aligned(template, line) if blocks is None else blocks
     if not blocks:
         return template, []
     hit_t = {i for b in blocks for i in range(b.a, b.a + b.size)}
@@ -61,29 +89,56 @@ def differences(template: list[str], line: list[str]) -> tuple[list[str], list[s
 
 class Scanner:
     def __init__(self, templates: dict[str, str]):
-        self.templates = {k: _words(v) for k, v in templates.items()}
+        self.known = [(k, _words(v), self.need(k, _words(v)), self.dictionary(v)) for k, v in templates.items()]
         self.plain = zstandard.ZstdCompressor(level=3)
-        self.by = {k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(v.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, v in templates.items()}
-
-    def gains(self, line: str) -> list[tuple[float, str]]:
-        raw = line.encode("utf-8", "replace")
-        alone = len(self.plain.compress(raw))
-        return sorted(((-(alone - len(c.compress(raw))) / alone, k) for k, c in self.by.items()))
 
-    def scan(self, line: str) -> tuple | None:
-        found, words = [], _words(line)
-        for loss, k in self.gains(line)[:TOP]:
-            missing, extra = differences(self.templates[k], words)
-            if len(missing) <= MAX_DIFF * len(self.templates[k]):
-                found.append((len(missing) + len(extra), loss, k, missing, extra))
-        if not found:
-            return None
-        _, loss, k, missing, extra = min(found)
-        return k, -loss, missing, extra
+    @staticmethod
+    def need(name: str, words: list[str]) -> list[str]:
+        return NEED[name].split() if name in NEED and set(NEED[name].split()) <= set(words) else [max(words, key=len)]
+
+    @staticmethod
+    def dictionary(text: str) -> zstandard.ZstdCompressor:
+        return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
+    def scan(self, text: str) -> list[tuple]:
+        """(start, end, license, gain, missing, extra) of each notice, by place; start and end in characters."""
+        marks = list(_WORD.finditer(text))
+        words = [m.group().lower() for m in marks]
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            places.setdefault(w, []).append(i)
+        found = []
+        for name, template, need, squeeze in self.known:
+            if not all(w in places for w in need):
+                continue
+            most = MAX_DIFF * len(template)
+            seen = set()
+            for j in [i for i, w in enumerate(template) if w == need[0]]:
+                for p in places[need[0]]:
+                    lo = max(p - j - int(most) - SLACK, 0)
+                    window = words[lo : p - j + len(template) + int(most) + SLACK]
+                    if not set(need) <= set(window):
+                        continue
+                    blocks = _aligned(template, window)
+                    missing, extra = differences(template, window, blocks)
+                    first, last = lo + blocks[0].b, lo + blocks[-1].b + blocks[-1].size - 1
+                    if len(missing) > most or len(extra) > most or set(missing) & set(need) or set(extra) & OTHER or (first, last) in seen:
+                        continue
+                    seen.add((first, last))
+                    start, end = marks[first].start(), marks[last].end()
+                    raw = text[start:end].encode("utf-8", "replace")
+                    alone = len(self.plain.compress(raw))
+                    saved = alone - len(squeeze.compress(raw))
+                    found.append((-saved, len(missing) + len(extra), name, start, end, saved / alone, missing, extra))
+        taken: list[tuple] = []
+        for _, _, name, start, end, gain, missing, extra in sorted(found):
+            if all(end <= a or b <= start for a, b, *_ in taken):
+                taken.append((start, end, name, gain, missing, extra))
+        return sorted(taken)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """SCHEMA, one row for each line of docs(doc_id, text) that is a known notice."""
+    """SCHEMA, one row for each known notice on a line of docs(doc_id, text)."""
     small_batches(docs.sparkSession)
     known = dict(templates or TEMPLATES)
     rows = docs.filter(F.col("text").rlike(MENTION)).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(MENTION))
@@ -91,7 +146,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scanner(known)
         for batch in batches:
-            got = [(d, n, *r, line) for d, n, line in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (r := s.scan(line))]
+            got = [(d, n, *r[2:], line) for d, n, line in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in s.scan(line)]
             types = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string()]
             cols = list(zip(*got, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "line_no", "license", "gain", "missing", "extra", "line"])

@@ -117,6 +117,19 @@ def test_license_scan(spark):
     assert licenses.differences(["a", "b", "c"], ["x", "a", "q", "c"]) == (["b"], ["q"])
 
 
+def test_notices_on_long_lines_and_several_on_one():
+    s = licenses.Scanner(licenses.TEMPLATES)
+    rng = np.random.default_rng(3)
+    noise = [f"w{x}" for x in rng.integers(0, 10**6, 20_000)]
+    for name, notice in licenses.TEMPLATES.items():
+        line = " ".join([*noise[:9000], notice, *noise[9000:]])
+        assert [(line[r[0] : r[1]] + ".", r[2], r[4], r[5]) for r in s.scan(line)] == [(notice, name, [], [])]
+    both = " and ".join(licenses.TEMPLATES[k] for k in ("MIT", "Apache-2.0"))
+    assert [r[2] for r in s.scan(both)] == ["MIT", "Apache-2.0"]
+    for other in ("Released under the ISC License.", "Licensed under CC BY-NC-ND 4.0.", "Licensed under the Apache License, Version 1.1.", "This work is licensed under the GNU Library General Public License, version 2."):
+        assert s.scan(other) == []
+
+
 def test_main_text(spark):
     menu = "<nav><a>Home</a></nav><div class='ad-box'>Buy</div>"
     page = "<html><head><title>T</title><script>var a='</p>';</script></head><body>" + menu + "<article><h1>A &amp; B</h1><p>one\n  two<p>three<br>four<div class='comments'>bad</div></article><footer>&copy;</footer>"
