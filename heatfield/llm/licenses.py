@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
-Lines that mention a licence are candidates. In a candidate's words every template is tried at every place of its
+Texts that mention a licence are candidates; their lines are joined without comment marks, so notices may be wrapped.
+Templates are short notices, headers and bodies. In a candidate's words every template is tried at every place of its
 rarest identifying word: a window of about the template's length is aligned with it word by word, and counts if at most
 MAX_DIFF of the template's words are missing and as many are extra, none of them identifying. Windows that overlap are
 ranked by conditional compression: the one that gets smaller by most bytes with its template as a raw zstandard
-dictionary wins. So a notice is found on a line of any length, and each of several notices gives a row.
+dictionary wins. So a notice is found on a line of any length or over several, and each gives a row.
 
 Defined results: null and empty texts have no candidates; equal lines repeat their result at each place; ties go to the
 fewest differences, then to the name that sorts first; gain is the share of the window's bytes; other columns are not read.
@@ -13,8 +14,10 @@ fewest differences, then to the name that sorts first; gain is the share of the
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -39,7 +42,23 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
 }
-MENTION = r"(?i)\b(licen[sc]ed?|copyright|public domain|redistribution)\b"
+_GNU = "This program is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+#: Headers and bodies of licences, with the words that must be there, the rarest first.
+BODIES = [
+    ("AGPL-3.0", "affero gnu general public 3", _GNU.format(colon=":", kind="Affero ", version="3")),
+    ("Apache-2.0", "apache 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-2-Clause", "redistribution redistributions binary", _BSD),
+    ("BSD-3-Clause", "redistribution redistributions binary endorse neither", _BSD + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "gnu general public 2", _GNU.format(colon=";", kind="", version="2")),
+    ("GPL-3.0", "gnu general public 3", _GNU.format(colon=":", kind="", version="3")),
+    ("LGPL-3.0", "lesser gnu general public 3", _GNU.format(colon=":", kind="Lesser ", version="3")),
+    ("MIT", "sublicense permission granted charge", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MPL-2.0", "mozilla 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+]
+MENTION = r"(?i)\b((sub|re)?licen[sc](e[ds]?|ing)|copyright|public\s+domain|redistribut\w+|hereby\s+granted)\b"
+#: What begins and ends a line of a comment.
+_MARKS = re.compile(r"^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--|(?:REM|dnl)(?=[ \t]))?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$", re.I)
 MAX_DIFF, SLACK = 0.2, 2
 #: Words that must be there, the rarest first, and words that name another licence.
 NEED = {
@@ -88,8 +107,9 @@ def differences(template: list[str], line: list[str], blocks: list | None = None
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], bodies: list[tuple[str, str, str]] = ()):
         self.known = [(k, _words(v), self.need(k, _words(v)), self.dictionary(v)) for k, v in templates.items()]
+        self.known += [(k, _words(v), need.split(), self.dictionary(v)) for k, need, v in bodies]
         self.plain = zstandard.ZstdCompressor(level=3)
 
     @staticmethod
@@ -136,17 +156,28 @@ class Scanner:
                 taken.append((start, end, name, gain, missing, extra))
         return sorted(taken)
 
+    def lines(self, text: str) -> list[tuple]:
+        """(line_no, license, gain, missing, extra, its lines) of each notice in a text, comment marks left out."""
+        lines = text.split("\n")
+        bare = [_MARKS.sub("", x) for x in lines]
+        starts = list(accumulate((len(x) + 1 for x in bare), initial=0))
+        out = []
+        for start, end, *rest in self.scan("\n".join(bare)):
+            a, b = bisect_right(starts, start) - 1, bisect_right(starts, end - 1)
+            out.append((a, *rest, "\n".join(lines[a:b])))
+        return out
+
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """SCHEMA, one row for each known notice on a line of docs(doc_id, text)."""
+    """SCHEMA, one row for each known notice in docs(doc_id, text); line has all lines of the notice, line_no is the first."""
     small_batches(docs.sparkSession)
-    known = dict(templates or TEMPLATES)
-    rows = docs.filter(F.col("text").rlike(MENTION)).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(MENTION))
+    known, bodies = dict(templates or TEMPLATES), [] if templates else BODIES
+    rows = docs.filter(F.col("text").rlike(MENTION)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Scanner(known)
+        s = Scanner(known, bodies)
         for batch in batches:
-            got = [(d, n, *r[2:], line) for d, n, line in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in s.scan(line)]
+            got = [(d, *r) for d, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in s.lines(text)]
             types = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string()]
             cols = list(zip(*got, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "line_no", "license", "gain", "missing", "extra", "line"])

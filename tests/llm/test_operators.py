@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -130,6 +131,15 @@ def test_notices_on_long_lines_and_several_on_one():
         assert s.scan(other) == []
 
 
+def test_wrapped_headers_and_bodies(spark):
+    rows = []
+    for i, (_, _, body) in enumerate(licenses.BODIES):
+        mark = ("# ", " * ", "// ", "")[i % 4]
+        rows.append((i, "intro\n\n" + "\n".join(mark + x for x in textwrap.wrap(body, 72)) + "\ncode"))
+    got = {(r.doc_id, r.line_no, r.license, r.line, len(r.missing) + len(r.extra)) for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert got == {(i, 2, k, rows[i][1][7:-5], 0) for i, (k, _, _) in enumerate(licenses.BODIES)}
+
+
 def test_main_text(spark):
     menu = "<nav><a>Home</a></nav><div class='ad-box'>Buy</div>"
     page = "<html><head><title>T</title><script>var a='</p>';</script></head><body>" + menu + "<article><h1>A &amp; B</h1><p>one\n  two<p>three<br>four<div class='comments'>bad</div></article><footer>&copy;</footer>"
