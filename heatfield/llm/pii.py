@@ -6,7 +6,8 @@ from a keyed hash: same kind, same length and same classes of character at every
 capitals, letters keep their script and accent class, separators stay), mail addresses end in a reserved domain, names
 keep title (and so gender) and script. One entity has one surrogate in all documents, so references keep together.
 A check then looks for surrogates that two entities share or that equal a real entity of the corpus; the losers (all but
-the entity that sorts first) are derived anew with the next round number until none is left, so entities stay distinct.
+the entity that sorts first) are derived anew with the next round number until none is left, so entities stay distinct; after GROW
+rounds they grow. Letters of other scripts become Latin ones of their case; an entity of punctuation alone becomes letters.
 
 Defined results: null and empty texts come back as they are with 0 entities; repeated rows get equal results; a null
 doc_id keeps its row; entities overlap never, the leftmost and then first pattern wins; other columns are not read.
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from heatfield.llm.common import join_hot, stored
 
 KEY = "surrogate-key-1"
+#: After so many rounds a surrogate gets a digit more with each round, so that there is always a free one.
+GROW = 3
 #: Kind and pattern, in order of precedence.
 PATTERNS = {
     # It begins where a run of its characters does or the last match ended, so that a long run is read once; a domain has 127 labels at most.
@@ -59,14 +62,19 @@ def keyed(entity: Column, kind: Column, turn: Column, key: str) -> Column:
         out = F.when(c.rlike("[0-9]"), pick(DIGITS)).when(c.rlike("[a-z]"), pick(LOW)).when(c.rlike("[A-Z]"), pick(CAP))
         for have, give in SCRIPTS:
             out = out.when(F.contains(F.lit(have), c), pick(give))
-        return out.otherwise(c)
+        out = out.when(c.rlike(r"\p{Lu}"), pick(CAP)).when(c.rlike(r"\p{L}"), pick(LOW)).when(c.rlike(r"\p{N}"), pick(DIGITS))
+        return out.when(~entity.rlike(r"[\p{L}\p{N}]"), pick(LOW)).otherwise(c)
 
     plain = F.array_join(F.transform(marks, swap), "")
+    more = F.transform(F.sequence(F.lit(1), F.greatest(turn - GROW, F.lit(1))), lambda i: F.substring(F.conv(F.substring(F.sha2(F.concat_ws("|", seed, F.lit("more"), i.cast("string")), 256), 1, 8), 16, 10), -1, 1))
+    grown = F.when(turn > GROW, F.array_join(more, "")).otherwise(F.lit(""))
     hexa = F.when(entity.rlike("^[0-9a-f]+$"), F.substring(F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("+")), 256)), F.lit(1), F.length(entity)))
     octet = lambda i: (F.conv(F.substring(F.sha2(F.concat_ws("|", seed, F.lit(i)), 256), 1, 8), 16, 10).cast("long") % 254 + 1).cast("string")
-    mail = F.concat(F.substring_index(plain, "@", 1), F.lit("@"), F.regexp_replace(F.element_at(F.split(plain, "@"), 2), r"\..*$", ""), F.lit(".example.org"))
+    mail = F.concat(F.substring_index(plain, "@", 1), grown, F.lit("@"), F.regexp_replace(F.element_at(F.split(plain, "@"), 2), r"\..*$", ""), F.lit(".example.org"))
     aws = F.concat(F.lit("AKIA"), F.substring(plain, F.lit(5), F.length(entity)))
-    return F.when(kind == "email", mail).when(kind == "ip", F.concat(F.lit("10."), octet(1), F.lit("."), octet(2), F.lit("."), octet(3))).when(entity.startswith("AKIA"), aws).when((kind == "secret") & hexa.isNotNull(), hexa).otherwise(plain)
+    ip = F.concat(F.lit("10."), octet(1), F.lit("."), octet(2), F.lit("."), octet(3))
+    other = F.when(kind == "ip", ip).when(entity.startswith("AKIA"), aws).when((kind == "secret") & hexa.isNotNull(), hexa).otherwise(plain)
+    return F.when(kind == "email", mail).otherwise(F.concat(other, grown))
 
 
 def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:

@@ -275,6 +275,12 @@ def test_surrogates_that_collide_are_derived_anew(spark):
     assert len({r.surrogate for r in t}) == entities.count()
 
 
+def test_surrogates_end_where_a_class_is_full_or_unknown(spark):
+    odd = ["********", "...", "ΑΝΝΑ", "Աննա", "Ǆǅ"] + [str(i) for i in range(10)]
+    t = pii.surrogate_table(spark.createDataFrame([(e, 1) for e in odd], "entity string, uses long")).collect()
+    assert {r.entity for r in t} == set(odd) and len({r.surrogate for r in t}) == len(odd) and not {r.surrogate for r in t} & set(odd)
+
+
 def test_pieces_equal_the_library(spark):
     path = str(public_tokenizers.path("piece_bpe_32k.model"))
     library = sentencepiece.SentencePieceProcessor(model_file=path)
