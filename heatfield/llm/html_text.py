@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatfield.llm.common import checked_broadcast, join_hot, small_batches, stored
+from heatfield.llm.common import BROADCAST_ROWS, checked_broadcast, join_hot, small_batches, stored
 
 RUN, PAGES, COVER = 8, 3, 0.8
 #: Tokens of a gram; bits of the sketch of frequent grams, as a power of 2.
@@ -269,7 +269,9 @@ def extract(pages: DataFrame) -> DataFrame:
     runs = stored(hosts.select("row", "host", "blocks").mapInArrow(likely, "row long, at int, run long, copy long"), "runs", compression="zstd")
     often = runs.groupBy("run", "copy").agg(F.count(F.lit(1)).alias("n")).groupBy("run").agg(F.count(F.lit(1)).alias("copies"), F.sum("n").alias("uses"))
     often = stored(often.filter(F.col("copies") >= PAGES).select("run", "uses"), "repeats")
-    hits = join_hot(runs.select("row", "at", "run"), often, "run", "uses", runs.count(), "inner").groupBy("row").agg(F.collect_list("at").alias("at"))
+    mine, few = runs.select("row", "at", "run"), often.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hits = mine.join(F.broadcast(often), "run") if few else join_hot(mine, often, "run", "uses", runs.count(), "inner")
+    hits = hits.groupBy("row").agg(F.collect_list("at").alias("at"))
     gone = stored(parsed.select("row", "lens", "kinds").join(hits, "row").mapInArrow(_gone, "row long, gone array<int>"), "gone")
     left = F.filter("blocks", lambda t, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
     judged = parsed.join(checked_broadcast(gone), "row", "left").select("page_id", "url", F.array_join(left, "\n").alias("text"))
