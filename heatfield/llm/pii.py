@@ -4,7 +4,9 @@ Entities (e-mail and IP addresses, phone, card and account numbers, keys, passwo
 patterns; documents with none pass untouched and take no part in any shuffle. Each distinct entity gets a surrogate
 from a keyed hash: same kind, same length and same classes of character at every place (digits stay digits, capitals
 capitals, letters keep their script and accent class, separators stay), mail addresses end in a reserved domain, names
-keep title (and so gender) and script. One entity has one surrogate in all documents, so references keep together.
+keep title (and so gender) and script. Given name and surname are entities apart and mail addresses count in lower case, so all forms of a reference keep together
+in all documents; names of a document are also replaced where they stand without a title (n_entities counts patterns only).
+A given name of a short list gets an ending of its gender.
 A check then looks for surrogates that two entities share or that equal a real entity of the corpus; the losers (all but
 the entity that sorts first) are derived anew with the next round number until none is left, so entities stay distinct; after GROW
 rounds they grow. Letters of other scripts become Latin ones of their case; an entity of punctuation alone becomes letters.
@@ -27,17 +29,20 @@ GROW = 3
 PATTERNS = {
     # It begins where a run of its characters does or the last match ended, so that a long run is read once; a domain has 127 labels at most.
     "email": r"(?:\G|(?<![A-Za-z0-9._%+\-]))[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+){0,126}\.[A-Za-z]{2,}",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|(?<=password=)[^\s\"']+|(?<=\")[0-9a-f]{40}(?=\")",
+    "secret": r"(?i:\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Z0-9]{36}\b|(?<=password=)[^\s\"']+|(?<=\")[0-9a-f]{40}(?=\"))",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
     "card": r"(?<!\d)(?:\d{4}[ -]?){3}\d{3,4}(?!\d)",
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
-    "phone": r"(?<![\d\w])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?!\d)",
+    "phone": r"(?<![\d\w])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\d\w])\+\d{8,15}(?![\d\w])|(?<![\d\w])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\) ?\d{5,9}(?![\d\w])|(?<![\d\w])\+\d{1,3}[ .-]\d{2,5}[ .-]\d{4,9}(?![\d\w])|(?<![\d\w])0\d{2,4}[ /-]\d{5,9}(?![\d\w])",
     "name": r"(?<=\b(?:Mr|Ms|Dr)\. |\bMrs\. |\bHerr |\bFrau |\bM\. |\bMme |\bSr\. |\bSra\. )\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Text without a digit, an @ or one of these has no entity; that is cheap to see, and few texts need the patterns.
-SIGNS = ("password=", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "Mr. ", "Ms. ", "Dr. ", "Mrs. ", "Herr ", "Frau ", "M. ", "Mme ", "Sr. ", "Sra. ")
+SIGNS = ("Mr. ", "Ms. ", "Dr. ", "Mrs. ", "Herr ", "Frau ", "M. ", "Mme ", "Sr. ", "Sra. ")
+#: Customary given names, whose surrogates get an ending of the same gender.
+FEMALE = "anna maria marie eva lena laura julia sarah emma sophie sofia lisa claire camille chloé léa carmen lucía elena ana marta isabel mary jane alice emily susan karen linda petra sabine monika ursula helga inge élodie juliette nathalie"
+MALE = "john james peter paul max hans karl thomas michael david robert william george jean pierre luc jacques louis antoine carlos juan josé luis miguel pedro pablo diego jürgen klaus stefan andreas martin felix lukas jonas"
 DIGITS, LOW, CAP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Other scripts keep their script: small and capital letters of the same block.
 SCRIPTS = [("àâäáãåçèéêëìíîïñòóôöõùúûüýß", "àâäáãåçèéêëìíîïñòóôöõùúûüýß"), ("ÀÂÄÁÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÖÕÙÚÛÜÝ", "ÀÂÄÁÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÖÕÙÚÛÜÝ"), ("αβγδεζηθικλμνξοπρστυφχψω", "αβγδεζηθικλμνξοπρστυφχψω"), ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "абвгдежзийклмнопрстуфхцчшщъыьэюя"), ("АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")]
@@ -46,7 +51,7 @@ SCRIPTS = [("àâäáãåçèéêëìíîïñòóôöõùúûüýß", "àâäá
 def kind_of(entity: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, p in reversed(PATTERNS.items()):
-        p = {"secret": r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{40}", "name": r"\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?"}.get(kind, p)
+        p = {"secret": r"(?i:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Z0-9]{36}|[0-9a-f]{40})", "name": r"\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?"}.get(kind, p)
         out = F.when(entity.rlike(rf"^(?:{p})$"), F.lit(kind)).otherwise(out)
     return F.coalesce(out, F.lit("secret"))
 
@@ -68,12 +73,16 @@ def keyed(entity: Column, kind: Column, turn: Column, key: str) -> Column:
     plain = F.array_join(F.transform(marks, swap), "")
     more = F.transform(F.sequence(F.lit(1), F.greatest(turn - GROW, F.lit(1))), lambda i: F.substring(F.conv(F.substring(F.sha2(F.concat_ws("|", seed, F.lit("more"), i.cast("string")), 256), 1, 8), 16, 10), -1, 1))
     grown = F.when(turn > GROW, F.array_join(more, "")).otherwise(F.lit(""))
-    hexa = F.when(entity.rlike("^[0-9a-f]+$"), F.substring(F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("+")), 256)), F.lit(1), F.length(entity)))
+    hexa = F.substring(F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("+")), 256)), F.lit(1), F.length(entity))
+    hexa = F.when(entity.rlike("^[0-9a-f]+$"), hexa).when(entity.rlike("^[0-9A-F]{40}$"), F.upper(hexa))
     octet = lambda i: (F.conv(F.substring(F.sha2(F.concat_ws("|", seed, F.lit(i)), 256), 1, 8), 16, 10).cast("long") % 254 + 1).cast("string")
     mail = F.concat(F.substring_index(plain, "@", 1), grown, F.lit("@"), F.regexp_replace(F.element_at(F.split(plain, "@"), 2), r"\..*$", ""), F.lit(".example.org"))
     aws = F.concat(F.lit("AKIA"), F.substring(plain, F.lit(5), F.length(entity)))
     ip = F.concat(F.lit("10."), octet(1), F.lit("."), octet(2), F.lit("."), octet(3))
     other = F.when(kind == "ip", ip).when(entity.startswith("AKIA"), aws).when((kind == "secret") & hexa.isNotNull(), hexa).otherwise(plain)
+    given = F.lower(entity)
+    for names, end in ((FEMALE, "a"), (MALE, "o")):
+        other = F.when((kind == "name") & given.isin(*names.split()), F.concat(F.substring(plain, F.lit(1), F.length(entity) - 1), F.when(entity == F.upper(entity), F.lit(end.upper())).otherwise(F.lit(end)))).otherwise(other)
     return F.when(kind == "email", mail).otherwise(F.concat(other, grown))
 
 
@@ -95,17 +104,27 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFr
     """(doc_id, text, n_entities, spans) for every row of docs(doc_id, text), and the surrogate table. spans: place of the entity, kind and surrogate."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    may = F.col("text").rlike("[0-9@]")
+    may = F.col("text").rlike("[0-9@]|(?i:password=|akia|gh[pousr]_)")
     for sign in SIGNS:
         may = may | F.contains("text", F.lit(sign))
     has = F.coalesce(may & F.col("text").rlike(ANY), F.lit(False))
     hits = rows.filter(has).select(F.expr("uuid()").alias("row"), "doc_id", "text", found.alias("entities"))
     hits = stored(hits, "pii-hits", compression="zstd")
-    uses = stored(hits.select("row", F.posexplode("entities").alias("place", "entity")), "pii-uses")
+    uses = hits.select("row", F.posexplode("entities").alias("place", "found")).withColumn("kind", kind_of(F.col("found")))
+    forms = F.when(F.col("kind") == "name", F.split("found", " ")).when(F.col("kind") == "email", F.array(F.lower("found"))).otherwise(F.array("found"))
+    uses = stored(uses.select("row", "place", F.col("kind").alias("of"), F.posexplode(forms).alias("part", "entity")), "pii-uses")
     table = surrogate_table(uses.groupBy("entity").agg(F.count(F.lit(1)).alias("uses")), key)
-    mapped = join_hot(uses, table, "entity", "uses", uses.count(), "inner").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "kind", "surrogate"))).alias("spans"))
+    mapped = join_hot(uses, table, "entity", "uses", uses.count(), "inner").groupBy("row", "place").agg(F.array_sort(F.collect_list(F.struct("part", "entity", "surrogate"))).alias("parts"), F.first("of").alias("kind"))
+    whole = F.struct("place", "kind", F.array_join("parts.surrogate", " ").alias("surrogate"))
+    said = F.array_distinct(F.flatten(F.collect_list(F.when(F.col("kind") == "name", F.transform("parts", lambda x: F.struct(x["entity"].alias("entity"), x["surrogate"].alias("surrogate")))))))
+    mapped = mapped.groupBy("row").agg(F.array_sort(F.collect_list(whole)).alias("spans"), said.alias("said"))
+
+    def untitled(piece: Column) -> Column:
+        """Names of the document without a title; no surrogate is a real name, so one replacement never meets another's result."""
+        return F.aggregate("said", piece, lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), x["entity"], F.lit(r"(?![\p{L}\p{N}])")), x["surrogate"]))
+
     parts = F.split("text", ANY)
-    text = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("spans.surrogate"), i), F.lit("")))), "")
+    text = F.array_join(F.transform(parts, lambda p, i: F.concat(untitled(p), F.coalesce(F.get(F.col("spans.surrogate"), i), F.lit("")))), "")
     done = hits.join(mapped, "row").select("doc_id", text.alias("text"), F.size("spans").cast("long").alias("n_entities"), "spans")
     none = rows.filter(~has).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.array().cast(done.schema["spans"].dataType).alias("spans"))
     return done.unionByName(none), table

@@ -275,6 +275,18 @@ def test_surrogates_that_collide_are_derived_anew(spark):
     assert len({r.surrogate for r in t}) == entities.count()
 
 
+def test_forms_of_one_entity_agree(spark):
+    key = "9233A8EC" * 5
+    text = f'Frau Anna Keller und Frau Keller. Keller kam, Anna Keller ging; Kellerei. Jo@Corp.com jo@corp.com TOKEN = "{key}" PASSWORD=Geheim7 +4915112345678 0301 2345678 (030) 1234567.'
+    out = pii.replace_entities(docs(spark, [(1, text)]))[0].collect()[0].text
+    for secret in ("Anna", "Keller ", "Corp", key, "Geheim7", "15112345678", "2345678", "1234567"):
+        assert secret not in out
+    anna, keller = re.match(r"Frau (\w+) (\w+) und", out).groups()
+    assert out.startswith(f"Frau {anna} {keller} und Frau {keller}. {keller} kam, {anna} {keller} ging; Kellerei.") and anna[-1] == "a"
+    mails = re.findall(r"\S+@\S+\.example\.org", out)
+    assert len(mails) == 2 and mails[0] == mails[1] and re.search('"[0-9A-F]{40}"', out)
+
+
 def test_surrogates_end_where_a_class_is_full_or_unknown(spark):
     odd = ["********", "...", "ΑΝΝΑ", "Աննա", "Ǆǅ"] + [str(i) for i in range(10)]
     t = pii.surrogate_table(spark.createDataFrame([(e, 1) for e in odd], "entity string, uses long")).collect()
