@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +18,18 @@ BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='heatfield-')}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir; where that is unset (tests), a temporary folder becomes the setting."""
+    """A fresh path under spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary folder; a cluster, whose executors would not share one, an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='heatfield-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own_folder()
     return f"{root.rstrip('/')}/heatfield/{name}-{uuid.uuid4().hex}"
 
 
@@ -58,3 +66,28 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, total: int,
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else; null counts as empty."""
     return F.translate(F.coalesce(c, F.lit("")), UPPER, LOWER)
+
+
+def row_key(rows: DataFrame) -> Column:
+    """A number that is the same for rows with the same doc_id and text only, whatever else they hold; doc_id may be null or repeat."""
+    return F.xxhash64(rows["doc_id"], rows["text"])
+
+
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is not in the stored table keys."""
+    return df.join(checked_broadcast(keys.select(key)), key, "left_anti").select(*df.columns)
+
+
+def held_by(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is in the stored table keys."""
+    return df.join(checked_broadcast(keys.select(key)), key, "left_semi").select(*df.columns)
+
+
+def distinct_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """One row of docs for each row_key that is not in the stored table gone(key)."""
+    name = next(x for x in (f"row_key_{i}" for i in range(len(docs.columns) + 1)) if x not in docs.columns)
+    left = without(docs.withColumn(name, row_key(docs)), gone.withColumnRenamed("key", name), name)
+    again = stored(left.groupBy(name).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(name), "repeated")
+    if again.isEmpty():
+        return left.drop(name)
+    return without(left, again, name).unionByName(held_by(left, again, name).dropDuplicates([name])).drop(name)

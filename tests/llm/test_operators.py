@@ -8,7 +8,9 @@ import textwrap
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -247,8 +249,40 @@ def test_tree_walk_equals_plain_overlap():
     for _ in range(30):
         probe = np.unique(rng.integers(0, 400, 120).astype(np.uint64))
         sets = {i: np.unique(np.r_[probe[rng.random(len(probe)) < 0.93], rng.integers(0, 400, rng.integers(0, 12)).astype(np.uint64)]) for i in range(20)}
-        want = {i for i, s in sets.items() if 100 * len(np.intersect1d(s, probe)) >= 80 * len(np.union1d(s, probe))}
-        assert set(jaccard_join.walk(probe, sets, 80)) == want
+        more = {i: int(rng.integers(0, 4)) for i in sets}  # entries that no other set has are left out
+        want = {i for i, s in sets.items() if 100 * (c := len(np.intersect1d(s, probe))) >= 80 * (len(s) + more[i] + len(probe) - c)}
+        assert set(jaccard_join.walk(probe, len(probe), sets, {i: len(s) + more[i] for i, s in sets.items()}, 80)) == want
+
+
+def test_shingle_sets_equal_plain_sets():
+    rng = np.random.default_rng(4)
+    texts = ["", None, "one", "a\tb  c\n", " x" * 5, "Aé É\u00a0b \U0001f600 A B", "q " * 70_000, *(" ".join(f"w{x}" for x in rng.integers(0, 30, n)) for n in range(60)), "z" * 300_000 + " a b c d"]
+    want = []
+    for t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        want.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+    got = [set(s.tolist()) for s in jaccard_join.shingle_sets(pa.array(texts), 4)]
+    assert [len(s) for s in got] == [len(s) for s in want]
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        assert len(got[a] & got[b]) == len(want[a] & want[b])
+    assert [s.tolist() for s in jaccard_join.shingle_sets(pa.array(texts)[3:9], 4)] == [s.tolist() for s in jaccard_join.shingle_sets(pa.array(texts), 4)[3:9]]
+
+
+def test_likely_pairs_lose_no_link():
+    rng = np.random.default_rng(5)
+    rows, sets = [], {}
+    for i in range(120):
+        base = np.arange(i % 7 * 1000, i % 7 * 1000 + 60 + i % 5)
+        s = np.unique(np.r_[base[rng.random(len(base)) < 0.94], rng.integers(9000, 9999, 3)]).astype(np.uint64)
+        sets[i] = s
+        rows.append((i, i // 3, len(s), len(s), jaccard_join.parity(s * np.uint64(0x9E3779B97F4A7C15)), i % 2))
+    frame = pd.DataFrame(rows, columns=["node", "label", "n", "m", "bits", "block"])
+    got = set()
+    for lo, hi in ((0, 0), (0, 1), (1, 1)):
+        g = frame[frame["block"].isin([lo, hi])].assign(entry=1, lo=lo, hi=hi)
+        got |= set(map(tuple, jaccard_join.likely_pairs(g, 85, False).to_numpy().tolist()))
+    link = {(a, b) for a, b in itertools.combinations(sets, 2) if a // 3 != b // 3 and 100 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (len(sets[a]) + len(sets[b]) - c)}
+    assert link and link <= got and len(got) < 120 * 119 / 4
 
 
 def test_surrogates(spark):
