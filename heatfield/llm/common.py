@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +34,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/heatfield/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df written to the shared folder and read back: it cuts the lineage and outlives any executor."""
-    path = scratch(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str, settings: dict[str, str] | None = None, **options: str) -> DataFrame:
+    """df written to the shared folder and read back: it cuts the lineage and outlives any executor.
+
+    The write's own shuffle files go as it ends, and settings hold for the write alone.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | (settings or {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
@@ -91,3 +103,38 @@ def distinct_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     if again.isEmpty():
         return left.drop(name)
     return without(left, again, name).unionByName(held_by(left, again, name).dropDuplicates([name])).drop(name)
+
+
+#: Odd numbers whose bits look random.
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_STEP = 1 << 18
+
+
+def _tables(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64, n of each at least."""
+    if len(_powers[0]) < n:
+        size, base = 1 << (n - 1).bit_length(), int(ODD[0])
+        for i, x in enumerate((base, pow(base, -1, 1 << 64))):
+            p = np.full(size, x, np.uint64)
+            p[0] = 1
+            _powers[i] = np.cumprod(p)
+    return _powers
+
+
+def prefix_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of b[start:end] for ordered, disjoint stretches of bytes: polynomials read off prefix sums."""
+    out, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        zero = int(start[at])
+        to = max(at + 1, int(np.searchsorted(end, zero + _STEP, "right")))  # some at a time, for the cache
+        s, e = start[at:to] - zero, end[at:to] - zero
+        part = b[zero : zero + int(e[-1])]
+        up, down = _tables(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        h = (sums[e] - sums[s]) * down[s]
+        h = (h ^ (h >> np.uint64(32))) * ODD[1]
+        out[at:to] = h ^ (h >> np.uint64(29))
+        at = to
+    return out

@@ -35,45 +35,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heatfield.llm.common import checked_broadcast, distinct_rows, held_by, join_hot, row_key, small_batches, stored, without
+from heatfield.llm.common import ODD, checked_broadcast, distinct_rows, held_by, join_hot, prefix_hashes, row_key, small_batches, stored, without
 
 #: Slots of the sketch (a power of 2) and of one of its rows; share of the hash ranges of the first count; entries that a task
 #: packs, or counts, at once; nodes of a block; candidates of a probe in one task; bits of a parity bitmap.
 SKETCH_BITS, SKETCH_BLOCK, SAMPLE, FLUSH, BLOCK, PROBES, PARITY = 20, 1024, 4, 1 << 20, 1024, 256, 1024
 #: Entries beyond what the prefix needs that leaders share with their nodes, to leave out chance pairs early.
 EXTRA = 3
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_HASH = np.uint64((1 << 60) - 1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _tables(n: int) -> list[np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64, n of each at least."""
-    if len(_powers[0]) < n:
-        size, base = 1 << (n - 1).bit_length(), int(_ODD[0])
-        for i, x in enumerate((base, pow(base, -1, 1 << 64))):
-            p = np.full(size, x, np.uint64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p)
-    return _powers
 
 
 def _words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word in some bytes: a polynomial over its lower-cased bytes, read off prefix sums."""
+    """Start and hash of each lower-cased word in some bytes."""
     space = np.ones(len(b) + 2, bool)
     space[1:-1] = _SPACE[b]
     turn = np.flatnonzero(space[1:] != space[:-1])
-    start, end = turn[::2], turn[1::2]
-    up, down = _tables(len(b) + 1)
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((_LOWER[b].astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
-    h = (sums[end] - sums[start]) * down[start]
-    h = (h ^ (h >> np.uint64(32))) * _ODD[1]
-    return start, h ^ (h >> np.uint64(29))
+    return turn[::2], prefix_hashes(_LOWER[b], turn[::2], turn[1::2])
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -97,7 +77,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
         count = np.diff(first)
         h = np.full(max(0, len(words) - k + 1), k, np.uint64)
         for i in range(k):
-            h = (h ^ words[i : i + len(h)]) * _ODD[i % len(_ODD)]
+            h = (h ^ words[i : i + len(h)]) * ODD[i % len(ODD)]
             h ^= h >> np.uint64(29)
         for i, c in enumerate(count.tolist()):
             f = int(first[i])
@@ -106,12 +86,12 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
             elif c:
                 s = np.full(1, c, np.uint64)
                 for j in range(c):
-                    s = (s ^ words[f + j]) * _ODD[j % len(_ODD)]
+                    s = (s ^ words[f + j]) * ODD[j % len(ODD)]
                     s ^= s >> np.uint64(29)
             else:
                 out.append(np.zeros(0, np.uint64))
                 continue
-            s = (s ^ (s >> np.uint64(32))) * _ODD[1]
+            s = (s ^ (s >> np.uint64(32))) * ODD[1]
             s = np.sort((s ^ (s >> np.uint64(31))) >> np.uint64(4))
             out.append(s[np.append(True, s[1:] != s[:-1])])
         at = to

@@ -1,38 +1,43 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts are cut to words (a run of word marks and what follows it; no piece has a mark behind another character, and
+Texts are cut to words (a run of spaces and what follows it; no piece has a mark behind another character, and
 punctuation that no piece has behind a letter starts a word of its own). For the distinct words of the corpus, all
 substrings up to the longest piece are exploded and joined to the piece table on the string; the edges found are grouped
 by word, and a higher-order aggregate folds them: Viterbi over the scores for unigram models, and for BPE models, where
-the best sum is not what the library returns, merges in order of score over the same edges. Characters without a piece
-become their UTF-8 bytes.
+the best sum is not what the library returns, merges. A trained BPE model merges in order of score only, so one walk
+over a word's edges from the best on is enough: an edge whose ends are boundaries with a single boundary between them
+removes that one; the boundaries are bits of a number. Characters without a piece become their UTF-8 bytes.
 
-The FREQUENT most frequent words are broadcast (a fixed number of words of at most LONG characters); a document's other
-words are joined to the lattice's results by a shuffle, so the vocabulary may have any size. Words longer than LONG
-characters would make the fold quadratic and are encoded by the library's linear encoder instead.
+Words are found in the texts by 64-bit hashes in numpy. The most frequent words, FREQUENT at most, are broadcast as
+packed arrays; a document's other words are joined to the lattice's results by a shuffle, so the vocabulary may have any size.
+Words longer than LONG characters have more boundaries than a number has bits and are encoded by the library instead;
+a shorter word that the join did not give is an error.
 
-Defined results: a null text is empty and has no ids; a null doc_id keeps its row; rows that repeat a doc_id share the
-joined words; an empty table gives an empty result; other columns are not read.
+Defined results: a null text is empty and has no ids; a null doc_id keeps its row; rows that repeat a doc_id are encoded
+each by its own text; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 import string
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatfield.llm.common import small_batches, stored
+from heatfield.llm.common import prefix_hashes, row_key, small_batches, stored
 
-FREQUENT, LONG, MARK = 1 << 20, 100, "▁"
-NO_DOC = -(1 << 63)
+FREQUENT, LONG, MARK = 1 << 20, 61, "▁"
+#: Words that a task looks through at once for distinct ones; words that the grouping of edges may hold at once.
+CHUNK, HELD = 1 << 22, 300_000
+_MARK = MARK.encode()
 
 
 class Model:
@@ -52,15 +57,16 @@ class Model:
         self.first_byte = self.library.piece_to_id("<0x00>")
         self.longest = max(len(p) for p, _, _ in self.pieces)
         held = {b for p, _, _ in self.pieces for a, b in zip(p, p[1:]) if a.isalnum() or b in string.punctuation and a in string.punctuation}
-        self.cuts = [c for c in string.punctuation if c not in held]
+        #: Bytes that start a word of their own.
+        self.cuts = np.isin(np.arange(256), [ord(c) for c in string.punctuation if c not in held])
         self.bytes = [b""] * self.library.vocab_size()
         for p, i, _ in self.pieces:
             self.bytes[i] = p.replace(MARK, " ").encode()
         for b in range(256):
             self.bytes[self.first_byte + b] = bytes([b])
-        cut = re.escape("".join(self.cuts))
-        #: One word: marks and what follows up to a mark or a cut, or a cut and what follows.
-        self.word = rf"{MARK}+[^{MARK}{cut}]*|[{cut}][^{MARK}{cut}]*|[^{MARK}{cut}]+" if self.cuts else rf"{MARK}+[^{MARK}]*|[^{MARK}]+"
+        one = {p.replace(MARK, " "): i for p, i, _ in self.pieces if len(p) == 1}
+        #: Ids of the ASCII characters.
+        self.ascii = [one.get(chr(c), self.first_byte + c) for c in range(128)]
 
 
 @lru_cache(maxsize=2)
@@ -69,104 +75,281 @@ def model(path: str) -> Model:
 
 
 def lattice(words: DataFrame, path: str) -> DataFrame:
-    """words with ids, for distinct words of at most LONG characters. Where words is dealt by word already, nothing below is shuffled."""
+    """words with ids, for distinct words of at most LONG characters, marks written as spaces. Where words is dealt by word already, nothing below is shuffled."""
     spark, m = words.sparkSession, model(path)
-    table = F.broadcast(spark.createDataFrame(m.pieces, "piece string, id int, score double"))  # the model's size
-    n = F.char_length("word")
-    own = words.columns
+    best = sorted(m.pieces, key=lambda p: (-p[2], p[1]))
+    table = [(p.replace(MARK, " "), r, i, score) for r, (p, i, score) in enumerate(best)]
+    table = F.broadcast(spark.createDataFrame(table, "piece string, rank long, id long, score double"))  # the model's size
+    n, own = F.char_length("word"), words.columns
     starts = words.select(*own, F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     spans = starts.select(*own, "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + m.longest))).alias("e"))
     spans = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")))
-    edges = spans.join(table, "piece", "left").filter("id is not null or e = s + 1")  # a character without a piece keeps its edge
-    grouped = edges.groupBy(*own).agg(F.collect_list(F.struct((F.col("s") * 1024 + F.col("e")).alias("k"), "id", "score")).alias("edges"))
-    grouped = grouped.select(*own, F.map_from_arrays(F.expr("transform(edges, x -> x.k)"), F.expr("transform(edges, x -> struct(x.id, x.score))")).alias("at"), F.char_length("word").alias("n"))
-    cuts = _merges() if m.bpe else _viterbi(m.longest)
-    ends = F.expr(cuts)
-    ids = f"""flatten(transform(sequence(0, size(b) - 2), i -> if(at[b[i] * 1024 + b[i + 1]].id is not null, array(at[b[i] * 1024 + b[i + 1]].id),
-        transform(sequence(0, octet_length(substring(word, b[i] + 1, 1)) - 1), j -> {m.first_byte} + cast(conv(substring(hex(encode(substring(word, b[i] + 1, 1), 'UTF-8')), 2 * j + 1, 2), 16, 10) as int)))))"""
-    return grouped.withColumn("b", ends).select(*own, F.expr(ids).alias("ids"))
+    if m.bpe:  # single ASCII characters need no edge, but each word needs a row
+        spans = spans.filter("e > s + 1 or e = 1 or ascii(piece) > 127")
+    edges = spans.join(table, "piece", "left").filter("id is not null or e = 1")
+    if m.bpe:
+        packed = F.when(F.col("id").isNotNull(), F.expr("shiftleft(rank, 32) + shiftleft(id, 14) + shiftleft(s, 7) + e"))
+        grouped = edges.groupBy(*own).agg(F.array_sort(F.collect_list(packed)).alias("edges"))
+        return grouped.withColumn("cut", F.expr(_merges())).select(*own, F.expr(_ids(m)).alias("ids"))
+    edge = F.struct((F.col("s") * 128 + F.col("e")).alias("k"), "id", "score")
+    grouped = edges.groupBy(*own).agg(F.collect_list(edge).alias("edges"))
+    scored = grouped.select(*own, F.map_from_arrays(F.expr("transform(edges, x -> x.k)"), F.expr("transform(edges, x -> struct(x.id, x.score))")).alias("at"), n.alias("n"))
+    scored = scored.withColumn("b", F.expr(_viterbi(m.longest)))
+    ids = f"flatten(transform(sequence(0, size(b) - 2), i -> if(at[b[i] * 128 + b[i + 1]].id is not null, array(cast(at[b[i] * 128 + b[i + 1]].id as int)), {_bytes(m, 'substring(word, b[i] + 1, 1)')})))"
+    return scored.select(*own, F.expr(ids).alias("ids"))
+
+
+def _bytes(m: Model, c: str) -> str:
+    return f"transform(sequence(0, octet_length({c}) - 1), j -> {m.first_byte} + cast(conv(substring(hex(encode({c}, 'UTF-8')), 2 * j + 1, 2), 16, 10) as int))"
+
+
+def _inside(x: str) -> str:
+    """The boundaries between the ends of an edge, as bits."""
+    s, e = f"(shiftright({x}, 7) & 127)", f"({x} & 127)"
+    return f"(shiftleft(1L, cast({e} as int)) - shiftleft(2L, cast({s} as int)))"
+
+
+def _at_ends(x: str, cut: str) -> str:
+    return f"(shiftright({cut}, cast(shiftright({x}, 7) & 127 as int)) & shiftright({cut}, cast({x} & 127 as int)) & 1L) = 1L"
 
 
 def _merges() -> str:
-    """Boundaries after merging, again and again, the two neighbours whose joint piece has the best score, the leftmost at a tie."""
-    best = "array_max(transform(sequence(0, size(t.b) - 3), i -> struct(at[t.b[i] * 1024 + t.b[i + 2]].score as score, -i as i)))"
-    return f"""aggregate(sequence(1, n), struct(sequence(0, n) as b, n < 2 as done),
-        (t, _) -> if(t.done or size(t.b) < 3, t, aggregate(array({best}), t,
-            (u, m) -> if(m.score is null, struct(u.b as b, true as done), struct(filter(u.b, (x, i) -> i <> 1 - m.i) as b, false as done)))), t -> t.b)"""
+    """Boundaries, as bits, after a walk over the edges from the best score on, at a tie from the left."""
+    one = f"bit_count({_inside('x')} & t) = 1"
+    return f"aggregate(edges, shiftleft(1L, char_length(word) + 1) - 1L, (t, x) -> if({one} and {_at_ends('x', 't')}, t & ~{_inside('x')}, t))"
+
+
+def _ids(m: Model) -> str:
+    """Ids of the pieces between boundaries: an edge's, or those of a single character."""
+    left = f"filter(edges, x -> ({_inside('x')} & cut) = 0L and {_at_ends('x', 'cut')})"
+    single = f"if(ascii(c) < 128, array(element_at(array({', '.join(map(str, m.ascii))}), ascii(c) + 1)), {_bytes(m, 'c')})"
+    found = "filter(u.hits, x -> (shiftright(x, 7) & 127) = s)"
+    one = f"if(size({found}) > 0, array(cast(shiftright({found}[0], 14) & 262143L as int)), transform(array(substring(word, s + 1, 1)), c -> {single})[0])"
+    return f"transform(array(struct({left} as hits)), u -> flatten(transform(filter(sequence(0, char_length(word) - 1), s -> (shiftright(cut, s) & 1L) = 1L), s -> {one})))[0]"
 
 
 def _viterbi(longest: int) -> str:
     """Boundaries of the path with the greatest sum of scores; a character without a piece costs 10 more than any piece."""
-    step = f"""array_max(transform(sequence(greatest(0, e - {longest}), e - 1), s -> struct(t[s].sum + coalesce(at[s * 1024 + e].score, if(e = s + 1, -1e6, cast(null as double))) as sum, s as s)))"""
+    step = f"""array_max(transform(sequence(greatest(0, e - {longest}), e - 1), s -> struct(t[s].sum + coalesce(at[s * 128 + e].score, if(e = s + 1, -1e6, cast(null as double))) as sum, s as s)))"""
     path = f"aggregate(sequence(1, n), array(struct(0D as sum, -1 as s)), (t, e) -> concat(t, array({step})))"
     return f"aggregate(array({path}), array(0), (_, t) -> reverse(aggregate(sequence(1, n), array(n), (b, _) -> if(b[size(b) - 1] = 0, b, concat(b, array(t[b[size(b) - 1]].s))))))"
 
 
-def words_of(text: Column, path: str) -> Column:
-    norm = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-    return F.regexp_extract_all(norm, F.lit(model(path).word), F.lit(0))
+class Words:
+    """The words of some texts, in order: bytes (each with its spaces), hash, and where each text's words begin."""
+
+    def __init__(self, texts: list[str], m: Model):
+        raw = [b" " + t.encode("utf-8", "surrogatepass").replace(_MARK, b" ") if t else b"" for t in texts]
+        self.data = b"".join(raw)
+        b = np.frombuffer(self.data, np.uint8)
+        space = b == 32
+        starts = m.cuts[b] | space & ~np.append(False, space[:-1])[: len(b)]
+        begin = np.cumsum([0, *map(len, raw)])
+        starts[begin[:-1][np.diff(begin) > 0]] = True
+        self.start = np.flatnonzero(starts)
+        self.end = np.append(self.start[1:], len(b))[: len(self.start)]
+        self.hash = prefix_hashes(b, self.start, self.end)
+        self.first = np.searchsorted(self.start, begin)
+
+    def at(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.end[i]]
+
+
+def _chars(word: bytes) -> int:
+    return len(word) if len(word) <= LONG else len(word.decode("utf-8", "surrogatepass"))
+
+
+def distinct_words(docs: DataFrame, path: str) -> DataFrame:
+    """word, uses of every distinct word of at most LONG characters."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, held, size = model(path), [], 0
+
+        def distinct() -> pa.RecordBatch:
+            h = np.concatenate([w.hash for w in held])
+            _, first, uses = np.unique(h, return_index=True, return_counts=True)
+            ends = np.cumsum([len(w.hash) for w in held])
+            words, n = [], []
+            of = np.searchsorted(ends, first, "right")
+            for i, k, u in zip(first.tolist(), of.tolist(), uses.tolist(), strict=True):
+                word = held[k].at(i - (int(ends[k - 1]) if k else 0))
+                if _chars(word) <= LONG:
+                    words.append(word)
+                    n.append(u)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["word", "uses"])
+
+        for batch in batches:
+            held.append(Words([t for t in batch.column(0).to_pylist() if t], m))
+            size += len(held[-1].hash)
+            if size > CHUNK:
+                yield distinct()
+                held, size = [], 0
+        if size:
+            yield distinct()
+
+    return docs.select("text").mapInArrow(count, "word string, uses long").groupBy("word").agg(F.sum("uses").alias("uses"))
 
 
 def dictionary(docs: DataFrame, path: str) -> DataFrame:
     """word, uses, ids of every distinct word of at most LONG characters."""
-    words = docs.filter(F.length("text") > 0).select(F.explode(words_of(F.col("text"), path)).alias("word"))
-    uses = words.filter(F.char_length("word") <= LONG).groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
-    return stored(lattice(uses, path), "dictionary", compression="zstd")
+    # Grouped by hash, not by sort: a partition's words are few enough to be held.
+    return stored(lattice(distinct_words(docs, path), path), "dictionary", {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(HELD)}, compression="zstd")
+
+
+class Lookup:
+    """Ids by the words' hashes: an open hash table, and the ids in one array."""
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, first: np.ndarray):
+        self.bits = max(4, int(2 * len(hashes) + 1).bit_length())
+        self.ids, self.begin, self.size = ids, first[:-1], np.diff(first)
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        self.hashes, left, at = hashes, np.arange(len(hashes), dtype=np.int32), self._slot(hashes)
+        while len(left):
+            free = self.table[at] < 0
+            self.table[at[free]] = left[free]  # of several at one slot the last stays
+            lost = self.table[at] != left
+            left, at = left[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of the words, -1 where there is none."""
+        out, at, left = np.full(len(h), -1, np.int64), self._slot(h), np.arange(len(h))
+        while len(left):
+            got = self.table[at]
+            same = (got >= 0) & (self.hashes[got] == h[left]) if len(self.hashes) else got >= 0
+            out[left[same]] = got[same]
+            more = (got >= 0) & ~same
+            left, at = left[more], (at[more] + 1) & ((1 << self.bits) - 1)
+        return out
+
+
+def frequent_words(known: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, ids and their cuts of at most FREQUENT words: all that are used more often than some number of times."""
+    uses = known.groupBy(F.least("uses", F.lit(100_000)).alias("uses")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("uses")).collect()  # 100,000 rows at most
+    least, total = 1 << 62, 0
+    for r in uses:
+        total += r.n
+        if total > FREQUENT:
+            break
+        least = r.uses
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column(0).cast(pa.binary()).to_pylist()
+            ends = np.cumsum([0, *map(len, data)])
+            h = prefix_hashes(np.frombuffer(b"".join(data), np.uint8), ends[:-1], ends[1:])
+            sizes, ids = pc.list_value_length(batch.column(1)), batch.column(1).flatten()
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (h, np.asarray(sizes, np.int32), np.asarray(ids, np.int32))], ["hashes", "sizes", "ids"])
+
+    top = known.filter(F.col("uses") >= least).select("word", "ids").mapInArrow(pack, "hashes binary, sizes binary, ids binary").collect()
+    h, sizes, ids = (np.frombuffer(b"".join(bytes(r[i]) for r in top), t) for i, t in enumerate((np.uint64, np.int32, np.int32)))
+    return h, ids, np.cumsum([0, *sizes])
+
+
+_lookups: dict[str, Lookup] = {}
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, n_ids and whether decoding the ids gives the text again, for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", row_key(rows).alias("key"), "text")
     known = dictionary(rows, path)
-    top = known.orderBy(F.desc("uses"), "word").limit(FREQUENT).select("word", "ids").toArrow()
-    shared = spark.sparkContext.broadcast({w: np.array(i, np.int32).tobytes() for w, i in zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)})
+    shared = spark.sparkContext.broadcast(frequent_words(known))
 
-    def split(m: Model, text: str) -> list[str]:
-        return re.findall(m.word, MARK + text.replace(" ", MARK)) if text else []
+    name = uuid.uuid4().hex
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "text"])
+    def lookup() -> Lookup:
+        if name not in _lookups:
+            _lookups.clear()
+            _lookups[name] = Lookup(*shared.value)
+        return _lookups[name]
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, have = model(path), shared.value
+        m, have = model(path), lookup()
         for batch in batches:
-            ids, words = [], []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new = {w for w in split(m, text) if w not in have and len(w) <= LONG}
-                ids += [d] * len(new)
-                words += new
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], ["doc_id", "word"])
+            w = Words(batch.column(1).to_pylist(), m)
+            new = np.flatnonzero(have.find(w.hash) < 0)
+            of = np.searchsorted(w.first, new, "right") - 1
+            keys, words = [], []
+            order = np.lexsort((w.hash[new], of))
+            new, of = new[order], of[order]
+            once = np.append(True, (of[1:] != of[:-1]) | (w.hash[new][1:] != w.hash[new][:-1]))[: len(new)]
+            for i, k in zip(new[once].tolist(), of[once].tolist(), strict=True):
+                word = w.at(i)
+                if _chars(word) <= LONG:
+                    keys.append(k)
+                    words.append(word)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(words, pa.binary()).cast(pa.string())], ["key", "word"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([z.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "key", "text"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, have, z = model(path), shared.value, zstandard.ZstdDecompressor()
+        m, have, z = model(path), lookup(), zstandard.ZstdDecompressor()
         for batch in batches:
-            out, good = [], []
             texts = [z.decompress(t).decode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            for text, more in zip(texts, batch.column(2).to_pylist(), strict=True):
-                own = {x["word"]: np.array(x["ids"], np.int32).tobytes() for x in more or ()}
-                parts = [have.get(w) or own.get(w) or _long(m, w) for w in split(m, text)]
-                ids = np.frombuffer(b"".join(parts), np.int32)
-                out.append(ids)
-                good.append(decode(m, ids) == text)
+            w = Words(texts, m)
+            at = have.find(w.hash)
+            more, out, good = batch.column(2).to_pylist(), [], []
+            for k, text in enumerate(texts):
+                a, b = int(w.first[k]), int(w.first[k + 1])
+                mine = at[a:b]
+                lack = np.flatnonzero(mine < 0)
+                ids, begin, size = have.ids, have.begin[mine] if len(have.begin) else mine, have.size[mine] if len(have.size) else mine
+                if len(lack):
+                    own = {x["word"].encode("utf-8", "surrogatepass"): x["ids"] for x in more[k] or ()}
+                    extra, begin, size, n = [ids], begin.copy(), size.copy(), len(ids)
+                    for i in lack.tolist():
+                        word = w.at(a + i)
+                        got = own[word] if _chars(word) <= LONG else _long(m, word)
+                        extra.append(np.array(got, np.int32))
+                        begin[i], size[i] = n, len(got)
+                        n += len(got)
+                    ids = _Chain(extra)
+                found = _gather(ids, begin, size)
+                out.append(found)
+                good.append(decode(m, found) == text)
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, out)]).astype(np.int32), np.concatenate(out) if out else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([len(x) for x in out], pa.int64()), pa.array(good, pa.bool_())], ["doc_id", "ids", "n_ids", "round_trip"])
 
-    rare = rows.mapInArrow(others, "doc_id long, word string").join(known.select("word", "ids"), "word")
-    rare = rare.groupBy("doc_id").agg(F.collect_list(F.struct("word", "ids")).alias("more"))
-    packed = rows.mapInArrow(pack, "doc_id long, text binary")  # what the join moves
-    done = packed.join(rare, "doc_id", "left").mapInArrow(assemble, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
-    return done.withColumn("doc_id", F.when(F.col("doc_id") != NO_DOC, F.col("doc_id")))
+    rare = rows.select("key", "text").mapInArrow(others, "key long, word string").join(known.select("word", "ids"), "word")
+    rare = stored(rare, "rare-words", compression="zstd")
+    rare = rare.groupBy("key").agg(F.collect_set(F.struct("word", "ids")).alias("more"))
+    packed = rows.mapInArrow(pack, "doc_id long, key long, text binary")  # what the join moves
+    return packed.join(rare, "key", "left").select("doc_id", "text", "more").mapInArrow(assemble, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
+
+
+class _Chain:
+    """A shared array with a few more behind it, which is not copied."""
+
+    def __init__(self, parts: list[np.ndarray]):
+        self.head, self.tail = parts[0], np.concatenate(parts[1:])
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        n = len(self.head)
+        out = np.empty(len(at), np.int32)
+        low = at < n
+        out[low], out[~low] = self.head[at[low]], self.tail[at[~low] - n]
+        return out
+
+
+def _gather(ids, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ids of all words in order."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return ids[np.repeat(begin - ends + size, size) + np.arange(total)].astype(np.int32) if total else np.zeros(0, np.int32)
 
 
-def _long(m: Model, word: str) -> bytes:
+def _long(m: Model, word: bytes) -> list[int]:
     """A word above LONG characters by the library, whose added first mark is taken off through a line feed that no piece holds."""
-    ids = m.library.encode("\n" + word.replace(MARK, " "))
-    head = m.library.encode("\n")
-    return np.array(ids[len(head) :], np.int32).tobytes()
+    text = word.decode("utf-8", "surrogatepass")
+    return m.library.encode("\n" + text)[len(m.library.encode("\n")) :]
 
 
 def decode(m: Model, ids: np.ndarray) -> str:
