@@ -48,12 +48,26 @@ def test_exact_dedup(spark, bytes_, keep):
 
 def test_digest_index_finds_what_was_flushed(spark):
     index = exact_dedup.DigestIndex(spark)
-    index.flush(docs(spark, [(1, "a"), (2, "b")]))
-    index.flush(docs(spark, [(3, "A"), (4, "c")]))
-    got = {r.keep_id: r.group_size for r in index.compact().collect()}
-    assert got == {1: 2, 2: 1, 4: 1}
-    one = index.digests(docs(spark, [(0, "a")]))
-    assert {r.doc_id for r in index.lookup(one).collect()} == {1, 3}
+    for rows in ([(1, "a"), (2, "b")], [(3, "A"), (4, "c")], [(5, "d"), (6, "d")]):
+        index.flush(index.digests(docs(spark, rows)))
+    got = {r.one.doc_id: r.copies for r in index.compact().collect()}
+    assert got == {1: 2, 5: 2}  # the filters leave out what only one row has
+    one = index.digests(docs(spark, [(0, "a"), (0, "new")]))
+    assert {r.one.doc_id for r in index.lookup(one).collect()} == {1, 3}
+    maybe, none = index.split(one, "one")
+    assert maybe.count() == 1 and none.count() == 1
+
+
+def test_rows_stay_not_numbers(spark):
+    rows = [(1, "b"), (9, "a"), (9, "b"), (5, "dup"), (5, "dup"), (None, "dup"), (None, "x"), (None, "x")]
+    got = exact_dedup.keep_one(docs(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, "b"), (9, "a"), (5, "dup"), (None, "x")]))
+    words = [f"w{i}" for i in range(200)]
+    near = [(i, " ".join([*words[:n], *more, *words[n + 1 :]])) for i, n, more in ((7, 3, ["p"]), (7, 50, ["q"]), (8, 10, ["r"]), (None, 20, ["s"]))]
+    alone = [(7, "other words that nobody else has in this table"), (None, None), (8, "")]
+    kept = jaccard_join.keep_one(docs(spark, near + alone)).select("doc_id", "text").collect()
+    assert len(kept) == 4 and set(alone) <= set(map(tuple, kept)) and {r.doc_id for r in kept if r.text and r.text.startswith("w")} == {7}
+    assert exact_dedup.keep_one(docs(spark, [])).count() == 0 == jaccard_join.keep_one(docs(spark, [])).count()
 
 
 def test_media_payloads(spark):
