@@ -36,7 +36,7 @@ from heatfield.llm.common import prefix_hashes, row_key, small_batches, stored
 
 FREQUENT, LONG, MARK = 1 << 20, 61, "▁"
 #: Words that a task looks through at once for distinct ones; words that the grouping of edges may hold at once.
-CHUNK, HELD = 1 << 22, 300_000
+CHUNK, HELD = 1 << 20, 200_000
 _MARK = MARK.encode()
 
 
@@ -89,7 +89,7 @@ def lattice(words: DataFrame, path: str) -> DataFrame:
     edges = spans.join(table, "piece", "left").filter("id is not null or e = 1")
     if m.bpe:
         packed = F.when(F.col("id").isNotNull(), F.expr("shiftleft(rank, 32) + shiftleft(id, 14) + shiftleft(s, 7) + e"))
-        grouped = edges.groupBy(*own).agg(F.array_sort(F.collect_list(packed)).alias("edges"))
+        grouped = edges.groupBy(*own).agg(F.sort_array(F.collect_list(packed)).alias("edges"))
         return grouped.withColumn("cut", F.expr(_merges())).select(*own, F.expr(_ids(m)).alias("ids"))
     edge = F.struct((F.col("s") * 128 + F.col("e")).alias("k"), "id", "score")
     grouped = edges.groupBy(*own).agg(F.collect_list(edge).alias("edges"))
