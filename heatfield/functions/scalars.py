@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Seconds to respawn by level, roles, causes and bits.
@@ -55,7 +55,7 @@ def minutes_seconds(s: Column) -> Column:
 
 
 def kilo_gold(g: Column) -> Column:
-    return F.concat(F.when(g >= 0, "+").otherwise("-"), F.format_string("%.1fk", F.abs(g) / 1000.0))
+    return F.concat(F.when(g > 0, "+").when(g < 0, "-").otherwise(""), F.format_string("%.1fk", F.abs(g) / 1000.0))
 
 
 def scaled(t: Column, how: str) -> Column:
@@ -63,9 +63,28 @@ def scaled(t: Column, how: str) -> Column:
     return {"lin": t, "sqrt": F.sqrt(t), "log": F.log1p(9 * t) / F.log(F.lit(10.0))}[how]
 
 
-def fuzzy_score(query: str, label: Column, aliases: dict[str, str] | None = None) -> Column:
-    """0 equal, 1 prefix, 2 contained, 3 subsequence, else null, on letters, digits and # alone."""
-    q = "".join(c for c in query.lower() if c.isascii() and (c.isalnum() or c == "#"))
-    q = (aliases or {}).get(q, q)
-    n = F.regexp_replace(F.lower(label), "[^a-z0-9#]", "")
-    return F.when(n == q, 0).when(n.startswith(q), 1).when(n.contains(q), 2).when(n.rlike(".*".join(q)), 3).cast("int")
+#: What players type for a name.
+ALIASES = {"kai'sa": "kaisa", "kaisa": "kai'sa", "nunu & willump": "nunu", "j4": "jarvan iv", "asol": "aurelion sol", "mundo": "dr. mundo", "kha": "kha'zix", "vel": "vel'koz", "cho": "cho'gath", "rek": "rek'sai", "mf": "miss fortune", "tf": "twisted fate", "ww": "warwick", "yi": "master yi", "lb": "leblanc", "gp": "gangplank", "ez": "ezreal", "sett": "sett"}
+
+
+def normal(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[^a-z0-9#]", "")
+
+
+def fuzzy_score(query: str, label: Column, full: Column | None = None, aliases: dict[str, str] | None = None) -> Column:
+    """How a label answers a search, or null: 0 it, its full form or the query's alias is equal but for case; then on letters,
+    digits and # alone: 1 prefix, 2 contained or prefix of the full form, 3 its letters in order within the full form. An empty query takes all labels alike."""
+    q = query.strip().lower()
+    if not q:
+        return F.lit(0)
+    full = label if full is None else full
+    plain = "".join(c for c in q if c.isascii() and (c.isalnum() or c == "#"))
+    exact = F.lower(label).isin([q, *([aliases[q]] if aliases and q in aliases else [])]) | (F.lower(full) == q)
+    n, nf = normal(label), normal(full)
+    return F.when(exact, 0).when(n.startswith(plain), 1).when(n.contains(plain) | nf.startswith(plain), 2).when(nf.rlike(".*".join(plain)), 3).cast("int")
+
+
+def search(items: DataFrame, query: str, label: str, full: str | None = None, most: int = 60, aliases: dict[str, str] | None = None) -> DataFrame:
+    """The best `most` items for a query, with score: by score, then length of the label, then label."""
+    scored = items.withColumn("score", fuzzy_score(query, F.col(label), F.col(full) if full else None, aliases))
+    return scored.filter("score is not null").orderBy("score", F.length(label), label).limit(most)

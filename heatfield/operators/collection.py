@@ -8,15 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Platforms by the cluster that holds their matches.
+REGIONS = {"americas": ("br1", "la1", "la2", "na1"), "asia": ("jp1", "kr"), "europe": ("eun1", "euw1", "me1", "ru", "tr1"), "sea": ("oc1", "sg2", "tw2", "vn2")}
+
+
 def pairs(header: Column) -> Column:
-    """A header such as 20:1,100:120 as a map of limits to seconds."""
-    return F.transform_values(F.str_to_map(header, F.lit(","), F.lit(":")), lambda _, v: v.cast("int"))
+    """A header such as 20:1,100:120 as a map of seconds to limits, {1: 20, 120: 100}; blank and bad parts fall away, of two limits for one window the last stays."""
+    parts = F.transform(F.split(F.coalesce(header, F.lit("")), ","), lambda p: F.regexp_extract_all(p, F.lit(r"^\s*([+-]?[0-9]{1,9})\s*:\s*([+-]?[0-9]{1,9})\s*$"), F.lit(0)))
+    said = F.transform(F.flatten(parts), lambda p: F.struct(F.trim(F.substring_index(p, ":", -1)).cast("int").alias("key"), F.trim(F.substring_index(p, ":", 1)).cast("int").alias("value")))
+    last = F.filter(said, lambda x, i: ~F.exists(F.slice(said, i + 2, F.size(said)), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(last)
 
 
 def platform_of(match_id: Column) -> Column:
     return F.lower(F.substring_index(match_id, "_", 1))
 
 
+def region_of(match_id: Column) -> Column:
+    """The cluster of a match; null if its platform is unknown."""
+    return F.coalesce(*[F.when(platform_of(match_id).isin(*names), region) for region, names in REGIONS.items()])
+
+
 def first_tier(ladder: DataFrame, tiers: Sequence[str], key: str = "puuid", tier: str = "tier") -> DataFrame:
     """One row a player: the one of the first tier in order."""
     order = F.array_position(F.array(*map(F.lit, tiers)), F.col(tier))
@@ -30,11 +42,20 @@ def settled(records: DataFrame, schema: int, scope: str) -> DataFrame:
     return records.filter(done | gone).select("match_id").distinct()
 
 
+def unsettled(ids: DataFrame, done: DataFrame) -> DataFrame:
+    """match_id of ids, once each, that are not in done."""
+    return ids.select("match_id").distinct().join(done.select("match_id"), "match_id", "left_anti")
+
+
+def newest(histories: DataFrame, depth: int) -> DataFrame:
+    """The newest `depth` matches of each player of histories(puuid, match_id, created), with place from 1."""
+    place = F.row_number().over(Window.partitionBy("puuid").orderBy(F.desc("created"), "match_id"))
+    return histories.withColumn("place", place).filter(F.col("place") <= depth)
+
+
 def candidates(histories: DataFrame, done: DataFrame, depth: int = 100) -> DataFrame:
     """The newest `depth` matches of each player of histories(puuid, match_id, created), once each, without settled ones."""
-    newest = F.row_number().over(Window.partitionBy("puuid").orderBy(F.desc("created"), "match_id"))
-    near = histories.withColumn("place", newest).filter(F.col("place") <= depth)
-    return near.select("match_id").distinct().join(done.select("match_id"), "match_id", "left_anti")
+    return unsettled(newest(histories, depth).select("match_id"), done)
 
 
 def shuffled(rows: DataFrame, key: str, run: str) -> DataFrame:
@@ -42,10 +63,14 @@ def shuffled(rows: DataFrame, key: str, run: str) -> DataFrame:
     return rows.withColumn("order", F.sha2(F.concat(F.lit(run), F.col(key).cast("string")), 256))
 
 
+def sample(rows: DataFrame, want: int, key: str, run: str) -> DataFrame:
+    """The first `want` rows in the run's order."""
+    return shuffled(rows, key, run).orderBy("order").limit(want)
+
+
 def quota(rows: DataFrame, want: int | None, key: str, run: str, good: Column) -> DataFrame:
     """The first `want` good rows in the run's order. Rows that fail do not use up the quota."""
-    out = shuffled(rows, key, run).filter(good)
-    return out if want is None else out.orderBy("order").limit(want)
+    return shuffled(rows.filter(good), key, run) if want is None else sample(rows.filter(good), want, key, run)
 
 
 def dedupe_report(scratch: DataFrame, done: DataFrame) -> DataFrame:

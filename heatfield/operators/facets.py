@@ -1,4 +1,4 @@
-"""The heatmap algebra: facets to a predicate, perspectives, grids, zones, ratios, smoothing and top zones.
+"""The map algebra: facets to a predicate, perspectives, grids, zones, ratios, smoothing and top zones.
 
 A fact has x, y, side (bit 0 of flags: the victim is red), second, team_gold, assists, region, cause, patch, match and,
 for victim and killer, champ, role, player and lane_gold; a null stands for unknown.
@@ -6,10 +6,12 @@ for victim and killer, champ, role, player and lane_gold; a null stands for unkn
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from urllib.parse import parse_qs, urlencode
+from urllib.parse import parse_qsl, urlencode
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,16 +22,22 @@ from heatfield.functions import geometry as G
 PRIOR, LEAST, THIN, DENSITY = 10.0, 5, 200, 0.6
 KERNEL = [0.0276, 0.0663, 0.1238, 0.1802, 0.2042, 0.1802, 0.1238, 0.0663, 0.0276]
 LAYERS = ("deaths", "kills", "danger", "opportunity")
-SIDES = {"blue": 100, "red": 200}
+SCALES = ("lin", "sqrt", "log")
+#: Least and most of each range.
+RANGES = {"time": (0, 86_400), "gold": (-25_000, 25_000), "lanegold": (-10_000, 10_000), "assists": (0, 9)}
+FIELDS = {"time": "time", "gold": "team_gold", "lanegold": "lane_gold", "assists": "assists"}
 Facet = Sequence[tuple[int, bool]]  # value, and whether it is excluded
 
 
 @dataclass(frozen=True)
 class Actor:
+    """Whom a state asks for. player holds keys of the release; player_id holds stable ids, which reconciled() turns into keys."""
+
     champ: Facet = ()
     role: Facet = ()
     player: Facet = ()
-    side: int | None = None
+    side: Facet = ()
+    player_id: tuple[tuple[str, bool], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -45,6 +53,8 @@ class State:
     assists: tuple[int, int] | None = None
     lane_gold: tuple[int, int] | None = None
     grid: int | None = None
+    scale: str = "lin"
+    smooth: bool = True
 
 
 def facet(c: Column, entries: Facet) -> Column:
@@ -66,8 +76,10 @@ def actor(who: str, want: Actor) -> Column:
     red = F.col("flags").bitwiseAND(1) == 1
     side = F.when(red, 200).otherwise(100)
     own = side if who == "victim" else 300 - side
+    if want.player_id and not want.player:
+        raise ValueError("player ids have to be turned into a release's keys by reconciled() first")
     tests = [facet(F.col(f"{who}_{c}"), getattr(want, c)) for c in ("champ", "role", "player")]
-    return reduce(lambda a, b: a & b, [*tests, F.lit(True) if want.side is None else own == want.side])
+    return reduce(lambda a, b: a & b, [*tests, facet(own, want.side)])
 
 
 def perspectives(facts: DataFrame, state: State) -> DataFrame:
@@ -79,10 +91,21 @@ def perspectives(facts: DataFrame, state: State) -> DataFrame:
     return facts.filter(common & (v | k)).withColumns({"as_victim": v, "as_killer": k})
 
 
+def by_match(seen: DataFrame, *by: Column) -> DataFrame:
+    """deaths and kills of each match, apart by the given columns."""
+    return seen.groupBy(*by, F.col("match")).agg(F.count_if("as_victim").alias("deaths"), F.count_if("as_killer").alias("kills"))
+
+
+def _rolled(matches: DataFrame, *by: str) -> DataFrame:
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    game = lambda c: F.count_if(c & F.col("match").isNotNull())
+    return matches.groupBy(*by).agg(n("deaths"), n("kills"), game(F.col("deaths") > 0).alias("death_games"), game(F.col("kills") > 0).alias("kill_games"), game(F.lit(True)).alias("games"))
+
+
 def counts(seen: DataFrame, *by: Column) -> DataFrame:
-    """deaths, kills and distinct games of the deaths, the kills and both."""
-    game = lambda c: F.count_distinct(F.when(c, F.col("match")))
-    return seen.groupBy(*by).agg(F.count_if("as_victim").alias("deaths"), F.count_if("as_killer").alias("kills"), game(F.col("as_victim")).alias("death_games"), game(F.col("as_killer")).alias("kill_games"), F.count_distinct("match").alias("games"))
+    """deaths, kills and distinct games of the deaths, the kills and both. Matches are added up first, so that no row is copied for each distinct count."""
+    matches = by_match(seen, *by)
+    return _rolled(matches, *matches.columns[: len(by)])
 
 
 def grid(seen: DataFrame, size: int) -> DataFrame:
@@ -150,11 +173,21 @@ def auto_size(ratio: bool, n: int) -> int:
 
 
 def auto_grid(seen: DataFrame, state: State) -> DataFrame:
-    """grid() at the finest size that the number of events fills; one count, one aggregate."""
-    t = seen.agg(F.count_if("as_victim").alias("d"), F.count_if("as_killer").alias("k")).first()
-    n = {"deaths": t.d, "kills": t.k}.get(state.layer, t.d + t.k)
-    size = state.grid or auto_size(state.layer not in ("deaths", "kills"), n)
-    return grid(seen, size).withColumn("size", F.lit(size))
+    """grid() at the finest size that the number of events fills, with size. The facts are read once: the size is chosen on the finest cells' counts, which are then made coarser."""
+    fine = G.GRIDS[0]
+    matches = by_match(seen, G.cell_of(F.col("x"), F.col("y"), fine).alias("cell"))
+    ratio = state.layer not in ("deaths", "kills")
+    n = F.coalesce(F.sum(F.col("deaths") + F.col("kills") if ratio else F.col(state.layer)), F.lit(0))
+    if state.grid:
+        size = F.lit(state.grid)
+    elif ratio:
+        size = F.coalesce(*[F.when(n / s**2 >= DENSITY, s) for s in G.GRIDS], F.lit(G.GRIDS[-1]))
+    else:
+        size = F.when(n < 50, 32).when(n < THIN, 64).otherwise(128)
+    sized = matches.crossJoin(F.broadcast(matches.agg(size.alias("size"))))  # one row
+    cell = reduce(lambda out, s: F.when(F.col("size") == s, G.coarser(F.col("cell"), fine, s)).otherwise(out), G.GRIDS, F.col("cell"))
+    merged = sized.groupBy(cell.alias("cell"), "size", "match").agg(F.sum("deaths").alias("deaths"), F.sum("kills").alias("kills"))
+    return _rolled(merged, "cell", "size").select("cell", "deaths", "kills", "death_games", "kill_games", "games", "size")
 
 
 def zone_summary(seen: DataFrame, name: str, top: int | None = None) -> DataFrame:
@@ -171,55 +204,95 @@ def playback(seen: DataFrame, width: int = 240, step: int = 20) -> DataFrame:
     return seen.select("*", F.explode(starts).alias("k")).groupBy((F.col("k") * step).alias("start")).agg(F.count_if("as_victim").alias("deaths"), F.count_if("as_killer").alias("kills"))
 
 
-def parse_state(query: str, limits: dict[str, tuple[int, int]] | None = None) -> State:
-    """A query string as a state; unknown words and bad numbers fall away, ranges are put in order and clamped."""
-    q = {k: v[-1] for k, v in parse_qs(query.lstrip("?")).items()}
+def limits(facts: DataFrame) -> DataFrame:
+    """One row: the last second to choose from, 600 at least, and the number of games."""
+    return facts.agg(F.greatest(F.lit(600), F.max("second")).cast("long").alias("longest"), F.count_distinct("match").alias("games"))
+
+
+def parse_state(query: str) -> State:
+    """A link's query string as a state. Words and numbers that are not known fall away, a range in the wrong order does too, others are clamped to RANGES."""
+    q: dict[str, list[str]] = {}
+    for key, value in parse_qsl(query.lstrip("?"), keep_blank_values=True):
+        q.setdefault(key, []).append(value)
+    one = lambda key: q.get(key, [""])[0]
+    choice = lambda key, known, other: one(key) if one(key) in known else other
 
     def entries(key: str) -> Facet:
-        out = [(x.lstrip("!"), x.startswith("!")) for x in q.get(key, "").split(",") if x]
-        return tuple((int(v), x) for v, x in out if v.isdigit())
+        found = (re.fullmatch(r"(!?)([0-9]+)", x) for x in one(key).split(","))
+        return tuple((int(m[2]), m[1] == "!") for m in found if m and int(m[2]) < 1 << 53)
 
     def span(key: str) -> tuple[int, int] | None:
+        parts = one(key).split(",")
         try:
-            lo, hi = sorted(int(x) for x in q[key].split(":"))
-        except (KeyError, ValueError):
+            lo, hi = (float(x) if x.strip() else 0.0 for x in parts)
+        except ValueError:
+            return None
+        if not (math.isfinite(lo) and math.isfinite(hi) and lo <= hi):
             return None
-        least, most = (limits or {}).get(key, (lo, hi))
-        return max(lo, least), min(hi, most)
+        least, most = RANGES[key]
+        lo, hi = (min(most, max(least, x)) for x in (lo, hi))
+        return tuple(int(x) if x == int(x) else x for x in (lo, hi))
+
+    def who(p: str) -> Actor:
+        ids = tuple((x, out) for key, out in ((f"{p}.player_id", False), (f"{p}.exclude_player_id", True)) for x in q.get(key, []) if re.fullmatch(r"[A-Za-z0-9_-]{1,256}", x))
+        return Actor(entries(f"{p}.champ"), entries(f"{p}.role"), (), entries("s.side") if p == "s" else (), ids)
 
-    who = lambda p: Actor(entries(f"{p}champ"), entries(f"{p}role"), entries(f"{p}player"), SIDES.get(q.get(f"{p}side", "")))
-    grid_size = int(q["grid"]) if q.get("grid", "").isdigit() and int(q["grid"]) in G.GRIDS else None
-    return State(q["layer"] if q.get("layer") in LAYERS else "deaths", who("s"), who("o"), entries("region"), entries("cause"), entries("patch"), span("time"), span("gold"), span("assists"), span("lane"), grid_size)
+    size = choice("grid", [str(g) for g in G.GRIDS], "")
+    spans = {FIELDS[key]: span(key) for key in RANGES}
+    return State(choice("layer", LAYERS, "deaths"), who("s"), who("o"), *(entries(f"c.{c}") for c in ("region", "cause", "patch")), **spans, grid=int(size) if size else None, scale=choice("scale", SCALES, "lin"), smooth=one("smooth") != "0")
 
 
 def state_query(state: State) -> str:
-    """The canonical query string; parse_state gives the state back."""
-    out: dict[str, str] = {} if state.layer == "deaths" else {"layer": state.layer}
+    """The canonical query string; parse_state gives the state back, but for players' keys, which hold for one release only."""
+    out = [("layer", state.layer)]
     for p, a in (("s", state.subject), ("o", state.opponent)):
-        out |= {f"{p}{c}": _join(getattr(a, c)) for c in ("champ", "role", "player") if getattr(a, c)}
-        if a.side:
-            out[f"{p}side"] = {v: k for k, v in SIDES.items()}[a.side]
-    out |= {c: _join(getattr(state, c)) for c in ("region", "cause", "patch") if getattr(state, c)}
-    out |= {k: f"{v[0]}:{v[1]}" for k, v in (("time", state.time), ("gold", state.team_gold), ("assists", state.assists), ("lane", state.lane_gold)) if v}
-    return urlencode(out | ({"grid": str(state.grid)} if state.grid else {}), safe=":,!")
+        out += [(f"{p}.{c}", _join(getattr(a, c))) for c in ("role", "champ") if getattr(a, c)]
+        out += [(f"{p}.{'exclude_player_id' if x else 'player_id'}", v) for v, x in a.player_id]
+        out += [(f"{p}.side", _join(a.side))] if a.side else []
+    out += [(f"c.{c}", _join(getattr(state, c))) for c in ("region", "cause", "patch") if getattr(state, c)]
+    out += [(key, ",".join(map(str, getattr(state, f)))) for key, f in FIELDS.items() if getattr(state, f)]
+    out += [("grid", str(state.grid))] if state.grid else []
+    out += [("scale", state.scale)] if state.scale != "lin" else []
+    return urlencode(out + ([] if state.smooth else [("smooth", "0")]))
 
 
 def _join(entries: Facet) -> str:
     return ",".join(f"{'!' if x else ''}{v}" for v, x in entries)
 
 
-def rebound(state: State, old: DataFrame, new: DataFrame, facet_name: str) -> State:
-    """The state with a facet's keys moved from one release's dimension (id, sk) to another's; identities that are gone fall away. Only the few selected keys are looked up."""
-
-    def moved(entries: Facet) -> Facet:
-        keys = [v for v, _ in entries]
-        if not keys:
-            return entries
-        pairs = old.filter(F.col("sk").isin(keys)).join(new.select("id", F.col("sk").alias("to")), "id").select("sk", "to").collect()
-        to = {r["sk"]: r["to"] for r in pairs}
-        return tuple((to[v], x) for v, x in entries if v in to)
-
-    if facet_name in ("region", "cause", "patch"):
-        return replace(state, **{facet_name: moved(getattr(state, facet_name))})
-    subject, opponent = (replace(a, **{facet_name: moved(getattr(a, facet_name))}) for a in (state.subject, state.opponent))
-    return replace(state, subject=subject, opponent=opponent)
+#: Keys that hold in every release.
+STABLE = {"role": range(5), "cause": range(5), "side": (100, 200)}
+
+
+def reconciled(state: State, new: dict[str, DataFrame], old: dict[str, DataFrame] | None = None) -> State:
+    """The state with all keys of the new release, whose dimensions new[facet](id, sk) are: patches and regions move by identity
+    from the old release's dimensions, players by their stable ids, or else theirs; what the new release lacks falls away,
+    champions and fixed keys too. Only the few selected entries are looked up."""
+
+    def pick(df: DataFrame, c: str, values: list) -> list:
+        return df.filter(F.col(c).isin(values)).select("id", "sk").collect() if values else []
+
+    def moved(facet_name: str, entries: Facet) -> Facet:
+        if facet_name in STABLE:
+            return tuple(e for e in entries if e[0] in STABLE[facet_name])
+        dim, keys = new.get(facet_name), [v for v, _ in entries]
+        if dim is None or not keys:
+            return entries if dim is None else ()
+        if facet_name == "champ" or not old or facet_name not in old:
+            there = {r.sk for r in pick(dim, "sk", keys)}
+            return tuple(e for e in entries if e[0] in there)
+        ids = {r.sk: r.id for r in pick(old[facet_name], "sk", keys)}
+        to = {r.id: r.sk for r in pick(dim, "id", list(ids.values()))}
+        return tuple((to[ids[v]], x) for v, x in entries if ids.get(v) in to)
+
+    def players(a: Actor) -> Actor:
+        known = {i for i, _ in a.player_id}
+        ids = list(a.player_id)
+        if old and "player" in old:
+            names = {r.sk: r.id for r in pick(old["player"], "sk", [v for v, _ in a.player])}
+            ids += [(names[v], x) for v, x in a.player if v in names and names[v] not in known]
+        to = {r.id: r.sk for r in pick(new["player"], "id", [i for i, _ in ids])} if "player" in new else {}
+        return replace(a, player=tuple((to[i], x) for i, x in ids if i in to), player_id=tuple(e for e in ids if e[0] in to))
+
+    actors = [replace(players(a), **{c: moved(c, getattr(a, c)) for c in ("champ", "role", "side")}) for a in (state.subject, state.opponent)]
+    return replace(state, subject=actors[0], opponent=actors[1], **{c: moved(c, getattr(state, c)) for c in ("region", "cause", "patch")})

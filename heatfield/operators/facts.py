@@ -46,6 +46,27 @@ def player_frames(timelines: DataFrame) -> DataFrame:
     return p.select("match_id", "fi", F.col("pid").cast("int").alias("pid"), F.col("s.totalGold").alias("gold"), F.when(F.col("s").isNotNull(), cs).alias("cs"), F.when(both, F.col("s.position.x")).alias("px"), F.when(both, F.col("s.position.y")).alias("py"))
 
 
+def objectives_up(t: Column, by: list[str], order: tuple[str, ...]) -> Column:
+    """Bits of the objectives that are up at t (milliseconds), from the rows before this one, whose dragon and baron are the times of such kills, elder and herald true at theirs."""
+    w = prior(by, *order)
+    last = lambda c: F.last(c, ignorenulls=True).over(w)
+    up = F.when(t >= F.coalesce(last("dragon") + DRAGON_NEXT, F.lit(DRAGON_FIRST)), F.when(F.coalesce(last("elder"), F.lit(False)), S.ELDER).otherwise(S.DRAGON)).otherwise(0)
+    up = up + F.when(t >= F.coalesce(last("baron") + BARON_NEXT, F.lit(BARON_FIRST)), S.BARON).otherwise(0)
+    return up + F.when(last("herald").isNull() & (t >= HERALD_FROM) & (t < HERALD_TO), S.HERALD).otherwise(0)
+
+
+def first_of_match(t: Column, *by: str) -> Column:
+    """Whether a row has the least time of its match; all that share it do."""
+    return t == F.min(t).over(Window.partitionBy(*by))
+
+
+def near(own: Column, others: Column, mine, foe) -> tuple[Column, Column]:
+    """Distance to the nearest of `others` for which mine(other) holds, and how many of those with foe(other) are within NEAR_RADIUS; own and others have px and py."""
+    far = lambda p: F.hypot(p["px"] - own["px"], p["py"] - own["py"])
+    placed = F.filter(others, lambda p: p["px"].isNotNull())
+    return F.array_min(F.transform(F.filter(placed, mine), far)), F.size(F.filter(placed, lambda p: foe(p) & (far(p) <= G.NEAR_RADIUS)))
+
+
 def objective_state(ev: DataFrame) -> DataFrame:
     """match_id, ORDER, objectives_up and since_objective for every kill."""
     monster = F.when(F.col("e.type") == "ELITE_MONSTER_KILL", F.upper(F.coalesce("e.monsterType", F.lit(""))))
@@ -53,22 +74,19 @@ def objective_state(ev: DataFrame) -> DataFrame:
     is_dragon = monster.contains("DRAGON")
     baron = ~is_dragon & monster.contains("BARON")
     rows = ev.filter(F.col("e.type").isin("ELITE_MONSTER_KILL", "BUILDING_KILL", "CHAMPION_KILL")).select("match_id", *ORDER, F.col("e.type").alias("type"), F.when(is_dragon, F.col("event_ms")).alias("dragon"), F.when(is_dragon & (sub.contains("ELDER") | monster.contains("ELDER")), True).alias("elder"), F.when(baron, F.col("event_ms")).alias("baron"), F.when(~is_dragon & ~baron & monster.contains("HERALD"), True).alias("herald"), F.when(F.col("e.type") != "CHAMPION_KILL", F.col("event_ms")).alias("objective"))
-    w, t = prior(["match_id"], *ORDER), F.col("event_ms")
-    last = lambda c: F.last(c, ignorenulls=True).over(w)
-    up = F.when(t >= F.coalesce(last("dragon") + DRAGON_NEXT, F.lit(DRAGON_FIRST)), F.when(F.coalesce(last("elder"), F.lit(False)), S.ELDER).otherwise(S.DRAGON)).otherwise(0)
-    up = up + F.when(t >= F.coalesce(last("baron") + BARON_NEXT, F.lit(BARON_FIRST)), S.BARON).otherwise(0)
-    up = up + F.when(last("herald").isNull() & (t >= HERALD_FROM) & (t < HERALD_TO), S.HERALD).otherwise(0)
-    return rows.withColumn("objectives_up", up).withColumn("since_objective", S.u8((t - last("objective")) / 1000, 2)).filter("type = 'CHAMPION_KILL'").select("match_id", *ORDER, "objectives_up", "since_objective")
+    t = F.col("event_ms")
+    up = objectives_up(t, ["match_id"], ORDER)
+    return rows.withColumn("objectives_up", up).withColumn("since_objective", S.u8((t - F.last("objective", ignorenulls=True).over(prior(["match_id"], *ORDER))) / 1000, 2)).filter("type = 'CHAMPION_KILL'").select("match_id", *ORDER, "objectives_up", "since_objective")
 
 
 def kill_facts(matches: DataFrame, timelines: DataFrame) -> DataFrame:
     """The fact rows of all matches; unknown values are null."""
     parts, ev = participants(matches), events(timelines)
-    kills = ev.filter("e.type = 'CHAMPION_KILL'").withColumn("first_ms", F.min("event_ms").over(Window.partitionBy("match_id")))
+    kills = ev.filter("e.type = 'CHAMPION_KILL'").withColumn("first", first_of_match(F.col("event_ms"), "match_id"))
     w = Window.partitionBy("match_id").orderBy("event_ms")
     kills = kills.withColumn("trade", F.count(F.lit(1)).over(w.rangeBetween(-TRADE, TRADE)) > F.count(F.lit(1)).over(w.rangeBetween(0, 0)))
     kills = kills.filter("e.position.x is not null and e.position.y is not null").join(parts.select("match_id", F.col("pid").alias("vp")), (parts["match_id"] == kills["match_id"]) & (F.col("vp") == F.col("e.victimId")), "left_semi")
-    base = kills.select("match_id", *ORDER, F.col("e.victimId").alias("victim_pid"), F.coalesce("e.killerId", F.lit(0)).alias("killer_said"), cause().alias("cause"), F.col("e.position.x").alias("rx"), F.col("e.position.y").alias("ry"), F.coalesce(F.size("e.assistingParticipantIds"), F.lit(0)).alias("assist_n"), (F.coalesce("e.bounty", F.lit(0)) + F.coalesce("e.shutdownBounty", F.lit(0))).alias("gold"), "first_ms", "trade")
+    base = kills.select("match_id", *ORDER, F.col("e.victimId").alias("victim_pid"), F.coalesce("e.killerId", F.lit(0)).alias("killer_said"), cause().alias("cause"), F.col("e.position.x").alias("rx"), F.col("e.position.y").alias("ry"), F.coalesce(F.size("e.assistingParticipantIds"), F.lit(0)).alias("assist_n"), (F.coalesce("e.bounty", F.lit(0)) + F.coalesce("e.shutdownBounty", F.lit(0))).alias("gold"), "first", "trade")
     base = asof(base, frame_times(timelines), ["match_id"], "event_ms", "frame", first_if_none=True).withColumn("fi", F.col("frame.fi")).drop("frame")
 
     # Ten rows a kill, one a player, with level events between them.
@@ -82,7 +100,7 @@ def kill_facts(matches: DataFrame, timelines: DataFrame) -> DataFrame:
     actors = actors.withColumns({"alive": F.coalesce(F.last("until", ignorenulls=True).over(run) <= F.col("event_ms"), F.lit(True)), "last_death": F.last(F.when(F.col("died"), F.col("event_ms")), ignorenulls=True).over(run), "n_deaths": n(F.col("died")), "n_kills": n(F.col("killed"))})
     actors = actors.withColumnRenamed("gold", "bounty_gold").join(player_frames(timelines), ["match_id", "fi", "pid"], "left")
     one = F.struct("pid", "team", "role", "champ", "puuid", "won", "imputed", "opp", "opp_champ", "level", "alive", "last_death", "n_deaths", "n_kills", "gold", "cs", "px", "py")
-    first = ["fi", "victim_pid", "killer_said", "cause", "rx", "ry", "assist_n", "bounty_gold", "first_ms", "trade"]
+    first = ["fi", "victim_pid", "killer_said", "cause", "rx", "ry", "assist_n", "bounty_gold", "first", "trade"]
     rows = actors.groupBy("match_id", *ORDER).agg(*[F.first(c).alias(c) for c in first], F.collect_list(one).alias("ps"))
 
     pick = lambda pid: F.get(F.filter("ps", lambda p: p.pid == pid), F.lit(0))
@@ -95,7 +113,7 @@ def kill_facts(matches: DataFrame, timelines: DataFrame) -> DataFrame:
         "x": F.bround("rx").cast("int"), "y": F.bround("ry").cast("int"), "second": F.least(F.lit(65535), F.floor(F.col("event_ms") / 1000)).cast("int"), "assists": F.col("assist_n"), "bounty": F.least(F.lit(65535), F.col("bounty_gold")).cast("int"),
         "killer_pid": F.when(k.isNotNull(), F.col("killer_said")).otherwise(0), "alive_counts": F.shiftleft(alive(100), 4).bitwiseOR(alive(200)),
         "team_gold": S.i16(F.when(F.exists("ps", lambda p: p.gold.isNotNull()), team_sum(100) - team_sum(200))),
-        "flags": flag(v.team == 200, S.RED) + flag(v.won, S.WON) + flag(F.col("event_ms") == F.col("first_ms"), S.FIRST_BLOOD) + flag(G.under_turret(F.col("rx"), F.col("ry")), S.UNDER_TURRET) + flag(F.col("trade"), S.TRADE) + flag(v.imputed | F.coalesce(k.imputed, F.lit(False)), S.IMPUTED),
+        "flags": flag(v.team == 200, S.RED) + flag(v.won, S.WON) + flag(F.col("first"), S.FIRST_BLOOD) + flag(G.under_turret(F.col("rx"), F.col("ry")), S.UNDER_TURRET) + flag(F.col("trade"), S.TRADE) + flag(v.imputed | F.coalesce(k.imputed, F.lit(False)), S.IMPUTED),
     }
     for who, c in (("victim", v), ("killer", k)):
         out |= {f"{who}_{name}": x for name, x in zip(BLOCK, _block(c, who), strict=True)}
@@ -106,20 +124,35 @@ def kill_facts(matches: DataFrame, timelines: DataFrame) -> DataFrame:
 
 def _block(a: Column, who: str) -> list[Column]:
     foe = F.get(F.filter("ps", lambda p: p.pid == a.opp), F.lit(0))
-    far = lambda p: F.hypot(p.px - a.px, p.py - a.py)
-    mates = F.filter("ps", lambda p: (p.team == a.team) & (p.pid != a.pid) & p.alive & p.px.isNotNull())
-    foes = F.filter("ps", lambda p: (p.team != a.team) & p.alive & p.px.isNotNull() & (far(p) <= G.NEAR_RADIUS))
+    mate, foes = near(a, F.col("ps"), lambda p: (p.team == a.team) & (p.pid != a.pid) & p.alive, lambda p: (p.team != a.team) & p.alive)
     placed = a.px.isNotNull()
     return [
-        a.champ, a.role, S.u8(a.level), S.i16(a.gold - foe.gold), S.i16(a.cs - foe.cs), S.u8(F.when(placed, F.array_min(F.transform(mates, far))) / 100), S.u8(F.when(placed, F.size(foes))),
+        a.champ, a.role, S.u8(a.level), S.i16(a.gold - foe.gold), S.i16(a.cs - foe.cs), S.u8(F.when(placed, mate) / 100), S.u8(F.when(placed, foes)),
         S.u8(a.n_deaths if who == "victim" else a.n_kills), S.u8((F.col("event_ms") - a.last_death) / 1000, 4), a.opp_champ, a.puuid,
     ]
 
 
+def field_audit(rows: DataFrame, kind: str, json: Column) -> DataFrame:
+    """How often each value of `kind` sets each field of a JSON object; a null field is not set."""
+    fields = F.map_keys(F.map_filter(F.from_json(json, "map<string,string>"), lambda _, v: v.isNotNull()))
+    return rows.select(kind, F.explode(fields).alias("field")).groupBy(kind, "field").agg(F.count(F.lit(1)).alias("n"))
+
+
 def audit(timelines: DataFrame) -> DataFrame:
     """How often each event type sets each field."""
-    ev = events(timelines).withColumn("fields", F.map_keys(F.from_json(F.to_json("e"), "map<string,string>")))
-    return ev.select(F.col("e.type").alias("type"), F.explode("fields").alias("field")).groupBy("type", "field").agg(F.count(F.lit(1)).alias("n"))
+    ev = events(timelines).withColumn("type", F.col("e.type"))
+    return field_audit(ev, "type", F.to_json("e"))
+
+
+#: Least and greatest of the columns' wire types.
+WIDTHS = {"u8": (0, 255), "u16": (0, 65_535), "i16": (-32_768, 32_767)}
+KINDS = {"x": "i16", "y": "i16", "second": "u16", "assists": "u8", "bounty": "u16", "cause": "u8", "flags": "u8", "region": "u8", "alive_counts": "u8", "objectives_up": "u8", "since_objective": "u8", "team_gold": "i16"} | {f"{who}_{c}": kind for who in ("victim", "killer") for c, kind in (("champ", "u16"), ("role", "u8"), ("level", "u8"), ("gold_diff_lane", "i16"), ("cs_diff_lane", "i16"), ("isolation", "u8"), ("enemies_near", "u8"), ("ordinal", "u8"), ("since_prev_death", "u8"), ("lane_opp_champ", "u16"))}
+
+
+def out_of_range(facts: DataFrame) -> DataFrame:
+    """match_id and column of values that their wire type cannot hold. An unknown value can be held by all."""
+    bad = [F.when(~F.col(c).between(*WIDTHS[kind]), c) for c, kind in KINDS.items() if c in facts.columns]
+    return facts.select("match_id", F.explode(F.array_compact(F.array(*bad))).alias("column")).distinct()
 
 
 def unreconciled(facts: DataFrame, matches: DataFrame, timelines: DataFrame) -> DataFrame:

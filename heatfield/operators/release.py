@@ -1,14 +1,26 @@
-"""Releases: integrity, dense keys, the denormalised table, a content digest, and an atomic pointer."""
+"""Releases: relabelled zones, integrity, dense keys, the wide table, a content digest, a manifest and a pointer.
+
+A release is four tables under root/<table>/dataset_id=<id>. Its id is a digest of facts, dimensions and versions, so the
+same content is the same release, and new names or games without a kill make a new one. The tables are written first,
+then the manifest, which is the release's mark of completeness: without it a release is written anew. The pointer is a
+file of a new name each time, put in place by one rename; the one with the greatest number counts, so there is always one.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from heatfield.functions import geometry as G
+
 IDENTITY = ("match_id", "frame_index", "event_index")
+TABLES = ("fact_kill", "dim_match", "dim_participant", "kills_wide")
+#: The most players and patches that their keys' wire types hold.
+MOST_PLAYERS, MOST_PATCHES = 65_534, 254
 
 
 def duplicates(df: DataFrame, *by: str) -> DataFrame:
@@ -19,35 +31,71 @@ def orphans(fact: DataFrame, dim: DataFrame, on: list[str]) -> DataFrame:
     return fact.join(dim, on, "left_anti")
 
 
-def dense_keys(dim: DataFrame, key: str, sk: str, most: int = 65_534) -> DataFrame:
-    """Keys from 0 in order of a dimension's values. The window has one partition, so only a small dimension is taken."""
+def count_report(df: DataFrame, key: str, when: Column, over: str) -> DataFrame:
+    """One row: rows, rows beyond the distinct keys, rows for which `when` holds, least and greatest of `over`."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) - F.count_distinct(key)).alias("repeats"), F.count_if(when).alias("matching"), F.min(over).alias("first"), F.max(over).alias("last"))
+
+
+def dense_keys(dim: DataFrame, key: str, sk: str, most: int = MOST_PLAYERS) -> DataFrame:
+    """Keys from 0 in order of a small dimension's values, by one window; more than `most` values are an error."""
     values = dim.select(key).distinct()
     if values.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} values of {key}")
     return values.withColumn(sk, (F.row_number().over(Window.orderBy(key)) - 1).cast("int"))
 
 
+def ranged_keys(dim: DataFrame, key: str, sk: str, path: str) -> DataFrame:
+    """Keys from 0 in order of a dimension's values, of any number of them: the values are dealt by range and stored under path, and a range's keys begin behind those of the ranges before it."""
+    spark, values = dim.sparkSession, dim.select(key).distinct()
+    values.repartitionByRange(key).sortWithinPartitions(key).withColumn("at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+    # The upper bits of `at` are the range, the lower ones the place in it.
+    placed = spark.read.schema(f"{key} {values.schema[key].dataType.simpleString()}, at long").parquet(path).select(key, F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND((1 << 33) - 1).alias("place"))
+    sizes = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # a row a range
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    return placed.join(F.broadcast(before), "range").select(key, (F.col("before") + F.col("place")).alias(sk))
+
+
 def latest_names(players: DataFrame) -> DataFrame:
     """puuid and the name of its last match, matches ordered as text."""
     return players.groupBy("puuid").agg(F.max_by("display_name", "match_id").alias("display_name"))
 
 
-def denormalised(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame) -> DataFrame:
-    """Facts with match, patch and player keys; as many rows as before, or an error."""
-    match, patch, player = dense_keys(dim_match, "match_id", "match", (1 << 31) - 2), dense_keys(dim_match, "patch_id", "patch", 254), dense_keys(dim_player, "puuid", "player")
-    out = fact.join(match, "match_id").join(dim_match.select("match_id", "patch_id"), "match_id").join(patch, "patch_id")
-    for who in ("victim", "killer"):
-        out = out.join(player.select(F.col("puuid").alias(f"{who}_player_id"), F.col("player").alias(f"{who}_player")), f"{who}_player_id", "inner" if who == "victim" else "left")
+def denormalised(fact: DataFrame, keys: dict[str, tuple[str, DataFrame, str]]) -> DataFrame:
+    """fact with the columns of keys[name] = (column of fact, table of one row a value, inner or left): each table's first column is the value,
+    the others are added. Raises if the number of rows changes."""
+    out = fact
+    for column, table, how in keys.values():
+        out = out.join(table.withColumnRenamed(table.columns[0], column), column, how)
+    if out.count() != fact.count():
+        raise ValueError("the joins changed the number of rows")
     return out
 
 
-def dataset_id(fact: DataFrame, versions: dict) -> str:
-    """A digest of the rows, whatever their order and files: row hashes add up a match, and matches a release."""
-    row = F.sha2(F.to_json(F.struct(*sorted(fact.columns)), {"ignoreNullFields": "false"}), 256)
+def wide(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame, work: str) -> DataFrame:
+    """Facts with keys of match, patch and players."""
+    match = ranged_keys(dim_match, "match_id", "match", f"{work}/match_keys").join(dim_match.select("match_id", "patch_id"), "match_id")
+    match = match.join(F.broadcast(dense_keys(dim_match, "patch_id", "patch", MOST_PATCHES)), "patch_id").select("match_id", "match", "patch")
+    player = dense_keys(dim_player, "puuid", "player")
+    side = lambda who: player.select("puuid", F.col("player").alias(f"{who}_player"))
+    return denormalised(fact, {"match": ("match_id", match, "inner"), "victim": ("victim_player_id", side("victim"), "inner"), "killer": ("killer_player_id", side("killer"), "left")})
+
+
+def relabelled(fact: DataFrame) -> DataFrame:
+    """Facts with the zones of today's map."""
+    return fact.withColumn("region", G.zone_of(F.col("x"), F.col("y")).cast(fact.schema["region"].dataType))
+
+
+def row_sums(df: DataFrame) -> list[str]:
+    """Sums of row hashes: equal for equal rows, whatever their order and files."""
+    row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
     bits = [F.sum(F.conv(F.substring(row, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(5)]
-    sums = fact.agg(F.count(F.lit(1)).alias("n"), *bits).first()
-    text = json.dumps([sorted(versions.items()), [str(x) for x in sums]])
-    return "v1-" + fact.sparkSession.range(1).select(F.sha2(F.lit(text), 256)).first()[0][:20]
+    return [str(x) for x in df.agg(F.count(F.lit(1)).alias("n"), *bits).first()]
+
+
+def dataset_id(tables: dict[str, DataFrame], versions: dict) -> str:
+    sums = {name: row_sums(df) for name, df in tables.items()}
+    text = json.dumps([sorted(versions.items()), [[n, [list(p) for p in poly]] for n, poly in G.ZONES], sorted(sums.items())])
+    return "v1-" + next(iter(tables.values())).sparkSession.range(1).select(F.sha2(F.lit(text), 256)).first()[0][:20]
 
 
 def _fs(spark: SparkSession, path: str):
@@ -56,41 +104,77 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes beside, then renames."""
+def put(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a file of a name that is never written twice: beside, then renamed. False if it is there with the same text; another text is an error."""
     fs, to, jvm = _fs(spark, path)
-    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    if fs.exists(to):
+        if "".join(r.value + "\n" for r in spark.read.text(path).collect()).strip() != text.strip():
+            raise FileExistsError(f"{path} holds something else")
+        return False
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(to, False)
     if not fs.rename(beside, to):
-        raise OSError(f"{path} was not replaced")
+        raise OSError(f"{path} was not put in place")
+    return True
+
+
+def faults(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame) -> list[str]:
+    """What keeps facts and dimensions from being a release."""
+    pid = lambda who: dim_player.select("match_id", F.col("pid").alias(f"{who}_pid"))
+    tests = {
+        "duplicate": duplicates(fact, *IDENTITY), "duplicate match": duplicates(dim_match, "match_id"), "match": orphans(fact, dim_match, ["match_id"]),
+        "victim": orphans(fact, pid("victim"), ["match_id", "victim_pid"]), "killer": orphans(fact.filter("killer_pid <> 0"), pid("killer"), ["match_id", "killer_pid"]),
+    }
+    return [name for name, rows in tests.items() if not rows.isEmpty()]
+
+
+def manifest(name: str, versions: dict, fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame) -> dict:
+    """What a release holds: counts, patches, zones and the span of its games."""
+    span = dim_match.agg(F.min("game_start_ms"), F.max("game_start_ms"), F.count(F.lit(1))).first()
+    patches = [r.patch_id for r in dense_keys(dim_match, "patch_id", "sk", MOST_PATCHES).orderBy("sk").collect()]
+    return {"dataset_id": name, "versions": versions, "rows": fact.count(), "matches": span[2], "players": dim_player.select("puuid").distinct().count(), "game_start": [span[0], span[1]], "patches": patches, "regions": G.ZONE_NAMES}
 
 
 def publish(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame, root: str, versions: dict, guard: Callable[[], None] | None = None) -> str:
-    """Checks, writes and points to a release; a release that is there already is left alone. Returns its id."""
+    """Checks, writes and points to a release; one that is there whole is left alone. Returns its id. A release may have games without a fact, but not no game."""
     spark = fact.sparkSession
-    if fact.isEmpty():
-        raise ValueError("no facts")
-    faults = {"duplicate": not duplicates(fact, *IDENTITY).isEmpty(), "match": not orphans(fact, dim_match, ["match_id"]).isEmpty(), "victim": not orphans(fact, dim_player.select(F.col("match_id"), F.col("pid").alias("victim_pid")), ["match_id", "victim_pid"]).isEmpty(), "killer": not orphans(fact.filter("killer_pid <> 0"), dim_player.select("match_id", F.col("pid").alias("killer_pid")), ["match_id", "killer_pid"]).isEmpty()}
-    if any(faults.values()):
-        raise ValueError(f"the release is not whole: {sorted(k for k, v in faults.items() if v)}")
-    name = dataset_id(fact, versions)
-    fs, done, jvm = _fs(spark, f"{root}/fact_kill/dataset_id={name}/_SUCCESS")
+    if dim_match.isEmpty():
+        raise ValueError("no games")
+    fact = relabelled(fact)
+    if found := faults(fact, dim_match, dim_player):
+        raise ValueError(f"the release is not whole: {sorted(found)}")
+    name = dataset_id({"fact_kill": fact, "dim_match": dim_match, "dim_participant": dim_player}, versions)
+    fs, done, jvm = _fs(spark, f"{root}/manifest/{name}.json")
     if not fs.exists(done):
-        wide = denormalised(fact, dim_match, dim_player)
-        for table, df in (("fact_kill", fact), ("dim_match", dim_match), ("dim_participant", dim_player), ("heatmap", wide)):
+        made = wide(fact, dim_match, dim_player, f"{root}/work/{name}")
+        for table_name, df in zip(TABLES, (fact, dim_match, dim_player, made), strict=True):
             order = [c for c in (*IDENTITY, "pid") if c in df.columns]
-            df.repartitionByRange(*order[:1]).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{table}/dataset_id={name}")
+            df.repartitionByRange(*order[:1]).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{table_name}/dataset_id={name}")
+        names = latest_names(dim_player)
+        names.join(dense_keys(dim_player, "puuid", "player"), "puuid").write.mode("overwrite").parquet(f"{root}/players/dataset_id={name}")
+        put(spark, f"{root}/manifest/{name}.json", json.dumps(manifest(name, versions, fact, dim_match, dim_player)))
     if guard:
         guard()
-    _write_text(spark, f"{root}/current.json", json.dumps({"dataset_id": name, "versions": versions}))
+    if (_pointer(spark, root) or (0, ""))[1] != name:
+        number = (_pointer(spark, root) or (0, ""))[0] + 1
+        put(spark, f"{root}/current/{number:012d}-{name}", name)
     return name
 
 
+def _pointer(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    fs, folder, jvm = _fs(spark, f"{root}/current")
+    names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    found = [(int(n[:12]), n[13:]) for n in names if len(n) > 13 and n[:12].isdigit() and "." not in n]
+    return max(found, default=None)
+
+
 def current(spark: SparkSession, root: str) -> str:
-    return json.loads("".join(r.value for r in spark.read.text(f"{root}/current.json").collect()))["dataset_id"]
+    found = _pointer(spark, root)
+    if found is None:
+        raise FileNotFoundError(f"no release under {root}")
+    return found[1]
 
 
 def table(spark: SparkSession, root: str, name: str, dataset: str | None = None) -> DataFrame:
@@ -98,11 +182,47 @@ def table(spark: SparkSession, root: str, name: str, dataset: str | None = None)
     return spark.read.parquet(f"{root}/{name}/dataset_id={dataset or current(spark, root)}")
 
 
+def broken(facts: DataFrame, matches: int, patches: int, players: int, regions: int = len(G.ZONE_NAMES)) -> DataFrame:
+    """Rows of a wide table that no release may have, with fault: places off the map, unknown roles, keys beyond their
+    dimensions, a killer's champion without a killer."""
+    within = lambda c, n: F.coalesce(F.col(c).between(0, n - 1), F.lit(False))
+    role = lambda c: F.col(c).isNull() | F.col(c).between(0, 4)
+    tests = {
+        "place": F.col("x").between(G.MIN_X, G.MIN_X + G.SPAN_X) & F.col("y").between(G.MIN_Y, G.MIN_Y + G.SPAN_Y), "role": role("victim_role") & role("killer_role"),
+        "reference": within("match", matches) & within("patch", patches) & within("region", regions) & within("victim_player", players) & ((F.col("cause") != 0) | within("killer_player", players)),
+        "execution": (F.col("cause") == 0) | F.col("killer_champ").isNull(),
+    }
+    fault = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in tests.items()])
+    return facts.withColumn("fault", fault).filter("fault is not null")
+
+
+def ungrouped(facts: DataFrame) -> DataFrame:
+    """Matches of a release's files whose rows are not in order within their file."""
+    file = F.input_file_name()
+    rows = facts.select("match", file.alias("file"), F.monotonically_increasing_id().alias("at"))
+    before = F.lag("match").over(Window.partitionBy("file").orderBy("at"))
+    return rows.withColumn("before", before).filter("match < before").select("match").distinct()
+
+
+def verified(spark: SparkSession, root: str, dataset: str | None = None) -> dict:
+    """The manifest of a release that holds what it says; anything else is an error."""
+    name = dataset or current(spark, root)
+    said = json.loads("".join(r.value for r in spark.read.text(f"{root}/manifest/{name}.json").collect()))
+    facts, players = table(spark, root, "kills_wide", name), table(spark, root, "players", name)
+    if said["dataset_id"] != name or said["rows"] != facts.count() or said["players"] != players.count() or said["matches"] != table(spark, root, "dim_match", name).count():
+        raise ValueError("the tables are not those of the manifest")
+    if bad := broken(facts, said["matches"], len(said["patches"]), said["players"]).first():
+        raise ValueError(f"a row has a fault: {bad.fault}")
+    if not ungrouped(facts).isEmpty():
+        raise ValueError("rows are not grouped by match")
+    return said
+
+
 def register(spark: SparkSession, root: str, dataset: str | None = None) -> None:
     """The SQL surface: a view for each table of a release, and the geometry as SQL functions."""
     from heatfield.functions.geometry import _zone
 
-    for name in ("fact_kill", "dim_match", "dim_participant", "heatmap"):
+    for name in TABLES:
         table(spark, root, name, dataset).createOrReplaceTempView(name)
     spark.udf.register("zone_of", _zone)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION danger(d BIGINT, k BIGINT) RETURNS DOUBLE RETURN CASE WHEN d + k >= 5 THEN (d + 5.0D) / (d + k + 10.0D) END")

@@ -11,8 +11,10 @@ from heatfield.functions import geometry as G
 from heatfield.functions import scalars as S
 from heatfield.operators import collection as C
 from heatfield.operators import facets as H
+from heatfield.operators import facts as X
 from heatfield.operators import release as R
 from heatfield.operators.asof import asof, others_within, prior
+from heatfield.sources import documents as D
 from heatfield.sources.adapter import cell_sql, facts, facts_sql
 from heatfield.streaming.ingest import first_of
 
@@ -70,7 +72,7 @@ def facet_filter(spark, d):
 
 @query(f"{seen_sql('flags = 1 AND coalesce(killer_player NOT IN (3, 10), true)', 'flags = 0 AND victim_player NOT IN (3, 10)')} SELECT {AGG} FROM s")
 def actor_side(spark, d):
-    want = H.State(subject=H.Actor(side=200), opponent=H.Actor(player=((3, True), (10, True))))
+    want = H.State(subject=H.Actor(side=((200, False),)), opponent=H.Actor(player=((3, True), (10, True))))
     return H.totals(seen(spark, d, want))
 
 
@@ -170,7 +172,7 @@ def trade_interval(spark, d):
 @query("SELECT event_id, ts = min(ts) OVER (PARTITION BY event_id // 28) AS first_blood FROM events")
 def first_event(spark, d):
     ev = read(spark, d, "events").withColumn("match", F.expr("event_id div 28"))
-    return ev.select("event_id", (F.col("ts") == F.min("ts").over(Window.partitionBy("match"))).alias("first_blood"))
+    return ev.select("event_id", X.first_of_match(F.col("ts"), "match").alias("first_blood"))
 
 
 @query("SELECT event_id, count(*) OVER w AS ordinal, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT NULL THEN CAST(least(254, floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1e6 / 3600)) AS INTEGER) END AS since_last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
@@ -189,22 +191,18 @@ def level_last_value(spark, d):
 @query("""WITH e AS (SELECT event_id, event_id // 28 AS m, event_id % 28 * 60 AS t, event_type AS e FROM events), w AS (SELECT *, last_value(CASE WHEN e = 'signup' THEN t END IGNORE NULLS) OVER p AS dragon, max(CASE WHEN e = 'signup' AND event_id % 3 = 0 THEN 1 END) OVER p AS elder, last_value(CASE WHEN e = 'purchase' THEN t END IGNORE NULLS) OVER p AS baron, max(CASE WHEN e = 'error' THEN 1 END) OVER p AS herald FROM e WINDOW p AS (PARTITION BY m ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT event_id, CAST(CASE WHEN t >= coalesce(dragon + 300, 300) THEN CASE WHEN elder = 1 THEN 8 ELSE 1 END ELSE 0 END + CASE WHEN t >= coalesce(baron + 360, 1200) THEN 2 ELSE 0 END + CASE WHEN herald IS NULL AND t >= 840 AND t < 1500 THEN 4 ELSE 0 END AS INTEGER) AS up FROM w""")
 def objective_mask(spark, d):
-    ev = read(spark, d, "events").select("event_id", F.expr("event_id div 28").alias("m"), (F.col("event_id") % 28 * 60).alias("t"), F.col("event_type").alias("e"))
-    w = prior(["m"], "t", "event_id")
-    last = lambda e, also=True: F.last(F.when((F.col("e") == e) & also, F.col("t")), ignorenulls=True).over(w)
-    t = F.col("t")
-    up = F.when(t >= F.coalesce(last("signup") + 300, F.lit(300)), F.when(last("signup", F.col("event_id") % 3 == 0).isNotNull(), S.ELDER).otherwise(S.DRAGON)).otherwise(0)
-    up = up + F.when(t >= F.coalesce(last("purchase") + 360, F.lit(1200)), S.BARON).otherwise(0) + F.when(last("error").isNull() & t.between(840, 1499), S.HERALD).otherwise(0)
-    return ev.select("event_id", up.alias("up"))
+    ev = read(spark, d, "events").select("event_id", F.expr("event_id div 28").alias("m"), (F.col("event_id") % 28 * 60_000).alias("t"), F.col("event_type").alias("e"))
+    at = lambda e: F.when(F.col("e") == e, F.col("t"))
+    ev = ev.withColumns({"dragon": at("signup"), "elder": F.when((F.col("e") == "signup") & (F.col("event_id") % 3 == 0), True), "baron": at("purchase"), "herald": F.when(F.col("e") == "error", True)})
+    return ev.select("event_id", X.objectives_up(F.col("t"), ["m"], ("t", "event_id")).alias("up"))
 
 
 @query(f"WITH {K} SELECT a.event_id, CAST(floor(min(sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE))) FILTER (WHERE a.flags = b.flags) / 100) AS BIGINT) AS isolation, count(*) FILTER (WHERE a.flags <> b.flags AND sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE)) <= 2000) AS enemies_near FROM k a JOIN k b ON a.\"match\" = b.\"match\" AND a.event_id <> b.event_id GROUP BY 1")
 def neighbours(spark, d):
-    k = facts(spark, d, False).select("match", "event_id", "x", "y", "flags")
-    far = G.distance(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"))
-    own = F.col("a.flags") == F.col("b.flags")
-    pairs = k.alias("a").join(k.alias("b"), (F.col("a.match") == F.col("b.match")) & (F.col("a.event_id") != F.col("b.event_id")))
-    return pairs.groupBy("a.event_id").agg(F.floor(F.min(F.when(own, far)) / 100).alias("isolation"), F.count_if(~own & (far <= G.NEAR_RADIUS)).alias("enemies_near"))
+    k = facts(spark, d, False).select("match", "event_id", F.col("x").alias("px"), F.col("y").alias("py"), "flags")
+    k = k.withColumn("ps", F.collect_list(F.struct("event_id", "px", "py", "flags")).over(Window.partitionBy("match")))
+    mate, foes = X.near(F.struct("px", "py"), F.col("ps"), lambda p: (p["flags"] == F.col("flags")) & (p["event_id"] != F.col("event_id")), lambda p: p["flags"] != F.col("flags"))
+    return k.filter(F.size("ps") > 1).select("event_id", F.floor(mate / 100).alias("isolation"), foes.cast("long").alias("enemies_near"))
 
 
 _TURRET = " OR ".join(f"sqrt(pow(x - ({u * G.SPAN_X + G.MIN_X!r}e0), 2) + pow(y - ({v * G.SPAN_Y + G.MIN_Y!r}e0), 2)) <= 775" for a, b in G.TURRETS for u, v in ((a, b), (1.0 - b, 1.0 - a)))
@@ -227,21 +225,19 @@ def mirror_and_phase(spark, d):
     return facts(spark, d, False).select("event_id", F.round(mx, 4).alias("mx"), F.round(my, 4).alias("my"), F.round(sx, 4).alias("sx"), F.round(sy, 4).alias("sy"), S.phase(F.col("second") / 60).alias("phase"))
 
 
-_LANE = "SELECT o_custkey % 100 AS m, o_orderkey % 2 * 100 + 100 AS team, o_orderkey % 5 AS role, o_orderkey AS pid FROM orders WHERE o_orderkey % 7 <> 0"
+_LANE = "SELECT o_custkey % 100 AS m, o_orderkey % 2 * 100 + 100 AS team, nullif(o_orderkey % 6, 5) AS role, o_orderkey AS pid FROM orders"
 
 
 @query(f"WITH p AS ({_LANE}), f AS (SELECT m, 300 - team AS team, role, max(pid) AS opp FROM p GROUP BY ALL) SELECT p.pid, f.opp FROM p LEFT JOIN f USING (m, team, role)")
 def lane_opponent_self_join(spark, d):
-    o = read(spark, d, "orders").filter("o_orderkey % 7 <> 0")
-    p = o.selectExpr("o_custkey % 100 AS m", "o_orderkey % 2 * 100 + 100 AS team", "o_orderkey % 5 AS role", "o_orderkey AS pid")
-    foe = p.groupBy("m", (300 - F.col("team")).alias("team"), "role").agg(F.max("pid").alias("opp"))
-    return p.join(foe, ["m", "team", "role"], "left").select("pid", "opp")
+    p = read(spark, d, "orders").selectExpr("o_custkey % 100 AS match_id", "o_orderkey % 2 * 100 + 100 AS team", "nullif(o_orderkey % 6, 5) AS role", "o_orderkey AS pid", "o_orderkey AS place", "o_orderkey AS champ")
+    return D.lane_opponents(p).select("pid", "opp")
 
 
-@query("SELECT count(*) AS orphans FROM lineitem l WHERE l_partkey % 50 <> 0 AND NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p_size > 10)")
+@query("SELECT count(*) AS orphans FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p_size > 10)")
 def integrity_orphans(spark, d):
     dim = read(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("l_partkey"))
-    return R.orphans(read(spark, d, "lineitem").filter("l_partkey % 50 <> 0"), dim, ["l_partkey"]).agg(F.count(F.lit(1)).alias("orphans"))
+    return R.orphans(read(spark, d, "lineitem"), dim, ["l_partkey"]).agg(F.count(F.lit(1)).alias("orphans"))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -251,7 +247,7 @@ def duplicate_identity(spark, d):
 
 @query("SELECT count(*) AS n_rows, count(*) - count(DISTINCT l_orderkey) AS repeats, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, min(l_shipdate) AS first_day, max(l_shipdate) AS last_day FROM lineitem")
 def count_filter(spark, d):
-    return read(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) - F.count_distinct("l_orderkey")).alias("repeats"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.min("l_shipdate").alias("first_day"), F.max("l_shipdate").alias("last_day"))
+    return R.count_report(read(spark, d, "lineitem"), "l_orderkey", F.col("l_returnflag") == "R", "l_shipdate").withColumnsRenamed({"matching": "returned", "first": "first_day", "last": "last_day"})
 
 
 @query("SELECT c_mktsegment, CAST(row_number() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS sk FROM (SELECT DISTINCT c_mktsegment FROM customer)")
@@ -267,25 +263,27 @@ def latest_name(spark, d):
 
 @query("WITH m AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS sk FROM (SELECT DISTINCT c_mktsegment FROM customer)) SELECT l_orderkey, l_linenumber, o_custkey, CAST(sk AS INTEGER) AS segment_sk, n_name, s_name, count(*) AS copies FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN m USING (c_mktsegment) JOIN nation ON c_nationkey = n_nationkey LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0 GROUP BY ALL")
 def denormalise_release(spark, d):
-    c = read(spark, d, "customer")
-    out = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    out = out.join(R.dense_keys(c, "c_mktsegment", "segment_sk"), "c_mktsegment").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    out = out.join(read(spark, d, "supplier").filter("s_acctbal > 0"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    return out.groupBy("l_orderkey", "l_linenumber", "o_custkey", "segment_sk", "n_name", "s_name").agg(F.count(F.lit(1)).alias("copies"))
+    c, o = read(spark, d, "customer"), read(spark, d, "orders").select("o_orderkey", "o_custkey")
+    named = c.join(F.broadcast(R.dense_keys(c, "c_mktsegment", "segment_sk")), "c_mktsegment").join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "segment_sk", "n_name")
+    supplier = read(spark, d, "supplier").filter("s_acctbal > 0").select("s_suppkey", "s_name")
+    lines = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    out = R.denormalised(lines, {"order": ("l_orderkey", o, "inner"), "customer": ("o_custkey", named, "inner"), "supplier": ("l_suppkey", supplier, "left")})
+    return out.groupBy("l_orderkey", "l_linenumber", "o_custkey", "segment_sk", "n_name", "s_name").agg(F.sum("n").alias("copies"))
 
 
-@query("SELECT o_orderkey, CASE WHEN nullif(o_custkey % 10, 0) IS DISTINCT FROM 1 AND o_custkey % 10 < 2 THEN 'wrong_map' WHEN o_orderstatus = 'P' THEN 'not_complete' WHEN (CASE WHEN o_orderpriority LIKE '1%' THEN o_totalprice ELSE o_totalprice / 1000 END) < 300 THEN 'too_short' END AS reason FROM orders")
+@query("SELECT o_orderkey, CASE WHEN nullif(o_custkey % 10, 0) IS NULL THEN 'wrong_map' WHEN o_custkey % 10 = 1 THEN 'wrong_queue' WHEN o_orderstatus = 'P' THEN 'not_complete' WHEN o_orderkey % 9 = 0 THEN 'early_surrender' WHEN (CASE WHEN o_orderpriority LIKE '1%' THEN o_totalprice // 1 ELSE (o_totalprice // 1) / 1000 END) < 300 THEN 'too_short' WHEN o_orderkey % 7 = 0 THEN 'bad_participant_count' WHEN o_orderkey % 5 = 0 THEN 'out_of_patch' END AS reason FROM orders")
 def rejection_reason(spark, d):
-    o = F.col
-    odd = F.nullif(o("o_custkey") % 10, F.lit(0))
-    length = F.when(o("o_orderpriority").startswith("1"), o("o_totalprice")).otherwise(o("o_totalprice") / 1000)
-    return read(spark, d, "orders").select("o_orderkey", F.when(~odd.eqNullSafe(1) & (o("o_custkey") % 10 < 2), "wrong_map").when(o("o_orderstatus") == "P", "not_complete").when(length < 300, "too_short").alias("reason"))
+    one = "named_struct('participantId', 1, 'teamEarlySurrendered', o_orderkey % 9 = 0)"
+    info = f"""named_struct('mapId', if(o_custkey % 10 = 0, cast(null as int), 11), 'queueId', if(o_custkey % 10 = 1, 450, 420), 'endOfGameResult', if(o_orderstatus = 'P', 'Abort', null),
+        'gameEndTimestamp', if(o_orderpriority like '1%', 1L, null), 'gameDuration', cast(floor(o_totalprice) as bigint), 'gameVersion', if(o_orderkey % 5 = 0, '13.1.1', '14.3.1'), 'participants', array_repeat({one}, if(o_orderkey % 7 = 0, 9, 10)))"""
+    return read(spark, d, "orders").select("o_orderkey", F.expr(info).alias("info")).select("o_orderkey", D.rejection(["14.3"]).alias("reason"))
 
 
-@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' AND o_custkey % 3 <> 0) OR (o_orderstatus = 'P' AND o_custkey % 4 = 0))")
 def settled_anti_join(spark, d):
-    done = read(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return read(spark, d, "lineitem").select("l_orderkey").distinct().join(done, "l_orderkey", "left_anti")
+    records = read(spark, d, "orders").selectExpr("o_orderkey AS match_id", "CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'rejected' ELSE 'error' END AS status", "if(o_custkey % 3 = 0, 0, 1) AS schema", "if(o_custkey % 4 = 0, '14.3', if(o_custkey % 4 = 1, null, '14.2')) AS scope")
+    left = C.unsettled(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("match_id")), C.settled(records, 1, "14.3"))
+    return left.withColumnRenamed("match_id", "l_orderkey")
 
 
 @query("SELECT o_custkey, arg_min(o_orderkey, o_orderpriority || lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS first_order FROM orders GROUP BY 1")
@@ -295,20 +293,48 @@ def first_wins_dedupe(spark, d):
 
 @query("SELECT c_custkey, sha256('run-1' || CAST(c_custkey AS VARCHAR)) AS place FROM customer ORDER BY 2 LIMIT 250")
 def hash_order_sample(spark, d):
-    key = F.sha2(F.concat(F.lit("run-1"), F.col("c_custkey").cast("string")), 256)
-    return read(spark, d, "customer").select("c_custkey", key.alias("place")).orderBy("place").limit(250)
+    return C.sample(read(spark, d, "customer"), 250, "c_custkey", "run-1").select("c_custkey", F.col("order").alias("place"))
 
 
-@query("WITH n AS (SELECT p_partkey, p_name, regexp_replace(lower(p_name), '[^a-z0-9#]', '', 'g') AS n FROM part), s AS (SELECT *, CASE WHEN n = 'part1' THEN 0 WHEN starts_with(n, 'part1') THEN 1 WHEN contains(n, 'part1') THEN 2 WHEN regexp_matches(n, 'p.*a.*r.*t.*1') THEN 3 END AS score FROM n) SELECT p_partkey, score FROM s WHERE score IS NOT NULL ORDER BY score, length(p_name), p_partkey LIMIT 60")
+def _search_sql(q: str, letters: str) -> str:
+    n = "regexp_replace(lower(label), '[^a-z0-9#]', '', 'g')"
+    return f"WITH p AS (SELECT p_name || '#' || p_partkey AS label FROM part), s AS (SELECT label, CASE WHEN lower(label) = '{q}' THEN 0 WHEN starts_with({n}, '{letters}') THEN 1 WHEN contains({n}, '{letters}') THEN 2 WHEN regexp_matches({n}, '{'.*'.join(letters)}') THEN 3 END AS score FROM p) SELECT label, score FROM s WHERE score IS NOT NULL ORDER BY score, length(label), label LIMIT 60"
+
+
+@query(_search_sql("large bolt#2", "largebolt#2"))
 def fuzzy_search(spark, d):
-    p = read(spark, d, "part").withColumn("score", S.fuzzy_score("Part 1", F.col("p_name")))
-    return p.filter("score is not null").orderBy("score", F.length("p_name"), "p_partkey").limit(60).select("p_partkey", "score")
+    parts = read(spark, d, "part").select(F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("label"))
+    return S.search(parts, " Large Bolt#2", "label")
 
 
 @query("SELECT event_type, 'k' AS field, count(*) AS n FROM events WHERE json_extract(props, '$.k') IS NOT NULL GROUP BY 1")
 def json_prop_audit(spark, d):
-    keys = F.map_keys(F.from_json("props", "map<string,string>"))
-    return read(spark, d, "events").select("event_type", F.explode(keys).alias("field")).groupBy("event_type", "field").agg(F.count(F.lit(1)).alias("n"))
+    return X.field_audit(read(spark, d, "events"), "event_type", F.col("props"))
+
+
+@query("SELECT c_custkey, CASE c_nationkey % 5 WHEN 0 THEN 'americas' WHEN 1 THEN 'asia' WHEN 2 THEN 'europe' WHEN 3 THEN 'sea' END AS region, c_custkey % 50 + 1 AS burst, CAST(c_custkey % 7 AS INTEGER) AS slow FROM customer")
+def header_pairs(spark, d):
+    route = F.get(F.array(*[F.lit(x) for x in ("NA1_", "KR_", "EUW1_", "OC1_", "XX_")]), F.col("c_nationkey") % 5)
+    said = F.concat((F.col("c_custkey") % 50 + 1).cast("string"), F.lit(":1, ,x:5,"), (F.col("c_custkey") % 7).cast("string"), F.lit(":120"))
+    limits = C.pairs(said)
+    return read(spark, d, "customer").select("c_custkey", C.region_of(F.concat(route, F.col("c_custkey").cast("string"))).alias("region"), F.element_at(limits, F.lit(1)).cast("long").alias("burst"), F.element_at(limits, F.lit(120)).alias("slow"))
+
+
+@query(f"WITH {K}, b AS (SELECT event_id, CASE WHEN assists > 4 THEN 'assists' WHEN team_gold NOT BETWEEN -32768 AND 32767 THEN 'team_gold' END AS c FROM k) SELECT c AS column, count(*) AS n FROM b WHERE c IS NOT NULL GROUP BY 1")
+def fact_ranges(spark, d):
+    k = facts(spark, d, False).withColumn("match_id", F.col("event_id"))
+    return X.out_of_range(k).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {K} SELECT fault, count(*) AS n FROM (SELECT CASE WHEN killer_player >= 12 OR victim_player >= 12 THEN 'reference' END AS fault FROM k) WHERE fault IS NOT NULL GROUP BY 1")
+def release_faults(spark, d):
+    return R.broken(facts(spark, d, False), 1 << 30, 3, 12).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, value / 1000 AS lin, round(sqrt(value / 1000), 9) AS root, round(ln(1 + 9 * value / 1000) / ln(10), 9) AS log, CAST(greatest(-32767, least(32767, event_id * 7919 % 90000 - 45000)) AS INTEGER) AS gold FROM events WHERE value >= 0")
+def layer_scales(spark, d):
+    t = F.col("value") / 1000
+    return read(spark, d, "events").filter("value >= 0").select("event_id", S.scaled(t, "lin").alias("lin"), F.round(S.scaled(t, "sqrt"), 9).alias("root"), F.round(S.scaled(t, "log"), 9).alias("log"), S.i16(F.col("event_id") * 7919 % 90000 - 45000).alias("gold"))
 
 
 @query("SELECT event_id, CAST(greatest(0, least(254, floor(value / 4))) AS INTEGER) AS q, CAST(round_even(value, 0) AS INTEGER) AS half_even, round(list_extract([10, 10, 12, 12, 14, 16, 20, 21, 22, 24, 26, 28, 30, 32.5, 35, 37.5, 40, 42.5, 45, 47.5]::DOUBLE[], event_id % 20 + 1) * CASE WHEN event_id % 50 < 15 THEN 1 ELSE 1 + least(0.5e0, (event_id % 50 - 15) // 5 * 0.05e0) END, 6) AS respawn FROM events")
@@ -316,15 +342,15 @@ def signed_quantise(spark, d):
     return read(spark, d, "events").select("event_id", S.u8(F.col("value"), 4).alias("q"), F.bround("value").cast("int").alias("half_even"), F.round(S.respawn_seconds(F.col("event_id") % 20 + 1, F.col("event_id") % 50), 6).alias("respawn"))
 
 
-@query("SELECT c_custkey, c_name AS shown, CASE WHEN c_acctbal >= 0 THEN '+' ELSE '-' END || printf('%.1fk', round(abs(round(c_acctbal)) / 1000, 1)) AS gold, printf('%d:%02d', c_custkey // 60, c_custkey % 60) AS clock FROM customer")
+@query("SELECT c_custkey, c_name AS shown, CASE WHEN round(c_acctbal) > 0 THEN '+' WHEN round(c_acctbal) < 0 THEN '-' ELSE '' END || printf('%.1fk', round(abs(round(c_acctbal)) / 1000, 1)) AS gold, printf('%d:%02d', c_custkey // 60, c_custkey % 60) AS clock FROM customer")
 def text_formats(spark, d):
     return read(spark, d, "customer").select("c_custkey", S.player_name(F.concat("c_name", F.lit("#x"))).alias("shown"), S.kilo_gold(F.round("c_acctbal")).alias("gold"), S.minutes_seconds(F.col("c_custkey")).alias("clock"))
 
 
 @query("SELECT o_custkey, o_orderkey, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n <= 5")
 def history_depth(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
-    return read(spark, d, "orders").withColumn("n", F.row_number().over(w)).filter("n <= 5").select("o_custkey", "o_orderkey", "n")
+    h = read(spark, d, "orders").select(F.col("o_custkey").alias("puuid"), F.col("o_orderkey").alias("match_id"), F.col("o_orderdate").alias("created"))
+    return C.newest(h, 5).select(F.col("puuid").alias("o_custkey"), F.col("match_id").alias("o_orderkey"), F.col("place").alias("n"))
 
 
 @query("WITH i AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), j AS (SELECT n, o_orderkey IS NOT NULL AS done FROM i LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') ON l_orderkey = o_orderkey) SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_distinct, CAST(sum(n) - count(*) AS BIGINT) AS duplicates, count(*) FILTER (WHERE done) AS settled, count(*) FILTER (WHERE NOT done) AS backlog FROM j")
@@ -356,4 +382,4 @@ def history_candidates(spark, d):
 
 @query("WITH k AS (SELECT event_id, event_id * 7919 % 14990 - 120 AS x, event_id // 28 AS m FROM events) SELECT CAST(greatest(600, max(second)) AS BIGINT) AS longest, count(DISTINCT m) AS games FROM (SELECT m, event_id * 37 % 2400 AS second FROM k)")
 def dataset_limits(spark, d):
-    return facts(spark, d, False).agg(F.greatest(F.lit(600), F.max("second")).cast("long").alias("longest"), F.count_distinct("match").alias("games"))
+    return H.limits(facts(spark, d, False))

@@ -33,14 +33,13 @@ def seconds(info: str = "info") -> Column:
     return F.when(F.col(f"{info}.gameEndTimestamp").isNotNull(), d).otherwise(d / 1000)
 
 
-def rejection(patches: list[str] | None = None) -> Column:
+def rejection(patches: list[str] | None = None, info: str = "info") -> Column:
     """The first reason against a match, or null. Absent map or queue is a reason; an absent result is none."""
-    i = lambda c: F.col(f"info.{c}")
+    i = lambda c: F.col(f"{info}.{c}")
     early = F.exists(F.coalesce(i("participants"), F.array()), lambda p: F.coalesce(p.teamEarlySurrendered, F.lit(False)))
-    out = F.when(~i("mapId").eqNullSafe(MAP_ID), "wrong_map").when(~i("queueId").eqNullSafe(QUEUE_ID), "wrong_queue")
-    out = out.when(F.coalesce(i("endOfGameResult"), F.lit("GameComplete")) != "GameComplete", "not_complete").when(early, "early_surrender")
-    out = out.when(F.coalesce(seconds(), F.lit(0)) < MIN_SECONDS, "too_short").when(F.size(F.coalesce(i("participants"), F.array())) != 10, "bad_participant_count")
-    return out.when(~patch_of(i("gameVersion")).isin(patches), "out_of_patch") if patches else out
+    tests = [(~i("mapId").eqNullSafe(MAP_ID), "wrong_map"), (~i("queueId").eqNullSafe(QUEUE_ID), "wrong_queue"), (F.coalesce(i("endOfGameResult"), F.lit("GameComplete")) != "GameComplete", "not_complete"), (early, "early_surrender"), (F.coalesce(seconds(info), F.lit(0)) < MIN_SECONDS, "too_short"), (F.size(F.coalesce(i("participants"), F.array())) != 10, "bad_participant_count")]
+    tests += [(~patch_of(i("gameVersion")).isin(patches), "out_of_patch")] if patches else []
+    return F.coalesce(*[F.when(test, reason) for test, reason in tests])
 
 
 def identity_fault() -> Column:
@@ -71,5 +70,10 @@ def participants(matches: DataFrame) -> DataFrame:
     tag = F.coalesce("p.riotIdTagline", F.lit(""))
     name = F.when(F.coalesce("p.riotIdGameName", F.lit("")) != "", F.concat("p.riotIdGameName", F.lit("#"), tag)).otherwise(F.concat(F.lit("Player "), F.substring("p.puuid", 1, 8)))
     rows = p.select("match_id", "place", F.col("p.participantId").alias("pid"), F.col("p.puuid").alias("puuid"), F.coalesce("p.championId", F.lit(0)).alias("champ"), F.when(role >= 0, role).alias("role"), F.coalesce("p.teamId", F.lit(100)).alias("team"), F.coalesce("p.win", F.lit(False)).alias("won"), (said == "").alias("imputed"), name.alias("display_name"), F.col("p.deaths").alias("deaths"))
-    foe = rows.filter("role is not null").groupBy("match_id", (300 - F.col("team")).alias("team"), "role").agg(F.max_by(F.struct(F.col("pid").alias("opp"), F.col("champ").alias("opp_champ")), "place").alias("foe"))
-    return rows.join(foe, ["match_id", "team", "role"], "left").select(*rows.columns, "foe.opp", "foe.opp_champ")
+    return lane_opponents(rows)
+
+
+def lane_opponents(players: DataFrame) -> DataFrame:
+    """players(match_id, team, role, place, pid, champ) with opp and opp_champ: of the other team's players of the role the last by place; none for an unknown role."""
+    foe = players.filter("role is not null").groupBy("match_id", (300 - F.col("team")).alias("team"), "role").agg(F.max_by(F.struct(F.col("pid").alias("opp"), F.col("champ").alias("opp_champ")), "place").alias("foe"))
+    return players.join(foe, ["match_id", "team", "role"], "left").select(*players.columns, "foe.opp", "foe.opp_champ")

@@ -1,8 +1,9 @@
 """Incremental ingestion: landed pairs of documents, each match once, whatever order they come in.
 
-A file-source stream hands batches to the same transform that batch jobs use. A match that lacks its timeline or fails a
-check goes to a table of its own with the reason and is tried again whenever new files come; a match that is settled
-(committed, or rejected for good under the same scope) is left out. A batch that is run again finds its matches settled.
+A file-source stream hands the new files' texts to the same transform that batch jobs use. A match that lacks its timeline
+or fails a check goes to a table of its own with the reason; its documents are kept under pending and tried again with every batch,
+so that no batch reads what earlier ones have settled. A match that is settled (committed, or rejected for good under the
+same scope) is left out. A batch that is run again finds its matches settled.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from heatfield.operators.facts import kill_facts
+from heatfield.operators.facts import kill_facts, out_of_range, unreconciled
 from heatfield.sources import documents as D
 
+#: kind is the folder that a document landed in: match or timeline.
+LANDED = "kind string, file string, text string"
 STATUS = "match_id string, status string, reason string, batch long"
 
 
@@ -48,7 +51,17 @@ def ingest(matches: DataFrame, timelines: DataFrame, root: str, batch: int, patc
     good = judged.filter("reason is null")
     docs = good.select("metadata", "info")
     facts = kill_facts(docs, good.select("timeline.metadata", "timeline.info"))
-    facts.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/fact_kill/batch={batch}")
+    facts.write.mode("overwrite").parquet(f"{root}/work/facts={batch}")
+    facts = spark.read.schema(facts.schema).parquet(f"{root}/work/facts={batch}")
+    wrong = out_of_range(facts).select("match_id", F.lit("range").alias("why")).distinct()
+    odd = unreconciled(facts, docs, good.select("timeline.metadata", "timeline.info")).select("match_id", F.lit("kills").alias("why"))
+    wrong = odd.unionByName(wrong).groupBy("match_id").agg(F.min("why").alias("why"))
+    wrong.write.mode("overwrite").parquet(f"{root}/work/wrong={batch}")
+    wrong = spark.read.schema(wrong.schema).parquet(f"{root}/work/wrong={batch}")
+    judged = judged.join(wrong, "match_id", "left").withColumn("reason", F.coalesce("reason", "why"))
+    good = judged.filter("reason is null")
+    docs = good.select("metadata", "info")
+    facts.join(wrong, "match_id", "left_anti").write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/fact_kill/batch={batch}")
     D.participants(docs).write.mode("overwrite").parquet(f"{root}/dim_participant/batch={batch}")
     started = F.coalesce("info.gameStartTimestamp", "info.gameCreation")
     good.select("match_id", D.patch_of(F.col("info.gameVersion")).alias("patch_id"), started.alias("game_start_ms"), D.seconds().cast("long").alias("seconds")).write.mode("overwrite").parquet(f"{root}/dim_match/batch={batch}")
@@ -56,22 +69,43 @@ def ingest(matches: DataFrame, timelines: DataFrame, root: str, batch: int, patc
     judged.select("match_id", status.alias("status"), "reason", F.lit(batch).cast("long").alias("batch")).write.mode("append").parquet(f"{root}/status")
 
 
+def pending(spark: SparkSession, root: str, batch: int) -> DataFrame:
+    """kind, file, text of the documents that the batch before this one left open."""
+    try:
+        rows = spark.read.schema(f"{LANDED}, batch long").parquet(f"{root}/pending")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], LANDED)
+    last = rows.filter(F.col("batch") < batch).agg(F.max("batch")).first()[0]
+    return rows.filter(F.col("batch") == F.lit(last)).drop("batch")
+
+
 def stream(spark: SparkSession, landed: str, root: str, patches: list[str] | None = None) -> StreamingQuery:
     """Takes what has landed under landed/match and landed/timeline since the last run, then ends."""
 
     def batch(df: DataFrame, n: int) -> None:
-        ids = df.select(F.col("metadata.matchId").alias("id")).distinct()
-        pick = lambda kind, schema: D.read_documents(spark, f"{landed}/{kind}", schema)
-        open_ids = ids.join(settled(spark, root).withColumnRenamed("match_id", "id"), "id", "left_anti")
-        both = lambda d: d.join(open_ids, F.col("metadata.matchId") == F.col("id"), "left_semi")
-        ingest(both(pick("match", D.MATCH)), both(pick("timeline", D.TIMELINE)), root, n, patches)
-
-    landed_ids = spark.readStream.schema("metadata struct<matchId:string>").json(f"{landed}/*", multiLine=True)
-    return landed_ids.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-
-
-def advanced(marks: DataFrame, histories: DataFrame, floor_ms: int) -> DataFrame:
-    """New watermarks(player, scanned_from, scanned_to) from histories(player, scanned_to, finished, open). A mark moves only if its history was read to the end and no match of it is open; a mark that starts above the floor is ignored."""
+        path = f"{root}/work/landed={n}"
+        df.unionByName(pending(spark, root, n)).write.mode("overwrite").parquet(path)
+        docs = spark.read.schema(LANDED).parquet(path)
+        of = lambda kind, schema: docs.filter(F.col("kind") == kind).select(F.from_json("text", schema).alias("d"), "file").select("d.*", "file").filter("metadata.matchId is not null")
+        ingest(of("match", D.MATCH), of("timeline", D.TIMELINE), root, n, patches)
+        left = docs.withColumn("match_id", F.get_json_object("text", "$.metadata.matchId")).join(settled(spark, root), "match_id", "left_anti")
+        left.select("kind", "file", "text").write.mode("overwrite").parquet(f"{root}/pending/batch={n}")
+
+    file = F.col("_metadata.file_path")
+    texts = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(landed)
+    texts = texts.select(F.regexp_extract(file, "/([^/]+)/[^/]+$", 1).alias("kind"), file.alias("file"), F.col("value").alias("text"))
+    return texts.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+
+
+def advanced(marks: DataFrame, histories: DataFrame, floor_ms: int, unsettled: DataFrame | None = None) -> DataFrame:
+    """New watermarks(player, scanned_from, scanned_to) from histories(player, scanned_to, finished, open). A mark moves only if its history was read to the end and no match of it is open; a mark that starts above the floor is ignored.
+
+    unsettled(match_id, player): one of an unknown player may be anybody's, and keeps all marks as they are.
+    """
+    if unsettled is not None and not unsettled.filter("player is null").isEmpty():
+        return marks.select("player", "scanned_from", "scanned_to")
     ok = histories.filter("finished and open = 0").select("player", F.col("scanned_to").alias("to"))
     old = marks.filter(F.col("scanned_from") <= floor_ms)
     joined = old.join(ok, "player", "full_outer")

@@ -28,7 +28,7 @@ def sample(spark):
         (H.State(), 6, 5),
         (H.State(subject=TEN), 4, 2),
         (H.State(subject=TEN, opponent=H.Actor(role=((1, False),))), 3, 2),
-        (H.State(subject=H.Actor(side=200)), 2, 3),
+        (H.State(subject=H.Actor(side=((200, False),))), 2, 3),
         (H.State(lane_gold=(0, 1000)), 4, 3),
         (H.State(lane_gold=(0, 1000), subject=TEN), 4, 2),
         (H.State(team_gold=(1, 2000)), 3, 3),
@@ -61,14 +61,40 @@ def test_danger_and_percentiles(spark):
     assert round(H.evidence()) == 46
 
 
-def test_state_round_trip_and_rebinding(spark):
-    q = "layer=danger&schamp=10,!20&sside=red&orole=1&region=3&time=500:100&grid=64&bad=1"
-    state = H.parse_state(q)
-    assert state.time == (100, 500) and state.subject.champ == ((10, False), (20, True)) and state.subject.side == 200
-    assert H.parse_state(H.state_query(state)) == state and H.parse_state("layer=x&grid=5&time=a:b") == H.State()
-    old = spark.createDataFrame([("a", 10), ("b", 20)], "id string, sk int")
-    new = spark.createDataFrame([("a", 7)], "id string, sk int")
-    assert H.rebound(state, old, new, "champ").subject.champ == ((7, False),)
+def test_links_keep_what_is_known_and_drop_the_rest():
+    state = H.parse_state("?layer=danger&grid=12&scale=log&time=300,100&gold=-99999,99999&lanegold=-500,1000&mirror=1&s.champ=10,!20,bad,²&s.side=200&smooth=0&s.player=0")
+    assert (state.layer, state.grid, state.scale, state.time, state.team_gold, state.lane_gold, state.smooth) == ("danger", None, "log", None, (-25000, 25000), (-500, 1000), False)
+    assert state.subject == H.Actor(champ=((10, False), (20, True)), side=((200, False),))
+    assert H.parse_state(H.state_query(state)) == state and H.parse_state("layer=x&grid=5&time=a,b&assists=1") == H.State() == H.parse_state("")
+    assert H.state_query(H.State()) == "layer=deaths" and H.parse_state("grid=64&assists=0,99").assists == (0, 9)
+
+
+def test_players_keep_their_identity_in_another_release(spark):
+    dim = lambda *rows: spark.createDataFrame([(i, k) for k, i in enumerate(rows)], "id string, sk int")
+    old = {"player": dim("puuid-a", "puuid-b"), "patch": dim("14.1", "14.2"), "region": dim("Mid", "Top")}
+    new = {"player": dim("puuid-b", "puuid-a"), "patch": dim("14.2"), "region": dim("Top", "Mid"), "champ": spark.createDataFrame([("10", 10)], "id string, sk int")}
+    state = H.State(subject=H.Actor(player=((0, False),), champ=((10, False), (99, False)), role=((4, False), (7, False))), opponent=H.Actor(player=((1, True),)), patch=((0, False), (1, True)), region=((0, False),))
+    moved = H.reconciled(state, new, old)
+    assert moved.subject.player == ((1, False),) and moved.opponent.player == ((0, True),) and moved.subject.player_id == (("puuid-a", False),)
+    assert (moved.patch, moved.region, moved.subject.champ, moved.subject.role) == (((0, True),), ((1, False),), ((10, False),), ((4, False),))
+    link = H.state_query(moved)
+    assert "s.player_id=puuid-a" in link and "o.exclude_player_id=puuid-b" in link
+    again = H.reconciled(H.parse_state(link), new)
+    assert again.subject.player == ((1, False),) and again.opponent.player == ((0, True),)
+    with pytest.raises(ValueError, match="reconciled"):
+        H.actor("victim", H.Actor(player_id=(("x", False),)))
+
+
+def test_counts_copy_no_row_and_the_size_is_chosen_in_one_plan(sample, capsys):
+    H.grid(H.perspectives(sample, H.State()), 32).explain()
+    assert "Expand" not in capsys.readouterr().out
+    for state, size in ((H.State(), 32), (H.State(layer="danger"), 32), (H.State(grid=64), 64)):
+        got = H.auto_grid(H.perspectives(sample, state), state).collect()
+        assert {r["size"] for r in got} == {size}
+        want = {tuple(r) for r in H.grid(H.perspectives(sample, state), size).collect()}
+        assert {tuple(r)[:6] for r in got} == want
+    none = H.totals(H.perspectives(sample.limit(0), H.State())).first()
+    assert tuple(none) == (0, 0, 0, 0, 0) and H.auto_grid(H.perspectives(sample.limit(0), H.State()), H.State()).count() == 0
 
 
 def test_blur_keeps_mass_inside_and_loses_it_at_the_edge(spark):

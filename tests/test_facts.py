@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from heatfield.functions.geometry import MIN_X, SPAN_X, SPAN_Y, TURRETS
 from heatfield.functions.scalars import RESPAWN, ROLES
@@ -159,20 +160,66 @@ def test_ingestion_takes_each_match_once_and_a_release_is_whole(spark, landed, t
     assert [r for r in run() if r[1] == "done"] == [("EU_0", "done", None), ("EU_1", "done", None), ("EU_2", "done", None)]
     table = lambda name: spark.read.parquet(f"{store}/{name}").drop("batch")
     fact, match, player = table("fact_kill"), table("dim_match"), table("dim_participant")
+    assert fact.count() == sum(len(replay(*made[n])) for n in range(3))
     first = R.publish(fact, match, player, site, {"schema": 1})
     assert R.publish(fact.orderBy("event_ms"), match, player, site, {"schema": 1}) == first == R.current(spark, site)
-    wide = R.table(spark, site, "heatmap")
+    wide = R.table(spark, site, "kills_wide")
     assert wide.count() == fact.count() and wide.filter("cause = 0 and killer_player is null").isEmpty()
     with pytest.raises(ValueError, match="duplicate"):
         R.publish(fact.unionByName(fact), match, player, site, {"schema": 1})
     with pytest.raises(RuntimeError):
         R.publish(fact.filter("match_id <> 'EU_2'"), match, player, site, {"schema": 1}, guard=lambda: (_ for _ in ()).throw(RuntimeError()))
-    assert R.current(spark, site) == first
+    assert R.current(spark, site) == first and R.verified(spark, site)["matches"] == 3
     R.register(spark, site)
-    assert spark.sql("SELECT count(*) n, count(DISTINCT match_id) g, max(cell_of(x, y, 32)) c, danger(6, 3) d FROM heatmap").first().d == 11 / 19
+    assert spark.sql("SELECT count(*) n, count(DISTINCT match_id) g, max(cell_of(x, y, 32)) c, danger(6, 3) d FROM kills_wide").first().d == 11 / 19
+
+    # New names, other labels, games without a kill, and a write that ends between two tables.
+    stale = fact.withColumn("region", F.lit(1))
+    assert R.publish(stale, match, player, site, {"schema": 1}) == first
+    renamed = player.withColumn("display_name", F.concat("display_name", F.lit("x")))
+    second = R.publish(fact, match, renamed, site, {"schema": 1})
+    assert second != first and R.current(spark, site) == second
+    real = R.latest_names
+    R.latest_names = lambda *_: (_ for _ in ()).throw(RuntimeError("stopped"))
+    try:
+        with pytest.raises(RuntimeError, match="stopped"):
+            R.publish(fact, match, player, site, {"schema": 2})
+    finally:
+        R.latest_names = real
+    assert R.current(spark, site) == second
+    third = R.publish(fact, match, player, site, {"schema": 2})
+    assert R.verified(spark, site)["dataset_id"] == third != second
+    empty = R.publish(fact.limit(0), match, player, site, {"schema": 1})
+    assert R.verified(spark, site)["rows"] == 0 and R.table(spark, site, "dim_match", empty).count() == 3
+    assert R.publish(fact, match, player, site, {"schema": 1}) == first == R.current(spark, site)
+    with pytest.raises(FileExistsError):
+        R.put(spark, f"{site}/manifest/{first}.json", "{}")
+
+
+def test_keys_of_any_number_of_values(spark, tmp_path):
+    dim = spark.range(1000).selectExpr("concat('m', lpad(cast(id * 7 % 1000 as string), 4, '0')) as k")
+    got = {r.k: r.sk for r in R.ranged_keys(dim.repartition(7), "k", "sk", str(tmp_path / "keys")).collect()}
+    assert got == {f"m{i:04d}": i for i in range(1000)}
+    with pytest.raises(ValueError, match="more than"):
+        R.dense_keys(dim, "k", "sk", 999)
+    with pytest.raises(ValueError, match="number of rows"):
+        R.denormalised(dim, {"x": ("k", dim.unionByName(dim).withColumn("sk", F.lit(1)), "inner")})
+
+
+def test_rows_that_no_release_has(spark):
+    cols = "x int, y int, victim_role int, killer_role int, match int, patch int, region int, victim_player int, killer_player int, cause int, killer_champ int"
+    good = (0, 0, 4, None, 0, 0, 33, 1, 1, 0, 5)
+    change = {"place": {0: -121}, "role": {2: 5}, "reference": {4: 9}, "execution": {9: 1}}
+    rows = [good, *[tuple(c.get(i, v) for i, v in enumerate(good)) for c in change.values()], tuple({8: 7}.get(i, v) for i, v in enumerate(good))]
+    got = R.broken(spark.createDataFrame(rows, cols), 1, 1, 2).collect()
+    assert sorted(r.fault for r in got) == sorted([*change, "reference"])
+    facts = spark.createDataFrame([("a", 5, 40_000), ("b", 300, None), ("c", 1, 1)], "match_id string, assists int, team_gold int")
+    assert {tuple(r) for r in X.out_of_range(facts).collect()} == {("a", "team_gold"), ("b", "assists")}
 
 
 def test_watermarks(spark):
     marks = spark.createDataFrame([("a", 0, 10), ("b", 0, 10), ("c", 99, 120)], "player string, scanned_from long, scanned_to long")
     seen = spark.createDataFrame([("a", 20, True, 0), ("b", 20, True, 1), ("c", 130, True, 0), ("d", 5, False, 0)], "player string, scanned_to long, finished boolean, open int")
     assert {(r.player, r.scanned_from, r.scanned_to) for r in I.advanced(marks, seen, 50).collect()} == {("a", 0, 20), ("b", 0, 10), ("c", 50, 130)}
+    nobody = spark.createDataFrame([("m", None)], "match_id string, player string")
+    assert {tuple(r) for r in I.advanced(marks, seen, 50, nobody).collect()} == {tuple(r) for r in marks.collect()}

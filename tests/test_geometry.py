@@ -34,5 +34,11 @@ def test_scalars(spark):
     assert [val(S.u8(F.lit(x), 2)) for x in (9.9, -3.0, 9999.0, None)] == [4, 0, 254, None]
     assert val(S.respawn_seconds(F.lit(18), F.lit(31.0))) == 42.5 * 1.15 and val(S.respawn_seconds(F.lit(1), F.lit(3.0))) == 10
     assert [val(S.player_name(F.lit(x))) for x in ("a#b#c", "#x", "plain")] == ["a#b", "#x", "plain"] and val(S.player_tag(F.lit("a#b#c"))) == "c"
-    assert val(S.minutes_seconds(F.lit(125))) == "2:05" and val(S.kilo_gold(F.lit(-1250))) == "-1.3k"
-    assert [val(S.fuzzy_score("Kai", F.lit(x))) for x in ("kai", "Kai'Sa", "Mordekaiser", "Khazix i", "zed")] == [0, 1, 2, 3, None]
+    assert val(S.minutes_seconds(F.lit(125))) == "2:05" and [val(S.kilo_gold(F.lit(x))) for x in (-1250, 0, 900)] == ["-1.3k", "0.0k", "+0.9k"]
+    assert [val(S.fuzzy_score(" Kai", F.lit(x))) for x in ("kai", "Kai'Sa", "Mordekaiser", "Khazix i", "zed")] == [0, 1, 2, 3, None]
+    assert [val(S.fuzzy_score(q, F.lit("Dr. Mundo"), F.lit("Dr. Mundo#EU"), S.ALIASES)) for q in ("mundo", "drmundo", "dr. mundo", "dr. mundo#eu", "drmundo#e", "u#u", "")] == [0, 1, 0, 0, 2, 3, 0]
+
+
+def test_search_order(spark):
+    items = spark.createDataFrame([("Annie",), ("Ann",), ("Joanna",), ("zed",)], "label string")
+    assert [(r.label, r.score) for r in S.search(items, "ann", "label").collect()] == [("Ann", 0), ("Annie", 1), ("Joanna", 2)]
