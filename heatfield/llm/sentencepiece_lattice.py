@@ -9,7 +9,8 @@ over a word's edges from the best on is enough: an edge whose ends are boundarie
 removes that one; the boundaries are bits of a number. Characters without a piece become their UTF-8 bytes.
 
 Words are found in the texts by 64-bit hashes in numpy. The most frequent words, FREQUENT at most, are broadcast as
-packed arrays; a document's other words are joined to the lattice's results by a shuffle, so the vocabulary may have any size.
+packed arrays; the other words of each part of the documents are joined to the lattice's results and meet the part's texts in a
+second shuffle, so the vocabulary may have any size. All ids are decoded again and compared with the texts' bytes.
 Words longer than LONG characters have more boundaries than a number has bits and are encoded by the library instead;
 a shorter word that the join did not give is an error.
 
@@ -32,11 +33,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatfield.llm.common import prefix_hashes, row_key, small_batches, stored
+from heatfield.llm.common import forget, prefix_hashes, row_key, small_batches, stored
 
 FREQUENT, LONG, MARK = 1 << 20, 61, "▁"
-#: Words that a task looks through at once for distinct ones; words that the grouping of edges may hold at once.
-CHUNK, HELD = 1 << 20, 200_000
+#: Words that a task looks through at once for distinct ones; words that the grouping of edges may hold at once; words of a part; texts encoded at once.
+CHUNK, HELD, PART, SOME = 1 << 19, 200_000, 3_000_000, 256
 _MARK = MARK.encode()
 
 
@@ -64,6 +65,8 @@ class Model:
             self.bytes[i] = p.replace(MARK, " ").encode()
         for b in range(256):
             self.bytes[self.first_byte + b] = bytes([b])
+        self.size = np.array([len(b) for b in self.bytes], np.int64)
+        self.begin, self.blob = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(self.bytes), np.uint8)
         one = {p.replace(MARK, " "): i for p, i, _ in self.pieces if len(p) == 1}
         #: Ids of the ASCII characters.
         self.ascii = [one.get(chr(c), self.first_byte + c) for c in range(128)]
@@ -120,12 +123,17 @@ def _merges() -> str:
 
 
 def _ids(m: Model) -> str:
-    """Ids of the pieces between boundaries: an edge's, or those of a single character."""
-    left = f"filter(edges, x -> ({_inside('x')} & cut) = 0L and {_at_ends('x', 'cut')})"
+    """Ids of the pieces between boundaries, each behind its place: an edge's, or those of a single character."""
+    long = "(octet_length(word) <> char_length(word) or (x & 127) > (shiftright(x, 7) & 127) + 1)"
+    left = f"transform(filter(edges, x -> {long} and ({_inside('x')} & cut) = 0L and {_at_ends('x', 'cut')}), x -> shiftleft(shiftright(x, 7) & 127, 32) + (shiftright(x, 14) & 262143L))"
+    alone = "filter(sequence(0, char_length(word) - 1), s -> (shiftright(cut, s) & 3L) = 3L)"
+    plain = f"transform({alone}, s -> shiftleft(cast(s as bigint), 32) + element_at(array({', '.join(f'{i}L' for i in m.ascii)}), ascii(substring(word, s + 1, 1)) + 1))"
     single = f"if(ascii(c) < 128, array(element_at(array({', '.join(map(str, m.ascii))}), ascii(c) + 1)), {_bytes(m, 'c')})"
-    found = "filter(u.hits, x -> (shiftright(x, 7) & 127) = s)"
-    one = f"if(size({found}) > 0, array(cast(shiftright({found}[0], 14) & 262143L as int)), transform(array(substring(word, s + 1, 1)), c -> {single})[0])"
-    return f"transform(array(struct({left} as hits)), u -> flatten(transform(filter(sequence(0, char_length(word) - 1), s -> (shiftright(cut, s) & 1L) = 1L), s -> {one})))[0]"
+    # A character of several bytes without a piece has several ids, in order.
+    other = f"flatten(transform({alone}, s -> transform(transform(array(substring(word, s + 1, 1)), c -> {single})[0], (i, k) -> shiftleft(cast(s as bigint), 32) + shiftleft(cast(k as bigint), 24) + i)))"
+    # Characters with a piece of their own are edges, too.
+    wide = f"filter({other}, x -> not exists(edges, y -> (y & 16383L) = (shiftright(x, 32) * 128 + shiftright(x, 32) + 1)))"
+    return f"transform(sort_array(concat({left}, if(octet_length(word) = char_length(word), {plain}, {wide}))), x -> cast(x & 16777215L as int))"
 
 
 def _viterbi(longest: int) -> str:
@@ -237,11 +245,7 @@ def frequent_words(known: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = batch.column(0).cast(pa.binary()).to_pylist()
-            ends = np.cumsum([0, *map(len, data)])
-            h = prefix_hashes(np.frombuffer(b"".join(data), np.uint8), ends[:-1], ends[1:])
-            sizes, ids = pc.list_value_length(batch.column(1)), batch.column(1).flatten()
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (h, np.asarray(sizes, np.int32), np.asarray(ids, np.int32))], ["hashes", "sizes", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in _packed(batch.column(0), batch.column(1))], ["hashes", "sizes", "ids"])
 
     top = known.filter(F.col("uses") >= least).select("word", "ids").mapInArrow(pack, "hashes binary, sizes binary, ids binary").collect()
     h, sizes, ids = (np.frombuffer(b"".join(bytes(r[i]) for r in top), t) for i, t in enumerate((np.uint64, np.int32, np.int32)))
@@ -254,13 +258,13 @@ _lookups: dict[str, Lookup] = {}
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, n_ids and whether decoding the ids gives the text again, for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, SOME)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", row_key(rows).alias("key"), "text")
     known = dictionary(rows, path)
-    shared = spark.sparkContext.broadcast(frequent_words(known))
-
-    name = uuid.uuid4().hex
+    total = known.agg(F.sum("uses")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART)
+    rows = rows.select("doc_id", F.pmod(row_key(rows), F.lit(parts)).alias("part"), "text")
+    shared, name = spark.sparkContext.broadcast(frequent_words(known)), uuid.uuid4().hex
 
     def lookup() -> Lookup:
         if name not in _lookups:
@@ -273,69 +277,103 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             w = Words(batch.column(1).to_pylist(), m)
             new = np.flatnonzero(have.find(w.hash) < 0)
-            of = np.searchsorted(w.first, new, "right") - 1
-            keys, words = [], []
-            order = np.lexsort((w.hash[new], of))
-            new, of = new[order], of[order]
-            once = np.append(True, (of[1:] != of[:-1]) | (w.hash[new][1:] != w.hash[new][:-1]))[: len(new)]
-            for i, k in zip(new[once].tolist(), of[once].tolist(), strict=True):
-                word = w.at(i)
-                if _chars(word) <= LONG:
-                    keys.append(k)
-                    words.append(word)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(words, pa.binary()).cast(pa.string())], ["key", "word"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = batch.column(0).to_numpy()[np.searchsorted(w.first, new, "right") - 1]
+            order = np.lexsort((w.hash[new], part))
+            new, part = new[order], part[order]
+            once = np.append(True, (part[1:] != part[:-1]) | (w.hash[new][1:] != w.hash[new][:-1]))[: len(new)]
+            words, at = [w.at(i) for i in new[once].tolist()], part[once]
+            short = np.array([_chars(x) <= LONG for x in words], bool)
+            yield pa.RecordBatch.from_arrays([pa.array(at[short]), pa.array([x for x, ok in zip(words, short.tolist(), strict=True) if ok], pa.binary()).cast(pa.string())], ["part", "word"])
+
+    def pack_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, size, ids = _packed(batch.column(1), batch.column(2))
+            part = batch.column(0).to_numpy()
+            order = np.argsort(part, kind="stable")
+            ids = _gather(ids, (np.cumsum(size) - size)[order], size[order])
+            part, h, size = part[order], h[order], size[order]
+            cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
+            at = np.append(0, np.cumsum(size))
+            out = [(int(part[a]), h[a:b].tobytes(), size[a:b].tobytes(), ids[at[a] : at[b]].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["part", "hashes", "sizes", "ids"])
+
+    def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([z.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "key", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([z.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "part", "text"])
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         m, have, z = model(path), lookup(), zstandard.ZstdDecompressor()
-        for batch in batches:
-            texts = [z.decompress(t).decode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            w = Words(texts, m)
-            at = have.find(w.hash)
-            more, out, good = batch.column(2).to_pylist(), [], []
-            for k, text in enumerate(texts):
-                a, b = int(w.first[k]), int(w.first[k + 1])
-                mine = at[a:b]
-                lack = np.flatnonzero(mine < 0)
-                ids, begin, size = have.ids, have.begin[mine] if len(have.begin) else mine, have.size[mine] if len(have.size) else mine
-                if len(lack):
-                    own = {x["word"].encode("utf-8", "surrogatepass"): x["ids"] for x in more[k] or ()}
-                    extra, begin, size, n = [ids], begin.copy(), size.copy(), len(ids)
-                    for i in lack.tolist():
-                        word = w.at(a + i)
-                        got = own[word] if _chars(word) <= LONG else _long(m, word)
-                        extra.append(np.array(got, np.int32))
-                        begin[i], size[i] = n, len(got)
-                        n += len(got)
-                    ids = _Chain(extra)
-                found = _gather(ids, begin, size)
-                out.append(found)
-                good.append(decode(m, found) == text)
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, out)]).astype(np.int32), np.concatenate(out) if out else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([len(x) for x in out], pa.int64()), pa.array(good, pa.bool_())], ["doc_id", "ids", "n_ids", "round_trip"])
-
-    rare = rows.select("key", "text").mapInArrow(others, "key long, word string").join(known.select("word", "ids"), "word")
-    rare = stored(rare, "rare-words", compression="zstd")
-    rare = rare.groupBy("key").agg(F.collect_set(F.struct("word", "ids")).alias("more"))
-    packed = rows.mapInArrow(pack, "doc_id long, key long, text binary")  # what the join moves
-    return packed.join(rare, "key", "left").select("doc_id", "text", "more").mapInArrow(assemble, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
+        hashes, sizes, ids = (np.frombuffer(b"".join(right.column(c).to_pylist()), t) for c, t in (("hashes", np.uint64), ("sizes", np.int32), ("ids", np.int32)))
+        h, first = np.unique(hashes, return_index=True)  # a word comes once from each task
+        rare = Lookup(h, ids, np.zeros(len(h) + 1, np.int64))
+        rare.begin, rare.size = (np.cumsum(sizes) - sizes)[first], sizes[first].astype(np.int64)
+        out = []
+        for at in range(0, len(left), SOME):
+            some = left.slice(at, SOME)
+            texts = [z.decompress(t).decode("utf-8", "surrogatepass") for t in some.column("text").to_pylist()]
+            got, ends = _encoded(m, have, rare, w := Words(texts, m))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got))
+            n = np.diff(ends)
+            whole = spelled(m, got) == w.data
+            good = [MARK not in t and (whole or decode(m, got[a:b]) == t) for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            out.append(pa.Table.from_arrays([some.column("doc_id"), lists, pa.array(n, pa.int64()), pa.array(good, pa.bool_())], ["doc_id", "ids", "n_ids", "round_trip"]))
+        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "n_ids": pa.array([], pa.int64()), "round_trip": pa.array([], pa.bool_())})
+
+    rare = rows.select("part", "text").mapInArrow(others, "part long, word string").join(known.select("word", "ids"), "word")
+    small_batches(spark, 100_000)
+    rare = stored(rare.select("part", "word", "ids").mapInArrow(pack_ids, "part long, hashes binary, sizes binary, ids binary"), "rare-words", compression="zstd")
+    small_batches(spark, SOME)
+    forget(known)
+    texts = rows.mapInArrow(pack_texts, "doc_id long, part long, text binary")  # what the shuffle moves
+    return texts.groupBy("part").cogroup(rare.groupBy("part")).applyInArrow(assemble, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
+
+
+def _packed(words: pa.Array, ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, number of its ids, and all ids."""
+    data = words.cast(pa.binary()).to_pylist()
+    ends = np.cumsum([0, *map(len, data)])
+    h = prefix_hashes(np.frombuffer(b"".join(data), np.uint8), ends[:-1], ends[1:])
+    return h, np.asarray(pc.list_value_length(ids), np.int32), np.asarray(ids.flatten(), np.int32)
+
+
+def _encoded(m: Model, have: Lookup, rare: Lookup, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of some texts, and where each text's begin."""
+    begin, size = np.zeros(len(w.hash), np.int64), np.zeros(len(w.hash), np.int64)
+    at, lack = have.find(w.hash), np.arange(len(w.hash))
+    arrays, shift = [], 0
+    for table, at in ((have, at), (rare, None)):
+        at = table.find(w.hash[lack]) if at is None else at
+        hit = at >= 0
+        begin[lack[hit]], size[lack[hit]] = table.begin[at[hit]] + shift, table.size[at[hit]]
+        lack = lack[~hit]
+        arrays.append(table.ids)
+        shift += len(table.ids)
+    more: list[int] = []
+    for i in lack.tolist():
+        word = w.at(i)
+        if _chars(word) <= LONG:
+            raise KeyError(f"the lattice has no ids of {word!r}")
+        found = _long(m, word)
+        begin[i], size[i] = shift + len(more), len(found)
+        more += found
+    ids = _gather(_Chain([*arrays, np.array(more, np.int32)]), begin, size)
+    return ids, np.append(0, np.cumsum(size))[w.first]
 
 
 class _Chain:
-    """A shared array with a few more behind it, which is not copied."""
+    """Arrays one behind another, which are not copied."""
 
     def __init__(self, parts: list[np.ndarray]):
-        self.head, self.tail = parts[0], np.concatenate(parts[1:])
+        self.parts, self.ends = parts, np.cumsum([len(p) for p in parts])
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        n = len(self.head)
         out = np.empty(len(at), np.int32)
-        low = at < n
-        out[low], out[~low] = self.head[at[low]], self.tail[at[~low] - n]
+        of = np.searchsorted(self.ends, at, "right")
+        for k, p in enumerate(self.parts):
+            mine = of == k
+            out[mine] = p[at[mine] - (self.ends[k] - len(p))]
         return out
 
 
@@ -343,7 +381,14 @@ def _gather(ids, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The ids of all words in order."""
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
-    return ids[np.repeat(begin - ends + size, size) + np.arange(total)].astype(np.int32) if total else np.zeros(0, np.int32)
+    return ids[np.repeat(begin - ends + size, size) + np.arange(total)] if total else np.zeros(0, np.int32)
+
+
+def spelled(m: Model, ids: np.ndarray) -> bytes:
+    """The bytes of pieces and bytes in order."""
+    size = m.size[ids]
+    ends = np.cumsum(size)
+    return m.blob[np.repeat(m.begin[ids] - ends + size, size) + np.arange(int(ends[-1]))].tobytes() if len(ids) else b""
 
 
 def _long(m: Model, word: bytes) -> list[int]:
@@ -353,8 +398,8 @@ def _long(m: Model, word: bytes) -> list[int]:
 
 
 def decode(m: Model, ids: np.ndarray) -> str:
-    """The text of the ids: pieces and bytes in order, without the first mark."""
-    return b"".join(map(m.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
+    """The text of the ids, without the first mark."""
+    return spelled(m, ids).decode("utf-8", "replace")[1:]
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

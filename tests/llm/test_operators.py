@@ -377,8 +377,8 @@ def test_lookup_equals_a_dict():
 
 
 def test_a_word_that_the_join_lacks_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(lattice, "dictionary", lambda rows, path: spark.createDataFrame([(" a", 1, [3])], "word string, uses long, ids array<int>"))
-    with pytest.raises(Exception, match="KeyError"):
+    monkeypatch.setattr(lattice, "dictionary", lambda rows, path: lattice.stored(spark.createDataFrame([(" a", 1, [3])], "word string, uses long, ids array<int>"), "words"))
+    with pytest.raises(Exception, match="no ids of"):
         lattice.encode(docs(spark, [(1, "a zebra")]), str(public_tokenizers.path("piece_bpe_32k.model"))).collect()
 
 
