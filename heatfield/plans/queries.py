@@ -320,9 +320,9 @@ def header_pairs(spark, d):
     return read(spark, d, "customer").select("c_custkey", C.region_of(F.concat(route, F.col("c_custkey").cast("string"))).alias("region"), F.element_at(limits, F.lit(1)).cast("long").alias("burst"), F.element_at(limits, F.lit(120)).alias("slow"))
 
 
-@query(f"WITH {K}, b AS (SELECT event_id, CASE WHEN assists > 4 THEN 'assists' WHEN team_gold NOT BETWEEN -32768 AND 32767 THEN 'team_gold' END AS c FROM k) SELECT c AS column, count(*) AS n FROM b WHERE c IS NOT NULL GROUP BY 1")
+@query(f"WITH {K}, b AS (SELECT event_id, 'assists' AS c FROM k WHERE assists * 70 > 255 UNION ALL SELECT event_id, 'team_gold' FROM k WHERE team_gold * 2 NOT BETWEEN -32768 AND 32767) SELECT c AS column, count(*) AS n FROM b GROUP BY 1")
 def fact_ranges(spark, d):
-    k = facts(spark, d, False).withColumn("match_id", F.col("event_id"))
+    k = facts(spark, d, False).withColumns({"match_id": F.col("event_id"), "assists": F.col("assists") * 70, "team_gold": F.col("team_gold") * 2})
     return X.out_of_range(k).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
 
 
