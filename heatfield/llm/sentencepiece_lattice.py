@@ -310,15 +310,16 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         rare = Lookup(h, ids, np.zeros(len(h) + 1, np.int64))
         rare.begin, rare.size = (np.cumsum(sizes) - sizes)[first], sizes[first].astype(np.int64)
         out = []
-        for at in range(0, len(left), SOME):
-            some = left.slice(at, SOME)
+        full = np.cumsum([len(t) for t in left.column("text").to_pylist()]) // (1 << 20)  # a few texts at a time, or one long one
+        for n in np.unique(full).tolist():
+            some = left.slice(int(np.searchsorted(full, n)), int((full == n).sum()))
             texts = [z.decompress(t).decode("utf-8", "surrogatepass") for t in some.column("text").to_pylist()]
             got, ends = _encoded(m, have, rare, w := Words(texts, m))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got))
-            n = np.diff(ends)
+            n_ids = np.diff(ends)
             whole = spelled(m, got) == w.data
             good = [MARK not in t and (whole or decode(m, got[a:b]) == t) for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            out.append(pa.Table.from_arrays([some.column("doc_id"), lists, pa.array(n, pa.int64()), pa.array(good, pa.bool_())], ["doc_id", "ids", "n_ids", "round_trip"]))
+            out.append(pa.Table.from_arrays([some.column("doc_id"), lists, pa.array(n_ids, pa.int64()), pa.array(good, pa.bool_())], ["doc_id", "ids", "n_ids", "round_trip"]))
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "n_ids": pa.array([], pa.int64()), "round_trip": pa.array([], pa.bool_())})
 
     rare = rows.select("part", "text").mapInArrow(others, "part long, word string").join(known.select("word", "ids"), "word")
@@ -386,9 +387,7 @@ def _gather(ids, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def spelled(m: Model, ids: np.ndarray) -> bytes:
     """The bytes of pieces and bytes in order."""
-    size = m.size[ids]
-    ends = np.cumsum(size)
-    return m.blob[np.repeat(m.begin[ids] - ends + size, size) + np.arange(int(ends[-1]))].tobytes() if len(ids) else b""
+    return b"".join(m.blob[np.repeat(m.begin[i] - np.cumsum(m.size[i]) + m.size[i], m.size[i]) + np.arange(m.size[i].sum())].tobytes() for i in (ids[at : at + (1 << 17)] for at in range(0, len(ids), 1 << 17)))
 
 
 def _long(m: Model, word: bytes) -> list[int]:

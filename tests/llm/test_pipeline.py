@@ -1,6 +1,7 @@
 import corpus_pipeline
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 from heatfield.llm import mixing
 
@@ -25,3 +26,19 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     texts = {r[0]: r[1] for r in rows}
     assert {r.doc_id for r in out} == ids["mixing"] and all(r.ids == library.encode(texts[r.doc_id]) for r in out)
     assert mixing.ROUNDS == 8
+
+
+def test_no_unique_row_is_lost(spark, tmp_path):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "bee"), (9, "cat"), (9, "bee"), (5, "dup"), (5, "dup"), (None, "dup"), (None, "owl"), (None, "owl"), (2, None), (3, "")]
+    spark.createDataFrame([(i, t, None, None, None) for i, t in rows], kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("key", F.lit(1)).withColumn("node", F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert sorted(map(repr, docs.select("doc_id", "text").collect())) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in [(1, "bee"), (9, "cat"), (5, "dup"), (None, "owl")])
+    assert docs.columns[-2:] == ["key", "node"]
+
+
+def test_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
