@@ -15,7 +15,7 @@ from heatfield.operators import facts as X
 from heatfield.operators import release as R
 from heatfield.operators.asof import asof, others_within, prior
 from heatfield.sources import documents as D
-from heatfield.sources.adapter import cell_sql, facts, facts_sql
+from heatfield.sources.adapter import cell_sql, documents, facts, facts_sql
 from heatfield.streaming.ingest import first_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -383,3 +383,39 @@ def history_candidates(spark, d):
 @query("WITH k AS (SELECT event_id, event_id * 7919 % 14990 - 120 AS x, event_id // 28 AS m FROM events) SELECT CAST(greatest(600, max(second)) AS BIGINT) AS longest, count(DISTINCT m) AS games FROM (SELECT m, event_id * 37 % 2400 AS second FROM k)")
 def dataset_limits(spark, d):
     return H.limits(facts(spark, d, False))
+
+
+_TURRETS_XY = _TURRET.replace("pow(x ", "pow(rx ").replace("pow(y ", "pow(ry ")
+_REPLAY = f"""WITH e AS (SELECT event_id, event_id // 28 AS m, event_id % 28 AS i, event_type AS k, (event_id % 28 // 2) * 120000 + event_id % 2 * 3000 AS t, (user_id * 3 + event_id % 28) % 10 + 1 AS v, user_id % 10 + 1 AS p, event_id % 18 AS up FROM events),
+q AS (SELECT *, CASE WHEN k = 'click' THEN v % 10 + 1 ELSE 0 END AS killer, event_id * 7919 % 14000 AS rx, event_id * 104729 % 14000 AS ry, (m % 7 + 1) * 10 AS step, least(3, t // 420000) AS f FROM e WHERE k IN ('click', 'error')),
+o AS (SELECT *, (SELECT arg_max(u.up, u.i) FROM e u WHERE u.m = q.m AND u.k = 'signup' AND u.p = q.v AND u.i < q.i AND u.up > 0) AS level,
+    (SELECT count(*) FROM q d WHERE d.m = q.m AND d.v = q.v AND d.i < q.i) AS deaths, (SELECT max(t) FROM q d WHERE d.m = q.m AND d.v = q.v AND d.i < q.i) AS died,
+    (SELECT count(*) FROM q d WHERE d.m = q.m AND d.killer = q.killer AND d.i < q.i) AS scored,
+    (SELECT max(d.t) FROM e d WHERE d.m = q.m AND d.k = 'purchase' AND d.i < q.i) AS dragon, (SELECT count(*) FROM e d WHERE d.m = q.m AND d.k = 'purchase' AND d.event_id % 5 = 0 AND d.i < q.i) AS elder,
+    (SELECT max(d.t) FROM e d WHERE d.m = q.m AND d.k IN ('purchase', 'view') AND d.i < q.i) AS objective,
+    (SELECT count(*) FROM q d WHERE d.m = q.m AND d.t <> q.t AND abs(d.t - q.t) <= 5000) AS others, t = min(t) OVER (PARTITION BY m) AS first FROM q),
+z AS (SELECT *, (rx + 120) / 14990e0 AS u, (ry + 120) / 15100e0 AS w FROM o)
+SELECT 'EU_' || m AS match_id, i // 7 AS frame_index, i % 7 AS event_index, t // 1000 AS second, v AS victim_pid, killer AS killer_pid, CASE WHEN k = 'click' THEN 0 WHEN event_id % 10 > 5 THEN 2 ELSE 1 END AS cause, rx AS x, ry AS y,
+    coalesce(level, 1) AS victim_level, least(254, deaths) AS victim_ordinal, CASE WHEN k = 'click' THEN least(254, scored) END AS killer_ordinal, CASE WHEN died IS NOT NULL THEN least(254, (t - died) // 4000) END AS victim_since_prev_death,
+    CASE WHEN t >= coalesce(dragon + 300000, 300000) THEN CASE WHEN elder > 0 THEN 8 ELSE 1 END ELSE 0 END + CASE WHEN t >= 1200000 THEN 2 ELSE 0 END + CASE WHEN t >= 840000 AND t < 1500000 THEN 4 ELSE 0 END AS objectives_up,
+    CASE WHEN objective IS NOT NULL THEN least(254, (t - objective) // 2000) END AS since_objective, CASE WHEN v > 5 THEN 1 ELSE 2 END + CASE WHEN first THEN 4 ELSE 0 END + CASE WHEN {_TURRETS_XY} THEN 8 ELSE 0 END + CASE WHEN others > 0 THEN 16 ELSE 0 END AS flags,
+    -25 * step AS team_gold, CASE WHEN v <= 5 THEN -5 ELSE 5 END * step AS victim_gold_diff_lane, (v - 1) % 5 AS victim_role, 300 + event_id % 200 AS bounty, event_id % 4 AS assists, 'p' || (m * 3 + v) % 40 AS victim_player_id,
+    {G.zone_sql("u", "w")} AS region FROM z"""
+
+
+@query(_REPLAY)
+def kill_facts(spark, d):
+    columns = ["frame_index", "event_index", "second", "victim_pid", "killer_pid", "cause", "x", "y", "victim_level", "victim_ordinal", "killer_ordinal", "victim_since_prev_death", "objectives_up", "since_objective", "flags", "team_gold", "victim_gold_diff_lane", "victim_role", "bounty", "assists", "region"]
+    found = X.kill_facts(*documents(spark, d))
+    return found.select("match_id", "victim_player_id", *[F.col(c).cast("long").alias(c) for c in columns])
+
+
+@query("SELECT event_id // 28 % 2 = 0 AS taken, count(DISTINCT event_id // 28) AS matches FROM events GROUP BY 1")
+def document_checks(spark, d):
+    matches, lines = documents(spark, d)
+    matches = matches.withColumn("m", F.substring_index("metadata.matchId", "_", -1).cast("long"))
+    # Every second match gets a player twice.
+    twice = F.concat(F.slice("info.participants", 1, 9), F.slice("info.participants", 1, 1))
+    matches = matches.withColumn("info", F.when(F.col("m") % 2 == 1, F.col("info").withField("participants", twice)).otherwise(F.col("info")))
+    ok = lines.filter(D.timeline_fault().isNull()).select(F.col("metadata.matchId").alias("id"))
+    return matches.join(ok, F.col("metadata.matchId") == F.col("id")).groupBy(D.identity_fault().isNull().alias("taken")).agg(F.count(F.lit(1)).alias("matches"))

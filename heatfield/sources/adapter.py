@@ -1,4 +1,4 @@
-"""Event rows as kill facts, by integer arithmetic alone, so that any engine makes the same facts."""
+"""Event rows as kill facts, or as match and timeline documents, by integer arithmetic alone, so that any engine makes the same."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatfield.functions import geometry as G
+from heatfield.sources import documents as D
 
 #: name: (expression in both dialects; // is integer division)
 COLUMNS = {
@@ -43,3 +44,26 @@ def facts_sql(zones: bool = True) -> str:
 
 def cell_sql(size: int) -> str:
     return f"(greatest(0, least({size - 1}, CAST(floor(v * {size}) AS INTEGER))) * {size} + greatest(0, least({size - 1}, CAST(floor(u * {size}) AS INTEGER))))"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Match and timeline documents: 28 events a match, seven a frame. Clicks are kills, errors executions, signups levels, purchases dragons, views buildings."""
+    e = "event_id % 28"
+    ms = f"({e} div 2) * 120000 + ({e} % 2) * 3000"
+    victim = f"cast((user_id * 3 + {e}) % 10 + 1 as int)"
+    event = f"""named_struct('type', CASE event_type WHEN 'click' THEN 'CHAMPION_KILL' WHEN 'error' THEN 'CHAMPION_KILL' WHEN 'signup' THEN 'LEVEL_UP' WHEN 'purchase' THEN 'ELITE_MONSTER_KILL' ELSE 'BUILDING_KILL' END,
+        'timestamp', {ms}, 'participantId', user_id % 10 + 1, 'level', event_id % 18, 'victimId', {victim}, 'killerId', if(event_type = 'click', {victim} % 10 + 1, 0),
+        'monsterType', 'DRAGON', 'monsterSubType', if(event_id % 5 = 0, 'ELDER_DRAGON', 'FIRE_DRAGON'), 'position', named_struct('x', event_id * 7919 % 14000, 'y', event_id * 104729 % 14000),
+        'assistingParticipantIds', array_repeat(1, cast(event_id % 4 as int)), 'bounty', 300, 'shutdownBounty', event_id % 200,
+        'victimDamageReceived', array(named_struct('type', 'TOWER', 'physicalDamage', 5), named_struct('type', 'MINION', 'physicalDamage', event_id % 10)))"""
+    player = "named_struct('participantId', p, 'puuid', concat('p', (m * 3 + p) % 40), 'championId', 10 + p, 'teamId', if(p <= 5, 100, 200), 'teamPosition', array('TOP', 'JUNGLE', 'MIDDLE', 'BOTTOM', 'UTILITY')[(p - 1) % 5], 'win', p <= 5)"
+    match = f"named_struct('metadata', named_struct('matchId', concat('EU_', m)), 'info', named_struct('gameVersion', '14.3.1', 'mapId', 11, 'queueId', 420, 'gameCreation', m, 'gameDuration', 1800000, 'participants', transform(sequence(1, 10), p -> {player})))"
+    state = "named_struct('participantId', p, 'totalGold', 500 + f * 1000 + p * (m % 7 + 1) * 10, 'minionsKilled', f * 10 + p, 'position', named_struct('x', p * 1000 + f * 10, 'y', p * 900))"
+    frame = f"named_struct('timestamp', f * 420000, 'participantFrames', map_from_entries(transform(sequence(1, 10), p -> struct(cast(p as string), {state}))), 'events', events)"
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr("event_id div 28").alias("m"), F.expr(f"({e}) div 7").alias("f"), F.struct(F.expr(f"{e}").alias("i"), F.expr(event).alias("e")).alias("x"))
+    frames = ev.groupBy("m", "f").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]).alias("events"))
+    frames = frames.select("m", F.struct("f", F.to_json(F.expr(frame)).alias("frame")).alias("x"))
+    lines = frames.groupBy("m").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["frame"]), ",").alias("frames"))
+    text = F.concat(F.lit('{"metadata": {"matchId": "EU_'), F.col("m").cast("string"), F.lit('"}, "info": {"frames": ['), F.col("frames"), F.lit("]}}"))
+    matches = lines.select(F.from_json(F.to_json(F.expr(match)), D.MATCH).alias("d")).select("d.*")
+    return matches, lines.select(F.from_json(text, D.TIMELINE).alias("d")).select("d.*")
