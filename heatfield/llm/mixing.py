@@ -2,7 +2,8 @@
 
 Documents are added up to cells (source, language, topic) of tokens. Raking scales the cells' weights in turn so that
 their sums meet the target share of every source, every language and every topic; ROUNDS rounds over the cell table,
-whose size depends on the categories and not on the documents. A document is then sampled with the probability of its
+whose size depends on the categories and not on the documents. One task holds the cells of one category at a time, and
+all of them twice; more than CELLS are an error. A document is then sampled with the probability of its
 cell, the ratio of raked to present tokens over the largest such ratio, by a draw that its doc_id fixes.
 
 Targets default to the present shares to the power of TEMPERATURE, which lifts small categories. Documents carry no
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from heatfield.llm.common import checked_broadcast, stored
 
-ROUNDS, TEMPERATURE, SEED = 8, 0.7, "mix-1"
+ROUNDS, TEMPERATURE, SEED, CELLS = 8, 0.7, "mix-1", 5_000_000
 DIMS = ("source", "lang", "topic")
 
 
@@ -34,14 +35,16 @@ def topic(text: Column, n: Column) -> Column:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """docs with mix_source, mix_lang, mix_topic and mix_tokens."""
+    """row (all columns of docs, whatever their names), mix_source, mix_lang, mix_topic and mix_tokens."""
     n = n_tokens(F.col("text"))
     cat = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return docs.select("*", cat("source").alias("mix_source"), cat("lang").alias("mix_lang"), n.alias("mix_tokens"), topic(F.coalesce("text", F.lit("")), n).alias("mix_topic"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), cat("source").alias("mix_source"), cat("lang").alias("mix_lang"), n.alias("mix_tokens"), topic(F.coalesce("text", F.lit("")), n).alias("mix_topic"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """cells(source, lang, topic, tokens) with p, the sampling probability. targets: for each dimension a table (dimension, share)."""
+    if cells.limit(CELLS + 1).count() > CELLS:
+        raise ValueError(f"more than {CELLS} cells of {DIMS}")
     all_rows, w = Window.partitionBy(), cells.withColumn("w", F.col("tokens").cast("double"))
     for d in DIMS:
         if targets and d in targets:
@@ -63,7 +66,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
 
 def draw() -> Column:
     """A number from 0 to 1 that doc_id fixes."""
-    key = F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")))
     return F.conv(F.substring(F.sha2(key, 256), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
@@ -77,12 +80,12 @@ def weighed(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> Dat
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """The sampled rows of docs, with the columns of docs."""
-    return weighed(docs, targets).filter("sampled").select(*docs.columns)
+    return weighed(docs, targets).filter("sampled").select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return weighed(docs).select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_p", 6).alias("p"), "sampled")
+    return weighed(docs).select("row.doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_p", 6).alias("p"), "sampled")
 
 
 def _sql() -> str:

@@ -123,6 +123,8 @@ def test_mixing_meets_the_targets(spark):
         want = {k: v**mixing.TEMPERATURE for k, v in raw.items()}
         for k in raw:
             assert raked[k] / sum(raked.values()) == pytest.approx(want[k] / sum(want.values()), rel=0.05, abs=1e-9)
+    clash = df.withColumns({"sampled": F.lit("x"), "mix_source": F.lit(1), "row": F.lit(2)})
+    assert mixing.sample(clash).columns == clash.columns and {r.sampled for r in mixing.sample(clash).collect()} == {"x"}
     assert mixing.sample(df).columns == df.columns and mixing.sample(df.limit(0)).count() == 0
     assert mixing.sample(df).filter("doc_id is null").count() == 1
 
