@@ -1,5 +1,6 @@
 """Facts of generated matches against a scalar replay written for the test, then releases and ingestion."""
 
+import gzip
 import json
 import math
 import random
@@ -13,6 +14,7 @@ from heatfield.operators import facts as X
 from heatfield.operators import release as R
 from heatfield.sources import documents as D
 from heatfield.streaming import ingest as I
+from heatfield.streaming import runs as U
 
 
 def match_doc(n, rng, **info):
@@ -223,3 +225,34 @@ def test_watermarks(spark):
     assert {(r.player, r.scanned_from, r.scanned_to) for r in I.advanced(marks, seen, 50).collect()} == {("a", 0, 20), ("b", 0, 10), ("c", 50, 130)}
     nobody = spark.createDataFrame([("m", None)], "match_id string, player string")
     assert {tuple(r) for r in I.advanced(marks, seen, 50, nobody).collect()} == {tuple(r) for r in marks.collect()}
+
+
+def test_runs_keep_their_settings_and_say_how_they_ended(spark, landed, tmp_path):
+    root, made = landed
+    land, store = tmp_path / "land", str(tmp_path / "store")
+    for kind in ("match", "timeline"):
+        (land / kind).mkdir(parents=True)
+        (land / kind / "0.json").write_text((root / kind / "0.json").read_text())
+    with gzip.open(land / "match" / "1.json.gz", "wt") as f:
+        f.write((root / "match" / "1.json").read_text())
+    said = []
+    assert U.execute(spark, str(land), store, "r1", U.strict({"mode": "full", "patches": ["14.3"]}), lambda: said.append(1)) == "retry_required"
+    (land / "timeline" / "1.json").write_text((root / "timeline" / "1.json").read_text())
+    assert U.execute(spark, str(land), store, "r1", publish=lambda: said.append(2)) == "complete" and said == [1, 2]
+    assert {tuple(r) for r in U.latest_statuses(spark, store).collect()} == {("EU_0", "done"), ("EU_1", "done")}
+    with pytest.raises(FileExistsError):
+        U.frozen(spark, store, "r1", U.Settings("smoke"))
+    with pytest.raises(FileNotFoundError):
+        U.frozen(spark, store, "r2")
+    with pytest.raises(ValueError, match="unknown settings"):
+        U.strict({"mod": "full"})
+    few = spark.createDataFrame([("a", "done"), ("b", "error")], "match_id string, status string")
+    assert U.outcome(few, "smoke") == "retry_required" and U.outcome(few.filter("status = 'done'"), "small") == "exhausted" and U.outcome(few.limit(0), "full") == "complete"
+
+
+def test_names(spark, tmp_path):
+    (tmp_path / "names.json").write_text('{"data": {"A": {"key": "7", "name": "Seven"}, "B": {"key": "x", "name": "none"}}}')
+    names = U.champion_names(spark, str(tmp_path / "names.json"))
+    df = spark.createDataFrame([(7,), (8,)], "champ int")
+    assert {tuple(r) for r in U.named(df, names, "champ", "shown").collect()} == {(7, "Seven"), (8, "8")}
+    assert U.champion_names(spark, str(tmp_path / "none.json")) is None and U.named(df, None, "champ", "shown").filter("shown = '7'").count() == 1
