@@ -93,4 +93,4 @@ def champion_names(spark: SparkSession, path: str) -> DataFrame | None:
     if not fs.exists(at):
         return None
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", "data map<string, struct<key:string, name:string>>").alias("v"))
-    return text.select(F.explode(F.map_values("v.data")).alias("x")).select(F.col("x.key").cast("int").alias("key"), F.col("x.name").alias("name")).filter("key is not null")
+    return text.select(F.explode(F.map_values("v.data")).alias("x")).select(F.col("x.key").try_cast("int").alias("key"), F.col("x.name").alias("name")).filter("key is not null")
