@@ -92,7 +92,7 @@ def ascii_lower(c: Column) -> Column:
 
 def row_key(rows: DataFrame) -> Column:
     """A number that is the same for rows with the same doc_id and text only, whatever else they hold; doc_id may be null or repeat."""
-    return F.xxhash64(rows["doc_id"], rows["text"])
+    return F.xxhash64(rows["doc_id"].cast("long"), rows["text"].cast("string"))
 
 
 def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
