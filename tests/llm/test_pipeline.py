@@ -31,7 +31,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
 def test_no_unique_row_is_lost(spark, tmp_path):
     kinds = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, "bee"), (9, "cat"), (9, "bee"), (5, "dup"), (5, "dup"), (None, "dup"), (None, "owl"), (None, "owl"), (2, None), (3, "")]
-    spark.createDataFrame([(i, t, None, None, None) for i, t in rows], kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], kinds).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("key", F.lit(1)).withColumn("node", F.lit("x"))
     for name, stage in corpus_pipeline.STAGES[:3]:
         docs = stage(spark, docs, str(tmp_path))
