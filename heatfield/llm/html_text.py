@@ -249,7 +249,7 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     small_batches(spark)
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    parsed = stored(rows.mapInArrow(_parse, "row long, page_id long, url string, blocks array<string>, lens array<int>, kinds array<int>"), "pages", compression="zstd")
+    parsed = stored(rows.mapInArrow(_parse, "row long, page_id long, url string, blocks array<string>, lens array<int>, kinds array<int>"), "pages", compression="zstd", **{"parquet.compression.codec.zstd.level": "9"})
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)), F.lit(""))
     hosts = parsed.withColumn("host", host)
     sketch = spark.sparkContext.broadcast(_sketch(hosts))
