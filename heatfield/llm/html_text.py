@@ -2,18 +2,21 @@
 
 A page is parsed into blocks. Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles
 (by element, role or class) are boilerplate; inside an article class words only lower the cover that a block needs to go,
-save whole names of adverts and comments. All other blocks, in an article or not, are judged by repeats: a run of RUN
-tokens that occurs on PAGES distinct pages of the host is marked; a block that such runs cover to COVER goes.
+save whole names of adverts and comments. All other blocks, in an article or not, are judged by repeats: a block that runs
+of RUN tokens cover to COVER goes, if these runs occur on enough distinct pages of the host. Outside articles, and beside a
+class word, PAGES are enough; a plain block of an article goes only by runs on SITE_PAGES pages or more that
+are SITE_SHARE of the host's distinct pages or more, so a line that some articles share stays and a site-wide notice goes.
 
 The runs are found as in a suffix array of depth RUN that is dealt over tasks by the hash of host and prefix, so no task
 needs a whole host: suffixes with one prefix of RUN tokens meet in a groupBy that combines before the shuffle. Not all
 suffixes are sent. A run can be frequent only if its grams of GRAM tokens are, so the least gram (by hash) of each run
-is counted first, about a third as many rows, and only runs whose least gram may be frequent by a sketch of fixed size
+is counted first, about a third as many rows, and only runs whose least gram may decide a block (on PAGES pages with a
+block that PAGES decide among them, or on as many as the host's articles ask for) by a sketch of fixed size
 are counted themselves, exactly up to equal 64-bit hashes. repeated() is the same search by one suffix array in memory.
 
 Defined results: null html gives an empty text; a null url is a host of its own kind; pages of a host with the same
-blocks count as one page in the search for repeats, so copies of an article do not drop it; a repeated block of fewer
-tokens than RUN goes only with its neighbours; repeated pages repeat their result; other columns are not read.
+blocks count as one page in the search for repeats, so copies of an article do not drop it; a block of fewer tokens than
+RUN goes only where runs over it and its neighbours cover it; repeated pages repeat their result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatfield.llm.common import BROADCAST_ROWS, checked_broadcast, join_hot, small_batches, stored
+from heatfield.llm.common import BROADCAST_ROWS, checked_broadcast, join_hot, stored
 
 RUN, PAGES, COVER = 8, 3, 0.8
+#: Distinct pages of the host, and their share, that have a run by which a plain block of an article goes.
+SITE_PAGES, SITE_SHARE = 8, 0.5
 #: Tokens of a gram; bits of the sketch of frequent grams, as a power of 2.
 GRAM, SKETCH = 4, 24
 #: Elements and class words.
@@ -45,6 +50,9 @@ STRONG = re.compile(r"(?:^|\s)(ad|ads|advert|adverts|advertisement|sponsored|com
 #: A block with a class word inside an article goes if repeats cover this much of it.
 KEEP, GONE, OPEN, HINT = 0, 1, 2, 3
 HINT_COVER = 0.5
+#: No page is asked for where a host has too few for its articles to be judged.
+NEVER = (1 << 31) - 1
+FEW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
 
 
 class _Blocks(HTMLParser):
@@ -177,7 +185,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string()))
         lens = pa.array([[len(t.split(" ")) for t, _ in x] for x in found], pa.list_(pa.int32()))
         kinds = pa.array([[k for _, k in x] for x in found], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts, lens, kinds], ["row", "page_id", "url", "blocks", "lens", "kinds"])
+        copies = pa.array([int.from_bytes(hashlib.blake2b("\n".join(t for t, _ in x).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for x in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts, lens, kinds, copies], ["row", "page_id", "url", "blocks", "lens", "kinds", "copy"])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -194,71 +203,93 @@ def _grams(tokens: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """For each page of (row, host, blocks) with a run: row, run hashes by place, the least gram of each run, hash of the blocks."""
-    pages = batch.column(2).to_pylist()
+PAGE = ("row", "host", "blocks", "kinds", "copy", "need")
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int, int]]:
+    """For each page (PAGE) with a run: row, run hashes by place, the least gram of each run, whether it touches a block that PAGES decide, hash of the blocks, need."""
+    pages, kinds = batch.column(2).to_pylist(), batch.column(3).to_pylist()
     words = [[w for t in p for w in [*t.split(" "), "\n"]] for p in pages]
     flat = np.array([w for p in words for w in p] or [""], object)
     token = pd.util.hash_array(flat, categorize=True)
     hosts = pd.util.hash_array(np.array(batch.column(1).to_pylist(), object))
     ends = np.cumsum([len(p) for p in words])
-    for row, host, p, w, end in zip(batch.column(0).to_pylist(), hosts, pages, words, ends, strict=True):
+    for row, host, p, k, copy, need, w, end in zip(batch.column(0).to_pylist(), hosts, pages, kinds, *(batch.column(c).to_pylist() for c in (4, 5)), words, ends, strict=True):
         if len(w) >= RUN:
             mine = token[end - len(w) : end]
             least = np.lib.stride_tricks.sliding_window_view(_grams(mine, GRAM), RUN - GRAM + 1).min(axis=1)
-            copy = int.from_bytes(hashlib.blake2b("\n".join(p).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-            yield row, _mixed(_grams(mine, RUN) + host), _mixed(least + host), copy
+            loose = np.r_[0, np.cumsum(np.repeat(np.array(k) != KEEP, [len(t.split(" ")) + 1 for t in p]))]
+            yield row, _mixed(_grams(mine, RUN) + host), _mixed(least + host), loose[RUN:] > loose[:-RUN], copy, need
 
 
 def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [np.unique(least.astype(np.uint32)).view(np.int32) for _, _, least, _ in _runs(batch)]
+        keys, looses, needs = [], [], []
+        for _, _, least, loose, _, need in _runs(batch):
+            keys.append(np.unique(gram := least.astype(np.uint32)))
+            looses.append(np.isin(keys[-1], gram[loose]))
+            needs.append(np.full(len(keys[-1]), need, np.int32))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], ["gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int32)), pa.array(np.concatenate(looses)), pa.array(np.concatenate(needs))], ["gram", "loose", "need"])
 
 
 def _sketch(pages: DataFrame) -> np.ndarray:
-    """2^SKETCH bits: those of the grams that stand for runs on PAGES rows or more. False hits only cost work."""
-    grams = pages.select("row", "host", "blocks").mapInArrow(_least, "gram int").groupBy("gram").count().filter(F.col("count") >= PAGES)
+    """2^SKETCH bits: those of the grams that stand for runs on enough rows. False hits only cost work."""
+    grams = pages.select(*PAGE).mapInArrow(_least, "gram int, loose boolean, need int").groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.bool_or("loose").alias("loose"), F.min("need").alias("need"))
+    grams = grams.filter(f"n >= {PAGES} and loose or n >= need")
     bit = F.col("gram").bitwiseAND((1 << SKETCH) - 1).cast("long") + 1
     parts = grams.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     out = np.zeros(((1 << SKETCH) // 32768, 4096), np.uint8)
-    for r in parts.collect():
+    for r in stored(parts, "gram-bits", FEW).collect():
         out[r.part - 1] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
 
 def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row and the places of the blocks that runs at `at` cover enough, for (row, lens, kinds, at)."""
+    """row and the places of the blocks that runs cover enough, for (row, lens, kinds, need, runs(at, copies))."""
     for batch in batches:
         rows, gone = [], []
-        for row, lens, kinds, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ends, at = np.cumsum(np.array(lens) + 1), np.array(at)
-            marks = np.zeros(ends[-1] + 1, np.int64)
-            np.add.at(marks, at, 1)
-            np.add.at(marks, at + RUN, -1)
-            hit = np.cumsum(marks) > 0
-            if found := [i for i, (n, e, k) in enumerate(zip(lens, ends, kinds, strict=True)) if hit[e - 1 - n : e - 1].mean() >= (HINT_COVER if k == HINT else COVER)]:
+        for row, lens, kinds, need, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ends, at, copies = np.cumsum(np.array(lens) + 1), np.array([r["at"] for r in runs]), np.array([r["copies"] for r in runs])
+            hits = []
+            for mine in (at, at[copies >= need]):
+                marks = np.zeros(ends[-1] + 1, np.int64)
+                np.add.at(marks, mine, 1)
+                np.add.at(marks, mine + RUN, -1)
+                hits.append(np.cumsum(marks) > 0)
+            if found := [i for i, (n, e, k) in enumerate(zip(lens, ends, kinds, strict=True)) if hits[k == KEEP][e - 1 - n : e - 1].mean() >= (HINT_COVER if k == HINT else COVER)]:
                 rows.append(row)
                 gone.append(found)
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["row", "gone"])
 
 
+def _with_need(pages: DataFrame) -> DataFrame:
+    """pages(host, copy) with need: the pages on which a run must occur for a plain block of an article to go."""
+    sizes = pages.groupBy("host", "copy").agg(F.count(F.lit(1)).alias("n")).groupBy("host").agg(F.count(F.lit(1)).alias("copies"), F.sum("n").alias("n"))
+    need = F.greatest(F.lit(SITE_PAGES), F.ceil(F.col("copies") * SITE_SHARE)).cast("int")
+    sizes = stored(sizes.filter(F.col("copies") >= SITE_PAGES).select("host", need.alias("need"), "n"), "hosts")
+    if sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        out = pages.join(F.broadcast(sizes), "host", "left")
+    else:
+        out = join_hot(pages, sizes, "host", "n", pages.count())
+    return out.drop("n").withColumn("need", F.coalesce("need", F.lit(NEVER)))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html)."""
     spark = pages.sparkSession
-    small_batches(spark)
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    parsed = stored(rows.mapInArrow(_parse, "row long, page_id long, url string, blocks array<string>, lens array<int>, kinds array<int>"), "pages", compression="zstd", **{"parquet.compression.codec.zstd.level": "9"})
+    schema = "row long, page_id long, url string, blocks array<string>, lens array<int>, kinds array<int>, copy long"
+    parsed = stored(rows.mapInArrow(_parse, schema), "pages", FEW, compression="zstd", **{"parquet.compression.codec.zstd.level": "9"})
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)), F.lit(""))
-    hosts = parsed.withColumn("host", host)
+    hosts = _with_need(parsed.withColumn("host", host))
     sketch = spark.sparkContext.broadcast(_sketch(hosts))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, low = sketch.value, np.uint64((1 << SKETCH) - 1)
         for batch in batches:
             found = []
-            for row, run, least, copy in _runs(batch):
+            for row, run, least, _, copy, _ in _runs(batch):
                 bit = least & low
                 at = np.flatnonzero(bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
                 if len(at):
@@ -266,13 +297,13 @@ def extract(pages: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["row", "at", "run", "copy"])
 
-    runs = stored(hosts.select("row", "host", "blocks").mapInArrow(likely, "row long, at int, run long, copy long"), "runs", compression="zstd")
+    runs = stored(hosts.select(*PAGE).mapInArrow(likely, "row long, at int, run long, copy long"), "runs", FEW, compression="zstd")
     often = runs.groupBy("run", "copy").agg(F.count(F.lit(1)).alias("n")).groupBy("run").agg(F.count(F.lit(1)).alias("copies"), F.sum("n").alias("uses"))
-    often = stored(often.filter(F.col("copies") >= PAGES).select("run", "uses"), "repeats")
+    often = stored(often.filter(F.col("copies") >= PAGES).select("run", "copies", "uses"), "repeats")
     mine, few = runs.select("row", "at", "run"), often.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hits = mine.join(F.broadcast(often), "run") if few else join_hot(mine, often, "run", "uses", runs.count(), "inner")
-    hits = hits.groupBy("row").agg(F.collect_list("at").alias("at"))
-    gone = stored(parsed.select("row", "lens", "kinds").join(hits, "row").mapInArrow(_gone, "row long, gone array<int>"), "gone")
+    hits = hits.groupBy("row").agg(F.collect_list(F.struct("at", "copies")).alias("runs"))
+    gone = stored(hosts.select("row", "lens", "kinds", "need").join(hits, "row").select("row", "lens", "kinds", "need", "runs").mapInArrow(_gone, "row long, gone array<int>"), "gone", FEW)
     left = F.filter("blocks", lambda t, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
     judged = parsed.join(checked_broadcast(gone), "row", "left").select("page_id", "url", F.array_join(left, "\n").alias("text"))
     return judged.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -172,12 +172,17 @@ def test_main_text(spark):
 
 
 def test_repeats_decide_inside_and_outside_articles(spark):
-    notice = "<p>Please subscribe to our weekly letter and never miss a story</p>"
-    rows = [(i, "http://h/x", f"<article>{notice}<p>unique words of page number {i} stay</p></article>") for i in range(4)]
+    notice, some = "<p>Please subscribe to our weekly letter and never miss a story</p>", "a line that less than half of all the articles share"
+    rows = [(i, "http://h/x", f"<article>{notice}<p>unique words of page number {i} stay</p>{f'<p>{some}</p>' if i > 9 else ''}</article>") for i in range(-4, 16) if i < 4 or i > 9]
+    rows += [(30 + i, "http://few/x", f"<article>{notice}<p>unique words of page number {i} stay</p></article>") for i in range(7)]
+    rows += [(40 + i, "http://hint/x", f"<article><div class='share'>{notice}</div><p>unique words of page number {i} stay</p></article>") for i in range(3)]
     rows += [(9, "http://q/1", "<div>the main text of this page is in a div</div><article>a teaser</article>")]
     rows += [(20 + i, f"http://c/{i}", "<article>one article that was copied word for word to three addresses</article>") for i in range(3)]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i] == f"unique words of page number {i} stay" for i in range(4))
+    assert all(got[i] == f"unique words of page number {i} stay" for i in range(-4, 4))
+    assert all(got[i] == f"unique words of page number {i} stay\n{some}" for i in range(10, 16))
+    assert all(got[30 + i] == f"{notice[3:-4]}\nunique words of page number {i} stay" for i in range(7))
+    assert all(got[40 + i] == f"unique words of page number {i} stay" for i in range(3))
     assert got[9] == "the main text of this page is in a div\na teaser" and got[22].startswith("one article")
 
 

@@ -6,6 +6,7 @@ import itertools
 import os
 import re
 import zlib
+from html import unescape
 
 import duckdb
 import numpy as np
@@ -115,3 +116,18 @@ def test_surrogates(spark, rows):
         assert got[i].n_entities or (got[i].text or "") == t
         said["mail"] += len(mails)
     assert said["mail"]
+
+
+def test_main_text_is_the_heading_and_the_document(spark, duck):
+    """A page's text is its h1 and, line by line, the document whose number ends the url."""
+    texts = dict(duck.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall())
+    html = dict(duck.execute("SELECT page_id, html FROM pages").fetchall())
+    squeezed, seen = lambda t: " ".join(t.split()), 0
+    for r in QUERIES["op8_html_text"](spark, DIR).collect():
+        number = int(re.search(r"example.\w+/\w+/(\d+)", r.url)[1])
+        head = squeezed(unescape(re.search(r"<h1[^>]*>(.*?)</h1>", html[r.page_id], re.S)[1]))
+        lines = [x for t in texts[number].split("\n") if (x := squeezed(t))] if number in texts else None
+        if lines is not None:
+            seen += 1
+            assert r.text == "\n".join(x for x in [head, *lines] if x), r.page_id
+    assert seen
