@@ -52,10 +52,10 @@ def _packed(a: np.ndarray) -> tuple[str, bytes]:
 
 
 def _unpacked(kind: str, data: bytes, dim: int, n: int) -> np.ndarray:
-    """(dim, n) integers; 64 bits wide, or Python's."""
+    """(dim, n) integers as they were packed."""
     if kind == "text":
         return np.array([int(v) for v in bytes(data).split(b",") if v], object).reshape(dim, n)
-    return np.frombuffer(data, kind).reshape(dim, n).astype(np.int64)
+    return np.frombuffer(data, kind).reshape(dim, n)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,19 +95,29 @@ def _wide(*arrays: np.ndarray) -> bool:
     return any(a.dtype == object or a.size and max(-int(a.min()), int(a.max())) >= SMALL for a in arrays)
 
 
+def _kind(parts: np.ndarray, books: np.ndarray) -> type:
+    """The narrowest integers that hold the squared distances."""
+    if _wide(parts, books) or parts.shape[1] >= 1 << 10:
+        return object
+    top = sum(int(np.abs(a).max(initial=0)) for a in (parts, books))
+    return np.int32 if top * top * max(parts.shape[1], 1) < 1 << 31 else np.int64
+
+
 def nearest(parts: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes (PARTS, n) of parts (PARTS, width, n) by books (PARTS, ENTRIES, width), ties to the lower index, and the squared distances."""
-    if _wide(parts, books) or parts.shape[1] >= 1 << 10:
-        parts, books = parts.astype(object), books.astype(object)
-    codes, errors = np.zeros((PARTS, parts.shape[2]), np.int64), np.zeros((PARTS, parts.shape[2]), parts.dtype)
+    kind = _kind(parts, books)
+    parts, books, n = parts.astype(kind, copy=False), books.astype(kind, copy=False), parts.shape[2]
+    codes, errors = np.zeros((PARTS, n), np.int64), np.zeros((PARTS, n), parts.dtype)
+    far, gap = np.empty((books.shape[1], n), kind), np.empty((books.shape[1], n), kind)
     for p in range(PARTS):
-        far = np.zeros((books.shape[1], parts.shape[2]), parts.dtype)
+        far[:] = 0
         for d in range(parts.shape[1]):  # one dimension after another
-            gap = parts[p, d][None, :] - books[p, :, d][:, None]
-            far += gap * gap
+            np.subtract(parts[p, d][None, :], books[p, :, d][:, None], out=gap)
+            np.multiply(gap, gap, out=gap)
+            far += gap
         codes[p] = far.argmin(axis=0)
-        errors[p] = far.min(axis=0) if len(far) else 0
-    return codes, errors
+        errors[p] = far.min(axis=0)
+    return codes, errors if kind == object else errors.astype(np.int64)
 
 
 def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,7 +132,8 @@ def _summed(blocks: RDD, books: np.ndarray) -> tuple[np.ndarray, np.ndarray] | N
     def add(total, r: Row):
         parts, entries = _array(r), held.value
         codes, _ = nearest(parts, entries)
-        sums = np.zeros((PARTS, parts.shape[1], entries.shape[1]), object if parts.dtype == object else np.int64)
+        parts = parts if parts.dtype == object else parts.astype(np.int64)
+        sums = np.zeros((PARTS, parts.shape[1], entries.shape[1]), parts.dtype)
         counts = np.zeros((PARTS, entries.shape[1]), np.int64)
         for p in range(PARTS):
             np.add.at(counts[p], codes[p], 1)
