@@ -9,13 +9,13 @@ file of a new name each time, put in place by one rename; the one with the great
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heatfield.functions import geometry as G
+from heatfield.sources import files
 
 IDENTITY = ("match_id", "frame_index", "event_index")
 TABLES = ("fact_kill", "dim_match", "dim_participant", "kills_wide")
@@ -98,28 +98,6 @@ def dataset_id(tables: dict[str, DataFrame], versions: dict) -> str:
     return "v1-" + next(iter(tables.values())).sparkSession.range(1).select(F.sha2(F.lit(text), 256)).first()[0][:20]
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
-def put(spark: SparkSession, path: str, text: str) -> bool:
-    """Writes a file of a name that is never written twice: beside, then renamed. False if it is there with the same text; another text is an error."""
-    fs, to, jvm = _fs(spark, path)
-    if fs.exists(to):
-        if "".join(r.value + "\n" for r in spark.read.text(path).collect()).strip() != text.strip():
-            raise FileExistsError(f"{path} holds something else")
-        return False
-    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    out = fs.create(beside, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    if not fs.rename(beside, to):
-        raise OSError(f"{path} was not put in place")
-    return True
-
-
 def faults(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame) -> list[str]:
     """What keeps facts and dimensions from being a release."""
     pid = lambda who: dim_player.select("match_id", F.col("pid").alias(f"{who}_pid"))
@@ -137,8 +115,12 @@ def manifest(name: str, versions: dict, fact: DataFrame, dim_match: DataFrame, d
     return {"dataset_id": name, "versions": versions, "rows": fact.count(), "matches": span[2], "players": dim_player.select("puuid").distinct().count(), "game_start": [span[0], span[1]], "patches": patches, "regions": G.ZONE_NAMES}
 
 
-def publish(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame, root: str, versions: dict, guard: Callable[[], None] | None = None) -> str:
-    """Checks, writes and points to a release; one that is there whole is left alone. Returns its id. A release may have games without a fact, but not no game."""
+def publish(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame, root: str, versions: dict, guard: Callable[[], None] | None = None, fence: int | None = None) -> str:
+    """Checks, writes and points to a release; one that is there whole is left alone. Returns its id. A release may have games without a fact, but not no game.
+
+    guard is called last before the pointer moves. fence is the publisher's number among owners: once a later one has published,
+    an earlier one cannot.
+    """
     spark = fact.sparkSession
     if dim_match.isEmpty():
         raise ValueError("no games")
@@ -146,28 +128,36 @@ def publish(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame, root:
     if found := faults(fact, dim_match, dim_player):
         raise ValueError(f"the release is not whole: {sorted(found)}")
     name = dataset_id({"fact_kill": fact, "dim_match": dim_match, "dim_participant": dim_player}, versions)
-    fs, done, jvm = _fs(spark, f"{root}/manifest/{name}.json")
-    if not fs.exists(done):
+    if not files.exists(spark, f"{root}/manifest/{name}.json"):
         made = wide(fact, dim_match, dim_player, f"{root}/work/{name}")
         for table_name, df in zip(TABLES, (fact, dim_match, dim_player, made), strict=True):
             order = [c for c in (*IDENTITY, "pid") if c in df.columns]
             df.repartitionByRange(*order[:1]).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{table_name}/dataset_id={name}")
         names = latest_names(dim_player)
         names.join(dense_keys(dim_player, "puuid", "player"), "puuid").write.mode("overwrite").parquet(f"{root}/players/dataset_id={name}")
-        put(spark, f"{root}/manifest/{name}.json", json.dumps(manifest(name, versions, fact, dim_match, dim_player)))
+        files.put(spark, f"{root}/manifest/{name}.json", json.dumps(manifest(name, versions, fact, dim_match, dim_player)))
     if guard:
         guard()
-    if (_pointer(spark, root) or (0, ""))[1] != name:
-        number = (_pointer(spark, root) or (0, ""))[0] + 1
-        put(spark, f"{root}/current/{number:012d}-{name}", name)
+    point(spark, root, name, fence)
     return name
 
 
+#: Pointers of one owner.
+MOVES = 1_000_000
+
+
+def point(spark: SparkSession, root: str, name: str, fence: int | None = None) -> None:
+    """Moves the pointer: a file of the next number, created once. The greatest number counts."""
+    number, now = _pointer(spark, root) or (0, "")
+    if fence is not None and number // MOVES > fence:
+        raise PermissionError(f"owner {number // MOVES} has published since owner {fence}")
+    if now != name and not files.create(spark, f"{root}/current/{max(number, (fence or 0) * MOVES) + 1:018d}", name):
+        raise PermissionError("another publisher was faster")
+
+
 def _pointer(spark: SparkSession, root: str) -> tuple[int, str] | None:
-    fs, folder, jvm = _fs(spark, f"{root}/current")
-    names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
-    found = [(int(n[:12]), n[13:]) for n in names if len(n) > 13 and n[:12].isdigit() and "." not in n]
-    return max(found, default=None)
+    last = max((n for n in files.names(spark, f"{root}/current") if n.isdigit()), default=None)
+    return None if last is None else (int(last), files.read(spark, f"{root}/current/{last}"))
 
 
 def current(spark: SparkSession, root: str) -> str:
@@ -207,7 +197,7 @@ def ungrouped(facts: DataFrame) -> DataFrame:
 def verified(spark: SparkSession, root: str, dataset: str | None = None) -> dict:
     """The manifest of a release that holds what it says; anything else is an error."""
     name = dataset or current(spark, root)
-    said = json.loads("".join(r.value for r in spark.read.text(f"{root}/manifest/{name}.json").collect()))
+    said = json.loads(files.read(spark, f"{root}/manifest/{name}.json"))
     facts, players = table(spark, root, "kills_wide", name), table(spark, root, "players", name)
     if said["dataset_id"] != name or said["rows"] != facts.count() or said["players"] != players.count() or said["matches"] != table(spark, root, "dim_match", name).count():
         raise ValueError("the tables are not those of the manifest")

@@ -51,14 +51,16 @@ def identity_fault() -> Column:
     return out.when((team(100) != 5) | (team(200) != 5), "teams").when(F.exists(p, lambda x: F.coalesce(x.puuid, F.lit("")) == ""), "player")
 
 
-def timeline_fault() -> Column:
-    """What is wrong with a timeline, or null: frames there and in order, events with known players, times and places in range."""
-    frames = F.col("info.frames")
+def timeline_fault(info: str = "info") -> Column:
+    """What is wrong with a timeline, or null: another match's, frames there, numbered by finite times and in order, events with known players, times and places in range."""
+    frames = F.col(f"{info}.frames")
     at = F.transform(frames, lambda f: f.timestamp)
     events = F.flatten(F.transform(frames, lambda f: F.coalesce(f.events, F.array().cast(f"array<{EVENT}>"))))
     kills = F.filter(events, lambda e: e.type == "CHAMPION_KILL")
-    bad = lambda e: (e.timestamp < 0) | (e.timestamp >= 65_535_000) | (F.abs(e.position.x) > 32767) | (F.abs(e.position.y) > 32767) | ~e.victimId.between(1, 10) | ~F.coalesce(e.killerId, F.lit(0)).between(0, 10)
-    return F.when(F.coalesce(F.size(frames), F.lit(0)) <= 0, "no_frames").when(at != F.array_sort(at), "order").when(F.exists(kills, lambda e: F.coalesce(bad(e), F.lit(True))), "event")
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) <= 32767)
+    bad = lambda e: (e.timestamp < 0) | (e.timestamp >= 65_535_000) | ~finite(e.position.x) | ~finite(e.position.y) | ~e.victimId.between(1, 10) | ~F.coalesce(e.killerId, F.lit(0)).between(0, 10)
+    gone = F.exists(at, lambda t: t.isNull())
+    return F.when(F.coalesce(F.size(frames), F.lit(0)) <= 0, "no_frames").when(gone, "frame_time").when(at != F.array_sort(at), "order").when(F.exists(kills, lambda e: F.coalesce(bad(e), F.lit(True))), "event")
 
 
 def participants(matches: DataFrame) -> DataFrame:

@@ -1,6 +1,5 @@
 """Facts of generated matches against a scalar replay written for the test, then releases and ingestion."""
 
-import gzip
 import json
 import math
 import random
@@ -13,7 +12,6 @@ from heatfield.functions.scalars import RESPAWN, ROLES
 from heatfield.operators import facts as X
 from heatfield.operators import release as R
 from heatfield.sources import documents as D
-from heatfield.streaming import ingest as I
 from heatfield.streaming import runs as U
 
 
@@ -139,65 +137,6 @@ def test_rejections(spark, tmp_path, change, reason):
     assert D.read_documents(spark, str(tmp_path), D.MATCH).select(D.rejection(["14.3"])).first()[0] == reason
 
 
-def test_ingestion_takes_each_match_once_and_a_release_is_whole(spark, landed, tmp_path):
-    root, made = landed
-    land, store, site = tmp_path / "land", str(tmp_path / "store"), str(tmp_path / "site")
-    for kind in ("match", "timeline"):
-        (land / kind).mkdir(parents=True)
-
-    def put(n, *kinds):
-        for kind in kinds:
-            (land / kind / f"{n}.json").write_text((root / kind / f"{n}.json").read_text())
-
-    def run():
-        I.stream(spark, str(land), store, ["14.3"]).awaitTermination()
-        rows = spark.read.schema(I.STATUS).parquet(f"{store}/status").collect()
-        return sorted((r.match_id, r.status, r.reason) for r in rows)
-
-    put(0, "match", "timeline")
-    put(1, "match")
-    assert run() == [("EU_0", "done", None), ("EU_1", "error", "timeline_404")]
-    put(1, "timeline")
-    put(2, "match", "timeline")
-    assert [r for r in run() if r[1] == "done"] == [("EU_0", "done", None), ("EU_1", "done", None), ("EU_2", "done", None)]
-    table = lambda name: spark.read.parquet(f"{store}/{name}").drop("batch")
-    fact, match, player = table("fact_kill"), table("dim_match"), table("dim_participant")
-    assert fact.count() == sum(len(replay(*made[n])) for n in range(3))
-    first = R.publish(fact, match, player, site, {"schema": 1})
-    assert R.publish(fact.orderBy("event_ms"), match, player, site, {"schema": 1}) == first == R.current(spark, site)
-    wide = R.table(spark, site, "kills_wide")
-    assert wide.count() == fact.count() and wide.filter("cause = 0 and killer_player is null").isEmpty()
-    with pytest.raises(ValueError, match="duplicate"):
-        R.publish(fact.unionByName(fact), match, player, site, {"schema": 1})
-    with pytest.raises(RuntimeError):
-        R.publish(fact.filter("match_id <> 'EU_2'"), match, player, site, {"schema": 1}, guard=lambda: (_ for _ in ()).throw(RuntimeError()))
-    assert R.current(spark, site) == first and R.verified(spark, site)["matches"] == 3
-    R.register(spark, site)
-    assert spark.sql("SELECT count(*) n, count(DISTINCT match_id) g, max(cell_of(x, y, 32)) c, danger(6, 3) d FROM kills_wide").first().d == 11 / 19
-
-    # New names, other labels, games without a kill, and a write that ends between two tables.
-    stale = fact.withColumn("region", F.lit(1))
-    assert R.publish(stale, match, player, site, {"schema": 1}) == first
-    renamed = player.withColumn("display_name", F.concat("display_name", F.lit("x")))
-    second = R.publish(fact, match, renamed, site, {"schema": 1})
-    assert second != first and R.current(spark, site) == second
-    real = R.latest_names
-    R.latest_names = lambda *_: (_ for _ in ()).throw(RuntimeError("stopped"))
-    try:
-        with pytest.raises(RuntimeError, match="stopped"):
-            R.publish(fact, match, player, site, {"schema": 2})
-    finally:
-        R.latest_names = real
-    assert R.current(spark, site) == second
-    third = R.publish(fact, match, player, site, {"schema": 2})
-    assert R.verified(spark, site)["dataset_id"] == third != second
-    empty = R.publish(fact.limit(0), match, player, site, {"schema": 1})
-    assert R.verified(spark, site)["rows"] == 0 and R.table(spark, site, "dim_match", empty).count() == 3
-    assert R.publish(fact, match, player, site, {"schema": 1}) == first == R.current(spark, site)
-    with pytest.raises(FileExistsError):
-        R.put(spark, f"{site}/manifest/{first}.json", "{}")
-
-
 def test_keys_of_any_number_of_values(spark, tmp_path):
     dim = spark.range(1000).selectExpr("concat('m', lpad(cast(id * 7 % 1000 as string), 4, '0')) as k")
     got = {r.k: r.sk for r in R.ranged_keys(dim.repartition(7), "k", "sk", str(tmp_path / "keys")).collect()}
@@ -219,37 +158,6 @@ def test_rows_that_no_release_has(spark):
     assert {tuple(r) for r in X.out_of_range(facts).collect()} == {("a", "team_gold"), ("b", "assists")}
 
 
-def test_watermarks(spark):
-    marks = spark.createDataFrame([("a", 0, 10), ("b", 0, 10), ("c", 99, 120)], "player string, scanned_from long, scanned_to long")
-    seen = spark.createDataFrame([("a", 20, True, 0), ("b", 20, True, 1), ("c", 130, True, 0), ("d", 5, False, 0)], "player string, scanned_to long, finished boolean, open int")
-    assert {(r.player, r.scanned_from, r.scanned_to) for r in I.advanced(marks, seen, 50).collect()} == {("a", 0, 20), ("b", 0, 10), ("c", 50, 130)}
-    nobody = spark.createDataFrame([("m", None)], "match_id string, player string")
-    assert {tuple(r) for r in I.advanced(marks, seen, 50, nobody).collect()} == {tuple(r) for r in marks.collect()}
-
-
-def test_runs_keep_their_settings_and_say_how_they_ended(spark, landed, tmp_path):
-    root, made = landed
-    land, store = tmp_path / "land", str(tmp_path / "store")
-    for kind in ("match", "timeline"):
-        (land / kind).mkdir(parents=True)
-        (land / kind / "0.json").write_text((root / kind / "0.json").read_text())
-    with gzip.open(land / "match" / "1.json.gz", "wt") as f:
-        f.write((root / "match" / "1.json").read_text())
-    said = []
-    assert U.execute(spark, str(land), store, "r1", U.strict({"mode": "full", "patches": ["14.3"]}), lambda: said.append(1)) == "retry_required"
-    (land / "timeline" / "1.json").write_text((root / "timeline" / "1.json").read_text())
-    assert U.execute(spark, str(land), store, "r1", publish=lambda: said.append(2)) == "complete" and said == [1, 2]
-    assert {tuple(r) for r in U.latest_statuses(spark, store).collect()} == {("EU_0", "done"), ("EU_1", "done")}
-    with pytest.raises(FileExistsError):
-        U.frozen(spark, store, "r1", U.Settings("smoke"))
-    with pytest.raises(FileNotFoundError):
-        U.frozen(spark, store, "r2")
-    with pytest.raises(ValueError, match="unknown settings"):
-        U.strict({"mod": "full"})
-    few = spark.createDataFrame([("a", "done"), ("b", "error")], "match_id string, status string")
-    assert U.outcome(few, "smoke") == "retry_required" and U.outcome(few.filter("status = 'done'"), "small") == "exhausted" and U.outcome(few.limit(0), "full") == "complete"
-
-
 def test_names(spark, tmp_path):
     (tmp_path / "names.json").write_text('{"data": {"A": {"key": "7", "name": "Seven"}, "B": {"key": "x", "name": "none"}}}')
     names = U.champion_names(spark, str(tmp_path / "names.json"))
