@@ -38,6 +38,8 @@ from heatfield.llm.common import forget, prefix_hashes, row_key, small_batches,
 FREQUENT, LONG, MARK = 1 << 20, 61, "▁"
 #: Words that a task looks through at once for distinct ones; words that the grouping of edges may hold at once; words of a part; texts encoded at once.
 CHUNK, HELD, PART, SOME = 1 << 19, 200_000, 3_000_000, 256
+#: Partitions of the distinct words to each of the session's shuffles.
+DEALT = 2
 _MARK = MARK.encode()
 
 
@@ -200,16 +202,18 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
 
 def dictionary(docs: DataFrame, path: str) -> DataFrame:
     """word, uses, ids of every distinct word of at most LONG characters."""
-    # Grouped by hash, not by sort: a partition's words are few enough to be held.
-    return stored(lattice(distinct_words(docs, path), path), "dictionary", {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(HELD)}, compression="zstd")
+    # Grouped by hash, not by sort: a partition's words are few enough to be held, also beside those of the executor's other tasks.
+    parts = DEALT * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    settings = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(HELD), "spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    return stored(lattice(distinct_words(docs, path), path), "dictionary", settings, compression="zstd")
 
 
 class Lookup:
     """Ids by the words' hashes: an open hash table, and the ids in one array."""
 
-    def __init__(self, hashes: np.ndarray, ids: np.ndarray, first: np.ndarray):
-        self.bits = max(4, int(2 * len(hashes) + 1).bit_length())
-        self.ids, self.begin, self.size = ids, first[:-1], np.diff(first)
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray):
+        self.bits = max(4, int(2 * len(hashes) - 1).bit_length())
+        self.ids, self.begin, self.size = ids, _begins(sizes), sizes
         self.table = np.full(1 << self.bits, -1, np.int32)
         self.hashes, left, at = hashes, np.arange(len(hashes), dtype=np.int32), self._slot(hashes)
         while len(left):
@@ -249,7 +253,13 @@ def frequent_words(known: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
     top = known.filter(F.col("uses") >= least).select("word", "ids").mapInArrow(pack, "hashes binary, sizes binary, ids binary").collect()
     h, sizes, ids = (np.frombuffer(b"".join(bytes(r[i]) for r in top), t) for i, t in enumerate((np.uint64, np.int32, np.int32)))
-    return h, ids, np.cumsum([0, *sizes])
+    return h, ids.astype(np.uint16 if ids.max(initial=0) < 1 << 16 else np.int32), sizes.astype(np.uint8)  # a word has at most LONG characters, and so bytes
+
+
+def _begins(sizes: np.ndarray) -> np.ndarray:
+    """Where each stretch begins."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return (ends - sizes).astype(np.int32 if len(ends) == 0 or ends[-1] < 1 << 31 else np.int64)
 
 
 _lookups: dict[str, Lookup] = {}
@@ -307,8 +317,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         m, have, z = model(path), lookup(), zstandard.ZstdDecompressor()
         hashes, sizes, ids = (np.frombuffer(b"".join(right.column(c).to_pylist()), t) for c, t in (("hashes", np.uint64), ("sizes", np.int32), ("ids", np.int32)))
         h, first = np.unique(hashes, return_index=True)  # a word comes once from each task
-        rare = Lookup(h, ids, np.zeros(len(h) + 1, np.int64))
-        rare.begin, rare.size = (np.cumsum(sizes) - sizes)[first], sizes[first].astype(np.int64)
+        rare = Lookup(h, ids, sizes[first])
+        rare.begin = _begins(sizes)[first]
         out = []
         full = np.cumsum([len(t) for t in left.column("text").to_pylist()]) // (1 << 20)  # a few texts at a time, or one long one
         for n in np.unique(full).tolist():
@@ -347,7 +357,7 @@ def _encoded(m: Model, have: Lookup, rare: Lookup, w: Words) -> tuple[np.ndarray
     for table, at in ((have, at), (rare, None)):
         at = table.find(w.hash[lack]) if at is None else at
         hit = at >= 0
-        begin[lack[hit]], size[lack[hit]] = table.begin[at[hit]] + shift, table.size[at[hit]]
+        begin[lack[hit]], size[lack[hit]] = table.begin[at[hit]].astype(np.int64) + shift, table.size[at[hit]]
         lack = lack[~hit]
         arrays.append(table.ids)
         shift += len(table.ids)
