@@ -333,9 +333,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "n_ids": pa.array([], pa.int64()), "round_trip": pa.array([], pa.bool_())})
 
     rare = rows.select("part", "text").mapInArrow(others, "part long, word string").join(known.select("word", "ids"), "word")
-    small_batches(spark, 100_000)
-    rare = stored(rare.select("part", "word", "ids").mapInArrow(pack_ids, "part long, hashes binary, sizes binary, ids binary"), "rare-words", compression="zstd")
-    small_batches(spark, SOME)
+    # Many narrow rows to a batch, but few bytes: the same job reads whole texts.
+    batches = {"spark.sql.execution.arrow.maxRecordsPerBatch": "100000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+    rare = stored(rare.select("part", "word", "ids").mapInArrow(pack_ids, "part long, hashes binary, sizes binary, ids binary"), "rare-words", batches, compression="zstd")
     forget(known)
     texts = rows.mapInArrow(pack_texts, "doc_id long, part long, text binary")  # what the shuffle moves
     return texts.groupBy("part").cogroup(rare.groupBy("part")).applyInArrow(assemble, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
