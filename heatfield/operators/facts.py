@@ -1,8 +1,10 @@
 """Match and timeline documents to one row a champion kill.
 
-Every running state of the replay (levels, deaths, kills, who is alive, which objectives are up) is a window over the
-rows of a match or player before the kill, in order of time, frame and event; players are joined to the last frame at or
-before the kill, or to the first. A kill's ten players are gathered into one array, so distances are array expressions.
+A document is read once: its events become one array, in which each kill has the players' states of the last frame at or
+before it, or of the first, and which is exploded. Every running state of the replay (levels, deaths, kills, who is alive, which
+objectives are up) is a window over the rows of a match or player before the kill, in order of time, frame and event. All
+windows, the join with the match's players and the gathering of a kill's ten players into one array for distances find
+the rows dealt by match, so each side is shuffled once.
 """
 
 from __future__ import annotations
@@ -12,12 +14,13 @@ from pyspark.sql import functions as F
 
 from heatfield.functions import geometry as G
 from heatfield.functions import scalars as S
-from heatfield.operators.asof import asof, prior
-from heatfield.sources.documents import participants
+from heatfield.operators.asof import prior
+from heatfield.sources.documents import EVENT, participants, players
 
 ORDER = ("event_ms", "frame_index", "event_index")
 #: Fixed values, in milliseconds: first and next dragon, baron, and the herald's time.
 DRAGON_FIRST, DRAGON_NEXT, BARON_FIRST, BARON_NEXT, HERALD_FROM, HERALD_TO, TRADE = 300_000, 300_000, 1_200_000, 360_000, 840_000, 1_500_000, 5_000
+KILL, LEVEL, MONSTER, BUILDING = "CHAMPION_KILL", "LEVEL_UP", "ELITE_MONSTER_KILL", "BUILDING_KILL"
 BLOCK = ("champ", "role", "level", "gold_diff_lane", "cs_diff_lane", "isolation", "enemies_near", "ordinal", "since_prev_death", "lane_opp_champ", "player_id")
 
 
@@ -33,17 +36,27 @@ def events(timelines: DataFrame) -> DataFrame:
     return frames.select("match_id", "frame_index", F.posexplode("f.events").alias("event_index", "e")).withColumn("event_ms", F.coalesce("e.timestamp", F.lit(0)))
 
 
-def frame_times(timelines: DataFrame) -> DataFrame:
-    return timelines.select(F.col("metadata.matchId").alias("match_id"), F.posexplode("info.frames").alias("fi", "f")).select("match_id", "fi", F.coalesce("f.timestamp", F.lit(0)).alias("event_ms"))
+def replayed(timelines: DataFrame) -> DataFrame:
+    """match_id, ORDER, e of the events that the replay needs, and states: for a kill the player states of the last frame at or before it, or of the first."""
+    frames = F.col("frames")
+    times = F.array_sort(F.transform(frames, lambda f, i: F.struct(F.coalesce(f.timestamp, F.lit(0)).alias("at"), i.alias("i"))))
 
+    def row(e: Column, i: Column, j: Column) -> Column:
+        t = F.coalesce(e.timestamp, F.lit(0))
+        at = F.coalesce(F.try_element_at(F.filter("times", lambda x: x.at <= t), F.lit(-1)), F.get("times", F.lit(0)))
+        return F.struct(i.alias("frame_index"), j.alias("event_index"), t.alias("event_ms"), e.alias("e"), F.when(e.type == KILL, F.get("frames", at.i).participantFrames).alias("states"))
 
-def player_frames(timelines: DataFrame) -> DataFrame:
-    """match_id, fi, pid, gold, cs, px, py."""
-    f = timelines.select(F.col("metadata.matchId").alias("match_id"), F.posexplode("info.frames").alias("fi", "f"))
-    p = f.select("match_id", "fi", F.explode("f.participantFrames").alias("pid", "s"))
-    both = F.col("s.position.x").isNotNull() & F.col("s.position.y").isNotNull()
-    cs = F.coalesce("s.minionsKilled", F.lit(0)) + F.coalesce("s.jungleMinionsKilled", F.lit(0))
-    return p.select("match_id", "fi", F.col("pid").cast("int").alias("pid"), F.col("s.totalGold").alias("gold"), F.when(F.col("s").isNotNull(), cs).alias("cs"), F.when(both, F.col("s.position.x")).alias("px"), F.when(both, F.col("s.position.y")).alias("py"))
+    none = F.array().cast(f"array<{EVENT}>")
+    rows = F.flatten(F.transform(frames, lambda f, i: F.filter(F.transform(F.coalesce(f.events, none), lambda e, j: row(e, i, j)), lambda x: x.e.type.isin(KILL, LEVEL, MONSTER, BUILDING))))
+    docs = timelines.select(F.col("metadata.matchId").alias("match_id"), F.col("info.frames").alias("frames")).withColumn("times", times)
+    return docs.select("match_id", rows.alias("rows")).select("match_id", F.inline("rows"))
+
+
+def state(s: Column) -> list[Column]:
+    """gold, cs, px, py of a player's state in a frame."""
+    both = s["position"]["x"].isNotNull() & s["position"]["y"].isNotNull()
+    cs = F.coalesce(s["minionsKilled"], F.lit(0)) + F.coalesce(s["jungleMinionsKilled"], F.lit(0))
+    return [s["totalGold"].alias("gold"), F.when(s.isNotNull(), cs).alias("cs"), F.when(both, s["position"]["x"]).alias("px"), F.when(both, s["position"]["y"]).alias("py")]
 
 
 def objectives_up(t: Column, by: list[str], order: tuple[str, ...]) -> Column:
@@ -67,41 +80,39 @@ def near(own: Column, others: Column, mine, foe) -> tuple[Column, Column]:
     return F.array_min(F.transform(F.filter(placed, mine), far)), F.size(F.filter(placed, lambda p: foe(p) & (far(p) <= G.NEAR_RADIUS)))
 
 
-def objective_state(ev: DataFrame) -> DataFrame:
-    """match_id, ORDER, objectives_up and since_objective for every kill."""
-    monster = F.when(F.col("e.type") == "ELITE_MONSTER_KILL", F.upper(F.coalesce("e.monsterType", F.lit(""))))
-    sub = F.upper(F.coalesce("e.monsterSubType", F.lit("")))
-    is_dragon = monster.contains("DRAGON")
-    baron = ~is_dragon & monster.contains("BARON")
-    rows = ev.filter(F.col("e.type").isin("ELITE_MONSTER_KILL", "BUILDING_KILL", "CHAMPION_KILL")).select("match_id", *ORDER, F.col("e.type").alias("type"), F.when(is_dragon, F.col("event_ms")).alias("dragon"), F.when(is_dragon & (sub.contains("ELDER") | monster.contains("ELDER")), True).alias("elder"), F.when(baron, F.col("event_ms")).alias("baron"), F.when(~is_dragon & ~baron & monster.contains("HERALD"), True).alias("herald"), F.when(F.col("e.type") != "CHAMPION_KILL", F.col("event_ms")).alias("objective"))
-    t = F.col("event_ms")
-    up = objectives_up(t, ["match_id"], ORDER)
-    return rows.withColumn("objectives_up", up).withColumn("since_objective", S.u8((t - F.last("objective", ignorenulls=True).over(prior(["match_id"], *ORDER))) / 1000, 2)).filter("type = 'CHAMPION_KILL'").select("match_id", *ORDER, "objectives_up", "since_objective")
-
-
 def kill_facts(matches: DataFrame, timelines: DataFrame) -> DataFrame:
     """The fact rows of all matches; unknown values are null."""
-    parts, ev = participants(matches), events(timelines)
-    kills = ev.filter("e.type = 'CHAMPION_KILL'").withColumn("first", first_of_match(F.col("event_ms"), "match_id"))
-    w = Window.partitionBy("match_id").orderBy("event_ms")
-    kills = kills.withColumn("trade", F.count(F.lit(1)).over(w.rangeBetween(-TRADE, TRADE)) > F.count(F.lit(1)).over(w.rangeBetween(0, 0)))
-    kills = kills.filter("e.position.x is not null and e.position.y is not null").join(parts.select("match_id", F.col("pid").alias("vp")), (parts["match_id"] == kills["match_id"]) & (F.col("vp") == F.col("e.victimId")), "left_semi")
-    base = kills.select("match_id", *ORDER, F.col("e.victimId").alias("victim_pid"), F.coalesce("e.killerId", F.lit(0)).alias("killer_said"), cause().alias("cause"), F.col("e.position.x").alias("rx"), F.col("e.position.y").alias("ry"), F.coalesce(F.size("e.assistingParticipantIds"), F.lit(0)).alias("assist_n"), (F.coalesce("e.bounty", F.lit(0)) + F.coalesce("e.shutdownBounty", F.lit(0))).alias("gold"), "first", "trade")
-    base = asof(base, frame_times(timelines), ["match_id"], "event_ms", "frame", first_if_none=True).withColumn("fi", F.col("frame.fi")).drop("frame")
-
-    # Ten rows a kill, one a player, with level events between them.
-    actors = base.join(parts, "match_id").withColumns({"died": F.col("pid") == F.col("victim_pid"), "killed": (F.col("pid") == F.col("killer_said")) & (F.col("cause") == S.CHAMPION)})
-    levels = ev.filter("e.type = 'LEVEL_UP' and e.level > 0").select("match_id", *ORDER, F.col("e.participantId").alias("pid"), F.col("e.level").alias("up"))
+    ev, t = replayed(timelines), F.col("event_ms")
+    kill, monster = F.col("e.type") == KILL, F.when(F.col("e.type") == MONSTER, F.upper(F.coalesce("e.monsterType", F.lit(""))))
+    sub, is_dragon = F.upper(F.coalesce("e.monsterSubType", F.lit(""))), monster.contains("DRAGON")
+    baron = ~is_dragon & monster.contains("BARON")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rows = ev.select(
+        "match_id", *ORDER, kill.alias("kill"), "states", F.when(F.col("e.type") == LEVEL, F.col("e.participantId")).alias("levelled"), F.when(F.col("e.level") > 0, F.col("e.level")).alias("up"),
+        F.col("e.victimId").alias("victim_pid"), n("e.killerId").alias("killer_said"), cause().alias("cause"), F.col("e.position.x").alias("rx"), F.col("e.position.y").alias("ry"), F.coalesce(F.size("e.assistingParticipantIds"), F.lit(0)).alias("assist_n"), (n("e.bounty") + n("e.shutdownBounty")).alias("bounty_gold"),
+        F.when(is_dragon, t).alias("dragon"), F.when(is_dragon & (sub.contains("ELDER") | monster.contains("ELDER")), True).alias("elder"), F.when(baron, t).alias("baron"), F.when(~is_dragon & ~baron & monster.contains("HERALD"), True).alias("herald"), F.when(F.col("e.type").isin(MONSTER, BUILDING), t).alias("objective"),
+    )
+    by, close = Window.partitionBy("match_id"), Window.partitionBy("match_id").orderBy("event_ms")
+    at_kill = F.when(F.col("kill"), t)
+    rows = rows.withColumns({"objectives_up": objectives_up(t, ["match_id"], ORDER), "since_objective": S.u8((t - F.last("objective", ignorenulls=True).over(prior(["match_id"], *ORDER))) / 1000, 2)})
+    rows = rows.withColumns({"first": t == F.min(at_kill).over(by), "trade": F.count(at_kill).over(close.rangeBetween(-TRADE, TRADE)) > F.count(at_kill).over(close.rangeBetween(0, 0))})
+
+    # Ten rows a kill, one a player, with the level events between them.
+    rows = rows.filter("kill and rx is not null and ry is not null or levelled is not null and up is not null").join(players(matches), "match_id")
+    none = F.lit(None).cast(rows.schema["players"].dataType.elementType)
+    own = F.when(F.exists("players", lambda p: p.pid == F.col("victim_pid")), F.transform("players", lambda p: F.struct(p.pid.alias("pid"), p.alias("p"), F.col("states")[p.pid.cast("string")].alias("s"))))
+    level = F.array(F.struct(F.col("levelled").alias("pid"), none.alias("p"), F.lit(None).cast(rows.schema["states"].dataType.valueType).alias("s")))
+    actors = rows.withColumn("who", F.explode(F.when(F.col("kill"), own).otherwise(level))).drop("players", "states").select("*", "who.pid", "who.p", *state(F.col("who.s"))).drop("who")
+    actors = actors.withColumns({"died": F.col("kill") & (F.col("pid") == F.col("victim_pid")), "killed": F.col("kill") & (F.col("pid") == F.col("killer_said")) & (F.col("cause") == S.CHAMPION)})
     run = prior(["match_id", "pid"], *ORDER)
-    actors = actors.unionByName(levels, allowMissingColumns=True).withColumn("level", F.coalesce(F.last("up", ignorenulls=True).over(run), F.lit(1)))
-    until = F.col("event_ms") + F.floor(S.respawn_seconds(F.col("level"), F.col("event_ms") / 60_000.0) * 1000)
-    actors = actors.filter("champ is not null").withColumn("until", F.when(F.col("died"), until))
-    n = lambda c: F.count_if(c).over(run)
-    actors = actors.withColumns({"alive": F.coalesce(F.last("until", ignorenulls=True).over(run) <= F.col("event_ms"), F.lit(True)), "last_death": F.last(F.when(F.col("died"), F.col("event_ms")), ignorenulls=True).over(run), "n_deaths": n(F.col("died")), "n_kills": n(F.col("killed"))})
-    actors = actors.withColumnRenamed("gold", "bounty_gold").join(player_frames(timelines), ["match_id", "fi", "pid"], "left")
-    one = F.struct("pid", "team", "role", "champ", "puuid", "won", "imputed", "opp", "opp_champ", "level", "alive", "last_death", "n_deaths", "n_kills", "gold", "cs", "px", "py")
-    first = ["fi", "victim_pid", "killer_said", "cause", "rx", "ry", "assist_n", "bounty_gold", "first", "trade"]
-    rows = actors.groupBy("match_id", *ORDER).agg(*[F.first(c).alias(c) for c in first], F.collect_list(one).alias("ps"))
+    actors = actors.withColumn("level", F.coalesce(F.last(F.when(~F.col("kill"), F.col("up")), ignorenulls=True).over(run), F.lit(1)))
+    until = t + F.floor(S.respawn_seconds(F.col("level"), t / 60_000.0) * 1000)
+    actors = actors.withColumn("until", F.when(F.col("died"), until))
+    before = lambda c: F.count_if(c).over(run)
+    actors = actors.withColumns({"alive": F.coalesce(F.last("until", ignorenulls=True).over(run) <= t, F.lit(True)), "last_death": F.last(F.when(F.col("died"), t), ignorenulls=True).over(run), "n_deaths": before(F.col("died")), "n_kills": before(F.col("killed"))})
+    one = F.struct("p.*", "level", "alive", "last_death", "n_deaths", "n_kills", "gold", "cs", "px", "py")
+    first = ["victim_pid", "killer_said", "cause", "rx", "ry", "assist_n", "bounty_gold", "first", "trade", "objectives_up", "since_objective"]
+    rows = actors.filter("kill").groupBy("match_id", *ORDER).agg(*[F.first(c).alias(c) for c in first], F.collect_list(one).alias("ps"))
 
     pick = lambda pid: F.get(F.filter("ps", lambda p: p.pid == pid), F.lit(0))
     rows = rows.withColumns({"victim": pick(F.col("victim_pid")), "killer": F.when(F.col("cause") == S.CHAMPION, pick(F.col("killer_said")))})
@@ -117,9 +128,8 @@ def kill_facts(matches: DataFrame, timelines: DataFrame) -> DataFrame:
     }
     for who, c in (("victim", v), ("killer", k)):
         out |= {f"{who}_{name}": x for name, x in zip(BLOCK, _block(c, who), strict=True)}
-    rows = rows.select("match_id", *ORDER, "victim_pid", "cause", *[x.alias(name) for name, x in out.items()])
-    rows = rows.withColumn("region", G.zone_of(F.col("x"), F.col("y")))
-    return rows.join(objective_state(ev), ["match_id", *ORDER])
+    rows = rows.select("match_id", *ORDER, "victim_pid", "cause", *[x.alias(name) for name, x in out.items()], "objectives_up", "since_objective")
+    return rows.withColumn("region", G.zone_of(F.col("x"), F.col("y")))
 
 
 def _block(a: Column, who: str) -> list[Column]:
@@ -157,9 +167,12 @@ def out_of_range(facts: DataFrame) -> DataFrame:
 
 def unreconciled(facts: DataFrame, matches: DataFrame, timelines: DataFrame) -> DataFrame:
     """Matches whose facts are not their source's kills, by identities and by the players' own death counts."""
-    id_ = ["match_id", "frame_index", "event_index"]
-    source = events(timelines).filter("e.type = 'CHAMPION_KILL'").select(*id_)
-    odd = source.exceptAll(facts.select(*id_)).unionByName(facts.select(*id_).exceptAll(source)).select("match_id").distinct()
-    told = participants(matches).groupBy("match_id").agg(F.sum("deaths").alias("told"), F.count_if(F.col("deaths").isNull()).alias("unknown"))
-    n = facts.groupBy("match_id").agg(F.count(F.lit(1)).alias("n"))
-    return odd.unionByName(told.join(n, "match_id", "left").filter("unknown = 0 and told <> coalesce(n, 0)").select("match_id")).distinct()
+    frames, none = F.col("info.frames"), F.array().cast(f"array<{EVENT}>")
+    kills = F.flatten(F.transform(frames, lambda f, i: F.filter(F.transform(F.coalesce(f.events, none), lambda e, j: F.when(e.type == KILL, F.struct(i.alias("f"), j.alias("e")))), lambda x: x.isNotNull())))
+    source = timelines.select(F.col("metadata.matchId").alias("match_id"), F.array_sort(kills).alias("source"))
+    made = facts.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(F.col("frame_index").alias("f"), F.col("event_index").alias("e")))).alias("made"))
+    deaths = F.transform("info.participants", lambda p: p.deaths)
+    told = matches.select(F.col("metadata.matchId").alias("match_id"), F.when(F.forall(deaths, lambda d: d.isNotNull()), F.aggregate(deaths, F.lit(0), lambda a, d: a + d)).alias("told"))
+    both = source.join(made, "match_id", "full_outer").join(told, "match_id", "full_outer")
+    odd = ~F.coalesce("source", F.array()).eqNullSafe(F.coalesce("made", F.array())) | (F.col("told") != F.size(F.coalesce("made", F.array())))
+    return both.filter(odd).select("match_id").distinct()

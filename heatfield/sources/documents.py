@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,16 +65,28 @@ def timeline_fault(info: str = "info") -> Column:
     return F.when(F.coalesce(F.size(frames), F.lit(0)) <= 0, "no_frames").when(gone, "frame_time").when(at != F.array_sort(at), "order").when(F.exists(kills, lambda e: F.coalesce(bad(e), F.lit(True))), "event")
 
 
+def players(matches: DataFrame) -> DataFrame:
+    """match_id and players, in order: pid, puuid, champ, role, team, won, imputed, and the lane opponent's pid and champ (of the other team's players of the role the last; none for an unknown role)."""
+    one = lambda p: F.struct(*[c.alias(n) for n, c in _player(lambda f: p[f]).items() if n not in ("display_name", "deaths")])
+    rows = matches.select(F.col("metadata.matchId").alias("match_id"), F.transform("info.participants", one).alias("ps"))
+    foe = lambda p: F.try_element_at(F.filter("ps", lambda q: (q["team"] == 300 - p["team"]) & (q["role"] == p["role"])), F.lit(-1))
+    return rows.select("match_id", F.transform("ps", lambda p: p.withField("opp", foe(p)["pid"]).withField("opp_champ", foe(p)["champ"])).alias("players"))
+
+
+def _player(p: Callable[[str], Column]) -> dict[str, Column]:
+    """A player's columns from the fields of a participant."""
+    text = lambda f: F.coalesce(p(f), F.lit(""))
+    said, other = F.trim(text("teamPosition")), F.trim(text("individualPosition"))
+    pos = F.when(said != "", said).otherwise(F.when(F.lower(other) == "invalid", "").otherwise(other))
+    role = F.array_position(F.array(*map(F.lit, ROLES)), pos).cast("int") - 1
+    name = F.when(text("riotIdGameName") != "", F.concat(p("riotIdGameName"), F.lit("#"), text("riotIdTagline"))).otherwise(F.concat(F.lit("Player "), F.substring(p("puuid"), 1, 8)))
+    return {"pid": p("participantId"), "puuid": p("puuid"), "champ": F.coalesce(p("championId"), F.lit(0)), "role": F.when(role >= 0, role), "team": F.coalesce(p("teamId"), F.lit(100)), "won": F.coalesce(p("win"), F.lit(False)), "imputed": said == "", "display_name": name, "deaths": p("deaths")}
+
+
 def participants(matches: DataFrame) -> DataFrame:
     """One row a player: match_id, pid, place, puuid, champ, role, team, won, imputed, name, and the lane opponent's pid and champ."""
     p = matches.select(F.col("metadata.matchId").alias("match_id"), F.posexplode("info.participants").alias("place", "p"))
-    said, other = F.trim(F.coalesce("p.teamPosition", F.lit(""))), F.trim(F.coalesce("p.individualPosition", F.lit("")))
-    pos = F.when(said != "", said).otherwise(F.when(F.lower(other) == "invalid", "").otherwise(other))
-    role = F.array_position(F.array(*map(F.lit, ROLES)), pos).cast("int") - 1
-    tag = F.coalesce("p.riotIdTagline", F.lit(""))
-    name = F.when(F.coalesce("p.riotIdGameName", F.lit("")) != "", F.concat("p.riotIdGameName", F.lit("#"), tag)).otherwise(F.concat(F.lit("Player "), F.substring("p.puuid", 1, 8)))
-    rows = p.select("match_id", "place", F.col("p.participantId").alias("pid"), F.col("p.puuid").alias("puuid"), F.coalesce("p.championId", F.lit(0)).alias("champ"), F.when(role >= 0, role).alias("role"), F.coalesce("p.teamId", F.lit(100)).alias("team"), F.coalesce("p.win", F.lit(False)).alias("won"), (said == "").alias("imputed"), name.alias("display_name"), F.col("p.deaths").alias("deaths"))
-    return lane_opponents(rows)
+    return lane_opponents(p.select("match_id", "place", *[c.alias(n) for n, c in _player(lambda f: F.col(f"p.{f}")).items()]))
 
 
 def lane_opponents(players: DataFrame) -> DataFrame:
