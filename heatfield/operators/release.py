@@ -1,24 +1,31 @@
 """Releases: relabelled zones, integrity, dense keys, the wide table, a content digest, a manifest and a pointer.
 
-A release is four tables under root/<table>/dataset_id=<id>. Its id is a digest of facts, dimensions and versions, so the
-same content is the same release, and new names or games without a kill make a new one. The tables are written first,
-then the manifest, which is the release's mark of completeness: without it a release is written anew. The pointer is a
-file of a new name each time, put in place by one rename; the one with the greatest number counts, so there is always one.
+A release is six tables under root/<table>/dataset_id=<id>. Its id is a digest of facts, dimensions and versions, so the
+same content is the same release, and new names or games without a kill make a new one. The tables are written first, and
+what they hold is observed as they are written: no table is read again to be counted. Then come a validation report and
+the manifest, which is the release's mark of completeness: without it a release is written anew. The pointer is a
+file of a new number each time, created once; the one with the greatest number counts, so there is always one.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heatfield.functions import geometry as G
+from heatfield.operators import facets as H
+from heatfield.operators.facts import KINDS, WIDTHS
 from heatfield.sources import files
 
 IDENTITY = ("match_id", "frame_index", "event_index")
-TABLES = ("fact_kill", "dim_match", "dim_participant", "kills_wide")
+TABLES = ("fact_kill", "dim_match", "dim_participant", "kills_wide", "matches", "players")
 #: The most players and patches that their keys' wire types hold.
 MOST_PLAYERS, MOST_PATCHES = 65_534, 254
 
@@ -62,12 +69,16 @@ def latest_names(players: DataFrame) -> DataFrame:
 
 def denormalised(fact: DataFrame, keys: dict[str, tuple[str, DataFrame, str]]) -> DataFrame:
     """fact with the columns of keys[name] = (column of fact, table of one row a value, inner or left): each table's first column is the value,
-    the others are added. Raises if the number of rows changes."""
+    the others are added. A value that comes twice in a table, or is not in an inner one, is an error of the job that uses the rows,
+    so the joins run once and cannot change the number of rows."""
     out = fact
-    for column, table, how in keys.values():
-        out = out.join(table.withColumnRenamed(table.columns[0], column), column, how)
-    if out.count() != fact.count():
-        raise ValueError("the joins changed the number of rows")
+    for name, (column, table, how) in keys.items():
+        key, *own = table.columns
+        one = table.groupBy(F.col(key).alias(column)).agg(F.first(F.struct(*own)).alias("_own"), F.count(F.lit(1)).alias("_n"))
+        fault = lambda what, name=name: F.raise_error(F.lit(f"the joins would change the number of rows: {what} in {name}"))
+        sound = F.when(F.col("_n") > 1, fault("a value twice"))
+        sound = sound.when(F.col("_n").isNull(), fault("a value missing")) if how == "inner" else sound
+        out = out.join(one, column, "left").withColumn("_own", sound.otherwise(F.col("_own"))).select(*out.columns, "_own.*")
     return out
 
 
@@ -108,11 +119,17 @@ def faults(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame) -> list
     return [name for name, rows in tests.items() if not rows.isEmpty()]
 
 
-def manifest(name: str, versions: dict, fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame) -> dict:
-    """What a release holds: counts, patches, zones and the span of its games."""
-    span = dim_match.agg(F.min("game_start_ms"), F.max("game_start_ms"), F.count(F.lit(1))).first()
-    patches = [r.patch_id for r in dense_keys(dim_match, "patch_id", "sk", MOST_PATCHES).orderBy("sk").collect()]
-    return {"dataset_id": name, "versions": versions, "rows": fact.count(), "matches": span[2], "players": dim_player.select("puuid").distinct().count(), "game_start": [span[0], span[1]], "patches": patches, "regions": G.ZONE_NAMES}
+def bytes_per_row(columns: list[str]) -> int:
+    """Bytes of a row in the wire types of its columns; a key has two."""
+    return sum({255: 1}.get(WIDTHS[KINDS[c]][1], 2) if c in KINDS else 2 for c in columns if c in KINDS or c in ("match", "patch", "victim_player", "killer_player"))
+
+
+def written(df: DataFrame, path: str, order: list[str], **metrics: Column) -> dict:
+    """Writes df by ranges of the first of order, sorted, and returns metrics of its rows that the write itself has observed."""
+    seen = Observation()
+    rows = df.repartitionByRange(order[0]).sortWithinPartitions(*order).observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()])
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return seen.get
 
 
 def publish(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame, root: str, versions: dict, guard: Callable[[], None] | None = None, fence: int | None = None) -> str:
@@ -129,19 +146,37 @@ def publish(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame, root:
         raise ValueError(f"the release is not whole: {sorted(found)}")
     name = dataset_id({"fact_kill": fact, "dim_match": dim_match, "dim_participant": dim_player}, versions)
     if not files.exists(spark, f"{root}/manifest/{name}.json"):
-        made = wide(fact, dim_match, dim_player, f"{root}/work/{name}")
-        for table_name, df in zip(TABLES, (fact, dim_match, dim_player, made), strict=True):
-            order = [c for c in (*IDENTITY, "pid") if c in df.columns]
-            df.repartitionByRange(*order[:1]).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{table_name}/dataset_id={name}")
-        names = latest_names(dim_player)
-        names.join(dense_keys(dim_player, "puuid", "player"), "puuid").write.mode("overwrite").parquet(f"{root}/players/dataset_id={name}")
-        files.put(spark, f"{root}/manifest/{name}.json", json.dumps(manifest(name, versions, fact, dim_match, dim_player)))
+        write(fact, dim_match, dim_player, root, name, versions)
     if guard:
         guard()
     point(spark, root, name, fence)
     return name
 
 
+def write(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame, root: str, name: str, versions: dict) -> None:
+    """The tables of release `name`, its validation report, and the manifest if all is as it should be."""
+    spark, at = fact.sparkSession, lambda table_name: f"{root}/{table_name}/dataset_id={name}"
+    start = F.col("game_start_ms")
+    facts = written(fact, at("fact_kill"), list(IDENTITY))
+    games = written(dim_match, at("dim_match"), ["match_id"], first=F.min(start), last=F.max(start))
+    people = written(dim_player, at("dim_participant"), ["match_id", "pid"])
+    patches = dense_keys(dim_match, "patch_id", "patch", MOST_PATCHES)
+    keyed = ranged_keys(dim_match, "match_id", "match", f"{root}/work/{name}/match_keys").join(dim_match, "match_id").join(F.broadcast(patches), "patch_id")
+    written(keyed.select("match", "match_id", "patch", *[c for c in dim_match.columns if c not in ("match_id", "patch_id")]), at("matches"), ["match"])
+    names = written(latest_names(dim_player).join(dense_keys(dim_player, "puuid", "player"), "puuid"), at("players"), ["player"], last=F.max("player"))
+    span = {r.patch_id: r.patch for r in patches.collect()}  # MOST_PATCHES at most
+    made = wide(fact, dim_match, dim_player, f"{root}/work/{name}")
+    fault = _fault(games["rows"], len(span), names["rows"])
+    shown = written(made.withColumn("_fault", fault), at("kills_wide"), list(IDENTITY), **{f"fault {f}": F.count_if(F.col("_fault") == f) for f in FAULTS}, champion_kills=F.count_if(F.col("cause") == 0)) if "cause" in made.columns else written(made, at("kills_wide"), list(IDENTITY))
+    found = {f: n for f in FAULTS if (n := shown.get(f"fault {f}", 0))}
+    report = {"dataset_id": name, "matches": games["rows"], "facts": facts["rows"], "wide_rows": shown["rows"], "participants": people["rows"], "duplicates": 0, "broken_references": 0, "faults": found}
+    files.replace(spark, f"{root}/validation/{name}.json", json.dumps(report))
+    if shown["rows"] != facts["rows"] or found or names["rows"] and names["last"] + 1 != names["rows"]:
+        raise ValueError(f"the release is not whole: {report}")
+    said = {"dataset_id": name, "versions": versions, "rows": facts["rows"], "matches": games["rows"], "players": names["rows"], "game_start": [games["first"], games["last"]], "patches": sorted(span, key=span.get), "regions": G.ZONE_NAMES, "champion_kills": shown.get("champion_kills"), "bytes_per_row": bytes_per_row(made.columns)}
+    files.put(spark, f"{root}/manifest/{name}.json", json.dumps(said))
+
+
 #: Pointers of one owner.
 MOVES = 1_000_000
 
@@ -172,42 +207,114 @@ def table(spark: SparkSession, root: str, name: str, dataset: str | None = None)
     return spark.read.parquet(f"{root}/{name}/dataset_id={dataset or current(spark, root)}")
 
 
-def broken(facts: DataFrame, matches: int, patches: int, players: int, regions: int = len(G.ZONE_NAMES)) -> DataFrame:
-    """Rows of a wide table that no release may have, with fault: places off the map, unknown roles, keys beyond their
-    dimensions, a killer's champion without a killer."""
+#: What a row of a wide table may have wrong: a place off the map, an unknown role, a key beyond its dimension, a killer's champion without a killer.
+FAULTS = ("place", "role", "reference", "execution")
+
+
+def _fault(matches: int, patches: int, players: int, regions: int = len(G.ZONE_NAMES)) -> Column:
+    """The first of FAULTS that a row has, or null."""
     within = lambda c, n: F.coalesce(F.col(c).between(0, n - 1), F.lit(False))
     role = lambda c: F.col(c).isNull() | F.col(c).between(0, 4)
-    tests = {
-        "place": F.col("x").between(G.MIN_X, G.MIN_X + G.SPAN_X) & F.col("y").between(G.MIN_Y, G.MIN_Y + G.SPAN_Y), "role": role("victim_role") & role("killer_role"),
-        "reference": within("match", matches) & within("patch", patches) & within("region", regions) & within("victim_player", players) & ((F.col("cause") != 0) | within("killer_player", players)),
-        "execution": (F.col("cause") == 0) | F.col("killer_champ").isNull(),
-    }
-    fault = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in tests.items()])
-    return facts.withColumn("fault", fault).filter("fault is not null")
+    tests = [
+        F.col("x").between(G.MIN_X, G.MIN_X + G.SPAN_X) & F.col("y").between(G.MIN_Y, G.MIN_Y + G.SPAN_Y), role("victim_role") & role("killer_role"),
+        within("match", matches) & within("patch", patches) & within("region", regions) & within("victim_player", players) & ((F.col("cause") != 0) | within("killer_player", players)),
+        (F.col("cause") == 0) | F.col("killer_champ").isNull(),
+    ]
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in zip(FAULTS, tests, strict=True)])
+
+
+def broken(facts: DataFrame, matches: int, patches: int, players: int, regions: int = len(G.ZONE_NAMES)) -> DataFrame:
+    """Rows of a wide table that no release may have, with fault."""
+    return facts.withColumn("fault", _fault(matches, patches, players, regions)).filter("fault is not null")
 
 
 def ungrouped(facts: DataFrame) -> DataFrame:
-    """Matches of a release's files whose rows are not in order within their file."""
-    file = F.input_file_name()
-    rows = facts.select("match", file.alias("file"), F.monotonically_increasing_id().alias("at"))
-    before = F.lag("match").over(Window.partitionBy("file").orderBy("at"))
-    return rows.withColumn("before", before).filter("match < before").select("match").distinct()
+    """Matches of a release's files whose rows are not in order within their part of a file. Rows are read where they lie: nothing is shuffled."""
+
+    def descents(batches):
+        last = None
+        for batch in batches:
+            if batch.num_rows:
+                now = np.r_[batch.column(0).to_numpy()[:1] if last is None else last, batch.column(0).to_numpy()]
+                last = now[-1:]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(now[1:][np.diff(now) < 0]), batch.schema.field(0).type)], ["match"])
+
+    return facts.select("match").mapInArrow(descents, f"match {facts.schema['match'].dataType.simpleString()}").distinct()
+
+
+def cells(facts: DataFrame, matches: int, patches: int, players: int) -> DataFrame:
+    """rows, deaths and kills of a wide table by cell of the finest grid, champion kills apart from executions, and by fault: as many rows as the grid allows, whatever the table's size."""
+    seen = H.perspectives(facts.withColumn("fault", _fault(matches, patches, players)), H.State())
+    cell = G.cell_of(F.col("x"), F.col("y"), GRIDS[0]).alias("cell")
+    return seen.groupBy(cell, (F.col("cause") == 0).alias("champion"), "fault").agg(F.count(F.lit(1)).alias("rows"), F.count_if("as_victim").alias("deaths"), F.count_if("as_killer").alias("kills"))
+
+
+GRIDS = (128, 64, 32)
+
+
+def _audited(found: list, said: dict) -> None:
+    """An error unless the cells' counts add up to the manifest's, shares to 1, and cells of champion kills are even, on every grid."""
+    faults = sorted({r.fault for r in found if r.fault})
+    if faults:
+        raise ValueError(f"a row has a fault: {faults}")
+    total = sum(r.rows for r in found)
+    if total != said["rows"] or sum(r.deaths for r in found) != total or sum(r.kills for r in found) != sum(r.rows for r in found if r.champion):
+        raise ValueError("the tables are not those of the manifest: events are not counted once")
+    for size in GRIDS:
+        step = GRIDS[0] // size
+        deaths, kills, even = Counter(), Counter(), {}
+        for r in found:
+            cell = r.cell // GRIDS[0] // step * size + r.cell % GRIDS[0] // step
+            deaths[cell] += r.deaths
+            kills[cell] += r.kills
+            if r.champion:
+                d, k = even.get(cell, (0, 0))
+                even[cell] = d + r.deaths, k + r.kills
+        for counts in (deaths, kills):
+            n = sum(counts.values())
+            if n and abs(sum(v / n for v in counts.values()) - 1) > 1e-5:
+                raise ValueError(f"shares do not add up on the grid of {size}")
+        if odd := [c for c, (d, k) in even.items() if d != k]:
+            raise ValueError(f"champion kills without their deaths on the grid of {size}: cells {odd[:3]}")
 
 
 def verified(spark: SparkSession, root: str, dataset: str | None = None) -> dict:
-    """The manifest of a release that holds what it says; anything else is an error."""
-    name = dataset or current(spark, root)
-    said = json.loads(files.read(spark, f"{root}/manifest/{name}.json"))
-    facts, players = table(spark, root, "kills_wide", name), table(spark, root, "players", name)
-    if said["dataset_id"] != name or said["rows"] != facts.count() or said["players"] != players.count() or said["matches"] != table(spark, root, "dim_match", name).count():
+    """The manifest of a release that holds what it says; anything else is an error. The wide table is read once, and its matches' order once."""
+    name = checked_id(dataset or current(spark, root))
+    said = checked_manifest(json.loads(files.read(spark, f"{root}/manifest/{name}.json")))
+    facts, players, games = (table(spark, root, t, name) for t in ("kills_wide", "players", "dim_match"))
+    one = lambda df, key: tuple(df.agg(F.count(F.lit(1)), F.count_distinct(key)).first())
+    if said["dataset_id"] != name or one(players, "puuid") != (said["players"],) * 2 or one(games, "match_id") != (said["matches"],) * 2:
         raise ValueError("the tables are not those of the manifest")
-    if bad := broken(facts, said["matches"], len(said["patches"]), said["players"]).first():
-        raise ValueError(f"a row has a fault: {bad.fault}")
+    _audited(cells(facts, said["matches"], len(said["patches"]), said["players"]).collect(), said)
     if not ungrouped(facts).isEmpty():
         raise ValueError("rows are not grouped by match")
     return said
 
 
+#: What a manifest holds: type, and the least number that it may be.
+MANIFEST = {"dataset_id": (str, None), "versions": (dict, None), "rows": (int, 0), "matches": (int, 1), "players": (int, 0), "game_start": (list, None), "patches": (list, None), "regions": (list, None), "champion_kills": ((int, type(None)), 0), "bytes_per_row": (int, 1)}
+
+
+def checked_id(name: str) -> str:
+    """A release's id as the pointer may name it."""
+    if not re.fullmatch(r"v1-[0-9a-f]{20}", name):
+        raise ValueError(f"no id of a release: {name!r}")
+    return name
+
+
+def checked_manifest(said: dict) -> dict:
+    """A manifest of known keys, each of its type and range."""
+    if wrong := set(said) ^ set(MANIFEST):
+        raise ValueError(f"a manifest with unknown keys or without known ones: {sorted(wrong)}")
+    for key, (kind, least) in MANIFEST.items():
+        value = said[key]
+        if not isinstance(value, kind) or isinstance(value, bool) or least is not None and value is not None and value < least:
+            raise ValueError(f"the manifest's {key} cannot be {value!r}")
+    checked_id(said["dataset_id"])
+    return said
+
+
 def register(spark: SparkSession, root: str, dataset: str | None = None) -> None:
     """The SQL surface: a view for each table of a release, and the geometry as SQL functions."""
     from heatfield.functions.geometry import _zone

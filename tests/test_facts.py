@@ -143,8 +143,11 @@ def test_keys_of_any_number_of_values(spark, tmp_path):
     assert got == {f"m{i:04d}": i for i in range(1000)}
     with pytest.raises(ValueError, match="more than"):
         R.dense_keys(dim, "k", "sk", 999)
-    with pytest.raises(ValueError, match="number of rows"):
-        R.denormalised(dim, {"x": ("k", dim.unionByName(dim).withColumn("sk", F.lit(1)), "inner")})
+    for table, how in ((dim.unionByName(dim), "inner"), (dim.unionByName(dim), "left"), (dim.limit(5), "inner")):
+        with pytest.raises(Exception, match="number of rows"):
+            R.denormalised(dim, {"x": ("k", table.withColumn("sk", F.lit(1)), how)}).collect()
+    out = R.denormalised(dim, {"x": ("k", dim.limit(5).withColumn("sk", F.lit(1)), "left")})
+    assert out.columns == ["k", "sk"] and out.filter("sk = 1").count() == 5 and out.count() == 1000
 
 
 def test_rows_that_no_release_has(spark):
@@ -154,6 +157,17 @@ def test_rows_that_no_release_has(spark):
     rows = [good, *[tuple(c.get(i, v) for i, v in enumerate(good)) for c in change.values()], tuple({8: 7}.get(i, v) for i, v in enumerate(good))]
     got = R.broken(spark.createDataFrame(rows, cols), 1, 1, 2).collect()
     assert sorted(r.fault for r in got) == sorted([*change, "reference"])
+    found = R.cells(spark.createDataFrame([good] * 6, cols).withColumn("flags", F.lit(0)), 1, 1, 2).collect()
+    said = {"rows": 6}
+    R._audited(found, said)
+    for bad in ({"rows": 7}, said):
+        with pytest.raises(ValueError):
+            R._audited(found if bad != said else [*found, *R.cells(spark.createDataFrame(rows[1:2], cols).withColumn("flags", F.lit(0)), 1, 1, 2).collect()], bad)
+    manifest = {"dataset_id": "v1-" + "a" * 20, "versions": {}, "rows": 0, "matches": 1, "players": 0, "game_start": [1, 2], "patches": [], "regions": [], "champion_kills": None, "bytes_per_row": 54}
+    assert R.checked_manifest(manifest) == manifest
+    for bad in (manifest | {"more": 1}, {k: v for k, v in manifest.items() if k != "rows"}, manifest | {"rows": "0"}, manifest | {"matches": 0}, manifest | {"rows": True}, manifest | {"dataset_id": "../x"}):
+        with pytest.raises(ValueError):
+            R.checked_manifest(bad)
     facts = spark.createDataFrame([("a", 5, 40_000), ("b", 300, None), ("c", 1, 1)], "match_id string, assists int, team_gold int")
     assert {tuple(r) for r in X.out_of_range(facts).collect()} == {("a", "team_gold"), ("b", "assists")}
 
