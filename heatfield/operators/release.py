@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from heatfield.functions import geometry as G
 from heatfield.operators import facets as H
-from heatfield.operators.facts import KINDS, WIDTHS
+from heatfield.operators.facts import KINDS
+from heatfield.sources import columns as typed_columns
 from heatfield.sources import files
 
 IDENTITY = ("match_id", "frame_index", "event_index")
@@ -120,8 +121,8 @@ def faults(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame) -> list
 
 
 def bytes_per_row(columns: list[str]) -> int:
-    """Bytes of a row in the wire types of its columns; a key has two."""
-    return sum({255: 1}.get(WIDTHS[KINDS[c]][1], 2) if c in KINDS else 2 for c in columns if c in KINDS or c in ("match", "patch", "victim_player", "killer_player"))
+    """Bytes of a row in the wire types of its columns."""
+    return sum(int(kind[1:]) // 8 for kind in wire_kinds(columns).values())
 
 
 def written(df: DataFrame, path: str, order: list[str], **metrics: Column) -> dict:
@@ -315,12 +316,44 @@ def checked_manifest(said: dict) -> dict:
     return said
 
 
+#: The columns that a first view needs; the others are in a file of their own.
+CORE = ("match", "x", "y", "second", "region", "patch", "cause", "assists", "flags", "team_gold", "victim_champ", "victim_role", "victim_player", "killer_champ", "killer_role", "killer_player")
+
+
+def wire_kinds(columns: list[str]) -> dict[str, str]:
+    """The kinds of a wide table's numbers: keys of matches have four bytes, of players two, of patches one."""
+    keys = {"match": "u32", "patch": "u8", "victim_player": "u16", "killer_player": "u16"}
+    return {c: keys.get(c) or KINDS[c] for c in columns if c in keys or c in KINDS}
+
+
+def export_columns(spark: SparkSession, root: str, path: str, dataset: str | None = None, gzip: bool = False) -> str:
+    """A release's wide table as typed columns, path/<id>/core and path/<id>/extended, rows in order of match, frame and event."""
+    typed_columns.register(spark)
+    name = checked_id(dataset or current(spark, root))
+    facts = table(spark, root, "kills_wide", name)
+    kinds = wire_kinds(facts.columns)
+    order = ["match", *IDENTITY[1:]]
+    for group, own in (("core", [c for c in CORE if c in kinds]), ("extended", [c for c in kinds if c not in CORE])):
+        rows = facts.select(*order, *[c for c in own if c not in order]).repartitionByRange("match").sortWithinPartitions(*order).select(*own)
+        said = ",".join(f"{c}:{kinds[c]}" for c in own)
+        rows.write.format("typed_columns").option("kinds", said).option("gzip", str(gzip).lower()).mode("append").save(f"{path}/{name}/{group}")
+    return name
+
+
 def register(spark: SparkSession, root: str, dataset: str | None = None) -> None:
-    """The SQL surface: a view for each table of a release, and the geometry as SQL functions."""
+    """The SQL surface: a view for each table of a release, a function <table>_of(id) for each table of any release, and the geometry as SQL functions.
+
+    A function's id is no option: without one the query is an error, and with one only that release's folder is read.
+    """
     from heatfield.functions.geometry import _zone
 
     for name in TABLES:
         table(spark, root, name, dataset).createOrReplaceTempView(name)
+        every = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
+        own = [c for c in every.schema if c.name != "dataset_id"]
+        every.createOrReplaceTempView(f"{name}_every")
+        columns, types = ", ".join(f"`{c.name}`" for c in own), ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in own)
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_of(release STRING) RETURNS TABLE ({types}) RETURN SELECT {columns} FROM {name}_every WHERE dataset_id = {name}_of.release")
     spark.udf.register("zone_of", _zone)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION danger(d BIGINT, k BIGINT) RETURNS DOUBLE RETURN CASE WHEN d + k >= 5 THEN (d + 5.0D) / (d + k + 10.0D) END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION cell_of(x DOUBLE, y DOUBLE, g INT) RETURNS INT RETURN greatest(0, least(g - 1, cast(floor((y + 120) / 15100D * g) as int))) * g + greatest(0, least(g - 1, cast(floor((x + 120) / 14990D * g) as int)))")

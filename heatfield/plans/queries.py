@@ -14,9 +14,11 @@ from heatfield.operators import facets as H
 from heatfield.operators import facts as X
 from heatfield.operators import release as R
 from heatfield.operators.asof import asof, others_within, prior
+from heatfield.sources import columns, files
 from heatfield.sources import documents as D
 from heatfield.sources.adapter import cell_sql, documents, facts, facts_sql
-from heatfield.streaming.ingest import first_of
+from heatfield.streaming.ingest import advanced, first_of, histories
+from heatfield.streaming.state import Keyed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -200,9 +202,13 @@ def objective_mask(spark, d):
 @query(f"WITH {K} SELECT a.event_id, CAST(floor(min(sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE))) FILTER (WHERE a.flags = b.flags) / 100) AS BIGINT) AS isolation, count(*) FILTER (WHERE a.flags <> b.flags AND sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE)) <= 2000) AS enemies_near FROM k a JOIN k b ON a.\"match\" = b.\"match\" AND a.event_id <> b.event_id GROUP BY 1")
 def neighbours(spark, d):
     k = facts(spark, d, False).select("match", "event_id", F.col("x").alias("px"), F.col("y").alias("py"), "flags")
-    k = k.withColumn("ps", F.collect_list(F.struct("event_id", "px", "py", "flags")).over(Window.partitionBy("match")))
-    mate, foes = X.near(F.struct("px", "py"), F.col("ps"), lambda p: (p["flags"] == F.col("flags")) & (p["event_id"] != F.col("event_id")), lambda p: p["flags"] != F.col("flags"))
-    return k.filter(F.size("ps") > 1).select("event_id", F.floor(mate / 100).alias("isolation"), foes.cast("long").alias("enemies_near"))
+    games = k.groupBy("match").agg(F.collect_list(F.struct("event_id", "px", "py", "flags")).alias("ps")).filter(F.size("ps") > 1)
+
+    def one(a):
+        mate, foes = X.near(a, F.col("ps"), lambda p: (p["flags"] == a["flags"]) & (p["event_id"] != a["event_id"]), lambda p: p["flags"] != a["flags"])
+        return F.struct(a["event_id"].alias("event_id"), F.floor(mate / 100).alias("isolation"), foes.cast("long").alias("enemies_near"))
+
+    return games.select(F.inline(F.transform("ps", one)))
 
 
 _TURRET = " OR ".join(f"sqrt(pow(x - ({u * G.SPAN_X + G.MIN_X!r}e0), 2) + pow(y - ({v * G.SPAN_Y + G.MIN_Y!r}e0), 2)) <= 775" for a, b in G.TURRETS for u, v in ((a, b), (1.0 - b, 1.0 - a)))
@@ -326,9 +332,10 @@ def fact_ranges(spark, d):
     return X.out_of_range(k).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {K} SELECT fault, count(*) AS n FROM (SELECT CASE WHEN killer_player >= 12 OR victim_player >= 12 THEN 'reference' END AS fault FROM k) WHERE fault IS NOT NULL GROUP BY 1")
+@query(f"WITH {K} SELECT fault, count(*) AS n FROM (SELECT CASE WHEN event_id % 11 = 0 THEN 'place' WHEN event_id % 6 = 5 THEN 'role' WHEN killer_player >= 12 OR victim_player >= 12 THEN 'reference' WHEN cause <> 0 AND event_id % 7 = 0 THEN 'execution' END AS fault FROM k) WHERE fault IS NOT NULL GROUP BY 1")
 def release_faults(spark, d):
-    return R.broken(facts(spark, d, False), 1 << 30, 3, 12).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+    k = facts(spark, d, False).withColumns({"x": F.when(F.col("event_id") % 11 == 0, 15_000).otherwise(F.col("x")), "victim_role": F.col("event_id") % 6, "killer_champ": F.when((F.col("event_id") % 7 == 0) | (F.col("cause") == 0), F.lit(1))})
+    return R.broken(k, 1 << 30, 3, 12).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_id, value / 1000 AS lin, round(sqrt(value / 1000), 9) AS root, round(ln(1 + 9 * value / 1000) / ln(10), 9) AS log, CAST(greatest(-32767, least(32767, event_id * 7919 % 90000 - 45000)) AS INTEGER) AS gold FROM events WHERE value >= 0")
@@ -419,3 +426,70 @@ def document_checks(spark, d):
     matches = matches.withColumn("info", F.when(F.col("m") % 2 == 1, F.col("info").withField("participants", twice)).otherwise(F.col("info")))
     ok = lines.filter(D.timeline_fault().isNull()).select(F.col("metadata.matchId").alias("id"))
     return matches.join(ok, F.col("metadata.matchId") == F.col("id")).groupBy(D.identity_fault().isNull().alias("taken")).agg(F.count(F.lit(1)).alias("matches"))
+
+
+@query("SELECT event_id // 28 % 6 AS kind, CASE WHEN count(*) FILTER (WHERE bad) > 0 THEN CASE event_id // 28 % 6 WHEN 1 THEN 'order' WHEN 2 THEN 'frame_time' WHEN 3 THEN 'no_frames' ELSE 'event' END END AS fault, event_id // 28 AS match FROM (SELECT *, CASE event_id // 28 % 6 WHEN 0 THEN false WHEN 1 THEN event_id % 28 >= 7 WHEN 2 THEN true WHEN 3 THEN true ELSE event_type IN ('click', 'error') END AS bad FROM events) GROUP BY 1, 3")
+def timeline_checks(spark, d):
+    """Of six matches one is left as it is; the others get frames in reverse, no frame times, no frames, kills at no place and kills of a player who is not there."""
+    _, lines = documents(spark, d)
+    m = F.substring_index("metadata.matchId", "_", -1).cast("long")
+    f, kind = F.col("info.frames"), m % 6
+    kills = lambda change: F.transform(f, lambda x: x.withField("events", F.transform(x["events"], lambda e: F.when(e["type"] == X.KILL, change(e)).otherwise(e))))
+    frames = F.when(kind == 1, F.reverse(f)).when(kind == 2, F.transform(f, lambda x: x.withField("timestamp", F.lit(None).cast("long")))).when(kind == 3, F.slice(f, 1, 0))
+    frames = frames.when(kind == 4, kills(lambda e: e.withField("position.x", F.lit(float("nan"))))).when(kind == 5, kills(lambda e: e.withField("victimId", F.lit(11)))).otherwise(f)
+    return lines.select(kind.alias("kind"), m.alias("match"), F.col("info").withField("frames", frames).alias("info")).select("kind", D.timeline_fault().alias("fault"), "match")
+
+
+@query("WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT 'o' || o.o_orderkey AS key, CASE WHEN n >= 4 THEN n ELSE CAST(floor(o_totalprice) AS BIGINT) END AS v FROM orders o LEFT JOIN l ON o_orderkey = l_orderkey WHERE NOT (o_orderstatus = 'P' AND coalesce(n, 0) < 6) AND o_orderkey % 10 = 1 AND ('o' || o.o_orderkey) LIKE 'o1%'")
+def keyed_state(spark, d):
+    """Orders as state by key: all are set, those with four lines and more set again, pending ones deleted, then those with six lines set once more; the base is written anew in between."""
+    state = Keyed(spark, files.scratch(spark, "state"), "orders", "v long")
+    orders = read(spark, d, "orders").filter("o_orderkey % 10 = 1").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("key"), F.floor("o_totalprice").alias("v"), "o_orderstatus")
+    lines = read(spark, d, "lineitem").filter("l_orderkey % 10 = 1").groupBy(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("key")).agg(F.count(F.lit(1)).alias("v"))
+    lines = lines.join(orders.select("key"), "key", "left_semi")
+    state.upsert(orders, 1)
+    state.upsert(lines.filter("v >= 4"), 2)
+    state.compact()
+    state.delete(orders.filter("o_orderstatus = 'P'"), 3)
+    state.upsert(lines.filter("v >= 6"), 4)
+    return state.read(prefix="o1")
+
+
+@query("WITH k AS (SELECT o_custkey AS c, count(*) AS n, max(o_orderkey) AS last, count(*) FILTER (WHERE o_orderstatus = 'P') AS open FROM orders GROUP BY 1) SELECT coalesce(c_custkey, c) AS player, CASE WHEN c_custkey IS NULL OR c_custkey % 3 = 2 THEN 50 ELSE c_custkey % 3 * 25 END AS scanned_from, greatest(CASE WHEN c_custkey % 3 < 2 THEN c_custkey * 10 END, CASE WHEN open = 0 AND c % 4 <> 1 THEN last END) AS scanned_to FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) FULL JOIN k ON c_custkey = c WHERE coalesce(c_custkey % 3 < 2, false) OR (open = 0 AND c % 4 <> 1)")
+def player_marks(spark, d):
+    """Marks of players after their pages were read: customers are players, their orders the pages, of one match each; every fourth player's last page is not there."""
+    o = read(spark, d, "orders").withColumn("player", F.col("o_custkey"))
+    place = F.row_number().over(Window.partitionBy("player").orderBy("o_orderkey")) - 1
+    last = F.max("o_orderkey").over(Window.partitionBy("player"))
+    pages = o.select("player", last.alias("until"), place.alias("start"), F.lit(1).alias("n"), ((F.col("o_orderkey") == last) & (F.col("o_custkey") % 4 != 1)).alias("done"))
+    waiting = o.filter("o_orderstatus = 'P'").groupBy("player").agg(F.count(F.lit(1)).alias("open"))
+    told = histories(pages).join(waiting, "player", "left").select("player", "scanned_to", "finished", F.coalesce("open", F.lit(0)).alias("open"))
+    old = read(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("player"), (F.col("c_custkey") % 3 * 25 + F.when(F.col("c_custkey") % 3 == 2, 100).otherwise(0)).alias("scanned_from"), (F.col("c_custkey") * 10).alias("scanned_to"))
+    return advanced(old, told, 50).select("player", "scanned_from", "scanned_to")
+
+
+@query(f"WITH r AS ({_REPLAY}) SELECT region, count(*) AS deaths, count(*) FILTER (WHERE cause = 0) AS kills, count(DISTINCT match_id) AS games, (SELECT count(DISTINCT event_id // 28) FROM events) AS matches, (SELECT count(DISTINCT victim_player_id) FROM r) <= 40 AS players FROM r GROUP BY 1")
+def release_sql(spark, d):
+    """A release of the events' documents, verified, and asked by its id in SQL."""
+    matches, lines = documents(spark, d)
+    site = files.scratch(spark, "release")
+    made = X.kill_facts(matches, lines)
+    made.write.parquet(f"{site}/landed")
+    dims = matches.select(F.col("metadata.matchId").alias("match_id"), D.patch_of(F.col("info.gameVersion")).alias("patch_id"), F.col("info.gameCreation").alias("game_start_ms"), D.seconds().cast("long").alias("seconds"))
+    name = R.publish(spark.read.schema(made.schema).parquet(f"{site}/landed"), dims, D.participants(matches), site, {"schema": 1})
+    said = R.verified(spark, site)
+    R.register(spark, site)
+    rows = spark.sql(f"SELECT CAST(region AS BIGINT) AS region, count(*) AS deaths, count_if(cause = 0) AS kills, count(DISTINCT match) AS games FROM kills_wide_of('{name}') GROUP BY 1")
+    return rows.select("*", F.lit(said["matches"]).cast("long").alias("matches"), F.lit(said["players"] <= 40).alias("players"))
+
+
+@query(f"WITH {K} SELECT event_id % 255 AS tag, x, second, victim_champ, killer_champ, killer_player, count(*) AS n FROM k GROUP BY ALL")
+def typed_columns_round_trip(spark, d):
+    """Events' facts written as typed columns and read back, nulls with them."""
+    path = files.scratch(spark, "columns")
+    columns.register(spark)
+    own = ["x", "second", "victim_champ", "killer_champ", "killer_player"]
+    rows = facts(spark, d, False).select((F.col("event_id") % 255).alias("tag"), *own)
+    rows.write.format("typed_columns").option("kinds", "tag:u8,x:i16,second:u16,victim_champ:u16,killer_champ:u8,killer_player:u16").mode("append").save(path)
+    back = spark.read.format("typed_columns").load(path)
+    return back.select(*[F.col(c).cast("long").alias(c) for c in back.columns]).groupBy("tag", *own).agg(F.count(F.lit(1)).alias("n"))

@@ -52,6 +52,22 @@ def test_ingestion_takes_each_match_once_and_a_release_is_whole(spark, landed, t
     R.register(spark, site)
     assert spark.sql("SELECT count(*) n, count(DISTINCT match_id) g, max(cell_of(x, y, 32)) c, danger(6, 3) d FROM kills_wide").first().d == 11 / 19
 
+    # Any release by its id, and only that one is read; without an id there is no answer.
+    asked = spark.sql(f"SELECT count(*) AS n FROM kills_wide_of('{first}')")
+    assert asked.first().n == fact.count() and f"dataset_id#" in asked._jdf.queryExecution().toString() and first in asked._jdf.queryExecution().toString().split("PartitionFilters:")[1].split("]")[0]
+    with pytest.raises(Exception, match="WRONG_NUM_ARGS"):
+        spark.sql("SELECT * FROM kills_wide_of()").collect()
+    assert spark.sql(f"SELECT match_id FROM matches_of('{first}')").count() == 3
+
+    # The wide table as typed columns holds the same.
+    R.export_columns(spark, site, str(tmp_path / "wire"))
+    kinds = R.wire_kinds(wide.columns)
+    for group in ("core", "extended"):
+        back = spark.read.format("typed_columns").load(f"{tmp_path}/wire/{first}/{group}")
+        own = [F.col(c).cast("long").alias(c) for c in back.columns]
+        assert back.select(*own).exceptAll(wide.select(*own)).isEmpty() and back.count() == wide.count()
+    assert set(R.CORE) <= set(kinds) and R.verified(spark, site)["bytes_per_row"] == R.bytes_per_row(wide.columns) == 54
+
     # New names, other labels, games without a kill, and a write that ends between two tables.
     stale = fact.withColumn("region", F.lit(1))
     assert R.publish(stale, match, player, site, {"schema": 1}) == first
