@@ -1,7 +1,7 @@
 """Exact dedup over a log-structured merge index of text digests.
 
-Documents arrive in WAVES. A flush writes each task's memtable of a wave as a run sorted by digest, with one row for the
-task's copies of a text, and the run's filter: the bits of a hash of its digests. Compaction merges the runs into one
+Documents arrive in WAVES. A flush writes each task's memtable of a wave as a run sorted by digest, with one row a
+document, and the run's filter: the bits of a hash of its digests. Compaction merges the runs into one
 row a digest that holds the identifier to keep and the group's size. Filters say which rows need no further look: a
 digest whose bit only one row of all runs sets has no copy, is merged with nothing and never shuffled. A hit is two rows of one
 digest; the bytes of all texts of a hit are compared (their least and greatest must agree, which needs one text a
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatfield.llm.common import ascii_lower, checked_broadcast, distinct_rows, join_hot, row_key, scratch, stored
+from heatfield.llm.common import BROADCAST_ROWS, ascii_lower, distinct_rows, join_hot, row_key, scratch, stored
 
 #: Flushes of a table; bits of the filters, a power of 2 whose words of 64 bits are few enough to be broadcast.
 WAVES, FILTER_BITS = 4, 24
@@ -91,8 +91,11 @@ class DigestIndex:
 
     def collisions(self, docs: DataFrame, hits: DataFrame) -> DataFrame:
         """The digests of hits whose texts are not the same bytes."""
-        text = docs.select("doc_id", "text", ascii_lower(docs["text"]).alias("norm"))
-        found = self.digests(text, "norm").join(checked_broadcast(hits.select("digest")), "digest", "left_semi")
+        text = self.digests(docs.select("doc_id", "text", ascii_lower(docs["text"]).alias("norm")), "norm").select("digest", "norm")
+        if hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            found = text.join(F.broadcast(hits.select("digest")), "digest", "left_semi")
+        else:  # no join by digest, which would carry a hot digest's texts to one task: the aggregate sends two of each task
+            found, _ = self.split(text, "two")
         same = found.groupBy("digest").agg((F.min("norm") == F.max("norm")).alias("same"))
         return stored(same.filter(~F.col("same")).select("digest"), "collisions")
 
