@@ -229,7 +229,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         yield from done
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # The place of a row splits a doc_id, or null, that very many rows share.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("at"))
+    dealt = rows.repartitionByRange(parts, "doc_id", "at").sortWithinPartitions("doc_id", "at").drop("at")
     return stored(dealt.mapInArrow(write, "shard int, file string, doc_id long, place long, n_tokens long"), "token-index")
 
 
