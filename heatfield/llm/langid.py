@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from heatfield.llm.common import small_batches
 
 BITS, PIECE, ALPHA = 15, 1 << 18, 0.1
+#: Numbers of the matrix that are gathered at once, about.
+GATHERED = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 _MIX = np.uint32(0x9E3779B1)
 
@@ -70,16 +72,45 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 Model = tuple[list[str], np.ndarray, np.ndarray]
 
 
-def _best(text: str | None, model: Model) -> tuple[str, float]:
-    """Language and score of one text. The score is the winner's share after the log-odds are divided by the root of the number of n-grams, so that it stays a grade and does not saturate."""
+def scored(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
+    """Languages and scores of texts. Rows of the matrix are gathered for the n-grams of many texts at once and summed by text.
+
+    The score is the winner's share after the log-odds are divided by the root of the number of n-grams, so that it stays a grade
+    and does not saturate.
+    """
     langs, logp, prior = model
-    if not langs or text is None or not _LETTER.search(text):
-        return "und", 0.0
-    total, n = prior.astype(np.float64), 0
-    for b in buckets(text):
-        total = total + logp[b].sum(axis=0, dtype=np.float64)
-        n += len(b)
-    return langs[int(total.argmax())], float(1 / np.exp((total - total.max()) / np.sqrt(n)).sum())
+    known = [i for i, t in enumerate(texts) if langs and t is not None and _LETTER.search(t)]
+    total, n = np.tile(prior.astype(np.float64), (len(texts), 1)), np.zeros(len(texts))
+    held: list[np.ndarray] = []
+    owner: list[int] = []
+
+    def flush() -> None:
+        if held:
+            sizes = np.array([len(b) for b in held])
+            sums = np.add.reduceat(logp[np.concatenate(held)], np.cumsum(sizes) - sizes, axis=0, dtype=np.float64)
+            np.add.at(total, owner, sums)
+            np.add.at(n, owner, sizes)
+            held.clear()
+            owner.clear()
+
+    room, most = 0, max(1, GATHERED // max(1, len(langs)))
+    for i in known:
+        for b in buckets(texts[i]):
+            held.append(b)
+            owner.append(i)
+            room += len(b)
+            if room > most:
+                flush()
+                room = 0
+    flush()
+    names, scores = ["und"] * len(texts), [0.0] * len(texts)
+    if known:
+        mine = total[known]
+        best = mine.argmax(axis=1)
+        share = 1 / np.exp((mine - mine.max(axis=1, keepdims=True)) / np.sqrt(n[known])[:, None]).sum(axis=1)
+        for i, k, x in zip(known, best.tolist(), share.tolist(), strict=True):
+            names[i], scores[i] = langs[k], x
+    return names, scores
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -89,8 +120,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_best(text, shared.value) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            names, scores = scored(batch.column(1).to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
 
@@ -121,7 +152,7 @@ def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_best(text, shared.value) for text in batch.column(at).to_pylist()]
+            found = zip(*scored(batch.column(at).to_pylist(), shared.value), strict=True)
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
