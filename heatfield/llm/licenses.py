@@ -1,14 +1,17 @@
 """License scans by conditional compression.
 
-Texts that mention a licence are candidates; their lines are joined without comment marks, so notices may be wrapped.
-Templates are short notices, headers and bodies. In a candidate's words every template is tried at every place of its
-rarest identifying word: a window of about the template's length is aligned with it word by word, and counts if at most
-MAX_DIFF of the template's words are missing and as many are extra, none of them identifying. Windows that overlap are
-ranked by conditional compression: the one that gets smaller by most bytes with its template as a raw zstandard
-dictionary wins. So a notice is found on a line of any length or over several, and each gives a row.
-
-Defined results: null and empty texts have no candidates; equal lines repeat their result at each place; ties go to the
-fewest differences, then to the name that sorts first; gain is the share of the window's bytes; other columns are not read.
+Templates are short notices, headers and bodies of licences, each with words that identify it. Candidate blocks are the
+stretches of about a template's length that hold all its identifying words; comment marks are left out, so notices may
+be wrapped. Every block is compressed alone and with each template as a raw zstandard dictionary, and the templates are
+ranked by the bytes that they save. Down the ranking, a template is confirmed by exact wording: block and template are aligned
+word by word, and at most MAX_DIFF of the template's words may be missing and as many be extra, none of them identifying.
+The first one that holds names the block; of blocks that overlap the one that saves most bytes stays. A template is not
+confirmed on a block much longer than itself, as it has blocks of its own there. Nothing but the identifying words, which a
+confirmed notice must have, keeps a text from being scanned.
+
+Defined results: null and empty texts have no candidates; equal lines repeat their result at each place, and repeated rows
+theirs; ties go to the fewest differences, then to the name that sorts first; gain is the share of the block's compressed
+bytes that the template saves; a null doc_id stays null; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +20,9 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 from itertools import accumulate
+from operator import and_, or_
 
 import pyarrow as pa
 import zstandard
@@ -56,7 +61,6 @@ BODIES = [
     ("MIT", "sublicense permission granted charge", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("MPL-2.0", "mozilla 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 ]
-MENTION = r"(?i)\b((sub|re)?licen[sc](e[ds]?|ing)|copyright|public\s+domain|redistribut\w+|hereby\s+granted)\b"
 #: What begins and ends a line of a comment.
 _MARKS = re.compile(r"^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--|(?:REM|dnl)(?=[ \t]))?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$", re.I)
 MAX_DIFF, SLACK = 0.2, 2
@@ -120,36 +124,52 @@ class Scanner:
     def dictionary(text: str) -> zstandard.ZstdCompressor:
         return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
 
-    def scan(self, text: str) -> list[tuple]:
-        """(start, end, license, gain, missing, extra) of each notice, by place; start and end in characters."""
-        marks = list(_WORD.finditer(text))
-        words = [m.group().lower() for m in marks]
+    def blocks(self, words: list[str]) -> list[tuple[int, int]]:
+        """First word and end of each candidate block."""
         places: dict[str, list[int]] = {}
         for i, w in enumerate(words):
             places.setdefault(w, []).append(i)
-        found = []
-        for name, template, need, squeeze in self.known:
+        found = set()
+        for _, template, need, _ in self.known:
             if not all(w in places for w in need):
                 continue
-            most = MAX_DIFF * len(template)
-            seen = set()
+            room = int(MAX_DIFF * len(template)) + SLACK
             for j in [i for i, w in enumerate(template) if w == need[0]]:
                 for p in places[need[0]]:
-                    lo = max(p - j - int(most) - SLACK, 0)
-                    window = words[lo : p - j + len(template) + int(most) + SLACK]
-                    if not set(need) <= set(window):
-                        continue
-                    blocks = _aligned(template, window)
-                    missing, extra = differences(template, window, blocks)
-                    first, last = lo + blocks[0].b, lo + blocks[-1].b + blocks[-1].size - 1
-                    if len(missing) > most or len(extra) > most or set(missing) & set(need) or set(extra) & OTHER or (first, last) in seen:
-                        continue
-                    seen.add((first, last))
-                    start, end = marks[first].start(), marks[last].end()
-                    raw = text[start:end].encode("utf-8", "replace")
-                    alone = len(self.plain.compress(raw))
-                    saved = alone - len(squeeze.compress(raw))
-                    found.append((-saved, len(missing) + len(extra), name, start, end, saved / alone, missing, extra))
+                    lo, hi = max(p - j - room, 0), min(p - j + len(template) + room, len(words))
+                    if set(need) <= set(words[lo:hi]):
+                        found.add((lo, hi))
+        return sorted(found)
+
+    def ranked(self, raw: bytes) -> tuple[int, list[tuple[int, str, int]]]:
+        """Compressed bytes of a block alone; bytes saved (less is more), name and number of each template, the best first."""
+        alone = len(self.plain.compress(raw))
+        return alone, sorted((len(squeeze.compress(raw)) - alone, name, k) for k, (name, _, _, squeeze) in enumerate(self.known))
+
+    def confirmed(self, k: int, window: list[str]) -> tuple[int, int, list[str], list[str]] | None:
+        """First and last word of the notice of template k in a block, missing and extra words; None if it is none."""
+        _, template, need, _ = self.known[k]
+        most = MAX_DIFF * len(template)
+        if len(window) > len(template) + 2 * (int(most) + SLACK) or not set(need) <= set(window):
+            return None
+        blocks = _aligned(template, window)
+        missing, extra = differences(template, window, blocks)
+        if len(missing) > most or len(extra) > most or set(missing) & set(need) or set(extra) & OTHER:
+            return None
+        return blocks[0].b, blocks[-1].b + blocks[-1].size - 1, missing, extra
+
+    def scan(self, text: str) -> list[tuple]:
+        """(start, end, license, gain, missing, extra) of each notice, by place; start and end in characters."""
+        marks = list(_WORD.finditer(text))
+        words = [m.group().lower() for m in marks]
+        found = []
+        for lo, hi in self.blocks(words):
+            alone, ranked = self.ranked(text[marks[lo].start() : marks[hi - 1].end()].encode("utf-8", "replace"))
+            for less, name, k in ranked:
+                if hit := self.confirmed(k, words[lo:hi]):
+                    first, last, missing, extra = hit
+                    found.append((less, len(missing) + len(extra), name, marks[lo + first].start(), marks[lo + last].end(), -less / alone, missing, extra))
+                    break
         taken: list[tuple] = []
         for _, _, name, start, end, gain, missing, extra in sorted(found):
             if all(end <= a or b <= start for a, b, *_ in taken):
@@ -172,7 +192,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     """SCHEMA, one row for each known notice in docs(doc_id, text); line has all lines of the notice, line_no is the first."""
     small_batches(docs.sparkSession)
     known, bodies = dict(templates or TEMPLATES), [] if templates else BODIES
-    rows = docs.filter(F.col("text").rlike(MENTION)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    low = F.lower("text")
+    holds = [reduce(and_, [low.contains(w) for w in need]) for _, _, need, _ in Scanner(known, bodies).known]
+    rows = docs.filter(reduce(or_, holds)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scanner(known, bodies)

@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import itertools
+import math
+import random
 import re
 import textwrap
 import zlib
@@ -13,6 +15,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 
 from heatfield.llm import exact_dedup, html_text, jaccard_join, langid, licenses, media, mixing, pii
@@ -129,6 +132,48 @@ def test_mixing_meets_the_targets(spark):
     assert mixing.sample(df).filter("doc_id is null").count() == 1
 
 
+def test_scores_equal_a_plain_naive_bayes(spark):
+    rng = random.Random(2)
+    words = {"a": ["der", "die", "und", "nicht"], "b": ["the", "and", "of", "not"], "c": ["le", "la", "et", "pas"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 12))), lang) for i, lang in enumerate(rng.choices("abc", k=60))]
+    df = spark.createDataFrame([(i, t, x) for i, t, x in rows], "doc_id long, text string, lang string")
+    model = langid.train(df)
+
+    def grams(text):
+        return collections.Counter(int(x) for b in langid.buckets(text) for x in b)
+
+    seen, n = {x: collections.Counter() for x in "abc"}, collections.Counter()
+    for _, t, x in rows:
+        seen[x] += grams(t)
+        n[x] += 1
+    size = 1 << langid.BITS
+    texts = [*[t for _, t, _ in rows], "", None, "123", "das und", "Ж" * 40]
+    names, scores = langid.scored(texts, model)
+    for text, name, score in zip(texts, names, scores, strict=True):
+        if not text or not any(c.isalpha() for c in text):
+            assert (name, score) == ("und", 0.0)
+            continue
+        g = grams(text)
+        odds = {x: math.log(n[x] / len(rows)) + sum(k * math.log((seen[x][b] + langid.ALPHA) / (seen[x].total() + langid.ALPHA * size)) for b, k in g.items()) for x in "abc"}
+        top = max(odds.values())
+        want = 1 / sum(math.exp((v - top) / math.sqrt(g.total())) for v in odds.values())
+        assert (odds[name] >= top - 1e-3) and abs(score - want) < 1e-3
+    whole, (langid_gathered, langid.GATHERED) = langid.scored(texts, model), (langid.GATHERED, 10)
+    try:
+        few = langid.scored(texts, model)
+    finally:
+        langid.GATHERED = langid_gathered
+    assert whole[0] == few[0] and np.allclose(whole[1], few[1])
+    assert langid.scored(["ties"], (["x", "y"], np.zeros((size, 2), np.float32), np.log([0.5, 0.5]))) == (["x"], [0.5])
+
+
+def test_exact_dedup_with_many_hits(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 1)
+    rows = [(i, f"t{i % 40}") for i in range(120)] + [(1000 + i, "hot") for i in range(200)]
+    got = {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(docs(spark, rows), digest_bytes=1).collect()}
+    assert got == {i: (i % 40 if i < 120 else 1000) for i, _ in rows}
+
+
 def test_license_scan(spark):
     rows = [(1, "a\nLicensed under CC BY-NC 4.0.\nb"), (2, "Licensed under CC BY 4.0."), (3, None), (4, "no notice; a driver's license is a card"), (5, "prose before. This work is licensed under the GNU General Public License, version 2. And after."), (6, "z " * 50_000 + "\nReleased under the MIT License.")]
     got = {(r.doc_id, r.line_no, r.license) for r in licenses.scan_licenses(docs(spark, rows + rows[:1])).collect()}
@@ -149,6 +194,71 @@ def test_notices_on_long_lines_and_several_on_one():
         assert s.scan(other) == []
 
 
+def test_compression_ranks_and_words_confirm(spark):
+    assert [(r[2], r[4], r[5]) for r in licenses.Scanner(licenses.TEMPLATES).scan("This text is under CC BY 4.0.")] == [("CC-BY-4.0", ["licensed"], [])]
+    one, two = (licenses.scan_licenses(docs(spark, [(1, f"This text is under CC BY 4.0.{more}")])).collect() for more in ("", " Copyright 2020 me."))
+    assert [r.license for r in one] == [r.license for r in two] == ["CC-BY-4.0"]
+    # Words alone accept both templates; the bytes saved tell them apart.
+    s = licenses.Scanner({"A": "Permission to use copy and share this zebra work", "B": "Permission to use copy and share this zebra book"})
+    for text, name in (("permission to use copy and share this zebra book", "B"), ("permission to use copy and share this zebra work", "A")):
+        assert all(s.confirmed(k, text.split()) for k in (0, 1)) and [r[2] for r in s.scan(text)] == [name]
+    # The best by compression does not hold: the next one does.
+    body = dict((k, v) for k, _, v in licenses.BODIES)["Apache-2.0"]
+    text = "Licensed under the Apache License, Version 2.0."
+    s = licenses.Scanner(licenses.TEMPLATES, licenses.BODIES)
+    assert text[:20] in body and [(r[2], r[4]) for r in s.scan(text)] == [("Apache-2.0", [])]
+
+
+def test_license_scan_equals_brute_force():
+    rng = random.Random(4)
+    templates = licenses.TEMPLATES | {"X": "zq alpha beta gamma delta", "Y": "zq alpha beta gamma omega"}
+    s = licenses.Scanner(templates)
+    squeeze = {k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(v.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, v in templates.items()}
+    seen = 0
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            words += [rng.choice(["the", "license", "mit", "2.0", "zq", "gnu"]) for _ in range(rng.randrange(0, 12))]
+            notice = licenses._words(rng.choice(list(templates.values())))
+            words += [w for w in notice if rng.random() > 0.05]
+        text, hits = " ".join(words), []
+        for name, template in templates.items():
+            own = licenses._words(template)
+            need = s.need(name, own)
+            room = int(0.2 * len(own)) + 2
+            for p in range(len(words)):
+                for j in range(len(own)):
+                    lo, hi = max(p - j - room, 0), min(p - j + len(own) + room, len(words))
+                    if words[p] == need[0] == own[j] and all(w in words[lo:hi] for w in need):
+                        raw = " ".join(words[lo:hi]).encode()
+                        alone = len(zstandard.ZstdCompressor(level=3).compress(raw))
+                        for less, other in sorted((len(z.compress(raw)) - alone, k) for k, z in squeeze.items()):
+                            theirs = licenses._words(templates[other])
+                            most, must = 0.2 * len(theirs), s.need(other, theirs)
+                            if hi - lo > len(theirs) + 2 * (int(most) + 2):
+                                continue
+                            blocks = licenses._aligned(theirs, words[lo:hi])
+                            missing, extra = licenses.differences(theirs, words[lo:hi])
+                            if blocks and max(len(missing), len(extra)) <= most and not set(missing) & set(must) and not set(extra) & licenses.OTHER and all(w in words[lo:hi] for w in must):
+                                at = [sum(len(w) + 1 for w in words[:i]) for i in (lo + blocks[0].b, lo + blocks[-1].b + blocks[-1].size)]
+                                hits.append((less, len(missing) + len(extra), other, at[0], at[1] - 1))
+                                break
+        want: list = []
+        for _, _, name, a, b in sorted(set(hits)):
+            if all(b <= c or d <= a for c, d, _ in want):
+                want.append((a, b, name))
+        assert [r[:3] for r in s.scan(text)] == sorted(want)
+        seen += len(want)
+    assert seen > 60
+
+
+def test_licenses_of_null_ids_repeated_rows_and_empty_tables(spark):
+    notice = licenses.TEMPLATES["MIT"]
+    got = licenses.scan_licenses(docs(spark, [(None, notice), (1, notice), (1, notice), (2, ""), (3, f"{notice}\n{notice}")])).collect()
+    assert sorted((r.doc_id or 0, r.line_no) for r in got) == [(0, 0), (1, 0), (1, 0), (3, 0), (3, 1)]
+    assert licenses.scan_licenses(docs(spark, [])).count() == 0
+
+
 def test_wrapped_headers_and_bodies(spark):
     rows = []
     for i, (_, _, body) in enumerate(licenses.BODIES):
