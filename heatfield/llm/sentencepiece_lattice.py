@@ -21,6 +21,7 @@ each by its own text; an empty table gives an empty result; other columns are no
 from __future__ import annotations
 
 import string
+import struct
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,7 +31,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatfield.llm.common import forget, prefix_hashes, row_key, small_batches, stored
@@ -40,6 +41,8 @@ FREQUENT, LONG, MARK = 1 << 20, 61, "▁"
 CHUNK, HELD, PART, SOME = 1 << 19, 200_000, 3_000_000, 256
 #: Partitions of the distinct words to each of the session's shuffles.
 DEALT = 2
+#: Characters of a piece's beginning that are looked up, and bits of the table, as a power of 2.
+START, BITS = 4, 18
 _MARK = MARK.encode()
 
 
@@ -87,7 +90,9 @@ def lattice(words: DataFrame, path: str) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(table, "piece string, rank long, id long, score double"))  # the model's size
     n, own = F.char_length("word"), words.columns
     starts = words.select(*own, F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select(*own, "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + m.longest))).alias("e"))
+    # Where no piece begins with the next START characters there are but shorter ones: about half of all substrings.
+    reach = F.when(_begins_piece(m, F.substring("word", F.col("s") + 1, F.lit(START))), m.longest).otherwise(START - 1)
+    spans = starts.select(*own, "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + reach))).alias("e"))
     spans = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")))
     if m.bpe:  # single ASCII characters need no edge, but each word needs a row
         spans = spans.filter("e > s + 1 or e = 1 or ascii(piece) > 127")
@@ -104,6 +109,30 @@ def lattice(words: DataFrame, path: str) -> DataFrame:
     return scored.select(*own, F.expr(ids).alias("ids"))
 
 
+def _begins_piece(m: Model, c: Column) -> Column:
+    """Whether a piece may begin with c: a table of bits by hash, true for all that do and few that do not."""
+    hashes = np.array([_murmur(p[:START].encode()) for p in {p.replace(MARK, " ") for p, _, _ in m.pieces} if len(p) >= START], np.int64)
+    bits = np.zeros(1 << BITS, np.uint8)
+    bits[hashes % (1 << BITS)] = 1
+    h = F.pmod(F.hash(c), F.lit(1 << BITS))
+    return F.getbit(F.get(F.lit(np.packbits(bits, bitorder="little").view("<i8").tolist()), F.shiftright(h, 6)), h.bitwiseAND(63)) == 1
+
+
+def _murmur(data: bytes, seed: int = 42) -> int:
+    """Spark's hash() of a string: Murmur3 of 32 bits over its 4-byte words, then over each byte left."""
+    low = 0xFFFFFFFF
+    turn = lambda x, r: (x << r | x >> (32 - r)) & low
+    whole = len(data) // 4 * 4
+    for k in (*struct.unpack(f"<{whole // 4}i", data[:whole]), *struct.unpack(f"{len(data) - whole}b", data[whole:])):
+        k = turn(k * 0xCC9E2D51 & low, 15) * 0x1B873593 & low
+        seed = (turn(seed ^ k, 13) * 5 + 0xE6546B64) & low
+    seed ^= len(data)
+    seed = (seed ^ seed >> 16) * 0x85EBCA6B & low
+    seed = (seed ^ seed >> 13) * 0xC2B2AE35 & low
+    seed ^= seed >> 16
+    return seed - (1 << 32) if seed >> 31 else seed
+
+
 def _bytes(m: Model, c: str) -> str:
     return f"transform(sequence(0, octet_length({c}) - 1), j -> {m.first_byte} + cast(conv(substring(hex(encode({c}, 'UTF-8')), 2 * j + 1, 2), 16, 10) as int))"
 
@@ -126,8 +155,8 @@ def _merges() -> str:
 
 def _ids(m: Model) -> str:
     """Ids of the pieces between boundaries, each behind its place: an edge's, or those of a single character."""
-    long = "(octet_length(word) <> char_length(word) or (x & 127) > (shiftright(x, 7) & 127) + 1)"
-    left = f"transform(filter(edges, x -> {long} and ({_inside('x')} & cut) = 0L and {_at_ends('x', 'cut')}), x -> shiftleft(shiftright(x, 7) & 127, 32) + (shiftright(x, 14) & 262143L))"
+    long = "((x & 127) > (shiftright(x, 7) & 127) + 1 or octet_length(word) <> char_length(word))"
+    left = f"transform(filter(edges, x -> {_at_ends('x', 'cut')} and ({_inside('x')} & cut) = 0L and {long}), x -> shiftleft(shiftright(x, 7) & 127, 32) + (shiftright(x, 14) & 262143L))"
     alone = "filter(sequence(0, char_length(word) - 1), s -> (shiftright(cut, s) & 3L) = 3L)"
     plain = f"transform({alone}, s -> shiftleft(cast(s as bigint), 32) + element_at(array({', '.join(f'{i}L' for i in m.ascii)}), ascii(substring(word, s + 1, 1)) + 1))"
     single = f"if(ascii(c) < 128, array(element_at(array({', '.join(map(str, m.ascii))}), ascii(c) + 1)), {_bytes(m, 'c')})"

@@ -546,3 +546,14 @@ def test_viterbi_fold_is_the_best_path(spark):
     for r in df.select("word", F.expr(lattice._viterbi(3)).alias("b")).collect():
         got = sum(scores[r.word[a:b]] for a, b in zip(r.b, r.b[1:]))
         assert got == pytest.approx(best(r.word)) and r.b[0] == 0 and r.b[-1] == len(r.word)
+
+
+def test_hashes_of_beginnings_are_those_of_the_engine(spark):
+    texts = ["", "a", "abc", " the", "äöü", "日本語", " été", "x" * 61]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.hash("t")).collect()
+    assert [lattice._murmur(t.encode()) for t in texts] == [r[0] for r in got]
+    m = lattice.model(str(public_tokenizers.path("piece_bpe_32k.model")))
+    heads = sorted({p.replace(lattice.MARK, " ")[: lattice.START] for p, _, _ in m.pieces if len(p) >= lattice.START})
+    df = spark.createDataFrame([(t, True) for t in heads] + [(f"{i:04x}", False) for i in range(3000)], "t string, is boolean")
+    said = df.select("is", lattice._begins_piece(m, F.col("t")).alias("may")).groupBy("is").agg(F.count_if("may").alias("n")).collect()
+    assert {r["is"]: r.n for r in said}[True] == len(heads) and {r["is"]: r.n for r in said}[False] < 600
