@@ -134,7 +134,7 @@ class Encoder:
         return [next(wholes) if x else next(plain) for x in odd.to_pylist()]
 
 
-def _joined(batches: Iterator[pa.RecordBatch], least: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _joined(batches: Iterator[pa.RecordBatch], least: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches put together until they have `least` bytes: a word is looked up once in each."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -242,6 +242,7 @@ def read_tokens(index: DataFrame) -> DataFrame:
     before = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # the worker may have encoded before; its words are not needed any more
         name, shard = None, None
         for batch in batches:
             sums = []
