@@ -5,7 +5,9 @@ video with their caption (figcaption, else alt, else title). Media bytes live in
 resolve() joins items to the store on that digest and keeps position and caption beside the payload's columns. Only the
 columns asked for are moved: features are computed where the payload is read, and the join carries those.
 
-put_bytes stores any bytes without loss as a binary greyscale image of 64 samples a row (portable graymap, whose comment
+The query makes each document a page of its lines and one figure among them, which holds the whole text as a payload.
+
+media_bytes stores any bytes without loss as a binary greyscale image of 64 samples a row (portable graymap, whose comment
 holds the unpadded length), and image_features reads it back.
 
 Defined results: null html gives an empty sequence; a reference without a stored payload resolves to nulls; a null text
@@ -101,14 +103,13 @@ def sequences(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return pages.select(key, html).mapInArrow(parse, f"{key} {kind.simpleString()}, items array<{ITEM}>")
 
 
-def resolve(seqs: DataFrame, catalog: DataFrame, key: str, digest: str = "media_sha256") -> DataFrame:
-    """One row an item: key, the item's fields, and the catalog's columns for media; catalog has one row a digest."""
+def resolve(seqs: DataFrame, catalog: DataFrame, key: str, digest: str = "media_sha256", texts: bool = True) -> DataFrame:
+    """One row an item: key, the item's fields, and the catalog's columns for media; catalog has one row a digest. Without texts, of media only; their positions are those in the whole sequence."""
     items = seqs.select(key, F.explode("items").alias("item")).select(key, "item.*")
-    texts = items.filter("kind = 'text'")
     refs = stored(items.filter("kind <> 'text'").withColumn(digest, F.regexp_replace("ref", "^sha256:", "")), "media-refs")
     uses = stored(refs.groupBy(digest).agg(F.count(F.lit(1)).alias("uses")), "media-uses")
     found = join_hot(refs, uses.join(catalog, digest), digest, "uses", refs.count()).drop("uses")
-    return found.unionByName(texts, allowMissingColumns=True)
+    return found.unionByName(items.filter("kind = 'text'"), allowMissingColumns=True) if texts else found
 
 
 def media_bytes(text: Column) -> Column:
@@ -150,14 +151,27 @@ def image_features(store: DataFrame) -> DataFrame:
     return store.select("media").mapInArrow(features, FEATURES)
 
 
+def page_of(text: Column, ref: Column, doc_id: Column) -> Column:
+    """A document as a page: its lines are paragraphs, and its stored payload is a figure behind the first half of them."""
+    plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = F.split(plain, "\n")
+    half = (F.size(lines) / 2).cast("int")
+    marked = lambda part: F.array_join(F.transform(part, lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), "")
+    caption = F.concat(F.lit("document "), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(", behind line "), half.cast("string"))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), ref, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+    return F.concat(marked(F.slice(lines, 1, half)), figure, marked(F.slice(lines, half + 1, F.size(lines))))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = docs.select("doc_id", media_bytes(F.col("text")).alias("media")).withColumn("media_sha256", F.sha2("media", 256))
     store = stored(made, "media-store", compression="zstd")
+    small_batches(spark)
     catalog = image_features(store)
     catalog = catalog.groupBy("media_sha256").agg(*[F.first(c).alias(c) for c in catalog.columns[1:]])
-    html = F.format_string('<figure><img src="sha256:%s"><figcaption>document %s</figcaption></figure>', "media_sha256", "doc_id")
-    found = resolve(sequences(store.select("doc_id", html.alias("html")), "doc_id"), catalog, "doc_id")
+    own = docs.withColumn("media_sha256", F.sha2(media_bytes(F.col("text")), 256))
+    pages = own.select("doc_id", page_of(F.col("text"), F.col("media_sha256"), F.col("doc_id")).alias("html"))
+    found = resolve(sequences(pages, "doc_id"), catalog, "doc_id", texts=False)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 

@@ -93,6 +93,24 @@ def test_interleaved_sequences(spark):
     assert [(r.page_id, r.position, r.size) for r in got if r.ref] == [(p, k, s) for p in (1, 3) for k, s in ((1, 7), (3, None))]
 
 
+def test_pages_of_documents_interleave_lines_and_media(spark):
+    texts = [None, "", "one", "a & b\n<i>c</i>\n\n  \nd &amp; e\nf", "x\n" * 400, "\n\n"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "n\nm")] * 3, "doc_id long, text string")
+    pages = rows.select("doc_id", media.page_of(F.col("text"), F.lit("ab"), F.col("doc_id")).alias("html"))
+    catalog = spark.createDataFrame([("ab", 7)], "media_sha256 string, size int")
+    got = media.resolve(media.sequences(pages, "doc_id"), catalog, "doc_id").collect()
+    for i, t in [*enumerate(texts), (None, "n\nm")]:
+        lines = (t or "").split("\n")
+        half, want = len(lines) // 2, []
+        for part in (lines[:half], [None], lines[half:]):
+            run = " ".join(" ".join(x or "" for x in part).split())  # text runs on to the next figure
+            want += [None] if part == [None] else [run] if run else []
+        mine = sorted((r.position, r.text, r.size, r.caption) for r in got if r.doc_id == i)
+        mine = mine[:: 3 if i is None else 1]
+        assert [(p, t) for p, t, _, _ in mine] == list(enumerate(want)) and [(s, c) for _, t, s, c in mine if t is None] == [(7, f"document {'null' if i is None else i}, behind line {half}")]
+    assert media.resolve(media.sequences(pages.limit(0), "doc_id"), catalog, "doc_id", texts=False).count() == 0
+
+
 def test_language_identification(spark):
     en, de = "the quick brown fox and the lazy dog over there ", "der schnelle braune fuchs und der faule hund über dort "
     rows = [(i, (en, de)[i % 2] * (1 + i % 5) + str(i), ("en", "de")[i % 2]) for i in range(300)]

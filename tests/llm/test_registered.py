@@ -55,6 +55,10 @@ def test_media(spark, rows):
         raw = t.encode()
         pad = raw + b"\0" * (64 if not raw else -len(raw) % 64)
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
+        lines = t.split("\n")
+        half = len(lines) // 2
+        assert (got[i].position, got[i].caption) == (int(any(x.split() for x in lines[:half])), f"document {i}, behind line {half}")
+    assert {r.position for r in got.values()} == {0, 1}
 
 
 def test_token_files(spark, rows):
