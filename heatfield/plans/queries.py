@@ -493,3 +493,21 @@ def typed_columns_round_trip(spark, d):
     rows.write.format("typed_columns").option("kinds", "tag:u8,x:i16,second:u16,victim_champ:u16,killer_champ:u8,killer_player:u16").mode("append").save(path)
     back = spark.read.format("typed_columns").load(path)
     return back.select(*[F.col(c).cast("long").alias(c) for c in back.columns]).groupBy("tag", *own).agg(F.count(F.lit(1)).alias("n"))
+
+
+_V, _O = "victim_champ IN (1, 2, 5) AND victim_champ <> 3 AND victim_player IN (3, 6, 9)", "killer_champ IN (1, 2, 5) AND killer_champ <> 3 AND killer_player IN (3, 6, 9)"
+
+
+@query(f"{seen_sql(f'{_V} AND coalesce(killer_player <> 10, true)', f'{_O} AND victim_player <> 10', 'cause = 0 AND second BETWEEN 300 AND 1500 AND patch <> 2')} SELECT {cell_sql(64)} AS cell, {AGG} FROM s GROUP BY 1")
+def link_filter(spark, d):
+    """A link, read, written and read again, then moved to a release whose players and patches have other keys: the counts are those of its facets."""
+    link = "layer=kills&s.champ=1,2,!3,5,99&s.player_id=u3&s.player_id=u6&s.player_id=u9&s.player_id=gone&o.exclude_player_id=u10&c.cause=0&c.patch=!7&time=300,1500&assists=9,1&grid=64&other=1"
+    state = H.parse_state(link)
+    state = H.parse_state(H.state_query(state))
+    k = facts(spark, d, False)
+    players = k.select(F.col("victim_player").alias("sk")).union(k.select("killer_player")).filter("sk is not null").distinct().select(F.concat(F.lit("u"), F.col("sk").cast("string")).alias("id"), "sk")
+    champs = k.select(F.col("victim_champ").alias("sk")).distinct().select(F.col("sk").cast("string").alias("id"), "sk")
+    patches = k.select(F.col("patch").alias("sk")).distinct().select(F.concat(F.lit("p"), F.col("sk").cast("string")).alias("id"), "sk")
+    before = patches.select("id", (F.col("sk") + 5).alias("sk"))
+    state = H.reconciled(state, {"player": players, "champ": champs, "patch": patches}, {"patch": before})
+    return H.grid(H.perspectives(k, state), state.grid)
