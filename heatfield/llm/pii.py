@@ -4,7 +4,7 @@ Entities (e-mail and IP addresses, phone, card and account numbers, keys, passwo
 patterns; a number in the form of a card counts only with a right check digit. Documents with none pass untouched and take
 no part in any shuffle. Each distinct entity gets a surrogate from a keyed hash (HMAC with SHA-256): same kind, same length and same
 classes of character at every place (digits stay digits, capitals capitals, letters keep their script and accent class,
-separators stay). Mail addresses end in a reserved domain; cards keep their first digit, accounts their country, phone
+separators stay; in names vowels stay vowels). The key is the session's, or is drawn once and kept. Mail addresses end in a reserved domain; cards keep their first digit, accounts their country, phone
 numbers their country code and keys their prefix, and check digits are right; names keep title (and so gender) and
 script. Given name and surname are entities apart and mail addresses count in lower case, so all forms of a reference keep together
 in all documents; names of a document are also replaced where they stand without a title (n_entities counts patterns only).
@@ -20,14 +20,16 @@ doc_id keeps its row; entities overlap never, the leftmost and then first patter
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatfield.llm.common import join_hot, stored
+from heatfield.llm.common import join_hot, scratch, stored
+from heatfield.sources import files
 
-#: The session's setting that holds the key. Without it surrogates are the same for everybody, which tests need and nobody else should use.
-KEY_SETTING, NO_KEY = "heatfield.surrogate.key", "surrogate-key-1"
+#: The session's setting that holds the key.
+KEY_SETTING = "heatfield.surrogate.key"
 #: After so many rounds a surrogate gets a digit more with each round, so that there is always a free one.
 GROW = 3
 #: Kind and pattern, in order of precedence.
@@ -49,10 +51,21 @@ SIGNS = ("Mr. ", "Ms. ", "Dr. ", "Mrs. ", "Herr ", "Frau ", "M. ", "Mme ", "Sr.
 FEMALE = "anna maria marie eva lena laura julia sarah emma sophie sofia lisa claire camille chloé léa carmen lucía elena ana marta isabel mary jane alice emily susan karen linda petra sabine monika ursula helga inge élodie juliette nathalie"
 MALE = "john james peter paul max hans karl thomas michael david robert william george jean pierre luc jacques louis antoine carlos juan josé luis miguel pedro pablo diego jürgen klaus stefan andreas martin felix lukas jonas"
 DIGITS, LOW, CAP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: In names a vowel stays a vowel and a consonant a consonant, so they can be spoken.
+VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 #: Other scripts keep their script: small and capital letters of the same block.
 SCRIPTS = [("àâäáãåçèéêëìíîïñòóôöõùúûüýß", "àâäáãåçèéêëìíîïñòóôöõùúûüýß"), ("ÀÂÄÁÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÖÕÙÚÛÜÝ", "ÀÂÄÁÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÖÕÙÚÛÜÝ"), ("αβγδεζηθικλμνξοπρστυφχψω", "αβγδεζηθικλμνξοπρστυφχψω"), ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "абвгдежзийклмнопрстуфхцчшщъыьэюя"), ("АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")]
 
 
+def session_key(spark: SparkSession) -> str:
+    """The configured key, or else one that is drawn once and kept beside the session's checkpoints, so that nobody else can make the same surrogates and later runs do."""
+    if key := spark.conf.get(KEY_SETTING, None):
+        return key
+    path = f"{scratch(spark, 'key').rpartition('/')[0]}/surrogate-key"
+    files.create(spark, path, secrets.token_hex(32))
+    return files.read(spark, path)
+
+
 def kind_of(entity: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, p in reversed(PATTERNS.items()):
@@ -92,7 +105,10 @@ def keyed(entity: Column, kind: Column, turn: Column, key: str) -> Column:
 
     def swap(c: Column, i: Column) -> Column:
         pick = lambda chars: F.substring(F.lit(chars), (number(i.cast("string")) % len(chars) + 1).cast("int"), F.lit(1))
-        out = F.when(c.rlike("[0-9]"), pick(DIGITS)).when(c.rlike("[a-z]"), pick(LOW)).when(c.rlike("[A-Z]"), pick(CAP))
+        name = kind == "name"
+        out = F.when(c.rlike("[0-9]"), pick(DIGITS)).when(name & c.rlike("[aeiou]"), pick(VOWELS)).when(name & c.rlike("[a-z]"), pick(CONSONANTS))
+        out = out.when(name & c.rlike("[AEIOU]"), pick(VOWELS.upper())).when(name & c.rlike("[A-Z]"), pick(CONSONANTS.upper()))
+        out = out.when(c.rlike("[a-z]"), pick(LOW)).when(c.rlike("[A-Z]"), pick(CAP))
         for have, give in SCRIPTS:
             out = out.when(F.contains(F.lit(have), c), pick(give))
         out = out.when(c.rlike(r"\p{Lu}"), pick(CAP)).when(c.rlike(r"\p{L}"), pick(LOW)).when(c.rlike(r"\p{N}"), pick(DIGITS))
@@ -121,8 +137,9 @@ def keyed(entity: Column, kind: Column, turn: Column, key: str) -> Column:
     return F.when(kind == "email", mail).otherwise(F.concat(other, grown))
 
 
-def surrogate_table(entities: DataFrame, key: str = NO_KEY) -> DataFrame:
+def surrogate_table(entities: DataFrame, key: str | None = None) -> DataFrame:
     """entity, uses, kind, surrogate for entities(entity, uses), one row each; surrogates are distinct and no real entity."""
+    key = key or session_key(entities.sparkSession)
     table = stored(entities.withColumn("kind", kind_of(F.col("entity"))).withColumn("turn", F.lit(0)).withColumn("surrogate", keyed(F.col("entity"), F.col("kind"), F.col("turn"), key)), "surrogates")
     while True:
         first = table.groupBy("surrogate").agg(F.min("entity").alias("winner"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -138,7 +155,7 @@ def surrogate_table(entities: DataFrame, key: str = NO_KEY) -> DataFrame:
 def replace_entities(docs: DataFrame, key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text, n_entities, spans) for every row of docs(doc_id, text), and the surrogate table. spans: place of the entity, kind and surrogate."""
     spark = docs.sparkSession
-    key = key or spark.conf.get(KEY_SETTING, NO_KEY)
+    key = key or session_key(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     may = F.col("text").rlike("[0-9@]|(?i:password=|akia|gh[pousr]_)")
     for sign in SIGNS:

@@ -479,6 +479,20 @@ def test_surrogates_keep_their_type(spark):
     assert pii.replace_entities(docs(spark, []))[0].count() == 0
 
 
+def test_the_key_is_drawn_once_and_names_can_be_spoken(spark):
+    key = pii.session_key(spark)
+    assert len(key) == 64 and pii.session_key(spark) == key
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert pii.session_key(spark) == "mine"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    names = ["Keller", "Brown", "Stevenson", "Ng", "Li"]
+    got = {r.entity: r.surrogate for r in pii.surrogate_table(spark.createDataFrame([(n, 1) for n in names], "entity string, uses long"), "k").collect()}
+    kind = lambda t: ["v" if c.lower() in "aeiou" else "c" for c in t]
+    assert all(kind(n) == kind(got[n]) and n[0].isupper() == got[n][0].isupper() for n in names)
+
+
 def test_surrogates_that_collide_are_derived_anew(spark):
     entities = spark.createDataFrame([(f"555-{i:03d}-{j:04d}"[:11], 1) for i in range(1) for j in range(1)] + [(f"{i:04d} 00 000", 1) for i in range(3)] + [(f"1.1.1.{i}", 1) for i in range(1, 200)], "entity string, uses long")
     t = pii.surrogate_table(entities).collect()
