@@ -20,6 +20,13 @@ from heatfield.sources import files
 #: Deltas after which a base is written anew; keys that a read names at most.
 DELTAS, KEYS = 8, 4096
 _OWN = "_step long, _gone boolean"
+#: Most rows of deltas whose keys are broadcast to the base.
+CHANGED = 200_000
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """Of each key's rows that of the greatest step."""
+    return rows.groupBy("key").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "key"]), "_step").alias("r")).select("key", "r.*")
 
 
 class Keyed:
@@ -79,10 +86,14 @@ class Keyed:
             return self.spark.createDataFrame([], schema)
         if prefix or keys is not None:
             found = [df.filter(wanted) for df in found]
-        if len(found) == 1 and generation:
-            return found[0]
-        both = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-        return both.groupBy("key").agg(F.max_by(F.struct(*[c for c in both.columns if c != "key"]), "_step").alias("r")).select("key", "r.*")
+        if len(found) == 1:
+            return found[0] if generation else _latest(found[0])
+        base, changes = found
+        if changes.limit(CHANGED + 1).count() > CHANGED:
+            return _latest(base.unionByName(changes))
+        # Few keys have changed: only their rows are merged, the base's other rows stay where they are.
+        keys = F.broadcast(changes.select("key").distinct())
+        return base.join(keys, "key", "left_anti").unionByName(_latest(base.join(keys, "key", "left_semi").unionByName(changes)))
 
     def read(self, prefix: str = "", keys: Sequence[str] | None = None) -> DataFrame:
         return self.rows(prefix, keys).filter("not _gone").drop("_step", "_gone")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heatfield.sources import files
+from heatfield.streaming import state
 from heatfield.streaming.lease import Lease, OwnershipError
 from heatfield.streaming.state import Keyed
 
@@ -32,7 +33,9 @@ def test_files_are_created_once_and_replaced_whole(spark, tmp_path):
         files.put(spark, path, "four")
 
 
-def test_upserts_deletes_and_late_steps(spark, tmp_path):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_upserts_deletes_and_late_steps(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(state, "CHANGED", most)
     t = Keyed(spark, str(tmp_path), "t", "v int")
     assert said(t) == [] and not t.compact()
     t.upsert(rows(spark, ("a", 1), ("b", 1)), 1)
