@@ -24,9 +24,14 @@ MAP_ID, QUEUE_ID, MIN_SECONDS = 11, 420, 300
 MATCH_ID = "^[A-Z0-9]+_[0-9]+$"
 
 
-def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Whole JSON documents, gzipped or not, one a file."""
-    return spark.read.schema(schema).json(path, multiLine=True).withColumn("file", F.input_file_name())
+def read_documents(spark: SparkSession, path: str, schema: str, whole: bool = True) -> DataFrame:
+    """JSON documents, gzipped or not, one a file, or one a line if they are not whole files."""
+    return spark.read.schema(schema).json(path, multiLine=whole).withColumn("file", F.input_file_name())
+
+
+def write_documents(docs: DataFrame, path: str) -> None:
+    """docs as gzipped JSON, one a line, without absent fields; the folder is there whole or not at all, and is never written twice."""
+    docs.write.option("compression", "gzip").mode("error").json(path)
 
 
 def seconds(info: str = "info") -> Column:

@@ -172,6 +172,17 @@ def test_rows_that_no_release_has(spark):
     assert {tuple(r) for r in X.out_of_range(facts).collect()} == {("a", "team_gold"), ("b", "assists")}
 
 
+def test_documents_are_written_and_read_again(spark, landed, tmp_path):
+    root, made = landed
+    docs = D.read_documents(spark, f"{root}/match", D.MATCH).drop("file")
+    D.write_documents(docs, f"{tmp_path}/out")
+    assert all(f.endswith(".json.gz") for f in docs.sparkSession.read.text(f"{tmp_path}/out").inputFiles())
+    back = D.read_documents(spark, f"{tmp_path}/out", D.MATCH, whole=False).drop("file")
+    assert sorted(back.collect(), key=str) == sorted(docs.collect(), key=str) and len(made) == back.count()
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        D.write_documents(docs, f"{tmp_path}/out")
+
+
 def test_names(spark, tmp_path):
     (tmp_path / "names.json").write_text('{"data": {"A": {"key": "7", "name": "Seven"}, "B": {"key": "x", "name": "none"}}}')
     names = U.champion_names(spark, str(tmp_path / "names.json"))
