@@ -38,9 +38,9 @@ from heatfield.llm.common import forget, prefix_hashes, row_key, small_batches,
 
 FREQUENT, LONG, MARK = 1 << 20, 61, "▁"
 #: Words that a task looks through at once for distinct ones; words that the grouping of edges may hold at once; words of a part; texts encoded at once.
-CHUNK, HELD, PART, SOME = 1 << 19, 200_000, 3_000_000, 256
+CHUNK, HELD, PART, SOME = 1 << 20, 200_000, 3_000_000, 256
 #: Partitions of the distinct words to each of the session's shuffles.
-DEALT = 2
+DEALT = 8
 #: Characters of a piece's beginning that are looked up, and bits of the table, as a power of 2.
 START, BITS = 4, 18
 _MARK = MARK.encode()
