@@ -511,3 +511,22 @@ def link_filter(spark, d):
     before = patches.select("id", (F.col("sk") + 5).alias("sk"))
     state = H.reconciled(state, {"player": players, "champ": champs, "patch": patches}, {"patch": before})
     return H.grid(H.perspectives(k, state), state.grid)
+
+
+_NEAR = """(SELECT CAST(floor(min(sqrt(pow((x.p - {a}) * 1000, 2) + pow((x.p - {a}) * 900, 2))) FILTER (WHERE x.p <> {a} AND (x.p <= 5) = ({a} <= 5)) / 100) AS BIGINT) FROM al x WHERE x.event_id = q.event_id AND alive)"""
+_SURROUNDINGS = f"""WITH e AS (SELECT event_id, event_id // 28 AS m, event_id % 28 AS i, event_type AS k, (event_id % 28 // 2) * 120000 + event_id % 2 * 3000 AS t, (user_id * 3 + event_id % 28) % 10 + 1 AS v, user_id % 10 + 1 AS p, event_id % 18 AS up FROM events),
+q AS (SELECT *, CASE WHEN k = 'click' THEN v % 10 + 1 END AS killer FROM e WHERE k IN ('click', 'error')),
+d AS (SELECT *, coalesce((SELECT arg_max(u.up, u.i) FROM e u WHERE u.m = q.m AND u.k = 'signup' AND u.p = q.v AND u.i < q.i AND u.up > 0), 1) AS lvl FROM q),
+b AS (SELECT m, i, v, t + CAST(floor(list_extract({[float(x) for x in S.RESPAWN]}::DOUBLE[], lvl) * CASE WHEN t < 900000 THEN 1 ELSE 1 + least(0.5e0, (t - 900000) // 300000 * 0.05e0) END * 1000) AS BIGINT) AS back FROM d),
+al AS (SELECT q.event_id, r.p, coalesce((SELECT arg_max(b.back, b.i) FROM b WHERE b.m = q.m AND b.v = r.p AND b.i < q.i) <= q.t, true) AS alive FROM q, range(1, 11) r(p))
+SELECT 'EU_' || m AS match_id, i // 7 AS frame_index, i % 7 AS event_index, (SELECT count(*) FILTER (WHERE alive AND p <= 5) * 16 + count(*) FILTER (WHERE alive AND p > 5) FROM al WHERE al.event_id = q.event_id) AS alive_counts,
+    {_NEAR.format(a="q.v")} AS victim_isolation, (SELECT count(*) FROM al x WHERE x.event_id = q.event_id AND alive AND (x.p <= 5) <> (q.v <= 5) AND abs(x.p - q.v) <= 1) AS victim_enemies_near, CASE WHEN v <= 5 THEN -5 ELSE 5 END AS victim_cs_diff_lane,
+    CASE WHEN k = 'click' THEN {_NEAR.format(a="q.killer")} END AS killer_isolation, CASE WHEN killer <= 5 THEN -5 WHEN killer > 5 THEN 5 END AS killer_cs_diff_lane FROM q"""
+
+
+@query(_SURROUNDINGS)
+def kill_surroundings(spark, d):
+    """Who is alive at each kill, how far victim and killer are from their nearest living ally, and their farm against their lane opponents."""
+    columns = ["frame_index", "event_index", "alive_counts", "victim_isolation", "victim_enemies_near", "victim_cs_diff_lane", "killer_isolation", "killer_cs_diff_lane"]
+    found = X.kill_facts(*documents(spark, d))
+    return found.select("match_id", *[F.col(c).cast("long").alias(c) for c in columns])
