@@ -17,6 +17,7 @@ from heatfield.operators.asof import asof, others_within, prior
 from heatfield.sources import columns, files
 from heatfield.sources import documents as D
 from heatfield.sources.adapter import cell_sql, documents, facts, facts_sql
+from heatfield.streaming import ingest as I
 from heatfield.streaming.ingest import advanced, first_of, histories
 from heatfield.streaming.state import Keyed
 
@@ -530,3 +531,19 @@ def kill_surroundings(spark, d):
     columns = ["frame_index", "event_index", "alive_counts", "victim_isolation", "victim_enemies_near", "victim_cs_diff_lane", "killer_isolation", "killer_cs_diff_lane"]
     found = X.kill_facts(*documents(spark, d))
     return found.select("match_id", *[F.col(c).cast("long").alias(c) for c in columns])
+
+
+@query("SELECT 'EU_' || event_id // 28 AS match_id, count(*) FILTER (WHERE event_type IN ('click', 'error')) AS kills, 10 AS players, 1800 AS seconds, count(*) FILTER (WHERE event_type IN ('click', 'error')) AS recorded FROM events WHERE event_id // 28 % 5 <> 3 GROUP BY 1")
+def committed_matches(spark, d):
+    """The events' documents discovered, judged, written, read back, recorded and read as committed; every fifth match has no timeline and stays a candidate."""
+    matches, lines = documents(spark, d)
+    as_json = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.concat(F.lit(kind), F.lit("/"), "metadata.matchId").alias("file"), F.to_json(F.struct("metadata", "info")).alias("text"), F.substring_index("metadata.matchId", "_", -1).cast("long").alias("m"))
+    store = I.Store(spark, files.scratch(spark, "store"))
+    landed = as_json(matches, "match").unionByName(as_json(lines, "timeline").filter("m % 5 <> 3")).drop("m")
+    I.discover(store, landed, 1)
+    I.ingest(store, store.candidates(), 2, "run")
+    tables = I.committed(store)
+    kills = tables["fact_kill"].groupBy("match_id").agg(F.count(F.lit(1)).alias("kills"))
+    players = tables["dim_participant"].groupBy("match_id").agg(F.count(F.lit(1)).alias("players"))
+    said = store.matches.read().filter("status = 'done'").select(F.col("key").alias("match_id"), F.col("n_rows").alias("recorded"))
+    return said.join(tables["dim_match"].select("match_id", "seconds"), "match_id").join(players, "match_id").join(kills, "match_id", "left").select("match_id", F.coalesce("kills", F.lit(0)).alias("kills"), "players", "seconds", "recorded")
