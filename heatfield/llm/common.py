@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heatfield.sources.files import scratch
+
 #: A key with at least 1/HOT_SHARE of all rows is hot. There are at most HOT_SHARE such keys, which bounds the broadcast.
 HOT_SHARE = 512
 #: Most rows that a narrow table may have to be broadcast; larger ones are joined by a shuffle.
@@ -19,21 +16,6 @@ BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='heatfield-')}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary folder; a cluster, whose executors would not share one, an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = _own_folder()
-    return f"{root.rstrip('/')}/heatfield/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str, settings: dict[str, str] | None = None, **options: str) -> DataFrame:
     """df written to the shared folder and read back: it cuts the lineage and outlives any executor.
 
