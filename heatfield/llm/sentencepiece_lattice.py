@@ -193,11 +193,26 @@ class Words:
     def at(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]]
 
+    def some(self, at: np.ndarray) -> pa.Array:
+        """The bytes of the words at these places."""
+        size = self.end[at] - self.start[at]
+        ends = np.cumsum(size)
+        flat = np.frombuffer(self.data, np.uint8)[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(flat)])
+
 
 def _chars(word: bytes) -> int:
     return len(word) if len(word) <= LONG else len(word.decode("utf-8", "surrogatepass"))
 
 
+def _short(words: pa.Array) -> np.ndarray:
+    """Which words have at most LONG characters."""
+    out = pc.binary_length(words).to_numpy(zero_copy_only=False) <= LONG
+    for i in np.flatnonzero(~out).tolist():
+        out[i] = _chars(words[i].as_py()) <= LONG
+    return out
+
+
 def distinct_words(docs: DataFrame, path: str) -> DataFrame:
     """word, uses of every distinct word of at most LONG characters."""
 
@@ -207,15 +222,13 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
         def distinct() -> pa.RecordBatch:
             h = np.concatenate([w.hash for w in held])
             _, first, uses = np.unique(h, return_index=True, return_counts=True)
-            ends = np.cumsum([len(w.hash) for w in held])
-            words, n = [], []
-            of = np.searchsorted(ends, first, "right")
-            for i, k, u in zip(first.tolist(), of.tolist(), uses.tolist(), strict=True):
-                word = held[k].at(i - (int(ends[k - 1]) if k else 0))
-                if _chars(word) <= LONG:
-                    words.append(word)
-                    n.append(u)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["word", "uses"])
+            order = np.argsort(first)
+            first, uses = first[order], uses[order]
+            ends = np.cumsum([0, *(len(w.hash) for w in held)])
+            cuts = np.searchsorted(first, ends)
+            words = pa.concat_arrays([w.some(first[a:b] - end) for w, a, b, end in zip(held, cuts[:-1].tolist(), cuts[1:].tolist(), ends.tolist(), strict=False)])
+            short = pa.array(_short(words))
+            return pa.RecordBatch.from_arrays([words.filter(short).cast(pa.string()), pa.array(uses).filter(short)], ["word", "uses"])
 
         for batch in batches:
             held.append(Words([t for t in batch.column(0).to_pylist() if t], m))
@@ -320,9 +333,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             order = np.lexsort((w.hash[new], part))
             new, part = new[order], part[order]
             once = np.append(True, (part[1:] != part[:-1]) | (w.hash[new][1:] != w.hash[new][:-1]))[: len(new)]
-            words, at = [w.at(i) for i in new[once].tolist()], part[once]
-            short = np.array([_chars(x) <= LONG for x in words], bool)
-            yield pa.RecordBatch.from_arrays([pa.array(at[short]), pa.array([x for x, ok in zip(words, short.tolist(), strict=True) if ok], pa.binary()).cast(pa.string())], ["part", "word"])
+            words = w.some(new[once])
+            short = _short(words)
+            yield pa.RecordBatch.from_arrays([pa.array(part[once][short]), words.filter(pa.array(short)).cast(pa.string())], ["part", "word"])
 
     def pack_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
