@@ -2,7 +2,8 @@
 
 A generation's base is sorted by key and has one folder a range, and an index of the ranges' least and greatest keys, so reading a
 prefix or a few keys lists only the folders that may hold them. A write adds a delta under its step; of a key's rows that of the
-greatest step counts, so a step that is written again, or late, does no harm. Deltas count once their write has committed.
+greatest step counts. Steps grow: one that is written again replaces itself, and one that a base has merged already is left out,
+so it cannot bring back what was deleted since. Deltas count once their write has committed.
 
 compact() writes a new generation, switches to it by a pointer that is created once, and deletes the old one last: wherever
 it stops, the rows are there.
@@ -45,7 +46,14 @@ class Keyed:
         folder = f"{self._at(self.generation() if generation is None else generation)}/delta"
         return [f"{folder}/{n}" for n in files.names(self.spark, folder) if files.exists(self.spark, f"{folder}/{n}/_SUCCESS")]
 
+    def merged(self) -> int:
+        """The greatest step that the base holds."""
+        generation = self.generation()
+        return int(files.read(self.spark, f"{self.root}/current/{generation:09d}")) if generation else -1
+
     def _delta(self, rows: DataFrame, step: int) -> None:
+        if step <= self.merged():
+            return
         rows.write.mode("overwrite").parquet(f"{self._at(self.generation())}/delta/{step:018d}")
 
     def upsert(self, rows: DataFrame, step: int) -> None:
@@ -103,17 +111,18 @@ class Keyed:
         old = self.generation()
         if len(self.deltas(old)) <= least:
             return False
+        last = max([self.merged(), *(int(p.rpartition("/")[2]) for p in self.deltas(old))])
         at, rows = self._at(old + 1), self.rows().filter("not _gone")
         rows = change(rows) if change else rows
         ordered = rows.repartitionByRange("key").withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", "key")
         ordered.write.mode("overwrite").partitionBy("part").option("compression", "zstd").parquet(f"{at}/base")
         base = self.spark.read.schema(f"{self.schema}, {_OWN}, part int").parquet(f"{at}/base")
         base.groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("high")).write.mode("overwrite").parquet(f"{at}/index")
-        self._switch(old + 1)
+        self._switch(old + 1, last)
         return True
 
-    def _switch(self, new: int) -> None:
-        if not files.create(self.spark, f"{self.root}/current/{new:09d}", ""):
+    def _switch(self, new: int, last: int) -> None:
+        if not files.create(self.spark, f"{self.root}/current/{new:09d}", str(last)):
             raise FileExistsError(f"{self.root} has another writer")
         for name in files.names(self.spark, self.root):
             if name.startswith("gen=") and int(name[4:]) < new:

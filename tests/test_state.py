@@ -44,7 +44,9 @@ def test_upserts_deletes_and_late_steps(spark, tmp_path, monkeypatch, most):
     t.delete(rows(spark, ("a", 0)).select("key"), 3)
     want = [("b", 2), ("c", 2)]
     assert said(t) == want and t.compact() and said(t) == want and t.deltas() == [] and not t.compact()
-    t.upsert(rows(spark, ("b", 0), ("d", 1)), 1)  # a step that is written again, late
+    t.upsert(rows(spark, ("a", 1), ("b", 1)), 1)  # a step that is written again, late: it brings nothing back
+    assert said(t) == want and t.merged() == 3 and t.deltas() == []
+    t.upsert(rows(spark, ("d", 1)), 4)
     assert said(t) == [*want, ("d", 1)] and said(t, prefix="c") == [("c", 2)] and said(t, keys=["b", "x", "d"]) == [("b", 2), ("d", 1)]
     assert not t.compact(least=1) and t.compact(lambda df: df.filter("v > 1")) and said(t) == want
     with pytest.raises(ValueError):
