@@ -38,7 +38,7 @@ from heatfield.llm.common import forget, prefix_hashes, row_key, small_batches,
 
 FREQUENT, LONG, MARK = 1 << 20, 61, "▁"
 #: Words that a task looks through at once for distinct ones; words that the grouping of edges may hold at once; words of a part; texts encoded at once.
-CHUNK, HELD, PART, SOME = 1 << 20, 200_000, 3_000_000, 256
+CHUNK, HELD, PART, SOME = 1 << 19, 200_000, 3_000_000, 256
 #: Partitions of the distinct words to each of the session's shuffles.
 DEALT = 8
 #: Characters of a piece's beginning that are looked up, and bits of the table, as a power of 2.
@@ -195,10 +195,13 @@ class Words:
 
     def some(self, at: np.ndarray) -> pa.Array:
         """The bytes of the words at these places."""
-        size = self.end[at] - self.start[at]
-        ends = np.cumsum(size)
-        flat = np.frombuffer(self.data, np.uint8)[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(flat)])
+        start, size = self.start[at], self.end[at] - self.start[at]
+        ends, data, parts = np.cumsum(size), np.frombuffer(self.data, np.uint8), [np.zeros(0, np.uint8)]
+        for i in range(0, len(at), 1 << 14):  # some at a time: each byte's place is a number of its own
+            mine = size[i : i + (1 << 14)]
+            to = np.cumsum(mine)
+            parts.append(data[np.repeat(start[i : i + (1 << 14)] - to + mine, mine) + np.arange(to[-1])])
+        return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(np.concatenate(parts))])
 
 
 def _chars(word: bytes) -> int:
