@@ -474,10 +474,13 @@ def release_sql(spark, d):
     """A release of the events' documents, verified, and asked by its id in SQL."""
     matches, lines = documents(spark, d)
     site = files.scratch(spark, "release")
-    made = X.kill_facts(matches, lines)
-    made.write.parquet(f"{site}/landed")
     dims = matches.select(F.col("metadata.matchId").alias("match_id"), D.patch_of(F.col("info.gameVersion")).alias("patch_id"), F.col("info.gameCreation").alias("game_start_ms"), D.seconds().cast("long").alias("seconds"))
-    name = R.publish(spark.read.schema(made.schema).parquet(f"{site}/landed"), dims, D.participants(matches), site, {"schema": 1})
+
+    def landed(df, name):
+        df.write.parquet(f"{site}/landed/{name}")
+        return spark.read.schema(df.schema).parquet(f"{site}/landed/{name}")
+
+    name = R.publish(landed(X.kill_facts(matches, lines), "facts"), landed(dims, "matches"), landed(D.participants(matches), "players"), site, {"schema": 1})
     said = R.verified(spark, site)
     R.register(spark, site)
     rows = spark.sql(f"SELECT CAST(region AS BIGINT) AS region, count(*) AS deaths, count_if(cause = 0) AS kills, count(DISTINCT match) AS games FROM kills_wide_of('{name}') GROUP BY 1")
