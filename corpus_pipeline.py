@@ -3,7 +3,8 @@
 run(spark, sf_dir) applies STAGES to documents; each stage's rows are written to the cluster's shared folder as Parquet
 and read again as the next one's docs. All stages but the last return the columns of documents.
 
-Defined results: null and empty texts, and those without a letter, go in the first stage; stages drop rows, not numbers:
+Defined results: null and empty texts, and those without a letter, go in the first stage, which also puts the language it
+finds in the place of lang, so that mixing weighs that; stages drop rows, not numbers:
 of rows with equal or near equal texts one stays, with the smallest doc_id (null only where there is no other), and rows
 that share a doc_id but not their text are documents of their own; an empty table gives an empty result; other columns
 are kept up to the last stage, which returns doc_id, ids, n_ids and round_trip.
@@ -19,7 +20,7 @@ from heatfield.llm.common import stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that no language can be given to."""
+    """Gives each document the language found, and drops those that have none."""
     return langid.keep_identified(docs)
 
 

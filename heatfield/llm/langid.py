@@ -142,18 +142,20 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language: those that identify() calls `und` or scores below `least` go.
+    """The rows of docs, all columns, whose text has a language: those that identify() calls `und` or scores below `least` go, and lang is the language found, also where a label said another or none.
 
     Predictions are made beside the row's own columns, so no join and no shuffle of texts is needed.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs.filter(~held_out()).select("text", "lang")))
-    at = docs.columns.index("text")
+    docs = docs.withColumn("lang", F.col("lang").cast("string"))
+    at, to = docs.columns.index("text"), docs.columns.index("lang")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = zip(*scored(batch.column(at).to_pylist(), shared.value), strict=True)
-            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+            names, scores = scored(batch.column(at).to_pylist(), shared.value)
+            own = pa.array([lang != "und" and score >= least for lang, score in zip(names, scores, strict=True)], pa.bool_())
+            yield batch.set_column(to, batch.schema.field(to), pa.array(names, batch.schema.field(to).type)).filter(own)
 
     return docs.mapInArrow(keep, docs.schema)
 

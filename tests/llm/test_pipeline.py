@@ -42,3 +42,18 @@ def test_no_unique_row_is_lost(spark, tmp_path):
 def test_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_weighs_the_language_found(spark, tmp_path):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    english, french = ["the house and the road of the town", "a river with many old boats"], ["les maisons et la route de la ville", "une rivière avec des bateaux"]
+    rows = [(i, f"{words[i % 2]} {i}", lang, "a", 0) for i in range(200) for words, lang in [(french, "fr") if i % 4 == 3 else (english, "en")]]
+    # One says a wrong language, one none.
+    rows = [(i, t, {7: "en", 8: None}.get(i, lang), s, n) for i, t, lang, s, n in rows]
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    found = corpus_pipeline.language(spark, docs, str(tmp_path))
+    assert found.dtypes == docs.dtypes
+    assert {r.doc_id: r.lang for r in found.collect()} == {i: "fr" if i % 4 == 3 else "en" for i in range(200)}
+    cells = {r.mix_lang: r.n for r in mixing.described(found).groupBy("mix_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert cells == {"en": 150, "fr": 50}
