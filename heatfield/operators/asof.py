@@ -33,3 +33,9 @@ def others_within(by: Sequence[str], at: Column, reach: int) -> Column:
 def prior(by: Sequence[str], *order: str) -> Window:
     """All rows before this one."""
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def dealt(rows: DataFrame, n: int, each: int, *by: str) -> DataFrame:
+    """rows dealt by hash of `by`, in partitions of about `each` of the n keys or rows: adaptive execution merges none of a number
+    that is said, so what a task holds at once does not grow with the input."""
+    return rows.repartition(max(1, -(-n // each)), *by)

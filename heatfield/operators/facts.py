@@ -4,7 +4,8 @@ A document is read once: its events become one array, in which each kill has the
 before it, or of the first, and which is exploded. Every running state of the replay (levels, deaths, kills, who is alive, which
 objectives are up) is a window over the rows of a match or player before the kill, in order of time, frame and event. All
 windows, the join with the match's players and the gathering of a kill's ten players into one array for distances find
-the rows dealt by match, so each side is shuffled once.
+the rows dealt by match, so each side is shuffled once. The timelines are counted first, so that a task replays about MATCHES
+of them, whatever their number.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from pyspark.sql import functions as F
 
 from heatfield.functions import geometry as G
 from heatfield.functions import scalars as S
-from heatfield.operators.asof import prior
+from heatfield.operators.asof import dealt, prior
 from heatfield.sources.documents import EVENT, participants, players
 
 ORDER = ("event_ms", "frame_index", "event_index")
 #: Fixed values, in milliseconds: first and next dragon, baron, and the herald's time.
 DRAGON_FIRST, DRAGON_NEXT, BARON_FIRST, BARON_NEXT, HERALD_FROM, HERALD_TO, TRADE = 300_000, 300_000, 1_200_000, 360_000, 840_000, 1_500_000, 5_000
+#: Matches that a task replays.
+MATCHES = 256
 KILL, LEVEL, MONSTER, BUILDING = "CHAMPION_KILL", "LEVEL_UP", "ELITE_MONSTER_KILL", "BUILDING_KILL"
 BLOCK = ("champ", "role", "level", "gold_diff_lane", "cs_diff_lane", "isolation", "enemies_near", "ordinal", "since_prev_death", "lane_opp_champ", "player_id")
 
@@ -82,7 +85,7 @@ def near(own: Column, others: Column, mine, foe) -> tuple[Column, Column]:
 
 def kill_facts(matches: DataFrame, timelines: DataFrame) -> DataFrame:
     """The fact rows of all matches; unknown values are null."""
-    ev, t = replayed(timelines), F.col("event_ms")
+    ev, t = dealt(replayed(timelines), timelines.count(), MATCHES, "match_id"), F.col("event_ms")
     kill, monster = F.col("e.type") == KILL, F.when(F.col("e.type") == MONSTER, F.upper(F.coalesce("e.monsterType", F.lit(""))))
     sub, is_dragon = F.upper(F.coalesce("e.monsterSubType", F.lit(""))), monster.contains("DRAGON")
     baron = ~is_dragon & monster.contains("BARON")

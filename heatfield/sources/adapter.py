@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatfield.functions import geometry as G
+from heatfield.operators.asof import dealt
 from heatfield.sources import documents as D
 
 #: name: (expression in both dialects; // is integer division)
@@ -29,6 +30,9 @@ COLUMNS = {
     "killer_lane_gold": "CASE WHEN event_type = 'click' THEN event_id * 577 % 4001 - 2000 END",
 }
 
+#: Events whose documents a task makes, about: those of 256 matches.
+EACH = 28 * 256
+
 
 def facts(spark: SparkSession, sf_dir: str, zones: bool = True) -> DataFrame:
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -60,7 +64,9 @@ def documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     match = f"named_struct('metadata', named_struct('matchId', concat('EU_', m)), 'info', named_struct('gameVersion', '14.3.1', 'mapId', 11, 'queueId', 420, 'gameCreation', m, 'gameDuration', 1800000, 'participants', transform(sequence(1, 10), p -> {player})))"
     state = "named_struct('participantId', p, 'totalGold', 500 + f * 1000 + p * (m % 7 + 1) * 10, 'minionsKilled', f * 10 + p, 'position', named_struct('x', p * 1000 + f * 10, 'y', p * 900))"
     frame = f"named_struct('timestamp', f * 420000, 'participantFrames', map_from_entries(transform(sequence(1, 10), p -> struct(cast(p as string), {state}))), 'events', events)"
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr("event_id div 28").alias("m"), F.expr(f"({e}) div 7").alias("f"), F.struct(F.expr(f"{e}").alias("i"), F.expr(event).alias("e")).alias("x"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = dealt(rows.select("event_id", "user_id", "event_type", F.expr("event_id div 28").alias("m")), rows.count(), EACH, "m")
+    ev = rows.select("m", F.expr(f"({e}) div 7").alias("f"), F.struct(F.expr(f"{e}").alias("i"), F.expr(event).alias("e")).alias("x"))
     frames = ev.groupBy("m", "f").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]).alias("events"))
     frames = frames.select("m", F.struct("f", F.to_json(F.expr(frame)).alias("frame")).alias("x"))
     lines = frames.groupBy("m").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["frame"]), ",").alias("frames"))

@@ -131,6 +131,26 @@ def test_facts_equal_the_replay(spark, landed):
     assert t.filter(D.timeline_fault().isNotNull()).isEmpty() and m.filter(D.identity_fault().isNotNull()).isEmpty()
 
 
+def test_a_task_replays_a_bounded_number_of_matches(spark, landed, monkeypatch):
+    root, made = landed
+    m, t = D.read_documents(spark, f"{root}/match", D.MATCH), D.read_documents(spark, f"{root}/timeline", D.TIMELINE)
+    for each in (1, 2, 256):
+        monkeypatch.setattr(X, "MATCHES", each)
+        facts = X.kill_facts(m, t)
+        assert facts.rdd.getNumPartitions() == -(-len(made) // each) and facts.select("match_id").distinct().count() == len(made)
+
+
+def test_a_task_joins_a_bounded_number_of_facts(spark, monkeypatch):
+    monkeypatch.setattr(R, "ROWS", 100)
+    fact = spark.range(1000).selectExpr("id", "id % 300 as k")
+    tables = {"k": ("k", spark.range(300).selectExpr("id as k", "id * 2 as twice"), "inner")}
+    for small in (10, 500):
+        monkeypatch.setattr(R, "SMALL", small)
+        out = R.denormalised(fact, tables)
+        assert {(r.id, r.twice) for r in out.collect()} == {(i, i % 300 * 2) for i in range(1000)}
+        assert small == 500 or out.rdd.getNumPartitions() == 10
+
+
 @pytest.mark.parametrize(("change", "reason"), [({}, None), ({"mapId": None}, "wrong_map"), ({"mapId": 12, "queueId": 450}, "wrong_map"), ({"queueId": 450}, "wrong_queue"), ({"endOfGameResult": "Abort"}, "not_complete"), ({"gameDuration": 299}, "too_short"), ({"gameEndTimestamp": None, "gameDuration": 400_000}, None), ({"participants": []}, "bad_participant_count"), ({"gameVersion": "13.1"}, "out_of_patch")])
 def test_rejections(spark, tmp_path, change, reason):
     (tmp_path / "m.json").write_text(json.dumps(match_doc(0, None, **change)))
