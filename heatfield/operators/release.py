@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from heatfield.functions import geometry as G
 from heatfield.operators import facets as H
+from heatfield.operators.asof import dealt
 from heatfield.operators.facts import KINDS
 from heatfield.sources import columns as typed_columns
 from heatfield.sources import files
@@ -68,28 +69,39 @@ def latest_names(players: DataFrame) -> DataFrame:
     return players.groupBy("puuid").agg(F.max_by("display_name", "match_id").alias("display_name"))
 
 
-def denormalised(fact: DataFrame, keys: dict[str, tuple[str, DataFrame, str]]) -> DataFrame:
+#: Rows of a task that joins facts with a large table, and rows of a table that goes to all tasks instead.
+ROWS, SMALL = 200_000, 100_000
+
+
+def denormalised(fact: DataFrame, keys: dict[str, tuple[str, DataFrame, str]], rows: int | None = None) -> DataFrame:
     """fact with the columns of keys[name] = (column of fact, table of one row a value, inner or left): each table's first column is the value,
     the others are added. A value that comes twice in a table, or is not in an inner one, is an error of the job that uses the rows,
-    so the joins run once and cannot change the number of rows."""
-    out = fact
+    so the joins run once and cannot change the number of rows.
+
+    rows is how many fact has; without it they are counted. A table of at most SMALL rows is broadcast; for another, both sides are
+    dealt by the value in as many partitions as there are ROWS of facts."""
+    out, n = fact, rows
     for name, (column, table, how) in keys.items():
         key, *own = table.columns
+        small = table.limit(SMALL + 1).count() <= SMALL
+        if not small:
+            n = fact.count() if n is None else n
+            out, table = dealt(out, n, ROWS, column), dealt(table, n, ROWS, key)
         one = table.groupBy(F.col(key).alias(column)).agg(F.first(F.struct(*own)).alias("_own"), F.count(F.lit(1)).alias("_n"))
         fault = lambda what, name=name: F.raise_error(F.lit(f"the joins would change the number of rows: {what} in {name}"))
         sound = F.when(F.col("_n") > 1, fault("a value twice"))
         sound = sound.when(F.col("_n").isNull(), fault("a value missing")) if how == "inner" else sound
-        out = out.join(one, column, "left").withColumn("_own", sound.otherwise(F.col("_own"))).select(*out.columns, "_own.*")
+        out = out.join(F.broadcast(one) if small else one, column, "left").withColumn("_own", sound.otherwise(F.col("_own"))).select(*out.columns, "_own.*")
     return out
 
 
-def wide(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame, work: str) -> DataFrame:
-    """Facts with keys of match, patch and players."""
+def wide(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame, work: str, rows: int | None = None) -> DataFrame:
+    """Facts, of which there are `rows`, with keys of match, patch and players."""
     match = ranged_keys(dim_match, "match_id", "match", f"{work}/match_keys").join(dim_match.select("match_id", "patch_id"), "match_id")
     match = match.join(F.broadcast(dense_keys(dim_match, "patch_id", "patch", MOST_PATCHES)), "patch_id").select("match_id", "match", "patch")
     player = dense_keys(dim_player, "puuid", "player")
     side = lambda who: player.select("puuid", F.col("player").alias(f"{who}_player"))
-    return denormalised(fact, {"match": ("match_id", match, "inner"), "victim": ("victim_player_id", side("victim"), "inner"), "killer": ("killer_player_id", side("killer"), "left")})
+    return denormalised(fact, {"match": ("match_id", match, "inner"), "victim": ("victim_player_id", side("victim"), "inner"), "killer": ("killer_player_id", side("killer"), "left")}, rows)
 
 
 def relabelled(fact: DataFrame) -> DataFrame:
@@ -166,7 +178,7 @@ def write(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame, root: st
     written(keyed.select("match", "match_id", "patch", *[c for c in dim_match.columns if c not in ("match_id", "patch_id")]), at("matches"), ["match"])
     names = written(latest_names(dim_player).join(dense_keys(dim_player, "puuid", "player"), "puuid"), at("players"), ["player"], last=F.max("player"))
     span = {r.patch_id: r.patch for r in patches.collect()}  # MOST_PATCHES at most
-    made = wide(fact, dim_match, dim_player, f"{root}/work/{name}")
+    made = wide(fact, dim_match, dim_player, f"{root}/work/{name}", facts["rows"])
     fault = _fault(games["rows"], len(span), names["rows"])
     shown = written(made.withColumn("_fault", fault), at("kills_wide"), list(IDENTITY), **{f"fault {f}": F.count_if(F.col("_fault") == f) for f in FAULTS}, champion_kills=F.count_if(F.col("cause") == 0)) if "cause" in made.columns else written(made, at("kills_wide"), list(IDENTITY))
     found = {f: n for f in FAULTS if (n := shown.get(f"fault {f}", 0))}

@@ -13,7 +13,7 @@ from heatfield.operators import collection as C
 from heatfield.operators import facets as H
 from heatfield.operators import facts as X
 from heatfield.operators import release as R
-from heatfield.operators.asof import asof, others_within, prior
+from heatfield.operators.asof import asof, dealt, others_within, prior
 from heatfield.sources import columns, files
 from heatfield.sources import documents as D
 from heatfield.sources.adapter import cell_sql, documents, facts, facts_sql
@@ -273,8 +273,10 @@ def denormalise_release(spark, d):
     c, o = read(spark, d, "customer"), read(spark, d, "orders").select("o_orderkey", "o_custkey")
     named = c.join(F.broadcast(R.dense_keys(c, "c_mktsegment", "segment_sk")), "c_mktsegment").join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "segment_sk", "n_name")
     supplier = read(spark, d, "supplier").filter("s_acctbal > 0").select("s_suppkey", "s_name")
-    lines = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    out = R.denormalised(lines, {"order": ("l_orderkey", o, "inner"), "customer": ("o_custkey", named, "inner"), "supplier": ("l_suppkey", supplier, "left")})
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    rows = lines.count()
+    lines = dealt(lines, rows, R.ROWS, "l_orderkey").groupBy("l_orderkey", "l_linenumber", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    out = R.denormalised(lines, {"order": ("l_orderkey", o, "inner"), "customer": ("o_custkey", named, "inner"), "supplier": ("l_suppkey", supplier, "left")}, rows)
     return out.groupBy("l_orderkey", "l_linenumber", "o_custkey", "segment_sk", "n_name", "s_name").agg(F.sum("n").alias("copies"))
 
 
