@@ -71,6 +71,7 @@ def documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     frames = frames.select("m", F.struct("f", F.to_json(F.expr(frame)).alias("frame")).alias("x"))
     lines = frames.groupBy("m").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["frame"]), ",").alias("frames"))
     text = F.concat(F.lit('{"metadata": {"matchId": "EU_'), F.col("m").cast("string"), F.lit('"}, "info": {"frames": ['), F.col("frames"), F.lit("]}}"))
-    numbers = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr("event_id div 28").alias("m")).distinct()
+    # The number comes from an aggregate, so that filters on the documents run over matches and not over events.
+    numbers = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.expr("event_id div 28")).agg(F.expr("max(event_id) div 28").alias("m")).select("m")
     matches = numbers.select(F.from_json(F.to_json(F.expr(match)), D.MATCH).alias("d")).select("d.*")
     return matches, lines.select(F.from_json(text, D.TIMELINE).alias("d")).select("d.*")

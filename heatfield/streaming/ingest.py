@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from heatfield.operators import collection as C
-from heatfield.operators.facts import kill_facts, out_of_range, unreconciled
+from heatfield.operators.asof import dealt
+from heatfield.operators.facts import MATCHES, kill_facts, out_of_range, unreconciled
 from heatfield.sources import documents as D
 from heatfield.sources import files
 from heatfield.streaming.lease import Lease
@@ -43,10 +44,10 @@ class Store:
     root: str
 
     def __post_init__(self) -> None:
-        of = lambda name, schema: Keyed(self.spark, self.root, name, schema)
+        of = lambda name, schema, **own: Keyed(self.spark, self.root, name, schema, **own)
         self.matches = of("match", "status string, reason string, schema int, scope string, run string, batch long, n_rows long, digest string")
         self.open = of("open", "player string, status string, reason string, batch long")
-        self.docs = of("docs", "match_id string, kind string, file string, text string")
+        self.docs = of("docs", "match_id string, kind string, file string, text string", each=2 * MATCHES)
         self.pages = of("pages", "player string, since long, until long, start long, n long, done boolean")
         self.marks = of("marks", "scanned_from long, scanned_to long")
 
@@ -88,7 +89,7 @@ def discover(store: Store, landed: DataFrame, step: int, schema: int = 1, scope:
     docs = landed.filter("kind in ('match', 'timeline')").withColumn("match_id", F.get_json_object("text", "$.metadata.matchId"))
     docs.filter("match_id is null").select("kind", "file").write.mode("overwrite").parquet(f"{store.root}/unreadable/step={step}")
     docs = docs.filter("match_id is not null").join(gone, "match_id", "left_anti").withColumn("key", F.concat("match_id", F.lit("#"), "kind"))
-    store.docs.upsert(first_of(docs, "key", "file"), step)
+    store.docs.upsert(first_of(dealt(docs, landed.count(), 2 * MATCHES, "key"), "key", "file"), step)
     page = landed.filter("kind = 'history'").select(F.from_json("text", HISTORY).alias("p")).select("p.*").filter("puuid is not null")
     page = page.withColumn("player", F.concat(F.coalesce("region", F.lit("")), F.lit("#"), "puuid"))
     named = page.select(F.explode("ids").alias("match_id"), "player").unionByName(store.docs.read().join(docs.select("key"), "key", "left_semi").select("match_id", F.lit(None).cast("string").alias("player")))
@@ -141,10 +142,12 @@ def _kept(store: Store, df: DataFrame, name: str) -> DataFrame:
 
 
 def _judged(store: Store, ids: DataFrame, keys: list[str] | None, patches: list[str] | None) -> DataFrame:
-    """Each of ids(match_id) with its documents, rejected (why it is not taken) and reason (why it is not committed)."""
+    """Each of ids(match_id) with its documents, rejected (why it is not taken) and reason (why it is not committed); a task has the documents of about MATCHES."""
     docs = store.docs.read(keys=[f"{k}#{kind}" for k in keys for kind in ("match", "timeline")]) if keys is not None else store.docs.read().join(ids.select("match_id"), "match_id", "left_semi")
-    of = lambda kind, schema: docs.filter(F.col("kind") == kind).select("match_id", F.from_json("text", schema).alias("d"))
-    both = ids.select("match_id").join(of("match", D.MATCH).select("match_id", "d.*"), "match_id", "left").join(of("timeline", D.TIMELINE).withColumnRenamed("d", "timeline"), "match_id", "left")
+    n = ids.count()
+    deal = lambda df: dealt(df, n, MATCHES, "match_id")
+    of = lambda kind, schema: deal(docs.filter(F.col("kind") == kind)).select("match_id", F.from_json("text", schema).alias("d"))
+    both = deal(ids.select("match_id")).join(of("match", D.MATCH).select("match_id", "d.*"), "match_id", "left").join(of("timeline", D.TIMELINE).withColumnRenamed("d", "timeline"), "match_id", "left")
     both = both.withColumns({"rejected": F.when(F.col("metadata").isNotNull(), D.rejection(patches)), "fault": D.identity_fault()})
     line_fault = F.when(F.col("timeline").isNotNull(), D.timeline_fault("timeline.info"))
     reason = F.coalesce(F.when(F.col("metadata.matchId").isNull(), "match_404"), "rejected", "fault", F.when(F.col("timeline").isNull(), "timeline_404"), line_fault)

@@ -16,25 +16,28 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heatfield.operators.asof import dealt
 from heatfield.sources import files
 
 #: Deltas after which a base is written anew; keys that a read names at most.
 DELTAS, KEYS = 8, 4096
 _OWN = "_step long, _gone boolean"
+#: Rows that a task merges, where they are narrow.
+EACH = 200_000
 #: Most rows of deltas whose keys are broadcast to the base.
 CHANGED = 200_000
 
 
-def _latest(rows: DataFrame) -> DataFrame:
-    """Of each key's rows that of the greatest step."""
-    return rows.groupBy("key").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "key"]), "_step").alias("r")).select("key", "r.*")
+def _latest(rows: DataFrame, each: int) -> DataFrame:
+    """Of each key's rows that of the greatest step; a task has about `each` rows."""
+    return dealt(rows, rows.count(), each, "key").groupBy("key").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "key"]), "_step").alias("r")).select("key", "r.*")
 
 
 class Keyed:
-    """Rows of key and `schema` under root/name. One writer at a time."""
+    """Rows of key and `schema` under root/name. One writer at a time. A task merges about `each` rows."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str, schema: str):
-        self.spark, self.root, self.schema = spark, f"{root}/state/{name}", f"key string, {schema}"
+    def __init__(self, spark: SparkSession, root: str, name: str, schema: str, each: int = EACH):
+        self.spark, self.root, self.schema, self.each = spark, f"{root}/state/{name}", f"key string, {schema}", each
 
     def generation(self) -> int:
         return int(max(files.names(self.spark, f"{self.root}/current"), default="0"))
@@ -95,13 +98,13 @@ class Keyed:
         if prefix or keys is not None:
             found = [df.filter(wanted) for df in found]
         if len(found) == 1:
-            return found[0] if generation else _latest(found[0])
+            return found[0] if generation else _latest(found[0], self.each)
         base, changes = found
         if changes.limit(CHANGED + 1).count() > CHANGED:
-            return _latest(base.unionByName(changes))
+            return _latest(base.unionByName(changes), self.each)
         # Few keys have changed: only their rows are merged, the base's other rows stay where they are.
         keys = F.broadcast(changes.select("key").distinct())
-        return base.join(keys, "key", "left_anti").unionByName(_latest(base.join(keys, "key", "left_semi").unionByName(changes)))
+        return base.join(keys, "key", "left_anti").unionByName(_latest(base.join(keys, "key", "left_semi").unionByName(changes), self.each))
 
     def read(self, prefix: str = "", keys: Sequence[str] | None = None) -> DataFrame:
         return self.rows(prefix, keys).filter("not _gone").drop("_step", "_gone")

@@ -137,3 +137,10 @@ def test_beats_in_the_background_keep_the_lease(spark, tmp_path):
     one.release()
     two.claim("two")
     two.release()
+
+
+def test_a_task_merges_a_bounded_number_of_rows(spark, tmp_path):
+    state = Keyed(spark, str(tmp_path), "few", "v long", each=10)
+    state.upsert(spark.range(95).selectExpr("cast(id as string) as key", "id as v"), 1)
+    rows = state.rows()
+    assert rows.rdd.getNumPartitions() == 10 and {r.v for r in rows.collect()} == set(range(95))
