@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts are cut to words (a run of spaces and what follows it; no piece has a mark behind another character, and
-punctuation that no piece has behind a letter starts a word of its own). For the distinct words of the corpus, all
+Texts are cut to words: between two characters that no piece holds side by side, as before most runs of spaces, before a
+comma behind a letter, or beside a line feed. No path or merge crosses such a place. For the distinct words of the corpus, all
 substrings up to the longest piece are exploded and joined to the piece table on the string; the edges found are grouped
 by word, and a higher-order aggregate folds them: Viterbi over the scores for unigram models, and for BPE models, where
 the best sum is not what the library returns, merges. A trained BPE model merges in order of score only, so one walk
@@ -20,7 +20,6 @@ each by its own text; an empty table gives an empty result; other columns are no
 
 from __future__ import annotations
 
-import string
 import struct
 import uuid
 from collections.abc import Iterator
@@ -62,9 +61,12 @@ class Model:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.first_byte = self.library.piece_to_id("<0x00>")
         self.longest = max(len(p) for p, _, _ in self.pieces)
-        held = {b for p, _, _ in self.pieces for a, b in zip(p, p[1:]) if a.isalnum() or b in string.punctuation and a in string.punctuation}
-        #: Bytes that start a word of their own.
-        self.cuts = np.isin(np.arange(256), [ord(c) for c in string.punctuation if c not in held])
+        #: Pairs of bytes (the first one's 256-fold and the second) that no piece holds, the second one a character's first: words are cut between them.
+        self.cuts = np.ones(1 << 16, bool)
+        for p, _, _ in self.pieces:
+            b = np.frombuffer(p.replace(MARK, " ").encode(), np.uint8).astype(np.int64)
+            self.cuts[b[:-1] * 256 + b[1:]] = False
+        self.cuts.reshape(256, 256)[:, 0x80:0xC0] = False
         self.bytes = [b""] * self.library.vocab_size()
         for p, i, _ in self.pieces:
             self.bytes[i] = p.replace(MARK, " ").encode()
@@ -181,8 +183,10 @@ class Words:
         raw = [b" " + t.encode("utf-8", "surrogatepass").replace(_MARK, b" ") if t else b"" for t in texts]
         self.data = b"".join(raw)
         b = np.frombuffer(self.data, np.uint8)
-        space = b == 32
-        starts = m.cuts[b] | space & ~np.append(False, space[:-1])[: len(b)]
+        starts = np.zeros(len(b), bool)
+        for i in range(1, len(b), 1 << 16):  # some at a time: each pair's place is a number of its own
+            pairs = b[i - 1 : i - 1 + (1 << 16)].astype(np.int64)[: len(b) - i] * 256 + b[i : i + (1 << 16)]
+            starts[i : i + (1 << 16)] = m.cuts[pairs]
         begin = np.cumsum([0, *map(len, raw)])
         starts[begin[:-1][np.diff(begin) > 0]] = True
         self.start = np.flatnonzero(starts)
@@ -329,7 +333,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, have = model(path), lookup()
-        for batch in batches:
+        for batch in (b.slice(at, SOME) for b in batches for at in range(0, b.num_rows, SOME)):  # the job's batches have many narrow rows
             w = Words(batch.column(1).to_pylist(), m)
             new = np.flatnonzero(have.find(w.hash) < 0)
             part = batch.column(0).to_numpy()[np.searchsorted(w.first, new, "right") - 1]

@@ -542,6 +542,23 @@ def test_merges_fold_equals_the_library(spark):
         assert r.ids == library.encode("\n" + r.word)[len(head) :], r.word
 
 
+def test_words_are_cut_where_no_piece_crosses():
+    m = lattice.model(str(public_tokenizers.path("piece_bpe_32k.model")))
+
+    def words(t):
+        w = lattice.Words([t], m)
+        return [w.at(i).decode() for i in range(len(w.start))]
+
+    assert words("The end.\nThe  end, ñé.") == [" The", " end", ".", "\n", "The", "  end", ",", " ñ", "é", "."]
+    assert words("a1\n") == [" a", "1", "\n"] and words("") == [] and words("é") == [" é"]
+    rng, head = np.random.default_rng(11), m.library.encode("\n")
+    alphabet = list("aeñé日🙂.,;:'\"()-_/@#01 \n\t") + ["the", "ción", "==", "  ", "->", "http"]
+    texts = ["".join(rng.choice(alphabet, 60)) for _ in range(300)] + [("long text. " * 13000).strip()]
+    for t in texts:
+        assert "".join(words(t)) == " " + t
+        assert [i for w in words(t) for i in m.library.encode("\n" + w)[len(head) :]] == m.library.encode(t)
+
+
 def test_lookup_equals_a_dict():
     rng = np.random.default_rng(9)
     h = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) | np.uint64(1))
