@@ -55,8 +55,9 @@ def dense_keys(dim: DataFrame, key: str, sk: str, most: int = MOST_PLAYERS) -> D
 
 def ranged_keys(dim: DataFrame, key: str, sk: str, path: str) -> DataFrame:
     """Keys from 0 in order of a dimension's values, of any number of them: the values are dealt by range and stored under path, and a range's keys begin behind those of the ranges before it."""
-    spark, values = dim.sparkSession, dim.select(key).distinct()
-    values.repartitionByRange(key).sortWithinPartitions(key).withColumn("at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+    spark, n = dim.sparkSession, dim.count()
+    values = dealt(dim.select(key), n, ROWS, key).distinct()
+    ranged(values, n, key).withColumn("at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
     # The upper bits of `at` are the range, the lower ones the place in it.
     placed = spark.read.schema(f"{key} {values.schema[key].dataType.simpleString()}, at long").parquet(path).select(key, F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND((1 << 33) - 1).alias("place"))
     sizes = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # a row a range
@@ -65,14 +66,19 @@ def ranged_keys(dim: DataFrame, key: str, sk: str, path: str) -> DataFrame:
 
 
 def latest_names(players: DataFrame) -> DataFrame:
-    """puuid and the name of its last match, matches ordered as text."""
-    return players.groupBy("puuid").agg(F.max_by("display_name", "match_id").alias("display_name"))
+    """puuid and the name of its last match, matches ordered as text. Rows are dealt by match, so that a task sorts about ROWS of them before only a row a player is left."""
+    return dealt(players, players.count(), ROWS, "match_id").groupBy("puuid").agg(F.max_by("display_name", "match_id").alias("display_name"))
 
 
-#: Rows of a task that joins facts with a large table, and rows of a table that goes to all tasks instead.
+#: Rows of a task that joins facts with a large table, or sorts a table, and rows of a table that goes to all tasks instead.
 ROWS, SMALL = 200_000, 100_000
 
 
+def ranged(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The n rows of df in ranges of the first of order, of about ROWS rows each, sorted."""
+    return df.repartitionByRange(max(1, -(-n // ROWS)), order[0]).sortWithinPartitions(*order)
+
+
 def denormalised(fact: DataFrame, keys: dict[str, tuple[str, DataFrame, str]], rows: int | None = None) -> DataFrame:
     """fact with the columns of keys[name] = (column of fact, table of one row a value, inner or left): each table's first column is the value,
     the others are added. A value that comes twice in a table, or is not in an inner one, is an error of the job that uses the rows,
@@ -97,7 +103,8 @@ def denormalised(fact: DataFrame, keys: dict[str, tuple[str, DataFrame, str]], r
 
 def wide(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame, work: str, rows: int | None = None) -> DataFrame:
     """Facts, of which there are `rows`, with keys of match, patch and players."""
-    match = ranged_keys(dim_match, "match_id", "match", f"{work}/match_keys").join(dim_match.select("match_id", "patch_id"), "match_id")
+    n = dim_match.count()
+    match = dealt(ranged_keys(dim_match, "match_id", "match", f"{work}/match_keys"), n, ROWS, "match_id").join(dealt(dim_match.select("match_id", "patch_id"), n, ROWS, "match_id"), "match_id")
     match = match.join(F.broadcast(dense_keys(dim_match, "patch_id", "patch", MOST_PATCHES)), "patch_id").select("match_id", "match", "patch")
     player = dense_keys(dim_player, "puuid", "player")
     side = lambda who: player.select("puuid", F.col("player").alias(f"{who}_player"))
@@ -123,11 +130,14 @@ def dataset_id(tables: dict[str, DataFrame], versions: dict) -> str:
 
 
 def faults(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame) -> list[str]:
-    """What keeps facts and dimensions from being a release."""
-    pid = lambda who: dim_player.select("match_id", F.col("pid").alias(f"{who}_pid"))
+    """What keeps facts and dimensions from being a release. Both sides of a test are dealt by its keys, about ROWS of the larger table a task."""
+    n = max(df.count() for df in (fact, dim_match, dim_player))
+    by = lambda df, *on: dealt(df.select(*on), n, ROWS, *on)
+    pid = lambda who: by(dim_player.select("match_id", F.col("pid").alias(f"{who}_pid")), "match_id", f"{who}_pid")
+    of = lambda rows, dim, *on: orphans(by(rows, *on), dim, list(on))
     tests = {
-        "duplicate": duplicates(fact, *IDENTITY), "duplicate match": duplicates(dim_match, "match_id"), "match": orphans(fact, dim_match, ["match_id"]),
-        "victim": orphans(fact, pid("victim"), ["match_id", "victim_pid"]), "killer": orphans(fact.filter("killer_pid <> 0"), pid("killer"), ["match_id", "killer_pid"]),
+        "duplicate": duplicates(by(fact, *IDENTITY), *IDENTITY), "duplicate match": duplicates(by(dim_match, "match_id"), "match_id"), "match": of(fact, by(dim_match, "match_id"), "match_id"),
+        "victim": of(fact, pid("victim"), "match_id", "victim_pid"), "killer": of(fact.filter("killer_pid <> 0"), pid("killer"), "match_id", "killer_pid"),
     }
     return [name for name, rows in tests.items() if not rows.isEmpty()]
 
@@ -137,10 +147,10 @@ def bytes_per_row(columns: list[str]) -> int:
     return sum(int(kind[1:]) // 8 for kind in wire_kinds(columns).values())
 
 
-def written(df: DataFrame, path: str, order: list[str], **metrics: Column) -> dict:
-    """Writes df by ranges of the first of order, sorted, and returns metrics of its rows that the write itself has observed."""
+def written(df: DataFrame, path: str, order: list[str], n: int, **metrics: Column) -> dict:
+    """Writes df, of about n rows, by ranges of the first of order, sorted, and returns metrics of its rows that the write itself has observed."""
     seen = Observation()
-    rows = df.repartitionByRange(order[0]).sortWithinPartitions(*order).observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()])
+    rows = ranged(df, n, *order).observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()])
     rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return seen.get
 
@@ -170,17 +180,18 @@ def write(fact: DataFrame, dim_match: DataFrame, dim_player: DataFrame, root: st
     """The tables of release `name`, its validation report, and the manifest if all is as it should be."""
     spark, at = fact.sparkSession, lambda table_name: f"{root}/{table_name}/dataset_id={name}"
     start = F.col("game_start_ms")
-    facts = written(fact, at("fact_kill"), list(IDENTITY))
-    games = written(dim_match, at("dim_match"), ["match_id"], first=F.min(start), last=F.max(start))
-    people = written(dim_player, at("dim_participant"), ["match_id", "pid"])
+    facts = written(fact, at("fact_kill"), list(IDENTITY), fact.count())
+    games = written(dim_match, at("dim_match"), ["match_id"], dim_match.count(), first=F.min(start), last=F.max(start))
+    people = written(dim_player, at("dim_participant"), ["match_id", "pid"], dim_player.count())
     patches = dense_keys(dim_match, "patch_id", "patch", MOST_PATCHES)
-    keyed = ranged_keys(dim_match, "match_id", "match", f"{root}/work/{name}/match_keys").join(dim_match, "match_id").join(F.broadcast(patches), "patch_id")
-    written(keyed.select("match", "match_id", "patch", *[c for c in dim_match.columns if c not in ("match_id", "patch_id")]), at("matches"), ["match"])
-    names = written(latest_names(dim_player).join(dense_keys(dim_player, "puuid", "player"), "puuid"), at("players"), ["player"], last=F.max("player"))
+    keys = ranged_keys(dim_match, "match_id", "match", f"{root}/work/{name}/match_keys")
+    keyed = dealt(keys, games["rows"], ROWS, "match_id").join(dealt(dim_match, games["rows"], ROWS, "match_id"), "match_id").join(F.broadcast(patches), "patch_id")
+    written(keyed.select("match", "match_id", "patch", *[c for c in dim_match.columns if c not in ("match_id", "patch_id")]), at("matches"), ["match"], games["rows"])
+    names = written(latest_names(dim_player).join(dense_keys(dim_player, "puuid", "player"), "puuid"), at("players"), ["player"], MOST_PLAYERS, last=F.max("player"))
     span = {r.patch_id: r.patch for r in patches.collect()}  # MOST_PATCHES at most
     made = wide(fact, dim_match, dim_player, f"{root}/work/{name}", facts["rows"])
     fault = _fault(games["rows"], len(span), names["rows"])
-    shown = written(made.withColumn("_fault", fault), at("kills_wide"), list(IDENTITY), **{f"fault {f}": F.count_if(F.col("_fault") == f) for f in FAULTS}, champion_kills=F.count_if(F.col("cause") == 0)) if "cause" in made.columns else written(made, at("kills_wide"), list(IDENTITY))
+    shown = written(made.withColumn("_fault", fault), at("kills_wide"), list(IDENTITY), facts["rows"], **{f"fault {f}": F.count_if(F.col("_fault") == f) for f in FAULTS}, champion_kills=F.count_if(F.col("cause") == 0)) if "cause" in made.columns else written(made, at("kills_wide"), list(IDENTITY), facts["rows"])
     found = {f: n for f in FAULTS if (n := shown.get(f"fault {f}", 0))}
     report = {"dataset_id": name, "matches": games["rows"], "facts": facts["rows"], "wide_rows": shown["rows"], "participants": people["rows"], "duplicates": 0, "broken_references": 0, "faults": found}
     files.replace(spark, f"{root}/validation/{name}.json", json.dumps(report))
@@ -296,7 +307,7 @@ def verified(spark: SparkSession, root: str, dataset: str | None = None) -> dict
     name = checked_id(dataset or current(spark, root))
     said = checked_manifest(json.loads(files.read(spark, f"{root}/manifest/{name}.json")))
     facts, players, games = (table(spark, root, t, name) for t in ("kills_wide", "players", "dim_match"))
-    one = lambda df, key: tuple(df.agg(F.count(F.lit(1)), F.count_distinct(key)).first())
+    one = lambda df, key: tuple(dealt(df.select(key), df.count(), ROWS, key).groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(key)).first())
     if said["dataset_id"] != name or one(players, "puuid") != (said["players"],) * 2 or one(games, "match_id") != (said["matches"],) * 2:
         raise ValueError("the tables are not those of the manifest")
     _audited(cells(facts, said["matches"], len(said["patches"]), said["players"]).collect(), said)

@@ -72,7 +72,11 @@ def timeline_fault(info: str = "info") -> Column:
 
 def players(matches: DataFrame) -> DataFrame:
     """match_id and players, in order: pid, puuid, champ, role, team, won, imputed, and the lane opponent's pid and champ (of the other team's players of the role the last; none for an unknown role)."""
-    one = lambda p: F.struct(*[c.alias(n) for n, c in _player(lambda f: p[f]).items() if n not in ("display_name", "deaths")])
+    return _opposed(matches, ("display_name", "deaths"))
+
+
+def _opposed(matches: DataFrame, leave: tuple[str, ...]) -> DataFrame:
+    one = lambda p: F.struct(*[c.alias(n) for n, c in _player(lambda f: p[f]).items() if n not in leave])
     rows = matches.select(F.col("metadata.matchId").alias("match_id"), F.transform("info.participants", one).alias("ps"))
     foe = lambda p: F.try_element_at(F.filter("ps", lambda q: (q["team"] == 300 - p["team"]) & (q["role"] == p["role"])), F.lit(-1))
     return rows.select("match_id", F.transform("ps", lambda p: p.withField("opp", foe(p)["pid"]).withField("opp_champ", foe(p)["champ"])).alias("players"))
@@ -89,9 +93,9 @@ def _player(p: Callable[[str], Column]) -> dict[str, Column]:
 
 
 def participants(matches: DataFrame) -> DataFrame:
-    """One row a player: match_id, pid, place, puuid, champ, role, team, won, imputed, name, and the lane opponent's pid and champ."""
-    p = matches.select(F.col("metadata.matchId").alias("match_id"), F.posexplode("info.participants").alias("place", "p"))
-    return lane_opponents(p.select("match_id", "place", *[c.alias(n) for n, c in _player(lambda f: F.col(f"p.{f}")).items()]))
+    """One row a player: match_id, place, pid, puuid, champ, role, team, won, imputed, name, and the lane opponent's pid and champ. Opponents are found within a match's document: nothing is shuffled."""
+    p = _opposed(matches, ()).select("match_id", F.posexplode("players").alias("place", "p"))
+    return p.select("match_id", "place", "p.*")
 
 
 def lane_opponents(players: DataFrame) -> DataFrame:

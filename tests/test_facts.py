@@ -209,3 +209,20 @@ def test_names(spark, tmp_path):
     df = spark.createDataFrame([(7,), (8,)], "champ int")
     assert {tuple(r) for r in U.named(df, names, "champ", "shown").collect()} == {(7, "Seven"), (8, "8")}
     assert U.champion_names(spark, str(tmp_path / "none.json")) is None and U.named(df, None, "champ", "shown").filter("shown = '7'").count() == 1
+
+
+def test_a_release_is_written_in_ranges_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "ROWS", 100)
+    rows = spark.range(2000).select(F.format_string("%05d", "id").alias("match_id"), F.lit(1).alias("pid"))
+    assert R.written(rows, str(tmp_path / "rows"), ["match_id", "pid"], 2000)["rows"] == 2000
+    sizes = [r.n for r in spark.read.parquet(str(tmp_path / "rows")).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 300 and sum(sizes) == 2000
+
+
+def test_lane_opponents_are_found_without_a_shuffle(spark):
+    p = [{"participantId": i, "puuid": f"p{i}", "championId": 10 + i, "teamId": 100 if i <= 5 else 200, "teamPosition": ["TOP", "JUNGLE", "TOP", "", "UTILITY"][(i - 1) % 5], "win": i <= 5} for i in range(1, 11)]
+    got = D.participants(spark.createDataFrame([({"matchId": "EU_1"}, {"participants": p})], D.MATCH))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    plain = D.lane_opponents(got.drop("opp", "opp_champ"))
+    assert got.columns == plain.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    assert [(r.pid, r.opp) for r in got.orderBy("pid").collect()][:5] == [(1, 8), (2, 7), (3, 8), (4, None), (5, 10)]
