@@ -65,13 +65,15 @@ def documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     state = "named_struct('participantId', p, 'totalGold', 500 + f * 1000 + p * (m % 7 + 1) * 10, 'minionsKilled', f * 10 + p, 'position', named_struct('x', p * 1000 + f * 10, 'y', p * 900))"
     frame = f"named_struct('timestamp', f * 420000, 'participantFrames', map_from_entries(transform(sequence(1, 10), p -> struct(cast(p as string), {state}))), 'events', events)"
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = dealt(rows.select("event_id", "user_id", "event_type", F.expr("event_id div 28").alias("m")), rows.count(), EACH, "m")
+    n = rows.count()
+    rows = dealt(rows.select("event_id", "user_id", "event_type", F.expr("event_id div 28").alias("m")), n, EACH, "m")
     ev = rows.select("m", F.expr(f"({e}) div 7").alias("f"), F.struct(F.expr(f"{e}").alias("i"), F.expr(event).alias("e")).alias("x"))
     frames = ev.groupBy("m", "f").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]).alias("events"))
     frames = frames.select("m", F.struct("f", F.to_json(F.expr(frame)).alias("frame")).alias("x"))
     lines = frames.groupBy("m").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["frame"]), ",").alias("frames"))
     text = F.concat(F.lit('{"metadata": {"matchId": "EU_'), F.col("m").cast("string"), F.lit('"}, "info": {"frames": ['), F.col("frames"), F.lit("]}}"))
     # The number comes from an aggregate, so that filters on the documents run over matches and not over events.
-    numbers = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.expr("event_id div 28")).agg(F.expr("max(event_id) div 28").alias("m")).select("m")
+    keyed = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr("event_id div 28").alias("of"))
+    numbers = dealt(keyed, n, 16 * EACH, "of").groupBy("of").agg(F.expr("max(event_id) div 28").alias("m")).select("m")
     matches = numbers.select(F.from_json(F.to_json(F.expr(match)), D.MATCH).alias("d")).select("d.*")
     return matches, lines.select(F.from_json(text, D.TIMELINE).alias("d")).select("d.*")

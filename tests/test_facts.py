@@ -11,6 +11,7 @@ from heatfield.functions.geometry import MIN_X, SPAN_X, SPAN_Y, TURRETS
 from heatfield.functions.scalars import RESPAWN, ROLES
 from heatfield.operators import facts as X
 from heatfield.operators import release as R
+from heatfield.sources import adapter
 from heatfield.sources import documents as D
 from heatfield.streaming import runs as U
 
@@ -219,6 +220,14 @@ def test_a_release_is_written_in_ranges_of_bounded_rows(spark, tmp_path, monkeyp
     assert len(sizes) >= 15 and max(sizes) <= 300 and sum(sizes) == 2000
 
 
+def test_matches_are_numbered_in_partitions_of_bounded_events(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(adapter, "EACH", 70)
+    spark.range(11_200).select(F.col("id").alias("event_id"), F.lit(1).alias("user_id"), F.lit("click").alias("event_type")).write.parquet(str(tmp_path / "events.parquet"))
+    matches, _ = adapter.documents(spark, str(tmp_path))
+    sizes = [r.n for r in matches.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 400 and len(sizes) >= 8 and max(sizes) <= 100
+
+
 def test_lane_opponents_are_found_without_a_shuffle(spark):
     p = [{"participantId": i, "puuid": f"p{i}", "championId": 10 + i, "teamId": 100 if i <= 5 else 200, "teamPosition": ["TOP", "JUNGLE", "TOP", "", "UTILITY"][(i - 1) % 5], "win": i <= 5} for i in range(1, 11)]
     got = D.participants(spark.createDataFrame([({"matchId": "EU_1"}, {"participants": p})], D.MATCH))
